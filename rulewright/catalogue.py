@@ -1,0 +1,4 @@
+"""All registered queries of the library's core and their SQL twins."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
