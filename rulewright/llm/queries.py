@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode_documents, encode_documents
+from .mixing import mix_sources
 from .ngram_join import jaccard_classes
 
 QUERIES: dict = {}
@@ -29,3 +31,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked by 4-word shingle sets of Jaccard similarity 0.85 or more."""
     return jaccard_classes(table(spark, sf_dir, "documents"), size=4, p=85, q=100)
+
+
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer files lie; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@registered("op3_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of the text decoded from them."""
+    path = tokenizer_file()
+    ids = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    both = decode_documents(ids, path)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@registered("op8_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mix = mix_sources(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
