@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import decode_documents, encode_documents
 from .mixing import mix_sources
 from .ngram_join import jaccard_classes
+from .quality_rules import quality_verdicts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -55,3 +56,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     mix = mix_sources(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+@registered("op2_quality_rules")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and whether the learned rules keep it."""
+    judged = quality_verdicts(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
