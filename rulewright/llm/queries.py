@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import decode_documents, encode_documents
 from .common import shared_dir
+from .ctw import score_documents
 from .kd_shards import shard_documents
 from .mixing import mix_sources
 from .ngram_join import jaccard_classes
@@ -141,3 +142,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_captures(pages.withColumn("fetched_at", fetched), validity_intervals(entries))
     day = lambda c: F.date_diff(F.col(c), F.lit("2024-01-01")).cast("long")
     return judged.select("page_id", "url", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched_at"), "verdict", "list_key", day("valid_from").alias("valid_from_day"), day("valid_to").alias("valid_to_day"))
+
+
+@registered("op5_ctw")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-unigram and context-tree scores of every document."""
+    return score_documents(table(spark, sf_dir, "documents"))
