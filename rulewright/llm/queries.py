@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode_documents, encode_documents
-from .common import shared_dir
+from .chroma import align_recordings, fingerprints, tones
+from .common import shared_dir, stored
 from .ctw import score_documents
+from .html_blocks import extract_main_text
 from .kd_shards import shard_documents
 from .mixing import mix_sources
 from .ngram_join import jaccard_classes
@@ -148,3 +150,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-unigram and context-tree scores of every document."""
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@registered("op4_chroma")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings of the embeddings played as tones; those whose id 20 divides aligned with all."""
+    audio = table(spark, sf_dir, "embeddings").select("vec_id", fingerprints(tones(F.col("embedding"))).alias("print"))
+    return align_recordings(stored(audio, "prints"), F.col("vec_id") % 20 == 0, "vec_id")
+
+
+@registered("op6_html_blocks")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
