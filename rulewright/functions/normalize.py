@@ -220,12 +220,16 @@ def compare_text(value: Column) -> Column:
     return F.coalesce(t.try_cast("long").cast("string"), F.when(t.try_cast("double") == F.floor(t.try_cast("double")), t.try_cast("double").cast("long").cast("string")), t.try_cast("double").cast("string"), t)
 
 
+def _with(params: Column, key: str, value: Column) -> Column:
+    return F.map_concat(F.map_filter(params, lambda k, v: k != key), F.create_map(F.lit(key), value))
+
+
 def cross_strap(params: Column, pairs: Iterable[tuple[str, str]]) -> Column:
     """For each (master, slave) in order: an undefined slave takes the master's value if that is defined."""
     out = params
     for master, slave in pairs:
         m, s = (F.coalesce(F.try_element_at(out, F.lit(k)), F.lit(UNDEFINED)) for k in (master, slave))
-        out = F.when((s == UNDEFINED) & (m != UNDEFINED), F.map_concat(F.map_filter(out, lambda k, v, slave=slave: k != slave), F.create_map(F.lit(slave), m))).otherwise(out)
+        out = F.when((s == UNDEFINED) & (m != UNDEFINED), _with(out, slave, m)).otherwise(out)
     return out
 
 
