@@ -232,9 +232,9 @@ def merge_header_sources(customer):
 def flatten_rules(rules):
     one = rules.where("useafter is not null").groupBy("rmap", "p_flag", "p_priority", F.date_format("useafter", "yyyy-MM-dd").alias("d")).agg(F.max("reference").alias("r"))
     dates = one.groupBy("rmap", "p_flag", "p_priority").agg(F.map_from_entries(F.collect_list(F.struct("d", "r"))).alias("dates"))
-    nested = dates.groupBy("rmap").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "p_flag", F.replace("p_priority", F.lit("/"), F.lit(" "))), "dates"))).alias("choices"))
+    nested = dates.groupBy("rmap").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", F.replace("p_flag", F.lit("/"), F.lit(" ")), F.replace("p_priority", F.lit("/"), F.lit(" "))), "dates"))).alias("choices"))
     flat = H.flatten_rules(nested, ["FLAG", "PRIORITY"])
-    return flat.select("rmap", F.col("match_key")[0]["pattern"].alias("p_flag"), F.regexp_replace(F.col("match_key")[1]["pattern"], "^N A$", "N/A").alias("p_priority"), "useafter", "reference")
+    return flat.select("rmap", F.regexp_replace(F.col("match_key")[0]["pattern"], "^N A$", "N/A").alias("p_flag"), F.regexp_replace(F.col("match_key")[1]["pattern"], "^N A$", "N/A").alias("p_priority"), "useafter", "reference")
 
 
 @query("parse_id_list", "supplier", "SELECT s_name AS word FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT 'x' || s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0")

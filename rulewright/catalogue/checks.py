@@ -218,7 +218,7 @@ def check_dates(events):
     return V.check_dates(events.withColumn("ident", F.col("event_id")), text, "dash", "DATE")
 
 
-@query("check_kernel_unity", "embeddings", "WITH k AS (SELECT vec_id, list_sum(list_transform(embedding, x -> x::DOUBLE)) AS s, embedding[len(embedding) // 2 + 1] AS c FROM embeddings) SELECT vec_id AS ident, 'embedding' AS name, CASE WHEN abs(s - 1) > 0.5 THEN 'error' ELSE 'warning' END AS severity, 'kernel' AS message FROM k WHERE abs(s - 1) > 0.5 OR c >= 1")
+@query("check_kernel_unity", "embeddings", "WITH k AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS s, embedding[len(embedding) // 2 + 1] AS c FROM embeddings) SELECT vec_id AS ident, 'embedding' AS name, CASE WHEN abs(s - 1) > 0.5 THEN 'error' ELSE 'warning' END AS severity, 'kernel' AS message FROM k WHERE abs(s - 1) > 0.5 OR c >= 1")
 def check_kernel_unity(embeddings):
     return V.check_kernel_unity(embeddings, "embedding", "vec_id", tolerance=0.5)
 
@@ -258,7 +258,7 @@ def verify_catalog(store, catalog):
     return V.verify_catalog(store.select("name", "size", "sha1"), catalog)
 
 
-@query("findings", "part lineitem", "WITH f AS (SELECT 'BRAND' AS name, 'error' AS severity FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT DISTINCT 'l_returnflag', 'error' || '' FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')) SELECT name, severity, CASE WHEN name = 'BRAND' THEN count(*) ELSE (SELECT count(DISTINCT l_linestatus) FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')) END AS n FROM f GROUP BY ALL")
+@query("findings", "part lineitem", "SELECT 'BRAND' AS name, 'error' AS severity, count(*) AS n FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT 'l_returnflag', 'error', count(DISTINCT l_linestatus) FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')")
 def findings(part, lineitem):
     c = constraints(part.sparkSession, [("BRAND", "C", "R", [])])
     a = V.check_presence(V.with_constraints(part_headers(part), c)).withColumn("ident", F.col("ident").cast("string"))

@@ -247,7 +247,7 @@ def regression_differences(datasets, old_rules, new_rules):
     return R.regression_differences(compare_references(datasets, old_rules, new_rules))
 
 
-@query("bad_references", "datasets old_rules new_rules", f"WITH {COMPARED} SELECT * FROM upd WHERE new_reference IN (SELECT lower(reference) FROM new_rules WHERE rule_id % 11 = 0)")
+@query("bad_references", "datasets old_rules new_rules", f"WITH {COMPARED} SELECT * FROM upd WHERE lower(new_reference) IN (SELECT lower(reference) FROM new_rules WHERE rule_id % 11 = 0)")
 def bad_references(datasets, old_rules, new_rules):
     updates = compare_references(datasets, old_rules, new_rules).where("kind = 'update'").drop("kind")
     return S.bad_references(updates, new_rules.where("rule_id % 11 = 0").select(F.col("reference").alias("name")))

@@ -63,10 +63,13 @@ def match_paths(rules: DataFrame, references: DataFrame) -> DataFrame:
 
 def filter_match_paths(paths: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """Drop a path where a listed parameter exists and its or-list lacks the value."""
+
+    def lacks(name: str, value: str):
+        return F.exists("match_key", lambda k: (k["par"] == name) & ~F.array_contains(F.split(k["pattern"], r"\|"), value))
+
     out = paths
     for name, value in wanted.items():
-        lacks = F.exists("match_key", lambda k, n=name, v=value: (k["par"] == n) & ~F.array_contains(F.split(k["pattern"], r"\|"), v))
-        out = out.where(~lacks)
+        out = out.where(~lacks(name, value))
     return out
 
 
