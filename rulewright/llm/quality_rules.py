@@ -52,7 +52,7 @@ def with_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     size = F.size("__h")
     run = F.transform(F.sequence(F.lit(0), size - WINDOW), lambda i: F.struct(F.xxhash64(*(F.get("__h", i + k) for k in range(WINDOW))).alias("h"), i.alias("i")))
     d = d.withColumn("__n", size).withColumn("__w", F.when(size >= WINDOW, F.sort_array(run)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    again = F.filter("__w", lambda x, k: (x["h"] == F.get("__w", k - 1)["h"]) | (x["h"] == F.get("__w", k + 1)["h"]) & F.lit(True))
+    again = F.filter("__w", lambda x, k: (x["h"] == F.get("__w", k - 1)["h"]) | (x["h"] == F.get("__w", k + 1)["h"]))
     d = d.withColumn("__p", F.sort_array(F.transform(again, lambda x: x["i"])))
     covered = F.aggregate("__p", F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("at")), lambda s, i: F.struct((s["n"] + F.least(F.lit(WINDOW), i - s["at"])).alias("n"), i.alias("at")))["n"]
     length = F.length(t)
@@ -68,7 +68,10 @@ def with_counts(documents: DataFrame, text: str = "text") -> DataFrame:
         "n_marks": length - without("!?"),
         "n_lines": F.size("__l"),
     }
-    return d.withColumns({k: v.cast("long") for k, v in counts.items()}).drop("__h", "__n", "__w", "__p", "__l")
+    # One row in, one row out: a filter on the counts stays above this step.  Pushed below,
+    # it would be rewritten over the arrays and compute them anew for every element.
+    d = d.withColumn("__c", F.explode(F.array(F.struct(*(v.cast("long").alias(k) for k, v in counts.items())))))
+    return d.withColumns({k: F.col(f"__c.{k}") for k in COUNTS}).drop("__h", "__n", "__w", "__p", "__l", "__c")
 
 
 def base_failed() -> Column:
@@ -115,18 +118,23 @@ def learn_rules(labelled: DataFrame, precision: float = 0.98, least: int = 8, mo
     least ``precision`` of what it covers is bad.  Without labelled rows, or with
     none that is bad, there are no rules.
     """
-    cuts = labelled.select(*(F.percentile_approx(F.expr(s), [i / STEPS for i in range(1, STEPS)], 10_000).alias(k) for k, s in STATISTICS.items())).first()
+    values = labelled.select("bad", (F.col("part") == 2).alias("prune"), *(F.expr(s).alias(k) for k, s in STATISTICS.items()))
+    cuts = values.select(*(F.percentile_approx(k, [i / STEPS for i in range(1, STEPS)], 10_000).alias(k) for k in STATISTICS)).first()
     grid = {k: sorted(set(cuts[k] or [])) for k in STATISTICS}
+    grid = {k: v for k, v in grid.items() if v}
+    if not grid:
+        return []
+    # How many thresholds each statistic passes, once for all steps.
+    passed = {k: _passed(k, v) for k, v in grid.items()}
+    binned = stored(values.select("bad", "prune", *STATISTICS, *(c.alias(f"b_{k}") for k, c in passed.items())), "binned")
     rules: list[Rule] = []
     while len(rules) < most_rules:
-        open_rows = labelled.where(verdict(rules))
+        open_rows = binned.where(_kept_so_far(rules))
         rule: Rule = ()
         steps: list[tuple[Rule, tuple[int, int]]] = []
         while len(rule) < most_conditions:
-            # One row per (statistic, threshold passed, part); cumulated below.
-            passed = F.array(*(F.struct(F.lit(k).alias("k"), sum((F.when(F.expr(s) > t, 1).otherwise(0) for t in grid[k]), F.lit(0)).alias("b")) for k, s in STATISTICS.items() if grid[k]))
-            counts = open_rows.where(covers(rule)).select("bad", (F.col("part") == 2).alias("prune"), F.explode(passed).alias("x"))
-            counts = counts.groupBy("x.k", "x.b", "prune").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")).collect()
+            each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"b_{k}").alias("b")) for k in grid))).alias("x")
+            counts = open_rows.where(_on_values(rule)).select("bad", "prune", each).groupBy("x.k", "x.b", "prune").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")).collect()
             table: dict = {}
             for r in counts:
                 table.setdefault((r.k, r.prune), {})[r.b] = (r.bad, r.good)
@@ -136,33 +144,58 @@ def learn_rules(labelled: DataFrame, precision: float = 0.98, least: int = 8, mo
                 bad0, good0 = (sum(v[x] for v in grow.values()) for x in (0, 1))
                 for n, t in enumerate(grid[k]):
                     for above in (True, False):
-                        side = lambda d: tuple(sum(v[x] for b, v in d.items() if (b > n) == above) for x in (0, 1))  # noqa: B023, E731
-                        bad, good = side(grow)
+                        bad, good = _side(grow, n, above)
                         gain = _gain(bad, good, bad0, good0)
-                        if bad >= least and (best is None or (gain, k, -t) > best[0]) and gain > 0:
-                            best = ((gain, k, -t), Condition(k, above, float(t)), (bad, good), side(prune))
+                        if bad >= least and gain > 0 and (best is None or (gain, k, -t) > best[0]):
+                            best = ((gain, k, -t), Condition(k, above, float(t)), (bad, good), _side(prune, n, above))
             if best is None:
                 break
             rule = (*rule, best[1])
             steps.append((rule, best[3]))
             if best[2][1] == 0:
                 break
-        # Prune: the shortest prefix that is best on rows the rule was not grown on.
+        # Prune: of the prefixes that are precise enough on rows the rule was not grown on, the one that parts them best.
         good_enough = [(b - g, -len(r), r) for r, (b, g) in steps if b and b >= precision * (b + g)]
         if not good_enough:
             break
         rules.append(_widened(max(good_enough, key=lambda x: x[:2])[2], open_rows.where("bad")))
+    dropped(binned)
     return rules
 
 
+def _passed(name: str, thresholds: list[float]) -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, thresholds)), lambda t: F.col(name) > t))
+
+
+def _side(counts: dict, n: int, above: bool) -> tuple[int, int]:
+    """(bad, good) on one side of threshold ``n``: a row above it passes more than n thresholds."""
+    chosen = [v for b, v in counts.items() if (b > n) == above]
+    return sum(v[0] for v in chosen), sum(v[1] for v in chosen)
+
+
+def _on_values(rule: Rule) -> Column:
+    """``covers`` where the statistics are columns."""
+    out = F.lit(True)
+    for c in rule:
+        out = out & ((F.col(c.statistic) > c.threshold) if c.above else (F.col(c.statistic) <= c.threshold))
+    return out
+
+
+def _kept_so_far(rules: list[Rule]) -> Column:
+    out = F.lit(True)
+    for rule in rules:
+        out = out & ~_on_values(rule)
+    return out
+
+
 def _widened(rule: Rule, bad: DataFrame) -> Rule:
     """The same rule with each threshold moved half way to the bulk of the bad texts that it covers.
 
     Of the thresholds that part the labelled texts alike, the middle one leaves
     most room for good texts unlike those seen.
     """
-    tail = [F.percentile_approx(F.expr(STATISTICS[c.statistic]), 0.02 if c.above else 0.98, 10_000).alias(f"c{i}") for i, c in enumerate(rule)]
-    bulk = bad.where(covers(rule)).select(*tail).first()
+    tail = [F.percentile_approx(c.statistic, 0.02 if c.above else 0.98, 10_000).alias(f"c{i}") for i, c in enumerate(rule)]
+    bulk = bad.where(_on_values(rule)).select(*tail).first()
     return tuple(Condition(c.statistic, c.above, (c.threshold + b) / 2) for c, b in zip(rule, bulk))
 
 
