@@ -140,7 +140,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def with_originals(records: DataFrame) -> DataFrame:
     """Records read back, revisits completed with length and digest of the response that has their payload digest."""
-    whole = records.where("record_type = 'response'").select(F.col("record_id").alias("original"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("h"))
+    whole = records.where("record_type = 'response'").select(F.col("record_id").alias("original"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("h")).dropDuplicates(["original", "h"])
     own = records.where("record_type = 'response'")
     again = records.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest")
     again = again.join(whole, (again["refers_to"] == whole["original"]) & (again["digest"] == whole["h"]), "left").withColumnsRenamed({"n": "payload_bytes", "h": "payload_digest"}).drop("original")
