@@ -138,12 +138,12 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function for x >= 0.5, by Stirling's series after a shift."""
     down = np.zeros_like(x)
     y = x.copy()
-    for _ in range(7):
-        small = y < 8
+    for _ in range(12):
+        small = y < 12
         down[small] += np.log(y[small])
         y[small] += 1
     z = 1 / (y * y)
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + (1 / 12 - z * (1 / 360 - z / 1260)) / y - down
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - down
 
 
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
