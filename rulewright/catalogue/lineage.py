@@ -129,7 +129,7 @@ def contexts_between(history):
 
 @query("context_by_date", "history events", "SELECT (SELECT max_by(context, idx) FROM history WHERE start_date <= TIMESTAMP '2024-01-10') AS context, count(*) AS n FROM events")
 def context_by_date(history, events):
-    context = S.best_refs_by_date(None, history, "2024-01-10 00:00:00")
+    context = S.active_context(history, "2024-01-10 00:00:00")
     return events.agg(F.lit(context).alias("context"), F.count("*").alias("n")).select(F.col("context").cast("string").alias("context"), "n")
 
 

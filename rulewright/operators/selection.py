@@ -210,7 +210,7 @@ def bad_references(updates: DataFrame, bad: DataFrame) -> DataFrame:
     return updates.withColumn("bad_name", F.lower("new_reference")).join(listed, "bad_name", "left_semi").drop("bad_name")
 
 
-def best_refs_by_date(datasets: DataFrame, history: DataFrame, at: str) -> str | None:
-    """The context that was active at a time: the latest start not after it."""
+def active_context(history: DataFrame, at: str) -> str | None:
+    """The context that was active at a time: the latest start not after it, None before the first."""
     row = history.where(F.col("start_date") <= F.lit(at).cast("timestamp")).agg(F.max_by("context", F.struct("start_date", "idx")).alias("c")).first()
     return row.c if row else None
