@@ -39,8 +39,8 @@ from .graph import components
 
 _U = np.uint64
 BITMAP = [f"b{i}" for i in range(16)]
-#: Ids that may be broadcast: 8 bytes each, so 32 MB at most.  Above it the join shuffles.
-BROADCAST_IDS = 1 << 21
+#: Pairs that may be broadcast: 32 bytes each, so 32 MB at most.  Above it the join shuffles.
+BROADCAST_PAIRS = 1 << 20
 _DEALS = 4
 
 
@@ -102,58 +102,81 @@ def _bitmap(found: np.ndarray) -> np.ndarray:
     return np.packbits(counts.astype(np.uint8) & 1).view(np.int64)
 
 
-def profiles(docs: DataFrame, size: int, p: int, q: int) -> DataFrame:
-    """Per text: set size, a 128-bit hash of the set, its bitmap and join keys (once per set and task)."""
-    starts = bands(p, q)
-    schema = "doc_id long, n long, fa long, fb long, " + ", ".join(f"{b} long" for b in BITMAP) + ", keys array<long>"
+def _set_hashes(found: np.ndarray) -> tuple[int, int]:
+    """A 128-bit hash of a set."""
+    return tuple(int(mix(found ^ _U(c)).sum(dtype=np.uint64).view(np.int64)) for c in (0x1B873593CC9E2D51, 0x71D67FFFEDA60000))
+
+
+def profiles(docs: DataFrame, size: int) -> DataFrame:
+    """Per text: set size, a 128-bit hash of the set and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
         for batch in batches:
             for i, j, words, at in word_hashes(batch.column(1)):
-                rows, keys = [], []
+                rows = []
                 for k in range(j - i):
                     found = shingles(words[at[k] : at[k + 1]], size)
-                    fa, fb = (int(mix(found ^ _U(c)).sum(dtype=np.uint64).view(np.int64)) for c in (0x1B873593CC9E2D51, 0x71D67FFFEDA60000))
-                    rows.append(np.concatenate([np.array([len(found), fa, fb], np.int64), _bitmap(found)]))
-                    new = fa not in seen and len(found) >= starts[0]
-                    if new:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(fa)
-                    keys.append(np.unique(part_keys(found, starts, p, q)).view(np.int64) if new else np.empty(0, np.int64))
+                    rows.append(np.concatenate([np.array([len(found), *_set_hashes(found)], np.int64), _bitmap(found)]))
                 table = np.stack(rows)
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(table[:, c]) for c in range(table.shape[1])), listed], ["doc_id", "n", "fa", "fb", *BITMAP, "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(table[:, c]) for c in range(table.shape[1]))], ["doc_id", "n", "fa", "fb", *BITMAP])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, "doc_id long, n long, fa long, fb long, " + ", ".join(f"{b} long" for b in BITMAP))
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """Per text its sorted array of distinct shingle hashes."""
+def key_rows(docs: DataFrame, size: int, p: int, q: int) -> DataFrame:
+    """The join keys of every set beside the set's hash; a task hands on equal sets once as far as it remembers."""
+    starts = bands(p, q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for batch in batches:
             for i, j, words, at in word_hashes(batch.column(1)):
+                keys, sets = [], []
+                for k in range(j - i):
+                    found = shingles(words[at[k] : at[k + 1]], size)
+                    if len(found) < starts[0]:
+                        continue
+                    fa, _ = _set_hashes(found)
+                    if fa in seen:
+                        continue
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(fa)
+                    keys.append(part_keys(found, starts, p, q).view(np.int64))
+                    sets.append(np.full(len(keys[-1]), fa, np.int64))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sets))], ["key", "fa"])
+
+    return docs.mapInArrow(run, "key long, fa long")
+
+
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """Columns of ``docs`` with the last one, the text, replaced by its sorted array of distinct shingle hashes."""
+    kept = docs.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, words, at in word_hashes(batch.column(len(kept))):
                 sets = [shingles(words[at[k] : at[k + 1]], size).view(np.int64) for k in range(j - i)]
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets)))], ["doc_id", "shingles"])
+                listed = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(len(kept))), listed], [*kept, "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in kept) + ", shingles array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, p: int, q: int) -> DataFrame:
     """Of candidate ``pairs(a, b, na, nb)``, those that link by exact intersection."""
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    wanted = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = shingle_sets(wanted, size)
-    with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    shared = F.size(F.array_intersect("sa", "sb")).cast("long")
+    pairs = stored(pairs, "pairs")
+    few = F.broadcast if pairs.count() <= BROADCAST_PAIRS else lambda df: df
+    # Sets of the members travel once, to their pair's other end; of that end only once per text.
+    members = docs.join(few(pairs), docs["doc_id"] == pairs["b"]).select("a", "b", "na", "nb", "text")
+    centres = docs.join(few(pairs.select(F.col("a").alias("doc_id")).distinct()), "doc_id", "left_semi").select("doc_id", "text")
+    sets = shingle_sets(centres, size).select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+    both = shingle_sets(members, size).join(sets, "a")
+    shared = F.size(F.array_intersect("shingles", "sa")).cast("long")
     found = stored(both.select("a", "b", (shared * q >= (F.col("na") + F.col("nb") - shared) * p).alias("linked")).where("linked").select("a", "b"), "links")
-    dropped(ids)
+    dropped(pairs)
     return found
 
 
@@ -168,10 +191,10 @@ def jaccard_classes(documents: DataFrame, size: int = 5, p: int = 80, q: int = 1
     table gives an empty result.
     """
     docs = documents.select("doc_id", "text")
-    prof = stored(profiles(docs, size, p, q), "profiles")
+    prof = stored(profiles(docs, size), "profiles")
     classes = prof.where("n > 0").groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("rep"), *(F.min(b).alias(b) for b in BITMAP))
 
-    rows = prof.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "fa")
+    rows = key_rows(docs, size, p, q)
     spread = "PARTITION BY key"
     shared = stored(rows.selectExpr("key", "fa", f"min(fa) OVER ({spread}) AS low", f"max(fa) OVER ({spread}) AS high").where("low <> high").select("key", "low", "fa").distinct(), "shared")
     known = stored(classes.join(shared.select("fa").distinct(), "fa"), "known")
@@ -197,8 +220,7 @@ def jaccard_classes(documents: DataFrame, size: int = 5, p: int = 80, q: int = 1
 
     rest = stars.select("a", "b", "na", "nb").distinct().join(best.select("a", "b"), ["a", "b"], "left_anti")
     rest = labelled(labelled(rest, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b", "na", "nb")
-    more = _verified(rest, docs, size, p, q)
-    links = links.union(more)
+    links = links.union(_verified(rest, docs, size, p, q))
     found = stored(components(links), "comp")
 
     # Keys whose members are still in different components: compare those members.
