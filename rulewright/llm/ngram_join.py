@@ -218,10 +218,16 @@ def jaccard_classes(documents: DataFrame, size: int = 5, p: int = 80, q: int = 1
         named = found.select(F.col("node").alias(column), F.col("component").alias(label))
         return df.join(named, column, "left").withColumn(label, F.coalesce(label, column))
 
+    def merged(links: DataFrame) -> DataFrame:
+        """Components after more links, found on the graph whose nodes are the components so far."""
+        joint = stored(components(labelled(labelled(links, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "joint")
+        named = joint.select(F.col("node").alias("component"), F.col("component").alias("new"))
+        old = found.join(named, "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+        return stored(old.union(joint.join(found.select("node"), "node", "left_anti")), "comp")
+
     rest = stars.select("a", "b", "na", "nb").distinct().join(best.select("a", "b"), ["a", "b"], "left_anti")
     rest = labelled(labelled(rest, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b", "na", "nb")
-    links = links.union(_verified(rest, docs, size, p, q))
-    found = stored(components(links), "comp")
+    found = merged(_verified(rest, docs, size, p, q))
 
     # Keys whose members are still in different components: compare those members.
     member = labelled(shared.join(known.select("fa", "rep"), "fa").select("key", "rep"), "rep", "c")
@@ -232,8 +238,7 @@ def jaccard_classes(documents: DataFrame, size: int = 5, p: int = 80, q: int = 1
     right = open_rows.select("key", F.col("rep").alias("b"), F.col("c").alias("cb")).join(side("b").drop("fb"), "b")
     cross = left.join(right, (left["key"] == right["key"]) & near).select(*ordered).distinct()
     cross = stored(cross.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "cross")
-    links = links.union(_verified(cross, docs, size, p, q))
-    final = stored(components(links), "comp")
+    final = merged(_verified(cross, docs, size, p, q))
     dropped(stars, open_rows, cross, shared, known)
 
     named = classes.select("fa", "fb", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
