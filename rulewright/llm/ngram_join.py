@@ -42,6 +42,8 @@ BITMAP = [f"b{i}" for i in range(16)]
 #: Pairs that may be broadcast: 32 bytes each, so 32 MB at most.  Above it the join shuffles.
 BROADCAST_PAIRS = 1 << 20
 _DEALS = 4
+#: Rounds in which open keys are compared with one member of their largest component, before all their members are.
+ROUNDS = 3
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
@@ -229,15 +231,38 @@ def jaccard_classes(documents: DataFrame, size: int = 5, p: int = 80, q: int = 1
     rest = labelled(labelled(rest, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b", "na", "nb")
     found = merged(_verified(rest, docs, size, p, q))
 
-    # Keys whose members are still in different components: compare those members.
-    member = labelled(shared.join(known.select("fa", "rep"), "fa").select("key", "rep"), "rep", "c")
-    split = member.groupBy("key").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l < h").select("key")
-    open_rows = stored(member.join(split, "key").distinct(), "open")
+    def open_members() -> DataFrame:
+        """Members of the keys whose members are still in different components."""
+        member = labelled(shared.join(known.select("fa", "rep"), "fa").select("key", "rep"), "rep", "c")
+        split = member.groupBy("key").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l < h").select("key")
+        return stored(member.join(split, "key").distinct(), "open")
+
+    # Each open key's largest component names one member, another one in every round, that the
+    # other components' members are compared with: two pairs' worth of rows for each member.
+    done = stars.select("a", "b")
+    open_rows = open_members()
+    for turn in range(ROUNDS):
+        if open_rows.isEmpty():
+            break
+        parts = open_rows.groupBy("key", "c").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("centre"))
+        centres = parts.groupBy("key").agg(F.max_by(F.struct("c", "centre"), F.struct("n", "c")).alias("t")).select("key", F.col("t.c").alias("ca"), F.col("t.centre").alias("a"))
+        pairs = open_rows.select("key", F.col("rep").alias("b"), F.col("c").alias("cb")).join(centres, "key").where("ca <> cb").select("a", "b").distinct()
+        pairs = pairs.join(side("a").drop("fa"), "a").join(side("b").drop("fb"), "b").where(could).select(*ordered).distinct()
+        pairs = stored(pairs.join(done, ["a", "b"], "left_anti"), "turn")
+        links = _verified(pairs, docs, size, p, q)
+        done = done.union(pairs.select("a", "b"))
+        if links.isEmpty():
+            break
+        found = merged(links)
+        dropped(open_rows)
+        open_rows = open_members()
+
+    # What is still open is compared member by member.
     near = could & (F.col("ca") < F.col("cb"))
     left = open_rows.select("key", F.col("rep").alias("a"), F.col("c").alias("ca")).join(side("a").drop("fa"), "a")
     right = open_rows.select("key", F.col("rep").alias("b"), F.col("c").alias("cb")).join(side("b").drop("fb"), "b")
     cross = left.join(right, (left["key"] == right["key"]) & near).select(*ordered).distinct()
-    cross = stored(cross.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "cross")
+    cross = stored(cross.join(done, ["a", "b"], "left_anti"), "cross")
     final = merged(_verified(cross, docs, size, p, q))
     dropped(stars, open_rows, cross, shared, known)
 
