@@ -427,12 +427,14 @@ def fitted_labeller(words: list[str], pages: int = 800, seed: int = 6) -> BlockL
 
 def sample_words(pages: DataFrame, ident: str, html: str, bound: int = SAMPLE) -> list[str]:
     """Words of at most ``bound`` pages, those with the smallest hashes of their ids."""
-    rows = pages.select(html, ident).where(F.col(html).isNotNull()).orderBy(F.xxhash64(ident), ident).limit(bound).select(html).collect()
-    words: dict = {}
+    chosen = pages.where(F.col(html).isNotNull() & F.col(ident).isNotNull()).select(ident).distinct().orderBy(F.xxhash64(ident), ident).limit(bound)
+    # Only ids go through the sort; then at most one page of each.
+    rows = pages.join(F.broadcast(chosen), ident, "left_semi").groupBy(ident).agg(F.min(html).alias("html")).collect()
+    words: set = set()
     for r in rows:
-        for _, text, _ in blocks(r[0]):
-            words.update(dict.fromkeys(text.split()[:400]))
-    return list(words)[:20_000]
+        for _, text, _ in blocks(r.html or ""):
+            words.update(text.split())
+    return sorted(words)[: 50_000]
 
 
 def extract_main_text(pages: DataFrame, ident: str = "page_id", html: str = "html", out: str = "text") -> DataFrame:
