@@ -8,8 +8,10 @@ Method: size-banded tiles with hashed bitmap signatures.
   dealt by hash into more than ``d`` parts, so linked sets agree in a whole part.
   The (tile, part, content of the part) is the join key: a phrase that thousands
   of texts share fills no whole part of theirs, so it brings no candidates.
-  Sets with too many empty parts are dealt again with another hash; what is left
-  after the last deal is keyed by its combination of empty parts.  Nothing is lost.
+  The parts are more than ``d`` by as many as a set may leave empty, a number that
+  grows with the tile.  Sets with more empty parts are dealt again with another hash;
+  what is left after the last deal is keyed by its first elements in a hashed order,
+  of which linked sets share one.  Nothing is lost.
 * Each set has a bitmap of 1024 parities.  Bits that differ between two bitmaps
   are a lower bound of the elements that differ, so they bound the overlap from above.
 * What survives is decided by intersecting the sorted shingle arrays exactly.
@@ -24,9 +26,8 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import reduce
-from itertools import combinations
-from math import ceil
+from functools import lru_cache, reduce
+from math import ceil, sqrt
 from operator import add
 
 import numpy as np
@@ -41,7 +42,7 @@ _U = np.uint64
 BITMAP = [f"b{i}" for i in range(16)]
 #: Pairs that may be broadcast: 32 bytes each, so 32 MB at most.  Above it the join shuffles.
 BROADCAST_PAIRS = 1 << 20
-_DEALS = 4
+_DEALS = 8
 #: Rounds in which open keys are compared with one member of their largest component, before all their members are.
 ROUNDS = 3
 
@@ -69,16 +70,29 @@ def bands(p: int, q: int) -> list[int]:
     return starts
 
 
+@lru_cache(4096)
+def tile_parts(low: int, most: int) -> tuple[int, int]:
+    """Parts of a tile, and how many of them a set may leave empty: so many that most deals of its smallest sets do."""
+    spare = 0
+    while True:
+        parts = most + 1 + spare
+        empty = parts * (1 - 1 / parts) ** low
+        spread = max(parts * (parts - 1) * (1 - 2 / parts) ** low + empty - empty * empty, 0.0) if parts > 1 else 0.0
+        more = ceil(empty + sqrt(spread) - 0.5)
+        if more <= spare or spare > most:
+            return parts, spare
+        spare = more
+
+
 def part_keys(found: np.ndarray, starts: list[int], p: int, q: int) -> np.ndarray:
-    """The join keys of a sorted set of hashes."""
+    """The join keys of a sorted set of hashes, in number at most in proportion to its size."""
     band = bisect_right(starts, len(found)) - 1
     if band < 0:
         return np.empty(0, np.uint64)
     keys = []
     for tile in (band, band + 1):
         most = (q - p) * 2 * (starts[tile + 1] - 1) // (p + q)
-        spare = 0 if most < 4 else 1 if most < 12 else 2
-        parts = most + 1 + spare
+        parts, spare = tile_parts(starts[max(tile - 1, 0)], most)
         for deal in range(_DEALS):
             own = found if deal == 0 else np.sort(mix(found + _U(deal * 0x9E3779B97F4A7C15 % (1 << 64))))
             part = ((own >> _U(32)) * _U(parts)) >> _U(32)
@@ -90,12 +104,9 @@ def part_keys(found: np.ndarray, starts: list[int], p: int, q: int) -> np.ndarra
             if parts - len(full) <= spare:
                 break
         else:
-            empty = np.setdiff1d(np.arange(parts), full)
-            chosen = np.array(list(combinations(empty.tolist(), spare + 1)), np.uint64)
-            label = np.zeros(len(chosen), np.uint64)
-            for column in chosen.T:
-                label = mix(label + column + _U((tile << 40) + (1 << 39)))
-            keys.append(label)
+            least = -(-len(found) * p // q)
+            first = np.sort(mix(found ^ _U(0x2545F4914F6CDD1D)))[: len(found) - least + 1]
+            keys.append(mix(first + _U((tile << 40) + (1 << 39))))
     return np.concatenate(keys)
 
 

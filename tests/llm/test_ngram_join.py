@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from rulewright.llm import ngram_join
 from rulewright.llm.graph import components
 from rulewright.llm.ngram_join import bands, jaccard_classes, part_keys
 
@@ -84,6 +85,33 @@ def test_linked_sets_share_a_key():
         assert np.intersect1d(part_keys(a, starts, 85, 100), part_keys(b, starts, 85, 100)).size
 
 
+def test_keys_grow_with_the_set():
+    """Long sets have keys in proportion to their size, share them when linked and share none when they have nothing in common."""
+    rng = np.random.default_rng(2)
+    for p in (80, 85):
+        starts = bands(p, 100)
+        for n in (100, 1_000, 3_000, 20_000, 200_000):
+            a, other = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(2))
+            b = np.sort(rng.choice(a, -(-n * p // 100), replace=False))
+            keys = [part_keys(x, starts, p, 100) for x in (a, b, other)]
+            assert max(len(k) for k in keys) < 2 * n
+            assert np.intersect1d(keys[0], keys[1]).size and not np.intersect1d(keys[0], keys[2]).size
+
+
+def test_sets_no_deal_fits_share_a_key(monkeypatch):
+    """Where every deal leaves too many parts empty in both sets, the keys after the last deal must bring them together."""
+    monkeypatch.setattr(ngram_join, "tile_parts", lambda low, most: (4 * most + 8, 0))
+    monkeypatch.setattr(ngram_join, "_DEALS", 0)
+    rng = np.random.default_rng(4)
+    for p in (50, 80, 85):
+        starts = bands(p, 100)
+        for _ in range(300):
+            n = int(rng.integers(8, 300))
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.sort(rng.choice(a, -(-n * p // 100), replace=False))
+            assert np.intersect1d(part_keys(a, starts, p, 100), part_keys(b, starts, p, 100)).size
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 101), (101, 102), (50, 50), (102, 100)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
