@@ -36,9 +36,15 @@ def stream_references(datasets, rules):
 
 @query("incremental_history", "history")
 def incremental(history):
+    """History arrives in pieces, one file and one batch each."""
     spark = history.sparkSession
-    arriving, work = stored(history.coalesce(1), "history"), _work(spark)
-    source = spark.readStream.schema(arriving.schema).parquet(arriving.inputFiles()[0].rsplit("/", 1)[0])
+    work = _work(spark)
+    cuts = sorted(set(history.approxQuantile("idx", [0.25, 0.5, 0.75], 0.01)))
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        piece = history if low is None else history.where(F.col("idx") > low)
+        piece = piece if high is None else piece.where(F.col("idx") <= high)
+        piece.coalesce(1).write.mode("append").parquet(f"{work}/history")
+    source = spark.readStream.schema(history.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/history")
 
     def job(pairs, number):
         pairs.write.mode("overwrite").parquet(f"{work}/out/batch={number}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.contexts import history_pairs
@@ -25,9 +26,19 @@ def stream_best_references(headers: DataFrame, rules: DataFrame, parameters: lis
 
 
 def incremental_history(history: DataFrame, job: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Hand each new piece of history to a job as (old_context, new_context) pairs; progress is kept in the checkpoint."""
+    """Hand each new piece of history to a job as (old_context, new_context) pairs; progress is kept in the checkpoint.
+
+    Pieces arrive in the order of ``idx``.  The last change so far is kept beside the
+    checkpoint, one folder for each batch, and goes before the next batch, so a batch
+    delivered twice makes the same pairs.
+    """
+    last = f"{checkpoint.rstrip('/')}-last"
 
     def work(batch: DataFrame, number: int) -> None:
-        job(history_pairs(batch), number)
+        rows = batch.select("idx", "context")
+        if number:
+            rows = rows.unionByName(batch.sparkSession.read.schema(rows.schema).parquet(f"{last}/{number - 1}"))
+        rows.orderBy(F.desc("idx")).limit(1).write.mode("overwrite").parquet(f"{last}/{number}")
+        job(history_pairs(rows), number)
 
     return history.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
