@@ -29,8 +29,11 @@ PATH, WORDS, COUNTS = 384, 32, 10
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-#: Elements whose content is no text of the page.
-_RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "object", "svg", "math", "title", "xmp", "noembed", "noframes", "select", "audio", "video", "canvas"}
+#: Elements whose content is no text of the page: in the first no tag but their end tag counts, the others hold elements.
+_RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
+_HIDDEN = {"noscript", "template", "object", "svg", "math", "select", "audio", "video", "canvas"}
+#: Start tags that can stand in a head; any other ends it.
+_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "template", "noframes", "object"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 #: Elements that end the block before them.
 _BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul label".split())
@@ -43,11 +46,22 @@ def blocks(page: str) -> Iterator[tuple[tuple, str, int]]:
     """The page's leaf blocks in order: tag path, text with single spaces, letters inside links.
 
     Character references are decoded; comments, declarations, scripts, styles and
-    other unseen content are left out.  Unclosed and stray tags are tolerated.
+    other unseen content are left out.  Unclosed and stray tags are tolerated; an
+    unseen element without any end tag after it hides nothing, except one of raw text.
     """
     stack: list[tuple[str, tuple]] = []
     text: list[str] = []
     linked, at, n, head = 0, 0, len(page), False
+    unended: set[str] = set()
+
+    def hidden() -> int:
+        """Place of the outermost unseen element on the stack, or -1."""
+        return next((k for k, x in enumerate(stack) if x[0] in _HIDDEN), -1)
+
+    def ended(name: str) -> bool:
+        if name not in unended and not re.compile(rf"</{name}\s*>", re.I).search(page, at):
+            unended.add(name)
+        return name not in unended
 
     def words(attrs: str) -> tuple:
         out: list = []
@@ -73,7 +87,7 @@ def blocks(page: str) -> Iterator[tuple[tuple, str, int]]:
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and hidden() < 0:
             raw = entities.unescape(raw) if "&" in raw else raw
             text.append(raw)
             if any(x[0] == "a" for x in stack):
@@ -93,18 +107,29 @@ def blocks(page: str) -> Iterator[tuple[tuple, str, int]]:
             continue
         name = name.lower()
         if m[1]:
-            if name in _BLOCK and (block := take()):
-                yield block
+            found = -1
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    del stack[k:]
+                    found = k
                     break
-                if stack[k][0] in _WALLS and name not in _WALLS:
+                if stack[k][0] in _WALLS and name not in _WALLS and name not in _HIDDEN:
                     break
+            inside = hidden()
+            if 0 <= found < inside:
+                del stack[inside:]
+                inside = -1
+            if inside < 0 and name in _BLOCK and (block := take()):
+                yield block
+            if found >= 0:
+                del stack[found:]
             if name == "head":
                 head = False
             continue
-        if name in _BLOCK:
+        inside = hidden()
+        if head and inside < 0 and name not in _HEAD:
+            head = False
+            stack[:] = [x for x in stack if x[0] != "head"]
+        if inside < 0 and name in _BLOCK:
             if block := take():
                 yield block
             for k in range(len(stack) - 1, -1, -1):
@@ -113,16 +138,16 @@ def blocks(page: str) -> Iterator[tuple[tuple, str, int]]:
                     break
                 if stack[k][0] in _WALLS:
                     break
-            if name == "body":
-                head = False
-            elif name == "head":
+            if name == "head":
                 head = True
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
         elif name == "br":
             text.append(" ")
-        elif name not in _VOID and not m[3].endswith("/"):
+        elif name in _HIDDEN and (name in ("svg", "math") and m[3].endswith("/") or not ended(name)):
+            pass
+        elif name not in _VOID and (name in _HIDDEN - {"svg", "math"} or not m[3].endswith("/")):
             stack.append((name, words(m[3])))
     if block := take():
         yield block

@@ -67,6 +67,28 @@ def test_captures_see_the_entries_of_their_time(spark):
     assert judge_captures(df.limit(0), validity_intervals(entries)).collect() == []
 
 
+def test_blocks_after_unseen_elements():
+    """Text after an unseen element that closes itself or is never closed stays."""
+
+    def texts(page):
+        return [b[1] for b in hb.blocks(page)]
+
+    for tag in ("<svg class=icon/>", "<svg />", "<math/>", "<select>", "<object data=x>", "<audio src=x>", "<video>", "<canvas>", "<noscript>"):
+        assert texts(f"<article><p>one {tag}</p><p>two</p></article><p>three</p>") == ["one", "two", "three"]
+    for tag in ("select", "object", "audio", "video", "canvas", "noscript", "svg", "math", "template"):
+        assert texts(f"<p>one <{tag}><b>no</b><p>no</p></{tag}> two</p><p>three</p>") == ["one two", "three"]
+        assert texts(f"<div>one <{tag}>no</div><p>two</p><{tag}>no</{tag}><p>three</p>") == ["one", "two", "three"]
+    assert texts("<p>one <noscript><div>no</noscript> two</p>") == ["one two"]
+    assert texts("<p>a<textarea><p>no</p></textarea>b</p>") == ["ab"]
+
+
+def test_blocks_without_end_of_head():
+    """Both </head> and <body> may be left out."""
+    for page in ("<html><head><title>t</title><meta charset=x><p>one</p><p>two</p>", "<head><title>t</title><noscript><img src=x></noscript></head><p>one</p><p>two</p>", "<head><title>t</title><body><p>one<p>two"):
+        found = list(hb.blocks(page))
+        assert [b[1] for b in found] == ["one", "two"] and all("head" not in [x[0] for x in b[0]] for b in found)
+
+
 def test_blocks():
     page = """<html><head><title>t</title><style>p{}</style></head><body><script>var x="</p>";</script>
     <nav><ul><li><a href=/>Home</a><li>Two</ul></nav><!-- <p>no</p> --><article class="post main"><h1>A &amp; B</h1><p>One<br>two &nbsp; three<p>open <b>bold
