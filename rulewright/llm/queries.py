@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode_documents, encode_documents
-from .chroma import align_recordings, fingerprints, tones
+from .chroma import align_recordings, tone_prints
 from .common import shared_dir, stored
 from .ctw import score_documents
 from .html_blocks import extract_main_text
@@ -155,7 +155,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op4_chroma")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings of the embeddings played as tones; those whose id 20 divides aligned with all."""
-    audio = table(spark, sf_dir, "embeddings").select("vec_id", fingerprints(tones(F.col("embedding"))).alias("print"))
+    audio = table(spark, sf_dir, "embeddings").select("vec_id", tone_prints(F.col("embedding")).alias("print"))
     return align_recordings(stored(audio, "prints"), F.col("vec_id") % 20 == 0, "vec_id")
 
 
