@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 from math import ceil, sqrt
 from operator import add
 
@@ -70,9 +70,13 @@ def bands(p: int, q: int) -> list[int]:
     return starts
 
 
-@lru_cache(4096)
+_PARTS: dict[tuple[int, int], tuple[int, int]] = {}
+
+
 def tile_parts(low: int, most: int) -> tuple[int, int]:
     """Parts of a tile, and how many of them a set may leave empty: so many that most deals of its smallest sets do."""
+    if (low, most) in _PARTS:
+        return _PARTS[low, most]
     spare = 0
     while True:
         parts = most + 1 + spare
@@ -80,6 +84,7 @@ def tile_parts(low: int, most: int) -> tuple[int, int]:
         spread = max(parts * (parts - 1) * (1 - 2 / parts) ** low + empty - empty * empty, 0.0) if parts > 1 else 0.0
         more = ceil(empty + sqrt(spread) - 0.5)
         if more <= spare or spare > most:
+            _PARTS[low, most] = parts, spare
             return parts, spare
         spare = more
 
