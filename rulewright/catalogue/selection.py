@@ -204,17 +204,9 @@ def compare_references(datasets, old_rules, new_rules):
 
 
 def updates_of(datasets, old_rules, new_rules):
-    """Old and new computed side by side in one pass over the datasets, so that no outer join is needed."""
-    rows = S.parameter_tuples(headers(datasets), PARAMETERS)
-    for name, rules in (("old", old_rules), ("new", new_rules)):
-        arrays = S.candidate_arrays(headers(datasets), keyed(rules), PARAMETERS)
-        rows = rows.join(arrays.withColumnRenamed("candidates", f"{name}_c"), ["rmap", "tuple"], "left")
-    for name in ("old", "new"):
-        fit = F.filter(f"{name}_c", lambda c: c["useafter"].isNull() | (c["useafter"] <= F.col("exptime")))
-        found = F.coalesce(F.try_element_at(fit, F.lit(1))["reference"], F.lit(S.NOT_FOUND))
-        rows = rows.withColumn(f"{name}_reference", R.resolve_result(found)[1])
-    out = rows.select("dataset_id", F.col("rmap").alias("instrument"), F.lit("table").alias("filekind"), "old_reference", "new_reference")
-    return out.where("old_reference <> new_reference")
+    """Old and new references are compared per span of a tuple before any dataset is touched."""
+    found = S.changed_references(headers(datasets), keyed(old_rules), keyed(new_rules), PARAMETERS, lambda c: R.resolve_result(c)[1])
+    return found.select("dataset_id", F.col("rmap").alias("instrument"), F.lit("table").alias("filekind"), "old_reference", "new_reference")
 
 
 @query("affected_datasets", "datasets old_rules new_rules", f"WITH {COMPARED} SELECT * FROM upd")

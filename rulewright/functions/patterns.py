@@ -48,7 +48,8 @@ def match_status(value: Column, pattern: Column) -> Column:
     inner = F.when(negated, F.regexp_replace(pattern, r"(?i)^not\s+", "")).otherwise(pattern)
     logical = r"(?i)^#\s*(.*?)\s+(and|or)\s+(.*?)\s*#$"
     left, word, right = (F.regexp_extract(inner, logical, k) for k in (1, 2, 3))
-    both = F.when(F.lower(word) == "and", _simple(value, left) & _simple(value, right)).otherwise(_simple(value, left) | _simple(value, right)) | (F.upper(inner) == value)
-    fits = F.when(inner.rlike(logical), both).otherwise(_simple(value, inner))
+    # One or two terms, so that the long comparison stands in the plan once.
+    fit = F.transform(F.when(word == "", F.array(inner)).otherwise(F.array(left, right)), lambda term: F.coalesce(_simple(value, term), F.lit(False)))
+    fits = F.when(F.lower(word) == "and", F.forall(fit, lambda x: x)).otherwise(F.exists(fit, lambda x: x)) | ((word != "") & (F.upper(inner) == value))
     status = F.when(value == "*", 1).when(F.coalesce(fits, F.lit(False)), 1).otherwise(-1)
     return F.when((value == "N/A") | (inner == "N/A"), 0).when(negated, -status).otherwise(status)

@@ -1,22 +1,29 @@
 """Which reference applies to each dataset: weighted matches, then a choice by date, version or distance.
 
 Datasets are never crossed with rules.  The distinct parameter tuples of a rule
-set are few, so they are matched with its rules; the candidates of a tuple become
-one sorted array, and every dataset picks from its tuple's array without being
-multiplied.
+set are few, so they are matched with its rules; what fits a tuple becomes a step
+function of time, and every dataset finds its step by an as-of join without being
+multiplied and without carrying its tuple's list of rules.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.normalize import UNDEFINED
 from ..functions.patterns import match_status
+from ..sources.scratch import stored
+from .steps import last_not_after, neighbours, running_best, span_join
 
 NOT_FOUND = "NOT FOUND No match found."
 IRRELEVANT = "NOT FOUND n/a"
+INVALID_DATE = "NOT FOUND invalid date"
 #: Rules that may be broadcast; above it the join on the rule set shuffles.
 BROADCAST_RULES = 200_000
 
@@ -26,16 +33,49 @@ def _small(df: DataFrame, rows: int = BROADCAST_RULES) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def weighted_match(headers: DataFrame, rules: DataFrame) -> DataFrame:
+def key_matches(tuples: DataFrame, keys: DataFrame, parameters: list[str]) -> DataFrame:
+    """Distinct (rmap, tuple) and (rmap, match_key) that fit, with their weight.
+
+    Values and patterns of one parameter are few, so every pair of them is compared
+    once; the pairs of tuples and keys of a rule set then only look their statuses up.
+    """
+
+    def pattern(name: str) -> Column:
+        return F.coalesce(F.get(F.filter("match_key", lambda k: k["par"] == name), F.lit(0))["pattern"], F.lit("N/A"))
+
+    keys = keys.withColumn("patterns", F.array(*map(pattern, parameters)))
+    v = tuples.select("rmap", F.posexplode("tuple").alias("i", "value")).distinct()
+    p = keys.select("rmap", F.posexplode("patterns").alias("i", "pattern")).distinct()
+    pairs = v.join(p, ["rmap", "i"]).select("value", "pattern").distinct()
+    # Stored before it is filtered: the long expression is then built and run once.
+    status = stored(pairs.withColumn("status", match_status(F.col("value"), F.col("pattern"))), "status")
+    status = _small(status.where("status >= 0"))
+    both, weight = tuples.join(keys, "rmap"), F.lit(0)
+    for i in range(len(parameters)):
+        own = status.select(F.col("value").alias(f"_v{i}"), F.col("pattern").alias(f"_p{i}"), F.col("status").alias(f"_s{i}"))
+        both = both.join(own, (F.get("tuple", F.lit(i)) == F.col(f"_v{i}")) & (F.get("patterns", F.lit(i)) == F.col(f"_p{i}"))).drop(f"_v{i}", f"_p{i}")
+        weight = weight + F.col(f"_s{i}")
+    return both.select("rmap", "tuple", "match_key", weight.alias("weight"))
+
+
+def rule_parameters(rules: DataFrame) -> list[str]:
+    """Names of the parameters that the rules match by: a few dozen."""
+    names = [r.par for r in rules.select(F.explode("match_key.par").alias("par")).distinct().limit(1001).collect()]
+    if len(names) > 1000:
+        raise ValueError("more than 1000 matching parameters")
+    return sorted(names)
+
+
+def weighted_match(headers: DataFrame, rules: DataFrame, parameters: list[str] | None = None) -> DataFrame:
     """Headers(rmap, params map) joined with the rules(rmap, match_key array<struct<par, pattern>>, ...) they fit.
 
     A rule with a mismatch is out; ``weight`` counts its matches.  A missing
-    parameter is the text UNDEFINED.
+    parameter is the text UNDEFINED.  ``parameters`` are those of the rules.
     """
-    both = headers.join(_small(rules), "rmap")
-    status = F.transform("match_key", lambda k: match_status(F.coalesce(F.try_element_at("params", k["par"]), F.lit(UNDEFINED)), k["pattern"]))
-    both = both.withColumn("status", status).where(~F.array_contains("status", -1))
-    return both.withColumn("weight", F.size(F.filter("status", lambda s: s == 1))).drop("status")
+    names = parameters or rule_parameters(rules)
+    keyed = parameter_tuples(headers, names)
+    fit = key_matches(keyed.select("rmap", "tuple").distinct(), rules.select("rmap", "match_key").distinct(), names)
+    return keyed.join(fit.join(rules, ["rmap", "match_key"]), ["rmap", "tuple"]).drop("tuple")
 
 
 def rank_candidates(matched: DataFrame, ident: str = "dataset_id") -> DataFrame:
@@ -44,17 +84,37 @@ def rank_candidates(matched: DataFrame, ident: str = "dataset_id") -> DataFrame:
 
 
 def parameter_tuples(datasets: DataFrame, parameters: list[str]) -> DataFrame:
-    """Distinct tuples of a rule set's parameters, with their id."""
+    """Datasets with the tuple of a rule set's parameters."""
     values = [F.coalesce(F.try_element_at("params", F.lit(p)), F.lit(UNDEFINED)) for p in parameters]
     return datasets.withColumn("tuple", F.array(*values))
 
 
-def candidate_arrays(datasets: DataFrame, rules: DataFrame, parameters: list[str]) -> DataFrame:
-    """Per distinct (rmap, tuple): the sorted array of (weight, useafter, reference) of the rules that fit."""
-    distinct = parameter_tuples(datasets, parameters).select("rmap", "tuple").distinct()
-    params = F.map_from_arrays(F.array(*map(F.lit, parameters)), F.col("tuple"))
-    found = weighted_match(distinct.withColumn("params", params), rules.select("rmap", "match_key", "useafter", "reference"))
-    return found.groupBy("rmap", "tuple").agg(F.sort_array(F.collect_list(F.struct("weight", "useafter", "reference")), asc=False).alias("candidates"))
+def tuple_candidates(tuples: DataFrame, rules: DataFrame, parameters: list[str]) -> DataFrame:
+    """Per distinct (rmap, tuple): the (weight, useafter, reference) of the rules that fit.
+
+    Many rules of a set share a match key and differ in date, so tuples are compared
+    with distinct keys; the dates come by an equi-join.
+    """
+    fit = key_matches(tuples, rules.select("rmap", "match_key").distinct(), parameters)
+    dates = rules.groupBy("rmap", "match_key", "useafter").agg(F.max("reference").alias("reference"))
+    return fit.select("rmap", "tuple", "match_key", "weight").join(dates, ["rmap", "match_key"]).select("rmap", "tuple", "weight", "useafter", "reference")
+
+
+def reference_steps(tuples: DataFrame, rules: DataFrame, parameters: list[str]) -> DataFrame:
+    """Per (rmap, tuple) the reference as a step function of exposure time: disjoint spans [low, high).
+
+    A rule counts from its use-after date on (one without a date always).  In the
+    order of dates a rule begins a step if no earlier one has a greater weight; so a
+    group whose dates are all later falls through to the next weight.  One more row
+    per tuple, marked ``unknown``, holds what an unknown exposure time gets.
+    """
+    found = tuple_candidates(tuples, rules, parameters)
+    key = ["rmap", "tuple"]
+    steps = running_best(found, key, "useafter", ["weight"]).select(*key, "low", "high", "reference", F.lit(False).alias("unknown"))
+    dateless = F.max_by("reference", F.struct("weight", "reference")).alias("reference")
+    none = found.groupBy(*key).agg(F.max(F.col("useafter").isNotNull()).alias("dated"), dateless)
+    none = none.select(*key, F.when(F.col("dated"), INVALID_DATE).otherwise(F.col("reference")).alias("reference"), F.lit(True).alias("unknown"))
+    return steps.unionByName(none, allowMissingColumns=True)
 
 
 def best_reference(datasets: DataFrame, rules: DataFrame, parameters: list[str]) -> DataFrame:
@@ -67,12 +127,31 @@ def best_reference(datasets: DataFrame, rules: DataFrame, parameters: list[str])
     exposure time is an error text unless no rule of the tuple has a date.
     """
     keyed = parameter_tuples(datasets, parameters)
-    arrays = candidate_arrays(datasets, rules, parameters)
-    both = keyed.join(arrays, ["rmap", "tuple"], "left")
-    fit = F.filter("candidates", lambda c: c["useafter"].isNull() | (c["useafter"] <= F.col("exptime")))
-    dated = F.exists("candidates", lambda c: c["useafter"].isNotNull())
-    reference = F.when(F.col("exptime").isNull() & F.coalesce(dated, F.lit(False)), "NOT FOUND invalid date").otherwise(F.coalesce(F.try_element_at(fit, F.lit(1))["reference"], F.lit(NOT_FOUND)))
-    return both.withColumn("reference", reference).drop("tuple", "candidates")
+    steps = reference_steps(keyed.select("rmap", "tuple").distinct(), rules, parameters)
+    both = span_join(keyed, steps, ["rmap", "tuple"], "exptime")
+    return both.withColumn("reference", F.coalesce("reference", F.lit(NOT_FOUND))).drop("tuple")
+
+
+def changed_references(datasets: DataFrame, old: DataFrame, new: DataFrame, parameters: list[str], resolve: Callable[[Column], Column]) -> DataFrame:
+    """Datasets whose resolved reference differs between two rule sets, with old_reference and new_reference.
+
+    Both step functions of a tuple are laid over each other, and old and new are
+    compared once per span; only spans that differ meet the datasets.
+    """
+    keyed = parameter_tuples(datasets, parameters)
+    tuples = stored(keyed.select("rmap", "tuple").distinct(), "tuples")
+    key, marks = ["rmap", "tuple"], []
+    for side, rules in (("old", old), ("new", new)):
+        steps = reference_steps(tuples, rules, parameters)
+        marks.append(steps.select(*key, "unknown", "low", F.col("reference").alias(side)))
+    # Before its first step, and without any, a tuple has no match on that side.
+    begin = tuples.select(*key, F.explode(F.array(F.lit(False), F.lit(True))).alias("unknown"), F.lit(NOT_FOUND).alias("old"), F.lit(NOT_FOUND).alias("new"))
+    both = marks[0].unionByName(marks[1], allowMissingColumns=True).unionByName(begin, allowMissingColumns=True)
+    both = both.groupBy(*key, "unknown", "low").agg(*(F.max_by(c, (F.col(c) != NOT_FOUND).cast("int")).alias(c) for c in ("old", "new")))
+    line = W.partitionBy(*key, "unknown").orderBy(F.col("low").asc_nulls_first())
+    so_far = line.rowsBetween(W.unboundedPreceding, W.currentRow)
+    spans = both.select(*key, "unknown", "low", F.lead("low").over(line).alias("high"), *(resolve(F.last(c, True).over(so_far)).alias(f"{c}_reference") for c in ("old", "new")))
+    return span_join(keyed, spans.where("old_reference <> new_reference"), key, "exptime", "inner").drop("tuple")
 
 
 def ambiguous_matches(matched: DataFrame, ident: str = "dataset_id") -> DataFrame:
@@ -95,66 +174,99 @@ def validity_intervals(rules: DataFrame, key: list[str]) -> DataFrame:
 
 def useafter_asof(datasets: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
     """As-of join through validity intervals: for long lists of dates per key."""
-    spans = _small(validity_intervals(rules, key))
-    on = [datasets[k] == spans[k] for k in key] + [datasets["exptime"] >= spans["useafter"], spans["next_useafter"].isNull() | (datasets["exptime"] < spans["next_useafter"])]
-    joined = datasets.join(spans, on, "left")
-    return joined.select(*(datasets[c] for c in datasets.columns), spans["useafter"], F.coalesce(spans["reference"], F.lit(NOT_FOUND)).alias("reference"))
-
-
-def _per_key(choices: DataFrame, key: list[str], *fields: Column) -> DataFrame:
-    """One array of choices per key; keys of a rule set, not of datasets, so arrays are as long as a rule's list."""
-    return choices.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("choices"))
+    spans = validity_intervals(rules, key).withColumn("low", F.col("useafter")).withColumnRenamed("next_useafter", "high")
+    return span_join(datasets, spans, key, "exptime").withColumn("reference", F.coalesce("reference", F.lit(NOT_FOUND)))
 
 
 def version_after(datasets: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
     """Greatest rule version (a struct) not above the dataset's ``version``."""
-    arrays = _per_key(rules, key, F.col("version").alias("v"), F.col("reference"))
-    fit = F.filter("choices", lambda c: c["v"] <= F.col("version"))
-    return datasets.join(_small(arrays), key, "left").withColumn("reference", F.coalesce(F.array_max(fit)["reference"], F.lit(NOT_FOUND))).drop("choices")
+    points = rules.groupBy(*key, "version").agg(F.max("reference").alias("reference"))
+    found = last_not_after(datasets, points, key, "_f", F.col("version"), F.col("version"), F.struct("version", "reference"))
+    return found.withColumn("reference", F.coalesce(F.col("_f.reference"), F.lit(NOT_FOUND))).drop("_f")
+
+
+def _nearest(datasets: DataFrame, rules: DataFrame, key: list[str], at: str, point: str, distance: Callable[[Column, Column], Column], keep: list[str]) -> DataFrame:
+    """``datasets`` with the ``keep`` columns of the point of their key at the smallest distance, of equal ones the first.
+
+    Either neighbour of the value can be the nearest.  Distances are 32-bit, so points
+    further below can be as near: where the second one is, the row is compared with
+    all points of its key below the value, one aggregation.
+    """
+    points = rules.groupBy(*key, point).agg(F.min(F.struct(*keep)).alias("_kept"))
+    both = span_join(datasets, neighbours(points, key, point), key, at)
+    far = lambda c: distance(F.col(f"{c}.at"), F.col(at))
+    lower = F.col("below").isNotNull() & (F.col("above").isNull() | (far("below") <= far("above")))
+    both = both.withColumn("_d", F.when(lower, far("below"))).withColumn("_found", F.when(lower, F.col("below._kept")).otherwise(F.col("above._kept")))
+    tied = F.coalesce(F.col("_d") == far("second"), F.lit(False))
+    both = stored(both.withColumn("_tied", tied).drop("below", "above", "second"), "nearest")
+    few = both.where("_tied").select(*key, F.col(at), "_d").distinct()
+    all_points = points.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), F.col(point).alias("_p"), "_kept")
+    same = reduce(and_, (F.col(k) == F.col(f"_k{i}") for i, k in enumerate(key)))
+    first = few.join(all_points, same & (F.col("_p") <= F.col(at))).where(distance(F.col("_p"), F.col(at)) == F.col("_d"))
+    first = first.groupBy(*key, F.col(at)).agg(F.min_by("_kept", "_p").alias("_first"))
+    out = both.join(first, [*key, at], "left").withColumn("_found", F.coalesce("_first", "_found"))
+    return out.select(*datasets.columns, *(F.col(f"_found.{c}").alias(c) for c in keep))
 
 
-def _nearest(datasets: DataFrame, rules: DataFrame, key: list[str], at: str, distance) -> DataFrame:
-    arrays = _per_key(rules, key, F.col(at).alias("k"), F.col("reference"))
-    ranked = F.transform("choices", lambda c: F.struct(distance(c["k"]).alias("d"), c["k"], c["reference"]))
-    return datasets.join(_small(arrays), key, "left").withColumn("reference", F.coalesce(F.array_min(ranked)["reference"], F.lit(NOT_FOUND))).drop("choices")
+def _seconds(a: Column, b: Column) -> Column:
+    return F.abs(F.unix_micros(a.cast("timestamp")).cast("double") - F.unix_micros(b.cast("timestamp")).cast("double")).cast("float")
+
+
+def _size(a: Column, b: Column) -> Column:
+    return F.abs(a.cast("float") - b.cast("float"))
 
 
 def closest_time(datasets: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
-    """Smallest time difference in 32-bit seconds; of equal ones the earliest key."""
-    return _nearest(datasets, rules, key, "time", lambda k: F.abs(F.unix_micros(k.cast("timestamp")).cast("double") - F.unix_micros(F.col("exptime").cast("timestamp")).cast("double")).cast("float"))
+    """Smallest time difference in 32-bit microseconds; of equal ones the earliest key."""
+    found = _nearest(datasets, rules, key, "exptime", "time", _seconds, ["reference"])
+    return found.withColumn("reference", F.coalesce("reference", F.lit(NOT_FOUND)))
 
 
 def geometrically_nearest(datasets: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
     """Smallest distance of 32-bit numbers; of equal ones the smallest key."""
-    return _nearest(datasets, rules, key, "number", lambda k: F.abs(k.cast("float") - F.col("value").cast("float")))
+    found = _nearest(datasets, rules, key, "value", "number", _size, ["reference"])
+    return found.withColumn("reference", F.coalesce("reference", F.lit(NOT_FOUND)))
 
 
 def bracket(datasets: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
     """References of the largest key not above and the smallest not below ``value``; outside, the edge twice."""
-    arrays = _per_key(rules, key, F.col("number").alias("k"), F.col("reference"))
-    low, high = F.array_max(F.filter("choices", lambda c: c["k"] <= F.col("value"))), F.array_min(F.filter("choices", lambda c: c["k"] >= F.col("value")))
-    both = datasets.join(_small(arrays), key, "left").withColumn("low", low).withColumn("high", high)
-    return both.withColumn("low_reference", F.coalesce("low", "high")["reference"]).withColumn("high_reference", F.coalesce("high", "low")["reference"]).drop("choices", "low", "high")
+    points = rules.groupBy(*key, "number").agg(F.max("reference").alias("most"), F.min("reference").alias("least"))
+    both = span_join(datasets, neighbours(points, key, "number"), key, "value")
+    above = F.when(F.col("below.at") == F.col("value"), F.col("below")).otherwise(F.col("above"))
+    both = both.withColumn("above", above)
+    low, high = F.coalesce("below.most", "above.least"), F.coalesce("above.least", "below.most")
+    return both.withColumn("low_reference", low).withColumn("high_reference", high).drop("below", "above", "second")
 
 
 def select_version(datasets: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
-    """First relation in order that the dataset's ``version`` meets: ``<x`` before ``=x`` at one bound, default last."""
-    order = F.struct(F.when(F.col("op") == "default", 1).otherwise(0).alias("last"), F.col("bound").alias("b"), F.when(F.col("op") == "<", 0).otherwise(1).alias("o"))
-    arrays = _per_key(rules.withColumn("order", order), key, F.col("order"), F.col("reference"))
-    fit = F.filter("choices", lambda c: (c["order"]["last"] == 1) | F.when(c["order"]["o"] == 0, F.col("version") < c["order"]["b"]).otherwise(F.col("version") == c["order"]["b"]))
-    return datasets.join(_small(arrays), key, "left").withColumn("reference", F.coalesce(F.array_min(fit)["reference"], F.lit(NOT_FOUND))).drop("choices")
+    """First relation in order that the dataset's ``version`` meets: ``<x`` before ``=x`` at one bound, default last.
+
+    A version meets ``=x`` only at its own bound, which comes before every ``<x`` above
+    it; of those the smallest bound counts.
+    """
+    one = lambda op: rules.where(F.col("op") == op)
+    exact = one("=").groupBy(*key, F.col("bound").alias("version")).agg(F.min("reference").alias("_exact"))
+    default = one("default").groupBy(*key).agg(F.min_by("reference", F.struct("bound", "reference")).alias("_default"))
+    asked = datasets.select(*key, "version").distinct()
+    below = one("<").groupBy(*key, F.col("bound").alias("version")).agg(F.min("reference").alias("_r"))
+    both = asked.withColumn("_asked", F.lit(True)).unionByName(below.withColumn("_asked", F.lit(False)), allowMissingColumns=True)
+    # Backward through the versions of a key, each asked one before the bounds that equal it: the last bound passed is the smallest above.
+    line = W.partitionBy(*key).orderBy(F.desc("version"), F.desc("_asked")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    above = both.withColumn("_above", F.last("_r", True).over(line)).where("_asked").select(*key, "version", "_above")
+    answers = above.join(exact, [*key, "version"], "left").join(default, key, "left")
+    answers = answers.select(*key, "version", F.coalesce("_exact", "_above", "_default").alias("reference"))
+    return datasets.join(answers, [*key, "version"], "left").withColumn("reference", F.coalesce("reference", F.lit(NOT_FOUND)))
 
 
 def nested_select(datasets: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
-    """Nearest number, then closest time, then version: each level narrows the rows of the one before."""
-    level = _per_key(rules, key, F.col("number").cast("float").alias("number"), F.col("time"), F.col("version"), F.col("reference"))
-    both = datasets.join(_small(level), key, "left")
-    near = F.array_min(F.transform("choices", lambda c: F.struct(F.abs(c["number"] - F.col("value").cast("float")).alias("d"), c["number"].alias("n"))))
-    both = both.withColumn("near", near["n"]).withColumn("choices", F.filter("choices", lambda c: c["number"] == F.col("near")))
-    close = F.array_min(F.transform("choices", lambda c: F.struct(F.abs(F.unix_micros(c["time"].cast("timestamp")).cast("double") - F.unix_micros(F.col("exptime").cast("timestamp")).cast("double")).cast("float").alias("d"), c["time"].alias("t"))))
-    both = both.withColumn("close", close["t"]).withColumn("choices", F.filter("choices", lambda c: c["time"] == F.col("close")))
-    last = F.array_max(F.transform(F.filter("choices", lambda c: c["version"] <= F.col("version")), lambda c: F.struct(c["version"].alias("v"), c["reference"].alias("reference"))))
-    return both.withColumn("reference", F.coalesce(last["reference"], F.lit(NOT_FOUND))).drop("choices", "near", "close")
+    """Nearest number, then closest time, then version: each level narrows the rows of the one before.
+
+    Every level is an as-of join whose key holds the choices of the levels before.
+    """
+    own = rules.withColumn("number", F.col("number").cast("float")).withColumn("_n", F.col("number")).withColumn("_t", F.col("time"))
+    near = _nearest(datasets, own, key, "value", "number", _size, ["_n"])
+    close = _nearest(near, own, [*key, "_n"], "exptime", "time", _seconds, ["_t"])
+    return version_after(close, own, [*key, "_n", "_t"]).drop("_n", "_t")
 
 
 def lookup_outcome(primary: Column, fallback: Column | None = None, relevant: Column | None = None, omitted: Column | None = None, required: Column | None = None, exempt: Column | None = None) -> Column:
