@@ -96,7 +96,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     write_archives(resolve_revisits(pages, "page_id", "html"), path, "page_id", "url", "html")
-    back = with_originals(read_archives(spark, path))
+    back = with_originals(stored(read_archives(spark, path).drop("payload"), "headers"))
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     return back.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
 

@@ -1,10 +1,12 @@
 """WARC archives: revisit resolution, writing and reading.
 
-Headers (digest, length, id) are shuffled by payload digest; payloads are not.
-Of the captures with one payload the smallest id is the response, the others are
-written as revisits of it.  Archives are written by Spark's text writer, whose line
-separator is the blank lines that end a WARC record, so any store that Spark
-writes to will do and a lost task is written again.
+Headers (digest, id) are shuffled by payload digest.  Of the captures with one
+payload the smallest id is the response, the others are written as revisits of it.
+Payloads stay where they are while the digests that occur twice are few enough to be
+broadcast, which is counted; with more of them the join shuffles the rows.  Archives
+are written by Spark's text writer, whose line separator is the blank lines that end a
+WARC record, so any store that Spark writes to will do and a lost task is written
+again.  A file is one gzip member; files of one member per record are read as well.
 """
 
 from __future__ import annotations
@@ -15,10 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Shorter payloads are always written whole.
 SHORTEST = 100
-#: Records in an archive at most.
-RECORDS = 4_000
+#: Records in an archive at most, and bytes of payloads in one, about.
+RECORDS, BYTES = 20_000, 64 << 20
+#: Digests that may be broadcast: 40 bytes each, so some 10 MB.
+BROADCAST_DIGESTS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = "record_id string, record_type string, target string, written_at string, digest string, refers_to string, payload_bytes long, payload_digest string, payload string"
 
@@ -26,17 +32,22 @@ READ = "record_id string, record_type string, target string, written_at string,
 def resolve_revisits(captures: DataFrame, ident: str, payload: str, shortest: int = SHORTEST) -> DataFrame:
     """``captures`` with payload_digest, payload_bytes, record_type and refers_to.
 
-    A null payload is empty.  Only digests that occur twice or more are joined back.
-    Payloads under ``shortest`` bytes are all responses.  If all ids of a payload
-    are null, its captures are responses.  Two rows with the same smallest id are
-    both responses.
+    A null payload is empty.  Payloads under ``shortest`` bytes are all responses.  If
+    all ids of a payload are null, its captures are responses.  Two rows with the same
+    smallest id are both responses.  Columns named like a result are replaced; an
+    empty table gives an empty result.
     """
+    captures = captures.drop("payload_digest", "payload_bytes", "record_type", "refers_to")
     body = F.coalesce(F.col(payload), F.lit(""))
-    rows = captures.withColumn("payload_digest", F.sha2(body, 256)).withColumn("payload_bytes", F.octet_length(body).cast("long"))
-    first = rows.where(F.col("payload_bytes") >= shortest).groupBy(F.col("payload_digest").alias("d")).agg(F.count("*").alias("n"), F.min(ident).alias("first")).where("n > 1 and first is not null")
-    rows = rows.join(first.select("d", "first"), rows["payload_digest"] == first["d"], "left").drop("d")
-    again = F.col("first").isNotNull() & ~F.col(ident).eqNullSafe(F.col("first"))
-    return rows.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first"))).drop("first")
+    size = F.octet_length(body).cast("long")
+    headers = captures.select(F.unhex(F.sha2(body, 256)).alias("_d"), F.col(ident).alias("_first"), size.alias("_n"))
+    again = headers.where(F.col("_n") >= shortest).groupBy("_d").agg(F.count("*").alias("_n"), F.min("_first").alias("_first")).where("_n > 1 and _first is not null")
+    again = stored(again.select("_d", "_first"), "digests")
+    side = F.broadcast(again) if again.count() <= BROADCAST_DIGESTS else again
+    rows = captures.withColumn("payload_digest", F.sha2(body, 256)).withColumn("payload_bytes", size)
+    rows = rows.join(side, (F.unhex("payload_digest") == side["_d"]) & (F.col("payload_bytes") >= shortest), "left")
+    later = F.col("_first").isNotNull() & ~F.col(ident).eqNullSafe(F.col("_first"))
+    return rows.withColumn("record_type", F.when(later, "revisit").otherwise("response")).withColumn("refers_to", F.when(later, F.col("_first"))).drop("_d", "_first")
 
 
 def _one_line(c: Column) -> Column:
@@ -47,7 +58,10 @@ def write_archives(records: DataFrame, path: str, ident: str, target: str, paylo
     """Write resolved captures as gzipped WARC 1.1 files with fresh headers.
 
     A response holds the HTTP head and the payload, a revisit the HTTP head alone.
+    Files hold as many records as come to ``BYTES`` on average.
     """
+    mean = records.agg(F.avg("payload_bytes")).first()[0] or 0
+    most = int(max(1, min(RECORDS, BYTES // (mean + 600))))
     body = F.coalesce(F.col(payload), F.lit(""))
     end = "\r\n"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{end}Content-Type: text/html; charset=utf-8{end}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(end * 2))
@@ -68,11 +82,11 @@ def write_archives(records: DataFrame, path: str, ident: str, target: str, paylo
         F.octet_length(block).cast("string"),
         F.lit(end * 2),
     )
-    records.select(F.concat(head, block).alias("value")).write.option("lineSep", end * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    records.select(F.concat(head, block).alias("value")).write.option("lineSep", end * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def _records(stream: Iterator[bytes]) -> Iterator[tuple[dict, bytes]]:
-    """Header fields and block of each record of an archive's bytes."""
+    """Header fields, their names in lower case, and block of each record of an archive's bytes."""
     held, more = bytearray(), True
 
     def fill(n: int) -> bool:
@@ -88,9 +102,10 @@ def _records(stream: Iterator[bytes]) -> Iterator[tuple[dict, bytes]]:
             pass
         if at < 0:
             raise ValueError("an archive ends inside a header")
-        lines = held[:at].decode("utf-8").split("\r\n")
-        fields = dict(x.split(": ", 1) for x in lines[1:])
-        n = int(fields["Content-Length"])
+        lines = held[:at].decode("utf-8", "replace").split("\r\n")
+        pairs = (x.partition(":") for x in lines[1:])
+        fields = {k.strip().lower(): v.strip() for k, _, v in pairs}
+        n = int(fields["content-length"])
         if not lines[0].startswith("WARC/") or not fill(at + 8 + n) or held[at + 4 + n : at + 8 + n] != b"\r\n\r\n":
             raise ValueError("an archive holds a broken record")
         yield fields, bytes(held[at + 4 : at + 4 + n])
@@ -101,8 +116,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the archives under ``path``, in the columns of ``READ``.
 
     payload_bytes and payload_digest are those of the payload that the record
-    holds, and null for a revisit, which holds none.  Files are unpacked as streams;
-    a broken record is an error.
+    holds, and null for a revisit, which holds none.  Files are unpacked as streams,
+    member by member; a broken record is an error.  Bytes of a payload that are no
+    UTF-8 become the replacement character in ``payload``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +128,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         def unpacked(raw: bytes) -> Iterator[bytes]:
             z, rest = zlib.decompressobj(31), memoryview(raw)
             for at in range(0, len(rest), 1 << 16):
-                yield z.decompress(rest[at : at + (1 << 16)])
+                part = rest[at : at + (1 << 16)]
+                while len(part):
+                    yield z.decompress(part)
+                    part = z.unused_data
+                    if z.eof:  # what follows is the next member
+                        z = zlib.decompressobj(31)
             yield z.flush()
 
         names = [x.split()[0] for x in READ.split(", ")]
@@ -125,9 +146,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for k in range(batch.num_rows):
                 rows, held = [], 0
                 for fields, block in _records(unpacked(batch.column(0)[k].as_py())):
-                    payload = block[block.index(b"\r\n\r\n") + 4 :] if fields["WARC-Type"] == "response" else None
-                    own = (None, None, None) if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), payload.decode("utf-8"))
-                    rows.append((fields["WARC-Record-ID"], fields["WARC-Type"], fields.get("WARC-Target-URI"), fields["WARC-Date"], fields["WARC-Payload-Digest"].removeprefix("sha256:"), fields.get("WARC-Refers-To"), *own))
+                    payload = block[block.index(b"\r\n\r\n") + 4 :] if fields["warc-type"] == "response" else None
+                    own = (None, None, None) if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), payload.decode("utf-8", "replace"))
+                    rows.append((fields["warc-record-id"], fields["warc-type"], fields.get("warc-target-uri"), fields["warc-date"], fields.get("warc-payload-digest", "").removeprefix("sha256:"), fields.get("warc-refers-to"), *own))
                     held += len(block)
                     if held > 1 << 22:
                         yield batch_of(rows)
