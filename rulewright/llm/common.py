@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word: a longest run of anything but these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,6 +42,28 @@ def dropped(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key is hot if it has more than this part of all rows: there are fewer than its inverse of them.
+HOT = 1 / 2000
+
+
+def hot_keys(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Keys of more than ``HOT`` of all rows, so fewer than 2,000 of them; counts combine before the shuffle."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max(1.0, total * HOT)).drop("_n")
+
+
+def join_with_hot(rows: DataFrame, side: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner", most: int = 200_000) -> DataFrame:
+    """``rows`` joined with ``side`` on ``keys``; rows of hot keys meet a broadcast copy of the side's rows and are not moved.
+
+    ``hot`` comes from ``hot_keys`` and is stored.  If the side has more than ``most``
+    rows of hot keys, its part is not broadcast but shuffled.
+    """
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    part = side.join(F.broadcast(hot), keys, "left_semi")
+    part = F.broadcast(part) if part.limit(most + 1).count() <= most else part
+    away = marked.where("_hot").drop("_hot").join(part, keys, how)
+    return away.unionByName(marked.where("_hot is null").drop("_hot").join(side, keys, how))
+
+
 # --- hashing -----------------------------------------------------------------
 
 _U = np.uint64

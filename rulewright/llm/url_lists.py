@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import HOT, hot_keys, join_with_hot, stored
+
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
 PART = r"^[a-z][a-z0-9+.-]*://[^/?#]*(/[^/?#]+)"
 
@@ -48,16 +50,23 @@ def judge_captures(captures: DataFrame, intervals: DataFrame, url: str = "url",
     """``captures`` with verdict, list_key, valid_from and valid_to of the entry that decides.
 
     The longest key valid at the time of the fetch decides; a key has one valid
-    entry at any time, so no group is multiplied.  Without a valid entry, without a
+    entry at any time, so no group is multiplied.  Captures of a host that many have
+    meet a broadcast copy of that host's entries.  Without a valid entry, without a
     host or without a time the verdict is ``unlisted``.  Each distinct (url, time) is
     judged once and joined back, so repeated rows stay repeated.  Columns named
     like a result are replaced.
     """
     rows = captures.drop("verdict", "list_key", "valid_from", "valid_to")
-    asked = rows.select(F.col(url).alias("u"), F.col(fetched_at).alias("t")).where("u is not null and t is not null").distinct()
-    keys = asked.withColumn("k", F.explode(list_keys(F.col("u"))))
-    valid = (keys["k"] == intervals["key"]) & (keys["t"] >= intervals["valid_from"]) & (intervals["valid_to"].isNull() | (keys["t"] < intervals["valid_to"]))
+    kept = rows.columns
+    rows = rows.select(F.struct(*kept).alias("_row"), F.col(url).alias("u"), F.col(fetched_at).alias("t"))
+    asked = rows.where("u is not null and t is not null").groupBy("u", "t").agg(F.count("*").alias("_times"))
+    keys = stored(asked.withColumn("key", F.explode_outer(list_keys(F.col("u")))), "keys")
+    size = keys.agg(F.count("*").alias("n"), F.sum("_times").alias("rows")).first()
+    hot = stored(hot_keys(keys.where("key is not null").select("key"), ["key"], size.n), "hot")
+    times = keys.select("u", "t", "_times").where(F.col("_times") > max(1.0, (size.rows or 0) * HOT)).distinct()
+    both = join_with_hot(keys.where("key is not null").select("key", "u", "t"), intervals, ["key"], hot)
+    both = both.where((F.col("t") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("t") < F.col("valid_to"))))
     entry = F.struct(F.length("key").alias("n"), F.col("key").alias("list_key"), F.col("action").alias("verdict"), "valid_from", "valid_to")
-    best = keys.join(intervals, valid).groupBy("u", "t").agg(F.max(entry).alias("e")).select("u", "t", "e.verdict", "e.list_key", "e.valid_from", "e.valid_to")
-    out = rows.join(best, (rows[url] == best["u"]) & (rows[fetched_at] == best["t"]), "left").drop("u", "t")
-    return out.withColumn("verdict", F.coalesce("verdict", F.lit("unlisted")))
+    best = stored(both.groupBy("u", "t").agg(F.max(entry).alias("e")).select("u", "t", "e.verdict", "e.list_key", "e.valid_from", "e.valid_to"), "judged")
+    out = join_with_hot(rows, best, ["u", "t"], stored(times.select("u", "t"), "hot"), "left")
+    return out.select(*(F.col("_row").getField(c).alias(c) for c in kept), F.coalesce("verdict", F.lit("unlisted")).alias("verdict"), "list_key", "valid_from", "valid_to")
