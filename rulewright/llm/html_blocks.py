@@ -24,9 +24,13 @@ from pyspark.sql import functions as F
 from .common import word_hashes
 
 #: Pages whose words the training pages are made of, at most: those with the smallest hashes of their ids.
-SAMPLE = 200
-PATH, WORDS, COUNTS = 384, 32, 10
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+SAMPLE, SAMPLE_WORDS = 200, 20_000
+#: Blocks whose vectors are made together, and characters of pages labelled together.
+TOGETHER, SLICE = 4_096, 2 << 20
+PATH, WORDS, COUNTS = 384, 32, 12
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Elements whose content is no text of the page: in the first no tag but their end tag counts, the others hold elements.
@@ -35,6 +39,8 @@ _HIDDEN = {"noscript", "template", "object", "svg", "math", "select", "audio", "
 #: Start tags that can stand in a head; any other ends it.
 _HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "template", "noframes", "object"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
+#: Elements deeper than this are not told apart, characters of a tag that names are sought in, and elements of a path that are looked at.
+DEEPEST, ATTRS, OUTER, INNER = 200, 16_384, 16, 32
 #: Elements that end the block before them.
 _BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul label".split())
 #: What a start tag ends, if it is open within the same container.
@@ -42,30 +48,112 @@ _ENDS = {"p": _BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 _WALLS = {"table", "ul", "ol", "div", "article", "section", "td", "th", "body", "form", "nav", "aside", "main", "dl", "blockquote", "header", "footer"}
 
 
+class _Tokens:
+    """The tags of a page from left to right, each part of the page read once or twice whatever it holds."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.open_end = False  # no further tag has an end
+        self.lenient = False  # quotes no longer hide the end of a tag
+        self.gone: set[str] = set()  # quotes that do not come again
+
+    def end_of_tag(self, at: int) -> int:
+        """Place behind the tag that goes on at ``at``, -1 if it has no end."""
+        page, first = self.page, -1
+        k = at
+        while not self.lenient:
+            m = _STOP.search(page, k)
+            if m is None:
+                break
+            k = m.end()
+            if m[0] == ">":
+                return k
+            close = -1 if m[0] in self.gone else page.find(m[0], k)
+            if close < 0:
+                self.gone.add(m[0])
+            else:
+                k = close + 1
+        else:
+            first = page.find(">", at)
+            return first + 1 if first >= 0 else -1
+        # Read to the end of the page for nothing: that happens once.
+        self.lenient = True
+        first = page.find(">", at)
+        return first + 1 if first >= 0 else -1
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str, str] | None:
+        """Start, end, kind (tag, cdata, other), whether it is an end tag, name and attributes of what comes next."""
+        page = self.page
+        while not self.open_end:
+            start = page.find("<", at)
+            if start < 0:
+                return None
+            mark = page[start + 1 : start + 2]
+            if mark in ("!", "?"):
+                m = _COMMENT.match(page, start)
+                if m:
+                    return start, m.end(), "cdata" if m[0].startswith("<![CDATA[") else "other", False, "", m[0][9:-3]
+                end = page.find(">", start)
+                if end < 0:
+                    self.open_end = True
+                    return None
+                return start, end + 1, "other", False, "", ""
+            m = _TAG.match(page, start)
+            if m:
+                end = self.end_of_tag(m.end())
+                if end < 0:
+                    self.open_end = True
+                    return None
+                return start, end, "tag", bool(m[1]), m[2].lower(), page[m.end() : end - 1]
+            at = start + 1
+        return None
+
+
 def blocks(page: str) -> Iterator[tuple[tuple, str, int]]:
     """The page's leaf blocks in order: tag path, text with single spaces, letters inside links.
 
     Character references are decoded; comments, declarations, scripts, styles and
     other unseen content are left out.  Unclosed and stray tags are tolerated; an
     unseen element without any end tag after it hides nothing, except one of raw text.
+    Time and memory are in proportion to the page's length, whatever it holds; of a
+    deep path the outermost and innermost elements are handed on.
     """
     stack: list[tuple[str, tuple]] = []
+    open_names: dict[str, int] = {}
+    skipped: dict[str, int] = {}
     text: list[str] = []
-    linked, at, n, head = 0, 0, len(page), False
-    unended: set[str] = set()
-
-    def hidden() -> int:
-        """Place of the outermost unseen element on the stack, or -1."""
-        return next((k for k, x in enumerate(stack) if x[0] in _HIDDEN), -1)
+    linked, at, n, head, inside = 0, 0, len(page), False, -1
+    tokens, end_places = _Tokens(page), {}
+
+    def push(name: str, names: tuple) -> None:
+        nonlocal inside
+        if len(stack) >= DEEPEST:
+            skipped[name] = skipped.get(name, 0) + 1
+            return
+        if inside < 0 and name in _HIDDEN:
+            inside = len(stack)
+        stack.append((name, names))
+        open_names[name] = open_names.get(name, 0) + 1
+
+    def pop_to(k: int) -> None:
+        nonlocal inside
+        for name, _ in stack[k:]:
+            open_names[name] -= 1
+        del stack[k:]
+        skipped.clear()
+        if inside >= k:
+            inside = -1
 
     def ended(name: str) -> bool:
-        if name not in unended and not re.compile(rf"</{name}\s*>", re.I).search(page, at):
-            unended.add(name)
-        return name not in unended
+        """Whether an end tag of an unseen element is still to come."""
+        if end_places.get(name, 0) is not None and end_places.get(name, -1) < at:
+            m = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            end_places[name] = m.start() if m else None
+        return end_places[name] is not None
 
     def words(attrs: str) -> tuple:
         out: list = []
-        for m in _ATTR.finditer(attrs):
+        for m in _ATTR.finditer(attrs[:ATTRS]):
             value = m[2] or m[3] or m[4] or ""
             name = m[1].lower()
             if name in ("class", "id", "role"):
@@ -82,73 +170,79 @@ def blocks(page: str) -> Iterator[tuple[tuple, str, int]]:
         text.clear()
         linked = 0
         if whole and not head:
-            return tuple(stack), whole, letters
+            path = stack if len(stack) <= OUTER + INNER else stack[:OUTER] + stack[-INNER:]
+            return tuple(path), whole, letters
         return None
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw and hidden() < 0:
+        if raw and inside < 0:
             raw = entities.unescape(raw) if "&" in raw else raw
             text.append(raw)
-            if any(x[0] == "a" for x in stack):
+            if open_names.get("a"):
                 linked += len(raw.strip())
 
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        token = tokens.next(at)
+        if token is None:
             add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:-3])
+        start, end, kind, closing, name, attrs = token
+        add(page[at:start])
+        at = end
+        if kind != "tag":
+            if kind == "cdata":
+                add(attrs)
             continue
-        name = name.lower()
-        if m[1]:
+        if closing:
+            if skipped.get(name):
+                skipped[name] -= 1
+                if inside < 0 and name in _BLOCK and (block := take()):
+                    yield block
+                continue
             found = -1
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    found = k
-                    break
-                if stack[k][0] in _WALLS and name not in _WALLS and name not in _HIDDEN:
-                    break
-            inside = hidden()
+            if open_names.get(name):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == name:
+                        found = k
+                        break
+                    if stack[k][0] in _WALLS and name not in _WALLS and name not in _HIDDEN:
+                        break
             if 0 <= found < inside:
-                del stack[inside:]
-                inside = -1
+                pop_to(inside)
             if inside < 0 and name in _BLOCK and (block := take()):
                 yield block
             if found >= 0:
-                del stack[found:]
+                pop_to(found)
             if name == "head":
                 head = False
             continue
-        inside = hidden()
         if head and inside < 0 and name not in _HEAD:
             head = False
-            stack[:] = [x for x in stack if x[0] != "head"]
+            kept = [x for x in stack if x[0] != "head"]
+            pop_to(0)
+            for x in kept:
+                push(*x)
         if inside < 0 and name in _BLOCK:
             if block := take():
                 yield block
             for k in range(len(stack) - 1, -1, -1):
                 if name in _ENDS.get(stack[k][0], ()):
-                    del stack[k:]
+                    pop_to(k)
                     break
                 if stack[k][0] in _WALLS:
                     break
             if name == "head":
                 head = True
         if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            at = close.end() if close else n
         elif name == "br":
             text.append(" ")
-        elif name in _HIDDEN and (name in ("svg", "math") and m[3].endswith("/") or not ended(name)):
+        elif name in _HIDDEN and (name in ("svg", "math") and attrs.endswith("/") or not ended(name)):
             pass
-        elif name not in _VOID and (name in _HIDDEN - {"svg", "math"} or not m[3].endswith("/")):
-            stack.append((name, words(m[3])))
+        elif name not in _VOID and (name in _HIDDEN - {"svg", "math"} or not attrs.endswith("/")):
+            push(name, words(attrs))
     if block := take():
         yield block
 
@@ -172,8 +266,14 @@ def path_slots(path: tuple) -> tuple:
     return tuple(out)
 
 
-def vectors(found: list[tuple[tuple, str, int]], known: dict) -> np.ndarray:
-    """One row for each block: path slots, hashed words and counts."""
+def beside(found: list[tuple[tuple, str, int]]) -> np.ndarray:
+    """For each block of a page: whether the block before it, and the one after it, has the same path."""
+    same = np.array([False, *(a[0] == b[0] for a, b in zip(found, found[1:])), False], bool)
+    return np.stack([same[: len(found)], same[1 : len(found) + 1]], 1)
+
+
+def vectors(found: list[tuple[tuple, str, int]], known: dict, near: np.ndarray | None = None) -> np.ndarray:
+    """One row for each block: path slots, hashed words and counts; ``near`` is given where blocks are not one whole page."""
     n = len(found)
     x = np.zeros((n, PATH + WORDS + COUNTS), np.float32)
     for k, (path, _, _) in enumerate(found):
@@ -201,6 +301,7 @@ def vectors(found: list[tuple[tuple, str, int]], known: dict) -> np.ndarray:
     c[:, 7] = [len(b[0]) / 10 for b in found]
     c[:, 8] = length < 25
     c[:, 9] = length > 200
+    c[:, 10:12] = beside(found) if near is None else near
     return x
 
 
@@ -222,10 +323,14 @@ class BlockLabeller:
             self.p |= {f"x{way}": rng.normal(0, 0.1, (d, 4 * hidden)), f"h{way}": rng.normal(0, 1 / np.sqrt(hidden), (hidden, 4 * hidden)), f"b{way}": np.concatenate([np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)])}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, way: str, keep: list | None = None) -> np.ndarray:
-        n, length, _ = x.shape
+    def project(self, x: np.ndarray) -> np.ndarray:
+        """What both directions take in of each block, side by side: far narrower than the block's vector."""
+        return np.concatenate([x @ self.p[f"x{w}"] + self.p[f"b{w}"] for w in "fb"], -1)
+
+    def _run(self, z: np.ndarray, mask: np.ndarray, way: str, keep: list | None = None) -> np.ndarray:
+        n, length, _ = z.shape
         h = c = np.zeros((n, self.hidden), np.float32)
-        z = x @ self.p[f"x{way}"] + self.p[f"b{way}"]
+        z = z[:, :, : 4 * self.hidden] if way == "f" else z[:, :, 4 * self.hidden :]
         out = np.zeros((n, length, self.hidden), np.float32)
         for t in range(length) if way == "f" else range(length - 1, -1, -1):
             i, f, o, g = np.split(z[:, t] + h @ self.p[f"h{way}"], 4, 1)
@@ -239,13 +344,14 @@ class BlockLabeller:
             out[:, t] = h
         return out
 
-    def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(x, mask, "f"), self._run(x, mask, "b")], 2)
+    def logits(self, z: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        both = np.concatenate([self._run(z, mask, "f"), self._run(z, mask, "b")], 2)
         return (both @ self.p["out"] + self.p["bias"])[:, :, 0]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict, float]:
         kept = {"f": [], "b": []}
-        both = np.concatenate([self._run(x, mask, w, kept[w]) for w in "fb"], 2)
+        taken = self.project(x)
+        both = np.concatenate([self._run(taken, mask, w, kept[w]) for w in "fb"], 2)
         z = (both @ self.p["out"] + self.p["bias"])[:, :, 0]
         total = mask.sum()
         chance = _sigmoid(z)
@@ -289,24 +395,37 @@ class BlockLabeller:
         return loss
 
     def labels(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Whether each block of each page is main text; pages of like length are run together."""
+        """Whether each block of each page, given as vectors, is main text."""
+        return self._labels([self.project(x) for x in pages])
+
+    def label_pages(self, pages: list[list], known: dict) -> list[np.ndarray]:
+        """The same for pages given as blocks; vectors are made ``TOGETHER`` at a time and held only as long."""
+        ends = np.cumsum([0, *map(len, pages)])
+        flat = [b for page in pages for b in page]
+        near = np.concatenate([beside(page) for page in pages]) if flat else np.zeros((0, 2))
+        taken = [self.project(vectors(flat[at : at + TOGETHER], known, near[at : at + TOGETHER])) for at in range(0, len(flat), TOGETHER)]
+        taken = np.concatenate(taken) if taken else np.zeros((0, 8 * self.hidden), np.float32)
+        return self._labels([taken[a:b] for a, b in zip(ends, ends[1:])])
+
+    def _labels(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+        """Pages of like length are run together."""
         out: list = [None] * len(pages)
         order = sorted(range(len(pages)), key=lambda k: len(pages[k]))
         at = 0
         while at < len(order):
             most = max(1, min(64, 40_000 // max(1, len(pages[order[min(at + 63, len(order) - 1)]]))))
             chosen = order[at : at + most]
-            x, mask, _ = padded([(pages[k], np.zeros(len(pages[k]))) for k in chosen])
-            z = self.logits(x, mask)
+            z, mask, _ = padded([(pages[k], np.zeros(len(pages[k]))) for k in chosen], 8 * self.hidden)
+            z = self.logits(z, mask)
             for row, k in enumerate(chosen):
                 out[k] = z[row, : len(pages[k])] > 0
             at += most
         return out
 
 
-def padded(pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def padded(pages: list[tuple[np.ndarray, np.ndarray]], wide: int = PATH + WORDS + COUNTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, length = len(pages), max(1, max(len(x) for x, _ in pages))
-    x, mask, y = np.zeros((n, length, PATH + WORDS + COUNTS), np.float32), np.zeros((n, length), np.float32), np.zeros((n, length), np.float32)
+    x, mask, y = np.zeros((n, length, wide), np.float32), np.zeros((n, length), np.float32), np.zeros((n, length), np.float32)
     for k, (v, label) in enumerate(pages):
         x[k, : len(v)], mask[k, : len(v)], y[k, : len(v)] = v, 1, label
     return x, mask, y
@@ -406,7 +525,7 @@ def training_page(rng: np.random.Generator, words: list[str]) -> tuple[str, set]
     def paragraph() -> str:
         kind = rng.random()
         if kind < 0.72:
-            text = body(2, 120, True)
+            text = body(1, 6, True) if chance(0.15) else body(2, 120, True)
             return pick([f"<p>{text}</p>"] * 5 + [f"<p>{text}", f"<div>{text}</div>", f"<p><b>{text}<br>"])
         if kind < 0.82:
             return f"<h{(level := int(rng.integers(2, 5)))}>{body(1, 8, True)}</h{level}>"
@@ -425,6 +544,8 @@ def training_page(rng: np.random.Generator, words: list[str]) -> tuple[str, set]
             inner += [inner[-1]] * int(rng.integers(1, 25))
         if chance(0.08):
             inner.append(extra(pick(["ad", "notice", "side", "form"])))
+    if chance(0.25):  # a last paragraph of a few words
+        inner.append(f"<p>{body(1, 5, True)}</p>")
     if chance(0.15):
         inner.append(extra(pick(["side", "comments", "nav"])))
     top = [extra(p) for p in ("notice", "header", "nav", "ad", "form", "side") if chance(0.4)]
@@ -450,16 +571,35 @@ def fitted_labeller(words: list[str], pages: int = 800, seed: int = 6) -> BlockL
     return out
 
 
-def sample_words(pages: DataFrame, ident: str, html: str, bound: int = SAMPLE) -> list[str]:
-    """Words of at most ``bound`` pages, those with the smallest hashes of their ids."""
+def sample_words(pages: DataFrame, ident: str, html: str, bound: int = SAMPLE, most: int = SAMPLE_WORDS) -> list[str]:
+    """At most ``most`` words of at most ``bound`` pages, those with the smallest hashes; longer words than 40 letters are left out.
+
+    The pages are read where they lie; only words come to the driver.
+    """
     chosen = pages.where(F.col(html).isNotNull() & F.col(ident).isNotNull()).select(ident).distinct().orderBy(F.xxhash64(ident), ident).limit(bound)
-    # Only ids go through the sort; then at most one page of each.
-    rows = pages.join(F.broadcast(chosen), ident, "left_semi").groupBy(ident).agg(F.min(html).alias("html")).collect()
-    words: set = set()
-    for r in rows:
-        for _, text, _ in blocks(r.html or ""):
-            words.update(text.split())
-    return sorted(words)[: 50_000]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = {w for _, text, _ in blocks(batch.column(0)[k].as_py()) for w in text.split() if len(w) <= 40}
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
+
+    words = pages.join(F.broadcast(chosen), ident, "left_semi").where(F.col(html).isNotNull()).select(html).mapInArrow(run, "word string").distinct()
+    return sorted(r.word for r in words.orderBy(F.xxhash64("word"), "word").limit(most).collect())
+
+
+def _slices(column: pa.Array) -> Iterator[list[list]]:
+    """Blocks of pages, some megabytes of them at a time."""
+    found, held = [], 0
+    for k in range(len(column)):
+        page = column[k].as_py() or ""
+        found.append(list(blocks(page)))
+        held += len(page)
+        if held > SLICE or len(found) == 256:
+            yield found
+            found, held = [], 0
+    if found:
+        yield found
 
 
 def extract_main_text(pages: DataFrame, ident: str = "page_id", html: str = "html", out: str = "text") -> DataFrame:
@@ -476,11 +616,8 @@ def extract_main_text(pages: DataFrame, ident: str = "page_id", html: str = "htm
         known: dict = {}
         for column in columns:
             texts: list = []
-            for at in range(0, len(column), 256):
-                found = [list(blocks(x or "")) for x in column[at : at + 256].to_pylist()]
-                flat = vectors([b for page in found for b in page], known)
-                ends = np.cumsum([0, *map(len, found)])
-                labels = labeller.labels([flat[a:b] for a, b in zip(ends, ends[1:])])
+            for found in _slices(column):
+                labels = labeller.label_pages(found, known)
                 texts += ["\n".join(b[1] for b, keep in zip(page, label) if keep) for page, label in zip(found, labels)]
             yield pa.array(texts, pa.string())
 
