@@ -7,8 +7,10 @@ with the weights that context-tree weighting gives them after the training texts
 
 * Counting: tasks add up distinct 5-byte strings (and words) before the shuffle.
 * The tree: strings are grouped by the two bytes before the last one, which makes
-  each group a whole subtree of at most 2 ** 24 strings.  What lies above, at most
-  256 x 255 decisions, is summed in Spark and finished on the driver.
+  each group a whole subtree of at most 2 ** 24 strings, however large the corpus.
+  The eight decisions of a byte are trees of their own and are worked off one by one.
+  What lies above, at most 256 x 255 decisions, is summed in Spark and finished on
+  the driver.
 * Scoring: texts are dealt into chunks of bounded bytes; each chunk asks once for
   each distinct string and word in it, and the answers meet its texts in one
   grouped join.  No table of counts is broadcast.
@@ -152,11 +154,11 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Subtree:
-    """Depths 2 to DEPTH below one pair of context bytes: counts, block and weighted probabilities of each decision."""
+    """Depths 2 to DEPTH below one pair of context bytes: counts, block and weighted probabilities of some decisions of a byte."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, decisions: range = range(8)) -> None:
         last = keys & 255
-        steps = np.arange(8)[:, None]
+        steps = np.array(decisions)[:, None]
         self.node = (1 << steps) | (last[None, :] >> (8 - steps))
         self.bit = (last[None, :] >> (7 - steps)) & 1
         weight = np.broadcast_to(counts.astype(float), self.bit.shape)
@@ -188,11 +190,14 @@ class Subtree:
 
 def _pair_sums(table: pa.Table) -> pa.Table:
     keys, counts = (table.column(c).to_numpy() for c in ("key", "n"))
-    tree = Subtree(keys, counts)
-    node = np.empty(len(tree.weighted[2]), np.int64)
-    node[tree.at[2].ravel()] = tree.node.ravel()
-    last = np.full(len(node), (keys[0] >> 8) & 255)
-    return pa.table({"last": last, "node": node, "zeros": tree.zeros[2], "ones": tree.ones[2], "weighted": tree.weighted[2]})
+    out = []
+    for k in range(8):
+        tree = Subtree(keys, counts, range(k, k + 1))
+        node = np.empty(len(tree.weighted[2]), np.int64)
+        node[tree.at[2].ravel()] = tree.node.ravel()
+        last = np.full(len(node), (keys[0] >> 8) & 255)
+        out.append(pa.table({"last": last, "node": node, "zeros": tree.zeros[2], "ones": tree.ones[2], "weighted": tree.weighted[2]}))
+    return pa.concat_tables(out)
 
 
 def _top(rows: list) -> dict:
@@ -215,16 +220,19 @@ def string_scores(counts: DataFrame) -> DataFrame:
     top = _top(sums.groupBy("last", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted"))).collect())
 
     def run(table: pa.Table) -> pa.Table:
-        keys = table.column("key").to_numpy()
-        tree = Subtree(keys, table.column("n").to_numpy())
-        p = tree.chance(DEPTH)
-        for d in range(DEPTH - 1, 1, -1):
-            w = tree.stop(d)
-            p = w * tree.chance(d) + (1 - w) * p
-        last = np.broadcast_to((keys >> 8) & 255, tree.node.shape)
-        for one, stop in ((top["one1"][last, tree.node], top["stop1"][last, tree.node]), (top["one0"][tree.node], top["stop0"][tree.node])):
-            p = stop * np.where(tree.bit == 1, one, 1 - one) + (1 - stop) * p
-        return pa.table({"key": keys, "value": np.log10(p).sum(0)})
+        keys, counts = table.column("key").to_numpy(), table.column("n").to_numpy()
+        value = np.zeros(len(keys))
+        for k in range(8):
+            tree = Subtree(keys, counts, range(k, k + 1))
+            p = tree.chance(DEPTH)
+            for d in range(DEPTH - 1, 1, -1):
+                w = tree.stop(d)
+                p = w * tree.chance(d) + (1 - w) * p
+            last = np.broadcast_to((keys >> 8) & 255, tree.node.shape)
+            for one, stop in ((top["one1"][last, tree.node], top["stop1"][last, tree.node]), (top["one0"][tree.node], top["stop0"][tree.node])):
+                p = stop * np.where(tree.bit == 1, one, 1 - one) + (1 - stop) * p
+            value += np.log10(p)[0]
+        return pa.table({"key": keys, "value": value})
 
     return pairs.groupBy("pair").applyInArrow(run, "key long, value double")
 
@@ -249,7 +257,8 @@ def score_documents(documents: DataFrame, folds: int = 7, fold: int = 2) -> Data
     dropped(counts)
 
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunk = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(-(-total // CHUNK) or 1)).cast("int")
+    # Rows without an id, or of one id, are still dealt by their texts.
+    chunk = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(-(-total // CHUNK) or 1)).cast("int")
     dealt = docs.withColumn("chunk", chunk)
 
     def asked(table: pa.Table) -> pa.Table:
