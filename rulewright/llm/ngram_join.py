@@ -32,10 +32,10 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, mix, stored, word_hashes
+from .common import HOT, dropped, join_with_hot, mix, stored, word_hashes
 from .graph import components
 
 _U = np.uint64
@@ -183,6 +183,24 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{c} long" for c in kept) + ", shingles array<long>")
 
 
+def shared_size(a: Column, b: Column) -> Column:
+    """How many elements two sorted arrays of distinct numbers share: one merge for each pair."""
+
+    @F.arrow_udf("long")
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = np.zeros(len(left), np.int64)
+        x, y = np.array(left.flatten()).view(np.uint64), np.array(right.flatten()).view(np.uint64)
+        i = np.concatenate([[0], np.cumsum(np.array(left.value_lengths(), np.int64))]).tolist()
+        j = np.concatenate([[0], np.cumsum(np.array(right.value_lengths(), np.int64))]).tolist()
+        for k in range(len(out)):
+            both = np.concatenate([x[i[k] : i[k + 1]], y[j[k] : j[k + 1]]])
+            both.sort(kind="stable")  # two sorted runs: a merge
+            out[k] = (both[1:] == both[:-1]).sum()
+        return pa.array(out)
+
+    return run(a, b)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, p: int, q: int) -> DataFrame:
     """Of candidate ``pairs(a, b, na, nb)``, those that link by exact intersection."""
     pairs = stored(pairs, "pairs")
@@ -192,7 +210,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, p: int, q: int) -> D
     centres = docs.join(few(pairs.select(F.col("a").alias("doc_id")).distinct()), "doc_id", "left_semi").select("doc_id", "text")
     sets = shingle_sets(centres, size).select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     both = shingle_sets(members, size).join(sets, "a")
-    shared = F.size(F.array_intersect("shingles", "sa")).cast("long")
+    shared = shared_size(F.col("shingles"), F.col("sa"))
     found = stored(both.select("a", "b", (shared * q >= (F.col("na") + F.col("nb") - shared) * p).alias("linked")).where("linked").select("a", "b"), "links")
     dropped(pairs)
     return found
@@ -210,7 +228,7 @@ def jaccard_classes(documents: DataFrame, size: int = 5, p: int = 80, q: int = 1
     """
     docs = documents.select("doc_id", "text")
     prof = stored(profiles(docs, size), "profiles")
-    classes = prof.where("n > 0").groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("rep"), *(F.min(b).alias(b) for b in BITMAP))
+    classes = stored(prof.where("n > 0").groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.min(b).alias(b) for b in BITMAP)), "classes")
 
     rows = key_rows(docs, size, p, q)
     spread = "PARTITION BY key"
@@ -230,18 +248,21 @@ def jaccard_classes(documents: DataFrame, size: int = 5, p: int = 80, q: int = 1
 
     best = stars.groupBy("member").agg(F.max_by(F.struct("a", "b", "na", "nb"), F.struct("votes", "a", "b")).alias("top")).select("top.*").distinct()
     links = _verified(best, docs, size, p, q)
-    found = stored(components(links), "comp")
+    found = components(links)
+    dropped(links)
 
     def labelled(df: DataFrame, column: str, label: str) -> DataFrame:
         named = found.select(F.col("node").alias(column), F.col("component").alias(label))
         return df.join(named, column, "left").withColumn(label, F.coalesce(label, column))
 
     def merged(links: DataFrame) -> DataFrame:
-        """Components after more links, found on the graph whose nodes are the components so far."""
-        joint = stored(components(labelled(labelled(links, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "joint")
+        """Components after more links, found on the graph whose nodes are the components so far; drops both inputs."""
+        joint = components(labelled(labelled(links, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         named = joint.select(F.col("node").alias("component"), F.col("component").alias("new"))
         old = found.join(named, "component", "left").select("node", F.coalesce("new", "component").alias("component"))
-        return stored(old.union(joint.join(found.select("node"), "node", "left_anti")), "comp")
+        out = stored(old.union(joint.join(found.select("node"), "node", "left_anti")), "comp")
+        dropped(joint, links, found)
+        return out
 
     rest = stars.select("a", "b", "na", "nb").distinct().join(best.select("a", "b"), ["a", "b"], "left_anti")
     rest = labelled(labelled(rest, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b", "na", "nb")
@@ -255,7 +276,7 @@ def jaccard_classes(documents: DataFrame, size: int = 5, p: int = 80, q: int = 1
 
     # Each open key's largest component names one member, another one in every round, that the
     # other components' members are compared with: two pairs' worth of rows for each member.
-    done = stars.select("a", "b")
+    done, turns = stars.select("a", "b"), []
     open_rows = open_members()
     for turn in range(ROUNDS):
         if open_rows.isEmpty():
@@ -265,9 +286,11 @@ def jaccard_classes(documents: DataFrame, size: int = 5, p: int = 80, q: int = 1
         pairs = open_rows.select("key", F.col("rep").alias("b"), F.col("c").alias("cb")).join(centres, "key").where("ca <> cb").select("a", "b").distinct()
         pairs = pairs.join(side("a").drop("fa"), "a").join(side("b").drop("fb"), "b").where(could).select(*ordered).distinct()
         pairs = stored(pairs.join(done, ["a", "b"], "left_anti"), "turn")
+        turns.append(pairs)
         links = _verified(pairs, docs, size, p, q)
         done = done.union(pairs.select("a", "b"))
         if links.isEmpty():
+            dropped(links)
             break
         found = merged(links)
         dropped(open_rows)
@@ -279,9 +302,14 @@ def jaccard_classes(documents: DataFrame, size: int = 5, p: int = 80, q: int = 1
     right = open_rows.select("key", F.col("rep").alias("b"), F.col("c").alias("cb")).join(side("b").drop("fb"), "b")
     cross = left.join(right, (left["key"] == right["key"]) & near).select(*ordered).distinct()
     cross = stored(cross.join(done, ["a", "b"], "left_anti"), "cross")
-    final = merged(_verified(cross, docs, size, p, q))
-    dropped(stars, open_rows, cross, shared, known)
-
-    named = classes.select("fa", "fb", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("fa", "fb", "n", F.coalesce("component", "rep").alias("class"))
-    return prof.select("doc_id", "n", "fa", "fb").join(named, ["fa", "fb", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"))
+    found = merged(_verified(cross, docs, size, p, q))
+    dropped(stars, open_rows, cross, shared, known, *turns)
+
+    named = classes.select("fa", "fb", "n", "rep", "copies").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.select("fa", "fb", "n", "copies", F.coalesce("component", "rep").alias("class"))
+    # A text that many documents have meets its class where the documents are.
+    hot = stored(named.where(F.col("copies") > max(1.0, prof.count() * HOT)).select("fa", "fb", "n"), "hot")
+    out = join_with_hot(prof.where("n > 0").select("doc_id", "n", "fa", "fb"), named.drop("copies"), ["fa", "fb", "n"], hot, "left")
+    empty = prof.where("n = 0").select("n", "doc_id", F.col("doc_id").alias("class"))
+    out = out.select("n", "doc_id", "class").union(empty)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"))
