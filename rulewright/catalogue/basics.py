@@ -137,14 +137,14 @@ def reference_to_dataset_header(supplier):
 
 @query("classify_name", "supplier", "SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'current' WHEN 1 THEN 'old' WHEN 2 THEN 'new' WHEN 3 THEN 'newcomponent' ELSE 'oldcomponent' END AS kind, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey ELSE -1 END AS serial FROM supplier")
 def classify_name(supplier):
-    name = F.expr("case s_suppkey % 5 when 0 then 'obs_ins_dark_' || lpad(s_suppkey, 5, '0') || '.fits' when 1 then 's7g1700gl_dead.fits' when 2 then '07g1700gl_dead.fits' when 3 then '16n1832tm_tmc.fits' else 'z6n1832tm_tmc.fits' end")
+    name = F.expr("case s_suppkey % 5 when 0 then 'obs_ins_dark_' || lpad(s_suppkey, 5, '0') || '.fits' when 1 then 'k' || lpad(s_suppkey, 8, '3') || '_sky.fits' when 2 then '4' || lpad(s_suppkey, 8, 'c') || '_sky.fits' when 3 then '2' || lpad(s_suppkey, 8, 'd') || '_syn.fits' else 'm' || lpad(s_suppkey, 8, 'e') || '_th.fits' end")
     return supplier.select("s_suppkey", N.classify_name(name).alias("kind"), N.serial_of(name).alias("serial"))
 
 
-@query("is_newer", "supplier", "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN s_suppkey > s_nationkey WHEN 1 THEN true WHEN 2 THEN false ELSE s_suppkey % 2 = 1 END AS newer FROM supplier")
+@query("is_newer", "supplier", "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN s_suppkey > s_nationkey WHEN 1 THEN true WHEN 2 THEN false ELSE true END AS newer FROM supplier")
 def is_newer(supplier):
-    a = F.expr("case s_suppkey % 4 when 0 then 'obs_ins_dark_' || lpad(s_suppkey, 6, '0') || '.fits' when 1 then 'obs_ins_dark_0001.asdf' when 2 then 's7g1700gl_dead.fits' else 'obs_ins_dark_0001.fits' end")
-    b = F.expr("case s_suppkey % 4 when 0 then 'obs_ins_dark_' || lpad(s_nationkey, 4, '0') || '.fits' when 1 then 'obs_ins_dark_0050.fits' when 2 then '07g1700gl_dead.fits' else 'N/A' end")
+    a = F.expr("case s_suppkey % 4 when 0 then 'obs_ins_dark_' || lpad(s_suppkey, 6, '0') || '.fits' when 1 then 'obs_ins_dark_0004.asdf' when 2 then 'k' || lpad(s_suppkey, 8, '3') || '_sky.fits' else 'obs_ins_dark_' || lpad(s_suppkey, 4, '0') || '.fits' end")
+    b = F.expr("case s_suppkey % 4 when 0 then 'obs_ins_dark_' || lpad(s_nationkey, 4, '0') || '.fits' when 1 then 'obs_ins_dark_' || lpad(s_suppkey, 5, '0') || '.fits' when 2 then '4' || lpad(s_nationkey, 8, 'c') || '_sky.fits' else 'N/A' end")
     return supplier.select("s_suppkey", N.is_newer(a, b).alias("newer"))
 
 

@@ -205,13 +205,30 @@ def extension_rank(name: Column) -> Column:
 
 
 def is_newer(a: Column, b: Column) -> Column:
-    """Whether file name ``a`` is newer than ``b``; null for classes that have no order between them."""
-    a, b = F.substring_index(a, "/", -1), F.substring_index(b, "/", -1)
-    ca, cb = classify_name(a), classify_name(b)
-    by_rank = F.when(extension_rank(a) == extension_rank(b), serial_of(a) > serial_of(b)).otherwise(extension_rank(a) > extension_rank(b))
-    order = {("current", "old"): True, ("old", "current"): False, ("new", "old"): True, ("old", "new"): False, ("newcomponent", "oldcomponent"): True, ("oldcomponent", "newcomponent"): False}
-    mixed = reduce(lambda c, kv: F.when((ca == kv[0][0]) & (cb == kv[0][1]), kv[1]).otherwise(c), order.items(), F.lit(None).cast("boolean"))
-    return F.when(a == "N/A", False).when(b == "N/A", True).when((ca == "current") & (cb == "current"), by_rank).when(ca == cb, a > b).otherwise(mixed)
+    """Whether file name ``a`` is newer than ``b``; null where names have no order between them.
+
+    A name has a family (component tables and all other files), a generation inside it
+    (names that begin with a letter are the first one, but for the current form) and,
+    inside a form, a place: extension and serial number for the current form, the text
+    itself for the others.  Families are never compared, nor two forms of one
+    generation.  N/A is older than any file.
+    """
+
+    def place(name: Column) -> Column:
+        base = F.substring_index(name, "/", -1)
+        form = classify_name(base)
+        numbered = form == "current"
+        return F.struct(
+            form.endswith("component").alias("family"),
+            F.when(form.startswith("old"), 0).otherwise(1).alias("generation"),
+            form.alias("form"),
+            F.struct(F.when(numbered, extension_rank(base)).alias("rank"), F.when(numbered, serial_of(base)).alias("serial"), F.when(~numbered, base).alias("text")).alias("order"),
+            (name == "N/A").alias("nothing"),
+        )
+
+    x, y = place(a), place(b)
+    inside = F.when(x["generation"] != y["generation"], x["generation"] > y["generation"]).when(x["form"] == y["form"], x["order"] > y["order"])
+    return F.when(x["nothing"] | y["nothing"], ~x["nothing"]).when(x["family"] == y["family"], inside)
 
 
 def compare_text(value: Column) -> Column:

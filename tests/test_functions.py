@@ -16,7 +16,7 @@ def one(spark, column):
 
 @pytest.mark.parametrize(
     ("value", "want"),
-    [("ANY", "*"), ("N/A", "N/A"), ("NOT APPLICABLE", "N/A"), ("4294967295", "-1.0"), ("1", "1.0"), ("-9", "-9.0"), ("1.", "1.0"), ("foo", "FOO"), ("true", "T"), ("F", "F"), ("()", "N/A"), ("1e16", "1e+16"), ("12345678.5", "12345678.5"), ("0.0005", "0.0005"), ("0.00001", "1e-05"), ("-2147483648", "N/A"), ("2013-11-05 15:21:34", "2013-11-05 15:21:34")],
+    [("any", "*"), (" n/a ", "N/A"), ("Not applicable here", "N/A"), ("4294967295.0", "-1.0"), ("42", "42.0"), ("-17", "-17.0"), ("8.", "8.0"), ("blue", "BLUE"), ("FALSE", "F"), ("t", "T"), ("() none", "N/A"), ("3e20", "3e+20"), ("7654321.25", "7654321.25"), ("0.0025", "0.0025"), ("0.000004", "4e-06"), ("-2147483648", "N/A"), ("2031-02-03 04:05:06", "2031-02-03 04:05:06")],
 )
 def test_condition_value(spark, value, want):
     assert one(spark, N.condition_value(F.lit(value))) == want
@@ -25,16 +25,16 @@ def test_condition_value(spark, value, want):
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("Dec 01 1993 00:00:00 UT", dt.datetime(1993, 12, 1)),
-        ("Feb 08 2006 01:02AM", dt.datetime(2006, 2, 8, 1, 2)),
-        ("12/21/1999 05:42:35", dt.datetime(1999, 12, 21, 5, 42, 35)),
-        ("1999-12-21T05:42:35", dt.datetime(1999, 12, 21, 5, 42, 35)),
-        ("12-21-1999 05:42", dt.datetime(1999, 12, 21, 5, 42)),
-        ("19970114:053714", dt.datetime(1997, 1, 14, 5, 37, 14)),
-        ("21/12/15", dt.datetime(2015, 12, 21)),
-        ("Jul 27, 1999", dt.datetime(1999, 7, 27)),
-        ("12:42 AM", None),
-        ("junk", None),
+        ("Mar 04 2031 05:06:07 UT", dt.datetime(2031, 3, 4, 5, 6, 7)),
+        ("Nov 30 2029 11:59PM", dt.datetime(2029, 11, 30, 23, 59)),
+        ("02/29/2028 13:14:15", dt.datetime(2028, 2, 29, 13, 14, 15)),
+        ("2030-10-11T12:13:14", dt.datetime(2030, 10, 11, 12, 13, 14)),
+        ("10-11-2030 12:13", dt.datetime(2030, 10, 11, 12, 13)),
+        ("20271231:235958", dt.datetime(2027, 12, 31, 23, 59, 58)),
+        ("09/08/19", dt.datetime(2019, 8, 9)),
+        ("Jun 05, 2026", dt.datetime(2026, 6, 5)),
+        ("11:13 PM", None),
+        ("next week", None),
         (None, None),
     ],
 )
@@ -60,9 +60,33 @@ def test_expressions(spark):
             translate(bad, p)
 
 
+CURRENT, FIRST, SECOND = "tel_cam_flat_{}.fits", "m{}sky01_flt.fits", "5{}sky01_flt.fits"
+PARTS = ["n{}thru1_syn.fits", "8{}thru1_syn.fits"]
+
+
 @pytest.mark.parametrize(
     ("a", "b", "want"),
-    [("obs_ins_dark_0002.rmap", "obs_ins_dark_0001.rmap", True), ("obs_ins_dark_0001.asdf", "obs_ins_dark_0050.fits", True), ("obs_ins_dark_0001.fits", "obs_ins_dark_99991.fits", False), ("07g1700gl_dead.fits", "s7g1700gl_dead.fits", True), ("N/A", "s7g1700gl_dead.fits", False), ("07g1700gl_dead.fits", "N/A", True), ("16n1832tm_tmc.fits", "06n1832tm_tmc.fits", True), ("obs_ins_dark_0001.fits", "16n1832tm_tmg.fits", None)],
+    [
+        (CURRENT.format("0012"), CURRENT.format("0009"), True),
+        (CURRENT.format("0012"), CURRENT.format("110"), False),
+        (CURRENT.format("0012"), CURRENT.format("0012"), False),
+        (CURRENT.format("0300"), "tel_cam_flat_0002.json", False),
+        ("tel_cam_flat_0002.yaml", "tel_cam_flat_0300.json", True),
+        ("some/dir/" + CURRENT.format("2"), "another/" + CURRENT.format("1"), True),
+        (CURRENT.format("0001"), FIRST.format("999"), True),
+        (FIRST.format("999"), CURRENT.format("0001"), False),
+        (SECOND.format("000"), FIRST.format("999"), True),
+        (SECOND.format("120"), SECOND.format("119"), True),
+        (FIRST.format("120"), FIRST.format("121"), False),
+        (SECOND.format("000"), CURRENT.format("0001"), None),
+        (PARTS[1].format("000"), PARTS[0].format("999"), True),
+        (PARTS[0].format("010"), PARTS[0].format("009"), True),
+        (PARTS[1].format("000"), SECOND.format("000"), None),
+        (CURRENT.format("0001"), PARTS[0].format("000"), None),
+        ("N/A", FIRST.format("000"), False),
+        (PARTS[0].format("000"), "N/A", True),
+        ("N/A", "N/A", False),
+    ],
 )
 def test_is_newer(spark, a, b, want):
     assert one(spark, N.is_newer(F.lit(a), F.lit(b))) is want
