@@ -8,6 +8,7 @@ from ..functions import normalize as N
 from ..functions.expressions import translate
 from ..functions.patterns import match_status
 from ..operators import diffs as D
+from ..operators.selection import do_not_reprocess as do_not_reprocess_of
 from ..sources import headers as H
 from .inputs import query
 from .selection import status_sql
@@ -64,17 +65,17 @@ DATES = {
 }
 
 
-@query("parse_date", "events", "SELECT event_id, CASE event_id % 6 WHEN 2 THEN date_trunc('minute', ts) WHEN 4 THEN date_trunc('minute', ts) WHEN 5 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END AS parsed FROM events WHERE event_id % 5 = 0")
+@query("parse_date", "events", "SELECT event_id, CASE event_id % 6 WHEN 2 THEN date_trunc('minute', ts) WHEN 4 THEN date_trunc('minute', ts) WHEN 5 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END AS parsed FROM events")
 def parse_date(events):
     forms = list(DATES)
     text = F.expr("case event_id % 6 " + " ".join(f"when {i} then date_format(ts, '{f.replace(chr(39), chr(92) + chr(39))}')" for i, f in enumerate(forms)) + " end || case when event_id % 6 in (0, 2) then ' UT' else '' end")
-    return events.where("event_id % 5 = 0").select("event_id", N.parse_date(text).cast("timestamp_ntz").alias("parsed"))
+    return events.select("event_id", N.parse_date(text).cast("timestamp_ntz").alias("parsed"))
 
 
-@query("date_format_ok", "events", "SELECT event_id, event_id % 4 = 0 AS slash, event_id % 4 = 1 AS dash, event_id % 4 <= 2 AS anyone FROM events WHERE event_id % 5 = 0")
+@query("date_format_ok", "events", "SELECT event_id, event_id % 4 = 0 AS slash, event_id % 4 = 1 AS dash, event_id % 4 <= 2 AS anyone FROM events")
 def date_format_ok(events):
     text = F.expr("case event_id % 4 when 0 then date_format(ts, 'dd/MM/yyyy') when 1 then date_format(ts, 'yyyy-MM-dd') when 2 then date_format(ts, 'MMM dd yyyy HH:mm:ss') else date_format(ts, 'yyyy-13-dd') end")
-    return events.where("event_id % 5 = 0").select("event_id", N.date_format_ok(text, "slash").alias("slash"), N.date_format_ok(text, "dash").alias("dash"), N.date_format_ok(text, "any").alias("anyone"))
+    return events.select("event_id", N.date_format_ok(text, "slash").alias("slash"), N.date_format_ok(text, "dash").alias("dash"), N.date_format_ok(text, "any").alias("anyone"))
 
 
 @query("useafter_of", "orders", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN TIMESTAMP '1900-01-01' ELSE date_trunc('second', o_orderdate) END AS useafter FROM orders")
@@ -197,10 +198,12 @@ def header_value_valid(rules, datasets):
     return both.select("instrument", "flag", F.coalesce(free | F.array_contains(v, F.col("flag")), F.lit(False)).alias("valid"))
 
 
-@query("do_not_reprocess", "datasets", "SELECT dataset_id, CASE WHEN flag = 'N' AND qty = '1.0' THEN 'N/A' ELSE 'NOT FOUND No match found.' END AS reference FROM datasets")
+@query("do_not_reprocess", "datasets", "SELECT dataset_id, CASE WHEN ostatus = 'P' AND (flag = 'N' AND qty IN ('1.0', '2.0') OR priority = '5-LOW') THEN 'N/A' WHEN ostatus = 'P' THEN 'NOT FOUND No match found.' ELSE 'r' || flag END AS reference FROM datasets")
 def do_not_reprocess(datasets):
-    listed = (F.col("flag") == "N") & (F.col("qty") == "1.0")
-    return datasets.select("dataset_id", F.when(listed, "N/A").otherwise("NOT FOUND No match found.").alias("reference"))
+    params = F.create_map(F.lit("FLAG"), "flag", F.lit("PRIORITY"), "priority", F.lit("QTY"), "qty")
+    found = F.when(F.col("ostatus") == "P", "NOT FOUND No match found.").otherwise(F.concat(F.lit("r"), "flag"))
+    exempt = [{"FLAG": ["N"], "QTY": ["1.0", "2.0"]}, {"PRIORITY": ["5-LOW"]}]
+    return datasets.select("dataset_id", do_not_reprocess_of(found, params, exempt).alias("reference"))
 
 
 @query("values_in_use", "rules", "WITH b AS (SELECT rmap, unnest(string_split(p_flag, '|')) AS v, p_flag LIKE 'not %' AS s FROM rules) SELECT rmap, 'FLAG' AS par, string_agg(DISTINCT v, ' ' ORDER BY v) FILTER (NOT s) AS in_use, bool_or(s) AS unchecked FROM b GROUP BY rmap")

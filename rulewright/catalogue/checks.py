@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import certify as V
 from ..operators import components as G
+from ..operators import contexts as C
 from ..operators import diffs as D
 from ..operators import tables as T
 from .inputs import query
@@ -141,7 +142,7 @@ def check_table_modes(old_table, new_table):
 
 
 UPDATES = "u AS (SELECT l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS dataset_id, 'o' AS old_reference, 'n' AS new_reference, p_brand AS mode_a, CASE WHEN l_partkey % 50 = 0 THEN 'UNDEFINED' ELSE p_type END AS mode_b FROM lineitem JOIN part ON l_partkey = p_partkey)"
-ROWS = "t AS (SELECT 'o' AS reference, mode_a, CASE WHEN row_no % 40 = 0 THEN 'ANY' ELSE mode_b END AS mode_b, v1, v2 FROM old_table WHERE row_no % 5 = 0 UNION ALL SELECT 'n', mode_a, CASE WHEN row_no % 40 = 0 THEN 'ANY' ELSE mode_b END, v1, v2 FROM new_table WHERE row_no % 5 = 0)"
+ROWS = "t AS (SELECT 'o' AS reference, mode_a, CASE WHEN row_no % 40 = 0 THEN 'ANY' ELSE mode_b END AS mode_b, v1, v2 FROM old_table UNION ALL SELECT 'n', mode_a, CASE WHEN row_no % 40 = 0 THEN 'ANY' ELSE mode_b END, v1, v2 FROM new_table)"
 
 
 @query("reprocessing_required", "lineitem part old_table new_table", f"""WITH {UPDATES}, {ROWS}, c AS (SELECT DISTINCT mode_a, mode_b FROM u WHERE mode_b <> 'UNDEFINED'),
@@ -150,7 +151,7 @@ ROWS = "t AS (SELECT 'o' AS reference, mode_a, CASE WHEN row_no % 40 = 0 THEN 'A
 def reprocessing_required(lineitem, part, old_table, new_table):
     u = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).selectExpr("l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey as dataset_id", "'o' as old_reference", "'n' as new_reference", "p_brand as mode_a", "case when l_partkey % 50 = 0 then 'UNDEFINED' else p_type end as mode_b")
     mode = "case when row_no % 40 = 0 then 'ANY' else mode_b end as mode_b"
-    rows = old_table.where("row_no % 5 = 0").selectExpr("'o' as reference", "mode_a", mode, "v1", "v2").unionAll(new_table.where("row_no % 5 = 0").selectExpr("'n' as reference", "mode_a", mode, "v1", "v2"))
+    rows = old_table.selectExpr("'o' as reference", "mode_a", mode, "v1", "v2").unionAll(new_table.selectExpr("'n' as reference", "mode_a", mode, "v1", "v2"))
     return T.reprocessing_required(u, rows, ["mode_a", "mode_b"], ["v1", "v2"]).select("dataset_id", "old_reference", "new_reference", "mode_a", "mode_b")
 
 
@@ -267,18 +268,17 @@ def findings(part, lineitem):
 
 @query("catalog_totals", "catalog", "SELECT filekind, count(*) AS files, sum(size)::BIGINT AS bytes FROM catalog GROUP BY filekind")
 def catalog_totals(catalog):
-    return catalog.groupBy("filekind").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    return C.catalog_totals(catalog, ["filekind"])
 
 
-@query("organize_files", "catalog", "SELECT instrument, filekind, count(*) AS n, string_agg(name, ' ' ORDER BY name) AS files FROM catalog GROUP BY ALL")
+@query("organize_files", "catalog", "SELECT instrument, filekind, name, count(*) OVER (PARTITION BY instrument, filekind) AS n FROM catalog")
 def organize_files(catalog):
-    return catalog.groupBy("instrument", "filekind").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("name")), " ").alias("files"))
+    return C.organize_files(catalog, ["instrument", "filekind"])
 
 
 @query("min_level_per_type", "part", "SELECT p_type AS filekind, min(p_size) AS level FROM part GROUP BY p_type")
 def min_level_per_type(part):
-    levels = part.groupBy(F.col("p_size").alias("level")).agg(F.collect_set("p_type").alias("types"))
-    return levels.select("level", F.explode("types").alias("filekind")).groupBy("filekind").agg(F.min("level").alias("level"))
+    return C.min_level_per_type(part.groupBy(F.col("p_size").alias("level")).agg(F.collect_set("p_type").alias("types")))
 
 
 # --- component tables ------------------------------------------------------------------

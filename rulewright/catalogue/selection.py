@@ -112,18 +112,18 @@ def _version(df):
 
 
 def _versioned(old_table, new_table):
-    rules = _version(old_table.where("row_no < 4000").selectExpr("mode_a", "cast(row_no % 7 as int) as major", "cast(row_no % 3 as int) as minor", "'v' || lpad(cast(row_no as string), 7, '0') as reference", "row_no"))
+    rules = _version(old_table.selectExpr("mode_a", "cast(row_no % 7 as int) as major", "cast(row_no % 3 as int) as minor", "'v' || lpad(cast(row_no as string), 7, '0') as reference", "row_no"))
     asked = _version(new_table.selectExpr("row_no", "mode_a", "cast(row_no % 9 as int) as major", "cast(row_no % 4 as int) as minor"))
     return asked, rules
 
 
-@query("version_after", "old_table new_table", f"WITH v AS ({VERSIONED} WHERE row_no < 4000), a AS ({ASKED}) SELECT a.row_no, coalesce((SELECT max_by(v.reference, v.major * 1e9 + v.minor * 1e7 + v.row_no) FROM v WHERE v.mode_a = a.mode_a AND (v.major < a.major OR v.major = a.major AND v.minor <= a.minor)), 'NOT FOUND No match found.') AS reference FROM a")
+@query("version_after", "old_table new_table", f"WITH v AS ({VERSIONED}), a AS ({ASKED}) SELECT a.row_no, coalesce((SELECT max_by(v.reference, v.major * 1e9 + v.minor * 1e7 + v.row_no) FROM v WHERE v.mode_a = a.mode_a AND (v.major < a.major OR v.major = a.major AND v.minor <= a.minor)), 'NOT FOUND No match found.') AS reference FROM a")
 def version_after(old_table, new_table):
     asked, rules = _versioned(old_table, new_table)
     return S.version_after(asked, rules, ["mode_a"]).select("row_no", "reference")
 
 
-@query("select_version", "old_table new_table", f"""WITH v AS (SELECT *, CASE row_no % 3 WHEN 0 THEN '<' WHEN 1 THEN '=' ELSE 'default' END AS op FROM ({VERSIONED} WHERE row_no < 4000)), a AS ({ASKED})
+@query("select_version", "old_table new_table", f"""WITH v AS (SELECT *, CASE row_no % 3 WHEN 0 THEN '<' WHEN 1 THEN '=' ELSE 'default' END AS op FROM ({VERSIONED})), a AS ({ASKED})
     SELECT a.row_no, coalesce((SELECT min_by(v.reference, CASE WHEN op = 'default' THEN 1 ELSE 0 END * 1e15 + v.major * 1e13 + v.minor * 1e11 + CASE op WHEN '<' THEN 0 ELSE 1 END * 1e10 + v.row_no) FROM v WHERE v.mode_a = a.mode_a AND
       (op = 'default' OR op = '<' AND (a.major < v.major OR a.major = v.major AND a.minor < v.minor) OR op = '=' AND a.major = v.major AND a.minor = v.minor)), 'NOT FOUND No match found.') AS reference FROM a""")
 def select_version(old_table, new_table):
@@ -156,13 +156,13 @@ def bracket(part, supplier):
     return S.bracket(asked, keys, ["g"]).select("p_partkey", "low_reference", "high_reference")
 
 
-@query("nested_select", "datasets part", """WITH k AS (SELECT p_size % 5 AS g, CAST(p_size % 10 AS FLOAT) AS number, TIMESTAMP '1996-01-01' + INTERVAL 30 DAY * (p_partkey % 40) AS time, CAST(p_partkey % 3 AS INT) AS major, p_name || p_partkey AS reference FROM part WHERE p_partkey < 2000),
+@query("nested_select", "datasets part", """WITH k AS (SELECT p_size % 5 AS g, CAST(p_size % 10 AS FLOAT) AS number, TIMESTAMP '1996-01-01' + INTERVAL 30 DAY * (p_partkey % 40) AS time, CAST(p_partkey % 3 AS INT) AS major, p_name || p_partkey AS reference FROM part),
     d AS (SELECT DISTINCT CAST(CAST(qty AS DOUBLE) AS INT) % 5 AS g, CAST(CAST(qty AS DOUBLE) AS INT) % 13 AS value, exptime, CAST(CAST(qty AS DOUBLE) AS INT) % 4 AS major FROM datasets),
     n AS (SELECT d.*, (SELECT min((abs(number - value), number)) FROM k WHERE k.g = d.g)[2] AS nn FROM d),
     c AS (SELECT n.*, (SELECT min((abs(epoch_us(time)::DOUBLE - epoch_us(exptime)::DOUBLE)::FLOAT, time)) FROM k WHERE k.g = n.g AND k.number = nn)[2] AS tt FROM n)
     SELECT g, value, exptime, major, coalesce((SELECT max_by(reference, (k.major, reference)) FROM k WHERE k.g = c.g AND k.number = nn AND k.time = tt AND k.major <= c.major), 'NOT FOUND No match found.') AS reference FROM c""")
 def nested_select(datasets, part):
-    keys = part.where("p_partkey < 2000").selectExpr("p_size % 5 as g", "cast(p_size % 10 as float) as number", "timestamp'1996-01-01' + make_dt_interval(30 * (p_partkey % 40)) as time", "cast(p_partkey % 3 as int) as major", "p_name || p_partkey as reference")
+    keys = part.selectExpr("p_size % 5 as g", "cast(p_size % 10 as float) as number", "timestamp'1996-01-01' + make_dt_interval(30 * (p_partkey % 40)) as time", "cast(p_partkey % 3 as int) as major", "p_name || p_partkey as reference")
     keys = keys.withColumn("version", F.struct("major", F.lit(0).alias("minor"), F.lit(0).alias("point")))
     q = "cast(cast(qty as double) as int)"
     asked = datasets.selectExpr(f"{q} % 5 as g", f"{q} % 13 as value", "exptime", f"{q} % 4 as major").distinct()
@@ -170,6 +170,37 @@ def nested_select(datasets, part):
     return S.nested_select(asked, keys, ["g"]).select("g", "value", "exptime", "major", "reference")
 
 
+KINDS = ["bias", "dark", "flat"]
+BY_KIND = """kinds AS (SELECT * FROM (VALUES ('bias', 0), ('dark', 1), ('flat', 2)) v(kind, n)),
+    kd AS (SELECT dataset_id || '/' || kind AS dataset_id, instrument || '_' || kind AS instrument, flag, priority, qty, exptime FROM datasets, kinds WHERE kind <> 'bias'),
+    kr AS (SELECT rmap || '_' || kind AS rmap, rule_id, p_flag, p_priority, p_qty, useafter, reference FROM rules JOIN kinds ON rule_id % 3 = n)"""
+BEST_BY_KIND = f"{matched_sql('kr', 'k')}, {best_sql('k', 'b')}".replace("FROM datasets", "FROM kd")
+
+
+def rules_by_kind(rules):
+    """The rules dealt to three types, a rule set for each instrument and type; and which serves which."""
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("rule_id") % 3 + 1).cast("int"))
+    dealt = rules.withColumn("filekind", kind).withColumn("instrument", F.col("rmap")).withColumn("rmap", F.concat_ws("_", "rmap", kind))
+    return dealt, dealt.select("instrument", "filekind", "rmap").distinct()
+
+
+@query("best_references", "datasets rules", f"WITH {BY_KIND}, {BEST_BY_KIND} SELECT split_part(dataset_id, '/', 1) AS dataset_id, split_part(instrument, '_', 1) AS instrument, split_part(dataset_id, '/', 2) AS filekind, reference FROM b")
+def best_references(datasets, rules):
+    dealt, serving = rules_by_kind(rules)
+    rows = headers(datasets).withColumnRenamed("rmap", "instrument")
+    return S.best_references(rows, serving, keyed(dealt), PARAMETERS, include=["dark", "flat"])
+
+
+@query("best_references_by_date", "datasets rules history", f"WITH {BY_KIND}, {BEST_BY_KIND}, a AS (SELECT max_by(context, idx) AS c FROM history WHERE start_date <= TIMESTAMP '2024-01-10') SELECT split_part(dataset_id, '/', 1) AS dataset_id, split_part(instrument, '_', 1) AS instrument, split_part(dataset_id, '/', 2) AS filekind, reference FROM b, a WHERE CASE WHEN substr(c, -4, 1) IN ('0', '2', '4', '6', '8') THEN 'dark' ELSE 'flat' END = split_part(dataset_id, '/', 2)")
+def best_references_by_date(datasets, rules, history):
+    """Of two types each context serves one."""
+    dealt, serving = rules_by_kind(rules)
+    even = F.substring("context", -4, 1).isin("0", "2", "4", "6", "8")
+    contexts = history.select("context", F.when(even, "dark").otherwise("flat").alias("filekind")).join(serving, "filekind").select("context", "instrument", "filekind", "rmap")
+    rows = headers(datasets).withColumnRenamed("rmap", "instrument")
+    return S.best_references_by_date(rows, history, "2024-01-10 00:00:00", contexts, keyed(dealt), PARAMETERS)
+
+
 OUTCOME_SQL = """SELECT dataset_id, CASE WHEN flag = 'N' AND priority = '5-LOW' THEN NULL WHEN ostatus = 'P' THEN 'NOT FOUND n/a' WHEN reference LIKE 'NOT FOUND%' AND flag = 'R' THEN 'N/A' WHEN reference LIKE 'NOT FOUND%' AND priority LIKE '1%' THEN 'NOT FOUND n/a' ELSE reference END AS outcome
     FROM (SELECT d.*, b.reference FROM datasets d JOIN b ON d.dataset_id = b.dataset_id)"""
 
@@ -303,9 +334,9 @@ def filter_ids(datasets):
     return R.filter_ids(datasets, datasets.where("flag <> 'N'"), datasets.where("priority = '5-LOW'")).select("dataset_id")
 
 
-@query("resolve_dataset_ids", "datasets orders", "WITH a AS (SELECT CAST(o_orderkey AS STRING) AS asked FROM orders WHERE o_orderkey % 3 = 0) SELECT asked, (SELECT min(upper(dataset_id)) FROM datasets WHERE split_part(dataset_id, ':', 1) = asked) AS dataset_id FROM a")
+@query("resolve_dataset_ids", "datasets orders", "WITH a AS (SELECT CAST(o_orderkey AS STRING) AS asked FROM orders) SELECT asked, (SELECT min(upper(dataset_id)) FROM datasets WHERE split_part(dataset_id, ':', 1) = asked) AS dataset_id FROM a")
 def resolve_dataset_ids(datasets, orders):
-    return R.resolve_dataset_ids(orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("string").alias("asked")), datasets)
+    return R.resolve_dataset_ids(orders.select(F.col("o_orderkey").cast("string").alias("asked")), datasets)
 
 
 @query("first_exposures", "datasets", "SELECT lower(split_part(dataset_id, ':', 1)) AS product_id, min(dataset_id) AS dataset_id FROM datasets GROUP BY ALL")

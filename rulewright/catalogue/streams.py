@@ -12,14 +12,14 @@ from ..operators.certify import validate_rules
 from ..sources.scratch import stored
 from ..streaming.incremental import incremental_history, stream_best_references
 from .inputs import query
-from .selection import PARAMETERS, headers, keyed
+from .selection import PARAMETERS, best_sql, headers, keyed, matched_sql, status_sql
 
 
 def _work(spark) -> str:
     return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-@query("stream_best_references", "datasets rules")
+@query("stream_best_references", "datasets rules", f"WITH {matched_sql()}, {best_sql('m', 'b')} SELECT dataset_id, instrument, reference FROM b")
 def stream_references(datasets, rules):
     """Headers arrive as files; batches write what the batch operator gives, one folder each."""
     spark = datasets.sparkSession
@@ -34,7 +34,7 @@ def stream_references(datasets, rules):
     return spark.read.parquet(f"{work}/out").drop("batch")
 
 
-@query("incremental_history", "history")
+@query("incremental_history", "history", "SELECT * FROM (SELECT idx, context AS old_context, lead(context) OVER (ORDER BY idx) AS new_context FROM history) WHERE new_context > old_context")
 def incremental(history):
     """History arrives in pieces, one file and one batch each."""
     spark = history.sparkSession
@@ -64,15 +64,25 @@ def hooks(datasets):
     return parts[0].unionByName(parts[1]).select("dataset_id", F.col("params")["FLAG"].alias("flag"))
 
 
-@query("fallback_lookup", "datasets rules")
+@hook("fallback", "BUILDING", "table")
+@hook("fallback", "AUTOMOBILE", "table")
+def _any_flag(rows):
+    return rows.withColumn("params", F.transform_values("params", lambda k, v: F.when(k == "FLAG", "*").otherwise(v)))
+
+
+FALLBACK_SQL = f"""hd AS (SELECT dataset_id, instrument, CASE WHEN instrument = 'AUTOMOBILE' AND flag = 'N' THEN 'N/A' ELSE flag END AS flag, priority, qty, exptime FROM datasets), {matched_sql()}, {best_sql('m', 'b')}""".replace("FROM datasets d", "FROM hd d").replace("qty FROM datasets)", "qty FROM hd)")
+SECOND_SQL = f"""sd AS (SELECT d.* REPLACE ('*' AS flag) FROM hd d JOIN b ON d.dataset_id = b.dataset_id WHERE b.reference LIKE 'NOT FOUND%' AND d.instrument IN ('AUTOMOBILE', 'BUILDING')),
+    st AS (SELECT DISTINCT instrument, flag, priority, qty FROM sd),
+    s0 AS (SELECT st.*, r.rule_id, r.useafter, r.reference, CASE WHEN p_flag = 'N/A' THEN 0 WHEN p_flag LIKE 'not %' THEN -1 ELSE 1 END AS s_flag, {status_sql('st.priority', 'r.p_priority')} AS s_priority, {status_sql('st.qty', 'r.p_qty')} AS s_qty FROM st JOIN rules r ON st.instrument = r.rmap),
+    s AS (SELECT *, CAST(s_flag = 1 AS INT) + CAST(s_priority = 1 AS INT) + CAST(s_qty = 1 AS INT) AS weight FROM s0 WHERE s_flag >= 0 AND s_priority >= 0 AND s_qty >= 0),
+    {best_sql('s', 'c')}""".replace("FROM datasets d", "FROM sd d")
+
+
+@query("fallback_lookup", "datasets rules", f"WITH {FALLBACK_SQL}, {SECOND_SQL} SELECT b.dataset_id, CASE WHEN b.reference LIKE 'NOT FOUND%' AND c.reference NOT LIKE 'NOT FOUND%' THEN c.reference ELSE b.reference END AS outcome FROM b LEFT JOIN c ON b.dataset_id = c.dataset_id")
 def fallback_lookup(datasets, rules):
-    """A miss is tried again with the flag left open."""
-    h = headers(datasets)
-    first = S.best_reference(h, keyed(rules), PARAMETERS)
-    missed = first.where(F.col("reference").startswith("NOT FOUND")).drop("reference")
-    again = S.best_reference(missed.withColumn("params", F.transform_values("params", lambda k, v: F.when(k == "FLAG", "*").otherwise(v))), keyed(rules), PARAMETERS)
-    out = first.join(again.select("dataset_id", F.col("reference").alias("second")), "dataset_id", "left")
-    return out.select("dataset_id", S.lookup_outcome(F.col("reference"), F.coalesce("second", "reference")).alias("outcome")).where("outcome is not null")
+    """Headers are rewritten by the registered hooks before the match, and again after a miss."""
+    found = S.hooked_lookup(headers(datasets), keyed(rules), PARAMETERS, "table")
+    return found.select("dataset_id", F.col("reference").alias("outcome"))
 
 
 @query("validate_expansions", "rules", "SELECT rmap || ':' || rule_id AS ident, 'PRIORITY' AS name, 'error' AS severity, 'illegal value: ' || p_priority AS message FROM rules WHERE p_priority IN ('4-NOT SPECIFIED', '5-LOW')")

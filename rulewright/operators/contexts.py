@@ -146,3 +146,19 @@ def with_children(edges: DataFrame, updates: DataFrame) -> DataFrame:
     b = updates.select(*key, F.col("child").alias("new_child"), F.col("sha").alias("new_sha"))
     both = edges.select(*key, "child", "sha").join(b, key, "full_outer")
     return both.select(*key, F.coalesce("new_child", "child").alias("child"), F.coalesce("new_sha", "sha").alias("sha"))
+
+
+def catalog_totals(files: DataFrame, by: list[str]) -> DataFrame:
+    """Number and total bytes of the files of each group."""
+    return files.groupBy(*by).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+def organize_files(files: DataFrame, by: list[str]) -> DataFrame:
+    """Files beside the group they belong to and its size: a row per file, so that no group is gathered in one place."""
+    sizes = files.groupBy(*by).agg(F.count("*").alias("n"))
+    return files.select(*by, "name").join(sizes, by)
+
+
+def min_level_per_type(levels: DataFrame) -> DataFrame:
+    """``levels(level, types)`` turned round: each type with its smallest level."""
+    return levels.select("level", F.explode("types").alias("filekind")).groupBy("filekind").agg(F.min("level").alias("level"))

@@ -12,15 +12,20 @@ from ..functions.normalize import UNDEFINED, normalize_dataset_id, product_id
 NOTHING = ["NOT FOUND NO MATCH FOUND.", "UNDEFINED", "NONE", "", "*"]
 
 
-def resolve_result(reference: Column, undefined_matters: bool = False, na_matters: bool = False) -> tuple[Column, Column]:
-    """(ok, reference) of a raw result: natural N/A, nothing found, other failures."""
-    up = F.upper(F.trim(reference))
-    natural = up.isin("N/A", "NOT FOUND N/A")
-    nothing = up.isin(NOTHING) | reference.isNull()
+def resolve_result(reference: Column, undefined_matters: bool = False) -> tuple[Column, Column]:
+    """(ok, reference) of a raw result: natural N/A, nothing found, other failures.
+
+    Nothing found is N/A, or a failure where undefined results matter.  A failure
+    keeps its text in capitals; a file is in small letters.
+    """
+    up = F.coalesce(F.upper(F.trim(reference)), F.lit(UNDEFINED))
+    natural = (up == "N/A") | up.startswith("NOT FOUND N/A")
+    nothing = up.isin(NOTHING)
     failed = up.startswith("NOT FOUND") & ~natural & ~nothing
-    ok = ~failed if not undefined_matters else ~failed & ~nothing
-    out = F.when(natural | nothing, "N/A").otherwise(F.lower(reference))
-    return ok, out
+    if undefined_matters:
+        failed = failed | nothing
+    out = F.when(natural, "N/A").when(failed, up).when(nothing, "N/A").otherwise(F.lower(F.trim(reference)))
+    return ~failed, out
 
 
 def screen_references(new: DataFrame, undefined_matters: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -30,25 +35,26 @@ def screen_references(new: DataFrame, undefined_matters: bool = False) -> tuple[
     return rows.where("ok").drop("ok", "reference"), rows.where("not ok").select("dataset_id", "instrument", "filekind", F.col("reference").alias("message"))
 
 
-def compare_references(old: DataFrame, new: DataFrame, undefined_matters: bool = False, na_matters: bool = True) -> DataFrame:
-    """Old and new results per (dataset, type): ``kind`` is update, error or same; a missing side is UNDEFINED."""
+def compare_references(old: DataFrame, new: DataFrame, undefined_matters: bool = False) -> DataFrame:
+    """Old and new results per (dataset, type): ``kind`` is update, error or same; a missing side is UNDEFINED.
+
+    A new failure is an error whatever the old result; an old failure is a value like
+    others.  Whether changes from or to N/A count is for ``regression_differences``.
+    """
     key = ["dataset_id", "instrument", "filekind"]
     a = old.select(*key, F.col("reference").alias("old_raw"))
     b = new.select(*key, F.col("reference").alias("new_raw"))
-    both = a.join(b, key, "full_outer").withColumn("old_raw", F.coalesce("old_raw", F.lit(UNDEFINED))).withColumn("new_raw", F.coalesce("new_raw", F.lit(UNDEFINED)))
+    both = a.join(b, key, "full_outer")
     ok, new_ref = resolve_result(F.col("new_raw"), undefined_matters)
-    _, old_ref = resolve_result(F.col("old_raw"))
-    differs = old_ref != new_ref
-    if not na_matters:
-        differs = differs & (old_ref != "N/A") & (new_ref != "N/A")
-    kind = F.when(~ok, "error").when(differs, "update").otherwise("same")
+    _, old_ref = resolve_result(F.col("old_raw"), undefined_matters)
+    kind = F.when(~ok, "error").when(old_ref != new_ref, "update").otherwise("same")
     return both.select(*key, old_ref.alias("old_reference"), new_ref.alias("new_reference"), kind.alias("kind"))
 
 
-def regression_differences(compared: DataFrame, count_na: bool = False) -> DataFrame:
-    """Updates that count as regressions: those with N/A on either side do not, unless asked."""
+def regression_differences(compared: DataFrame, na_matters: bool = False) -> DataFrame:
+    """Updates that count as regressions: those with N/A on either side only if N/A matters."""
     rows = compared.where("kind = 'update'")
-    return rows if count_na else rows.where("old_reference <> 'N/A' and new_reference <> 'N/A'")
+    return rows if na_matters else rows.where("old_reference <> 'N/A' and new_reference <> 'N/A'")
 
 
 def unkilled_updates(compared: DataFrame) -> DataFrame:
@@ -76,7 +82,11 @@ def update_counts(updates: DataFrame) -> DataFrame:
 
 
 def unique_errors(errors: DataFrame, threshold: int = 1, listed: int = 3) -> DataFrame:
-    """Error classes without the dataset: count, first dataset and the first ones listed, in order of id."""
+    """Error classes without the dataset: count, first dataset and the first ones listed, in order of id.
+
+    A filter on a row number is cut down inside each task before the shuffle, so a
+    class that holds most errors sends a few rows from each task.
+    """
     key = ["instrument", "filekind", "message"]
     counts = errors.groupBy(*key).agg(F.count("*").alias("n_errors"), F.min("dataset_id").alias("first_id")).where(F.col("n_errors") >= threshold)
     order = F.row_number().over(W.partitionBy(*key).orderBy("dataset_id"))

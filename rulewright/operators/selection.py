@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.hooks import apply_hooks, hooked
 from ..functions.normalize import UNDEFINED
 from ..functions.patterns import match_status
 from ..sources.scratch import stored
@@ -289,6 +290,52 @@ def lookup_outcome(primary: Column, fallback: Column | None = None, relevant: Co
     return F.when(~gone, out)
 
 
+def do_not_reprocess(reference: Column, params: Column, exempt: list[dict[str, list[str]]]) -> Column:
+    """A failed lookup becomes N/A where the header has one of the listed combinations of values.
+
+    Each combination is {parameter: allowed values}; all its parameters must agree.
+    """
+    listed = F.lit(False)
+    for combination in exempt:
+        agree = F.lit(True)
+        for name, values in combination.items():
+            agree = agree & F.coalesce(F.try_element_at(params, F.lit(name)), F.lit(UNDEFINED)).isin(values)
+        listed = listed | agree
+    return F.when(reference.startswith("NOT FOUND") & listed, "N/A").otherwise(reference)
+
+
+def best_references(datasets: DataFrame, context_rmaps: DataFrame, rules: DataFrame, parameters: list[str], include: list[str] | None = None) -> DataFrame:
+    """References of all types of each dataset's instrument, or of the listed ones: (dataset_id, instrument, filekind, reference).
+
+    ``context_rmaps(instrument, filekind, rmap)`` says which rule set serves a type.
+    A dataset becomes one row per type, which is the size of the result; a rule set
+    that lacks a parameter takes any value for it.
+    """
+    kinds = context_rmaps if include is None else context_rmaps.where(F.col("filekind").isin(include))
+    rows = datasets.join(_small(kinds), "instrument")
+    return best_reference(rows, rules, parameters).select("dataset_id", "instrument", "filekind", "reference")
+
+
+def best_references_by_date(datasets: DataFrame, history: DataFrame, at: str, contexts: DataFrame, rules: DataFrame, parameters: list[str], include: list[str] | None = None) -> DataFrame:
+    """``best_references`` by the context that was active at a time; ``contexts(context, instrument, filekind, rmap)``."""
+    active = active_context(history, at)
+    return best_references(datasets, contexts.where(F.col("context") == F.lit(active)).drop("context"), rules, parameters, include)
+
+
+def hooked_lookup(headers: DataFrame, rules: DataFrame, parameters: list[str], filekind: str) -> DataFrame:
+    """``headers(dataset_id, rmap, params, exptime)`` with the reference of one type after its hooks.
+
+    Headers are rewritten by the precondition hooks; what misses is rewritten by the
+    fallback hooks of its instrument and looked up once more.
+    """
+    first = stored(best_reference(apply_hooks("precondition", filekind, headers), rules, parameters), "first")
+    names = hooked("fallback", filekind)
+    missed = first.where(F.col("reference").startswith("NOT FOUND") & F.col("rmap").isin(names)).drop("reference")
+    again = best_reference(apply_hooks("fallback", filekind, missed), rules, parameters)
+    out = first.join(again.select("dataset_id", F.col("reference").alias("second")), "dataset_id", "left")
+    return out.withColumn("reference", lookup_outcome(F.col("reference"), F.coalesce("second", "reference"))).drop("second")
+
+
 def applicable_types(datasets: DataFrame, patterns: DataFrame, steps: DataFrame, types: DataFrame) -> DataFrame:
     """Types that a dataset's pipelines need: ``exp_type`` to pipeline by the first fitting glob, to steps, to types."""
     kinds = datasets.select("exp_type").distinct()
