@@ -183,6 +183,22 @@ def match_status_query(rules, datasets):
     return v.crossJoin(F.broadcast(rules.select("p_qty").distinct())).select("qty", "p_qty", match_status(F.col("qty"), F.col("p_qty")).alias("status"))  # both are distinct values of one parameter
 
 
+@query("match_logical", "datasets", """WITH v AS (SELECT DISTINCT qty, CAST(qty AS DOUBLE) AS q FROM datasets) SELECT qty, pattern, CASE WHEN CASE n WHEN 0 THEN q > 10 AND q <= 30 WHEN 1 THEN q < 5 OR q > 45 WHEN 2 THEN qty = '7.0' WHEN 3 THEN qty = '7.0' OR qty LIKE '1_.0' ELSE NOT (q > 10 AND q < 20) END THEN 1 ELSE -1 END AS status
+    FROM v, (VALUES (0, '# >10 and <=30 #'), (1, '# <5 or >45 #'), (2, '{7.0}'), (3, '# 7.0 or 1?.0 #'), (4, 'not # >10 and <20 #')) p(n, pattern)""")
+def match_logical(datasets):
+    """Logical patterns and braces against every quantity."""
+    patterns = F.array(*map(F.lit, ("# >10 and <=30 #", "# <5 or >45 #", "{7.0}", "# 7.0 or 1?.0 #", "not # >10 and <20 #")))
+    rows = datasets.select("qty").distinct().withColumn("pattern", F.explode(patterns))
+    return rows.select("qty", "pattern", match_status(F.col("qty"), F.col("pattern")).alias("status"))
+
+
+@query("constraint_helpers", "part", "SELECT p_partkey, p_partkey % 3 <> 1 AS full_frame, p_partkey % 3 = 1 AS subarray, p_size > 25 AS image, p_size <= 25 AND p_partkey % 2 = 0 AS wide_table, p_brand IN ('Brand#1', 'Brand#12') AS listed FROM part")
+def constraint_helpers(part):
+    p = F.expr("map('SUBARRAY', case p_partkey % 3 when 0 then 'FULL' when 1 then 'SUB64' else 'GENERIC' end, 'SCI.KIND', if(p_size > 25, 'IMAGE', 'TABLE'), 'SCI.SHAPE', '10,20', 'SCI.COLUMNS', if(p_partkey % 2 = 0, 'wave, flux,err', 'WAVE'), 'FLUX.TYPE', 'float', 'BRAND', p_brand)")
+    made = {"full_frame": "is_full_frame()", "subarray": "is_subarray()", "image": "is_image('SCI') and array_ndim('SCI', 2)", "wide_table": "is_table('SCI') and array_has_columns('SCI', 'FLUX', 'err') and has_column_type('FLUX', 'FLOAT')", "listed": "one_of('BRAND', 'Brand#1', 'Brand#12') and not is_defined('NONE')"}
+    return part.select("p_partkey", *(translate(text, p).alias(name) for name, text in made.items()))
+
+
 @query("is_relevant", "datasets", "SELECT dataset_id, flag = 'R' AND priority <> '5-LOW' OR qty IN ('1.0', '2.0') AS relevant, NOT (CAST(qty AS DOUBLE) >= 20) AS omitted FROM datasets")
 def is_relevant(datasets):
     p = F.create_map(F.lit("FLAG"), "flag", F.lit("PRIORITY"), "priority", F.lit("QTY"), "qty")

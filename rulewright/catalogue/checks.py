@@ -135,6 +135,15 @@ def mode_diff(old_table, new_table):
     return T.mode_diff(old_table, new_table, ["mode_a", "mode_b"])
 
 
+@query("changed_modes", "old_table new_table", """WITH o AS (SELECT mode_a, mode_b, row_no % 397 AS slot, min(v1) AS v1, min(v2) AS v2 FROM old_table GROUP BY ALL HAVING count(*) = 1), n AS (SELECT mode_a, mode_b, row_no % 397 AS slot, min(v1) AS v1, min(v2) AS v2 FROM new_table GROUP BY ALL HAVING count(*) = 1)
+    SELECT mode_a, mode_b, slot, o.v1 AS old_v1, o.v2 AS old_v2, n.v1 AS new_v1, n.v2 AS new_v2 FROM o JOIN n USING (mode_a, mode_b, slot) WHERE (o.v1 <> n.v1 OR o.v2 <> n.v2) AND mode_a <> 'Brand#11'""")
+def changed_modes(old_table, new_table):
+    """Modes of three columns, of all brands but one."""
+    old, new = (t.withColumn("slot", F.col("row_no") % 397) for t in (old_table, new_table))
+    brands = [r.mode_a for r in old.select("mode_a").union(new.select("mode_a")).distinct().collect() if r.mode_a != "Brand#11"]  # a few dozen
+    return T.changed_modes(old, new, ["mode_a", "mode_b", "slot"], ["v1", "v2"], only={"mode_a": brands})
+
+
 @query("check_table_modes", "old_table new_table", """WITH o AS (SELECT mode_a, mode_b, min_by(v1, row_no) AS v1, min_by(v2, row_no) AS v2 FROM old_table GROUP BY ALL), n AS (SELECT mode_a, mode_b, min_by(v1, row_no) AS v1, min_by(v2, row_no) AS v2, count(*) AS c FROM new_table GROUP BY ALL),
     f AS (SELECT coalesce(o.mode_a, n.mode_a) AS mode_a, coalesce(o.mode_b, n.mode_b) AS mode_b, CASE WHEN n.mode_a IS NULL THEN 'missing' WHEN c > 1 THEN 'duplicate' WHEN o.mode_a IS NULL THEN 'new' WHEN o.v1 <> n.v1 OR o.v2 <> n.v2 THEN 'changed' END AS finding FROM o FULL JOIN n ON o.mode_a = n.mode_a AND o.mode_b = n.mode_b) SELECT * FROM f WHERE finding IS NOT NULL""")
 def check_table_modes(old_table, new_table):
@@ -155,6 +164,25 @@ def reprocessing_required(lineitem, part, old_table, new_table):
     return T.reprocessing_required(u, rows, ["mode_a", "mode_b"], ["v1", "v2"]).select("dataset_id", "old_reference", "new_reference", "mode_a", "mode_b")
 
 
+EFFECTIVE = "CASE WHEN l_partkey % 5 = 1 THEN 'always' WHEN l_partkey % 5 = 2 THEN 'unknown' WHEN l_partkey % 5 = 3 THEN 'wide' ELSE 'modes' END"
+
+
+@query("effective_updates", "lineitem part old_table new_table", f"""WITH {UPDATES}, {ROWS}, c AS (SELECT DISTINCT mode_a, mode_b FROM u WHERE mode_b <> 'UNDEFINED'),
+    s AS (SELECT c.mode_a, c.mode_b, list_sort(list((v1, v2)) FILTER (reference = 'o')) AS lo, list_sort(list((v1, v2)) FILTER (reference = 'n')) AS ln FROM c JOIN t ON contains(upper(c.mode_a), upper(t.mode_a)) AND (t.mode_b = 'ANY' OR contains(upper(c.mode_b), upper(t.mode_b))) GROUP BY ALL),
+    k AS (SELECT l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS dataset_id, {EFFECTIVE} AS filekind, CASE WHEN l_partkey % 11 = 0 THEN 'N/A' WHEN {EFFECTIVE} = 'wide' THEN 'w' ELSE 'n' END AS new_reference, p_brand AS mode_a, CASE WHEN l_partkey % 50 = 0 THEN 'UNDEFINED' ELSE p_type END AS mode_b FROM lineitem JOIN part ON l_partkey = p_partkey)
+    SELECT k.dataset_id, k.filekind, k.new_reference FROM k LEFT JOIN s ON k.mode_a = s.mode_a AND k.mode_b = s.mode_b WHERE k.filekind <> 'modes' OR k.new_reference <> 'n' OR NOT coalesce(lo = ln, false)""")
+def effective_updates(lineitem, part, old_table, new_table):
+    u = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    new = f"case when l_partkey % 11 = 0 then 'N/A' when {EFFECTIVE} = 'wide' then 'w' else 'n' end as new_reference"
+    params = "map('MODE_A', p_brand, 'MODE_B', case when l_partkey % 50 = 0 then 'UNDEFINED' else p_type end) as params"
+    u = u.selectExpr("l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey as dataset_id", "'cam' as instrument", f"{EFFECTIVE} as filekind", "'o' as old_reference", new, params)
+    cells = "map('MODE_A', mode_a, 'MODE_B', case when row_no % 40 = 0 then 'ANY' else mode_b end, 'V1', cast(v1 as string), 'V2', cast(v2 as string)) as cells"
+    wide = "map_concat(map('EXTRA', 'x'), map('MODE_A', mode_a, 'MODE_B', mode_b, 'V1', cast(v1 as string), 'V2', cast(v2 as string))) as cells"
+    rows = old_table.selectExpr("'o' as reference", cells).unionAll(new_table.selectExpr("'n' as reference", cells)).unionAll(old_table.selectExpr("'w' as reference", wide))
+    registry = T.mode_registry(part.sparkSession, {("cam", "modes"): ["MODE_A", "MODE_B"], ("cam", "wide"): ["MODE_A", "MODE_B"], ("cam", "always"): None})
+    return T.effective_updates(u, rows, registry).select("dataset_id", "filekind", "new_reference")
+
+
 @query("mode_select", "part", "SELECT p_partkey FROM part WHERE contains('BRAND#1 BRAND#11 BRAND#12 BRAND#23', upper(p_brand)) AND (p_size = 7 OR p_size = -1)")
 def mode_select(part):
     return T.mode_select(part, {"p_brand": "Brand#1 Brand#11 Brand#12 Brand#23", "p_size": "7.0"}).select("p_partkey")
@@ -181,6 +209,22 @@ def check_presence(part):
     return V.check_presence(V.with_constraints(part_headers(part), c))
 
 
+@query("check_conditional_presence", "part", """SELECT p_partkey AS ident, 'BRAND' AS name, 'error' AS severity, 'is missing' AS message FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT p_partkey, 'NOTE', 'error', 'is missing' FROM part WHERE p_partkey % 3 = 1 AND p_size >= 20
+    UNION ALL SELECT p_partkey, 'HINT', 'warning', 'is missing' FROM part WHERE p_partkey % 3 <> 1 UNION ALL SELECT p_partkey, 'LOUD', CASE WHEN p_partkey % 4 = 0 THEN 'error' ELSE 'warning' END, 'is missing' FROM part""")
+def check_conditional_presence(part):
+    """Conditions in parentheses, and an optional parameter that rules match by."""
+    c = constraints(part.sparkSession, [("BRAND", "C", "O", []), ("NOTE", "C", "(is_subarray() and SIZE >= 20)", []), ("HINT", "C", "(warning(is_full_frame()))", []), ("LOUD", "C", "(warn_only(FLAG == 'T'))", []), ("MAYBE", "C", "O", []), ("BROKEN", "C", "(no such thing)", [])])
+    matching = part.sparkSession.createDataFrame([("part", "k", "BRAND")], "instrument string, filekind string, name string")
+    return V.check_presence(V.with_constraints(part_headers(part), c), matching)
+
+
+@query("check_columns", "lineitem", """WITH n AS (SELECT l_linestatus AS ident, count(*) FILTER (l_returnflag NOT IN ('A', 'N')) AS a, count(*) FILTER (NOT (l_linenumber BETWEEN 1 AND 4 OR l_linenumber = 6)) AS b, count(*) FILTER (l_tax > 0.05 + 1e-8) AS c FROM lineitem GROUP BY 1)
+    SELECT ident, 'l_returnflag' AS name, 'error' AS severity, a || ' cells not allowed' AS message FROM n WHERE a > 0 UNION ALL SELECT ident, 'l_linenumber', 'error', b || ' cells not allowed' FROM n WHERE b > 0
+    UNION ALL SELECT ident, 'l_tax', 'error', c || ' cells not allowed' FROM n WHERE c > 0 UNION ALL SELECT ident, 'l_weight', 'error', 'column is missing' FROM n UNION ALL SELECT ident, 'l_note', 'warning', 'column is missing' FROM n""")
+def check_columns(lineitem):
+    return V.check_columns(lineitem, [("l_returnflag", "C", "R", ["a", "n"]), ("l_linenumber", "I", "R", ["1:4", "6"]), ("l_tax", "D", "O", ["0:0.05"]), ("l_weight", "D", "R", []), ("l_note", "C", "W", []), ("l_other", "C", "O", [])], "l_linestatus")
+
+
 @query("check_allowed_values", "part", "SELECT p_partkey AS ident, 'BRAND' AS name, 'error' AS severity, 'value not allowed: ' || p_brand AS message FROM part WHERE p_partkey % 7 <> 0 AND upper(p_brand) NOT IN ('BRAND#1', 'BRAND#12', 'BRAND#13') UNION ALL SELECT p_partkey, 'FLAG', 'error', 'value not allowed: x' FROM part WHERE p_partkey % 4 = 1")
 def check_allowed_values(part):
     c = constraints(part.sparkSession, [("BRAND", "C", "O", ["brand#1", "BRAND#12", "BRAND#13"]), ("FLAG", "L", "O", [])])
@@ -240,6 +284,20 @@ def validate_rules(rules):
     return V.validate_rules(rules.selectExpr("rmap", "rule_id", "stack(2, 'FLAG', p_flag, 'QTY', p_qty) as (par, pattern)"), valid)
 
 
+@query("validate_rule_keys", "rules", """WITH k AS (SELECT rmap || ':' || rule_id AS ident, rule_id % 5 AS c, rule_id FROM rules)
+    SELECT ident, 'match_key' AS name, 'error' AS severity, 'key length differs' AS message FROM k WHERE rule_id % 17 = 0 UNION ALL SELECT ident, 'select_key', 'error', 'bad date: soon' FROM k WHERE c = 0 AND rule_id % 3 = 0
+    UNION ALL SELECT ident, 'select_key', 'error', 'bad number: 1,5' FROM k WHERE c = 1 AND rule_id % 3 = 0 UNION ALL SELECT ident, 'select_key', 'error', 'bad version: 1.2.3.4' FROM k WHERE c = 2 AND rule_id % 3 = 0
+    UNION ALL SELECT ident, 'select_key', 'error', 'bad relation: >2.1' FROM k WHERE c = 3 AND rule_id % 3 = 0 UNION ALL SELECT DISTINCT rmap, 'parent', 'error', 'type differs from its place' FROM rules WHERE rmap = 'BUILDING'""")
+def validate_rule_keys(rules):
+    bad = "rule_id % 3 = 0"
+    select = f"case rule_id % 5 when 0 then if({bad}, 'soon', date_format(coalesce(useafter, timestamp'2001-01-01'), 'yyyy-MM-dd HH:mm:ss')) when 1 then if({bad}, '1,5', '1.5') when 2 then if({bad}, '1.2.3.4', '1.2') when 3 then if({bad}, '>2.1', '<2.1') else null end as select_key"
+    kind = "element_at(array('UseAfter', 'GeometricallyNearest', 'VersionAfter', 'SelectVersion', 'Match'), cast(rule_id % 5 + 1 as int)) as select_class"
+    keys = keyed(rules).withColumn("match_key", F.when(F.col("rule_id") % 17 == 0, F.slice("match_key", 1, 2)).otherwise(F.col("match_key")))
+    heads = rules.select("rmap").distinct().select("rmap", F.array(*map(F.lit, ("FLAG", "PRIORITY", "QTY"))).alias("parkey"), F.lit("cam").alias("instrument"), F.lit("dark").alias("filekind"))
+    edges = heads.select(F.lit("top").alias("parent"), F.when(F.col("rmap") == "BUILDING", "flat").otherwise("dark").alias("key"), F.col("rmap").alias("child"), "instrument")
+    return V.validate_rule_keys(keys.selectExpr("rmap", "rule_id", "match_key", kind, select), heads, edges)
+
+
 @query("valid_values", "part", "WITH v AS (SELECT p_brand AS instrument, p_type AS name, CAST(unnest(range(p_size % 5, p_size % 5 + 3)) AS STRING) AS v FROM part UNION ALL SELECT p_brand, p_type, p_brand FROM part WHERE p_size <> 7) SELECT instrument, name, string_agg(DISTINCT v, ' ' ORDER BY v) AS legal FROM v GROUP BY ALL")
 def valid_values(part):
     return V.valid_values(part.selectExpr("p_brand as instrument", "p_type as name", "array((p_size % 5) || ':' || (p_size % 5 + 2), case when p_size = 7 then 'N/A' else p_brand end) as values"))

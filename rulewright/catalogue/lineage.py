@@ -117,6 +117,12 @@ def history_pairs(history):
     return C.history_pairs(history, start=500)
 
 
+@query("history_span", "history", "SELECT * FROM (SELECT idx, context AS old_context, lead(context) OVER (ORDER BY idx) AS new_context FROM history WHERE idx >= (SELECT min(idx) FROM history WHERE start_date >= TIMESTAMP '2024-01-02') AND idx <= (SELECT min(idx) FROM history WHERE contains(context, '9000'))) WHERE new_context > old_context")
+def history_span(history):
+    """From a date to a part of a name."""
+    return C.history_pairs(history, start="2024-01-02", stop="9000")
+
+
 @query("latest_contexts", "history", "SELECT idx, context FROM history ORDER BY idx DESC LIMIT 5")
 def latest_contexts(history):
     return C.latest_contexts(history, 5).select("idx", "context")
@@ -139,3 +145,14 @@ def history_affected(history, events):
     c = "'ctx_' || lpad(cast(event_id - event_id % 500 + {} as string), 8, '0')"
     effects = events.selectExpr(f"{c.format(0)} as old_context", f"{c.format(500)} as new_context", "'d' || user_id as dataset_id", "case when event_id % 9 = 0 then 'errors' else 'ok' end as status")
     return R.history_affected(effects, C.history_pairs(history), drop_errors=True)
+
+
+@query("result_plugins", "history events", """WITH p AS (SELECT * FROM (SELECT context AS o, lead(context) OVER (ORDER BY idx) AS n FROM history) WHERE n > o), e AS (SELECT 'ctx_' || lpad(CAST(event_id - event_id % 500 AS STRING), 8, '0') AS o, 'ctx_' || lpad(CAST(event_id - event_id % 500 + 500 AS STRING), 8, '0') AS n, 'd' || user_id AS dataset_id, event_id % 9 AS s FROM events)
+    SELECT e.o AS old_context, e.n AS new_context, CASE WHEN s = 0 THEN 'failed' ELSE 'ok' END AS status, count(*) AS n FROM e JOIN p ON e.o = p.o AND e.n = p.n GROUP BY ALL""")
+def result_plugins(history, events):
+    """What a plug-in is given of the effects of every change."""
+    name = "'ctx_' || lpad(cast({} as string), 8, '0')"
+    effects = events.selectExpr(f"{name.format('event_id - event_id % 500')} as old_context", f"{name.format('event_id - event_id % 500 + 500')} as new_context", "'d' || user_id as dataset_id", "case when event_id % 9 = 0 then 'failed' else 'ok' end as status")
+    seen = []
+    R.process_history(effects, C.history_pairs(history), R.ResultPlugins(log_affected=seen.append))
+    return seen[0]

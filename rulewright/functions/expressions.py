@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,15 +26,41 @@ def _number(params: Column, name: str) -> Column:
     return value_of(params, name).try_cast("double")
 
 
-#: Helpers that expressions may call.
+#: Values of SUBARRAY that mean the full frame, and the keys that describe a subarray (fixed values).
+FULL_FRAME = ["FULL", "GENERIC", "N/A", "ANY", "*"]
+SUBARRAY_KEYS = ["SUBARRAY", "SUBSTRT1", "SUBSTRT2", "SUBSIZE1", "SUBSIZE2"]
+
+
+def _defined(params: Column, *names: str) -> Column:
+    return reduce(and_, (value_of(params, n) != UNDEFINED for n in names))
+
+
+def _listed(params: Column, key: str, names: tuple[str, ...]) -> Column:
+    """All names are in a comma-separated list."""
+    have = F.split(F.upper(value_of(params, key)), r"\s*,\s*")
+    return reduce(and_, (F.array_contains(have, n.upper()) for n in names), F.lit(True))
+
+
+#: Helpers that expressions may call.  What is known of an array NAME stands under NAME.KIND, NAME.SHAPE, NAME.TYPE and NAME.COLUMNS.
 HELPERS: dict[str, Callable[..., Column]] = {
-    "is_full_frame": lambda p: value_of(p, "SUBARRAY").isin("FULL", "GENERIC"),
-    "is_subarray": lambda p: ~value_of(p, "SUBARRAY").isin("FULL", "GENERIC", "N/A", "ANY", "*", UNDEFINED),
-    "is_defined": lambda p, name: value_of(p, name) != UNDEFINED,
-    "has_columns": lambda p, *names: F.forall(F.array(*map(F.lit, names)), lambda n: F.array_contains(F.split(F.upper(value_of(p, "COLUMNS")), ","), F.upper(n))),
+    "is_full_frame": lambda p: value_of(p, "SUBARRAY").isin(FULL_FRAME),
+    "is_subarray": lambda p: ~value_of(p, "SUBARRAY").isin([*FULL_FRAME, UNDEFINED]),
+    "subarray_defined": lambda p: _defined(p, *SUBARRAY_KEYS),
+    "is_defined": lambda p, *names: _defined(p, *names),
+    "has_columns": lambda p, *names: _listed(p, "COLUMNS", names),
+    "array_has_columns": lambda p, array, *names: _listed(p, f"{array}.COLUMNS", names),
+    "has_column_type": lambda p, column, kind: F.upper(value_of(p, f"{column}.TYPE")) == kind.upper(),
     "ndim": lambda p, count: _number(p, "NAXIS") == count,
+    "array_ndim": lambda p, array, count: F.size(F.split(value_of(p, f"{array}.SHAPE"), ",")) == count,
+    "array_exists": lambda p, array: _defined(p, f"{array}.KIND"),
+    "is_table": lambda p, array: value_of(p, f"{array}.KIND") == "TABLE",
+    "is_image": lambda p, array: value_of(p, f"{array}.KIND") == "IMAGE",
+    "has_type": lambda p, array, *kinds: F.upper(value_of(p, f"{array}.TYPE")).isin([k.upper() for k in kinds]),
     "contains": lambda p, name, part: value_of(p, name).contains(part),
+    "one_of": lambda p, name, *values: value_of(p, name).isin(list(values)),
 }
+#: What a condition makes of presence where it holds; ``warn_only`` warns where it does not.
+PRESENCES = {"required": "R", "optional": "O", "warning": "W", "subarray": "S", "full_frame": "F", "all_subarray": "A"}
 
 
 class BadExpression(ValueError):
@@ -89,6 +117,18 @@ def translate(text: str, params: Column) -> Column:
     return condition(tree)
 
 
+def presence_of(text: str, params: Column) -> Column:
+    """Presence letter of a conditional presence: ``condition`` or ``required(condition)`` and the like; O where it does not hold."""
+    try:
+        tree = ast.parse(text.strip(), mode="eval").body
+    except SyntaxError as e:
+        raise BadExpression(text) from e
+    if isinstance(tree, ast.Call) and isinstance(tree.func, ast.Name) and tree.func.id in (*PRESENCES, "warn_only") and len(tree.args) <= 1 and not tree.keywords:
+        holds = F.coalesce(translate(ast.unparse(tree.args[0]), params), F.lit(False)) if tree.args else F.lit(True)
+        return F.when(holds, "R").otherwise("W") if tree.func.id == "warn_only" else F.when(holds, PRESENCES[tree.func.id]).otherwise("O")
+    return F.when(F.coalesce(translate(text, params), F.lit(False)), "R").otherwise("O")
+
+
 def names_in(text: str) -> list[str]:
     """Header keys that an expression reads."""
     tree = ast.parse(text.strip(), mode="eval")

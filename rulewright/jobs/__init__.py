@@ -1 +1 @@
-"""Part of the rulewright library."""
+"""Programs for spark-submit: each reads tables, runs operators and writes tables."""

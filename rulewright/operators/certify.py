@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import names_in, translate
+from ..functions.expressions import FULL_FRAME, BadExpression, names_in, presence_of, translate
 from ..functions.normalize import UNDEFINED, clean_ref_path, date_format_ok, parse_date
 
 FINDING = ["ident", "name", "severity", "message"]
@@ -26,11 +26,35 @@ def with_constraints(headers: DataFrame, constraints: DataFrame) -> DataFrame:
     return headers.join(F.broadcast(constraints), ["instrument", "filekind"]).withColumn("value", _value(F.col("name")))
 
 
-def check_presence(rows: DataFrame) -> DataFrame:
-    """R required, W warn, E excluded, O optional, F full frame only, S subarray only."""
+def _applies(rows: DataFrame) -> Column:
+    """Presence with conditions ``(expression)`` decided per header; O where one cannot be read."""
+    p = F.col("presence")
+    texts = [r.presence for r in rows.where(p.startswith("(")).select("presence").distinct().limit(1001).collect()]
+    if len(texts) > 1000:
+        raise ValueError("more than 1000 presence conditions")
+    out = p
+    for text in texts:
+        try:
+            decided = presence_of(text, F.col("params"))
+        except BadExpression:
+            decided = F.lit("O")
+        out = F.when(p == text, decided).otherwise(out)
+    return F.when(out == "P", "R").otherwise(out)
+
+
+def check_presence(rows: DataFrame, matching: DataFrame | None = None) -> DataFrame:
+    """R and P required, W warn, E excluded, O optional, F full frame only, S subarray only, A with a subarray only, or a condition in parentheses.
+
+    ``matching(instrument, filekind, name)`` are the parameters that rules match by:
+    where they are optional they are required all the same.
+    """
+    rows = rows.withColumn("presence", _applies(rows))
+    if matching is not None:
+        named = F.broadcast(matching.select("instrument", "filekind", "name", F.lit(True).alias("_matching")).distinct())  # a few dozen per type
+        rows = rows.join(named, ["instrument", "filekind", "name"], "left").withColumn("presence", F.when(F.col("_matching") & (F.col("presence") == "O"), "R").otherwise(F.col("presence")))
     here = F.col("value") != UNDEFINED
     sub = _value(F.lit("SUBARRAY"))
-    full = sub.isin("FULL", "GENERIC")
+    full = sub.isin(FULL_FRAME)
     p = F.col("presence")
     needs = (p == "R") | (p == "F") & full | (p == "S") & ~full & (sub != UNDEFINED)
     severity = F.when(needs & ~here, "error").when((p == "E") & here, "error").when((p == "W") & ~here, "warning")
@@ -72,6 +96,35 @@ def check_column_values(table: DataFrame, column: str, allowed: list[str], ident
     return n.select("ident", F.lit(column).alias("name"), F.lit("error").alias("severity"), F.concat("n", F.lit(" cells not allowed")).alias("message"))
 
 
+def check_columns(table: DataFrame, constraints: list[tuple[str, str, str, list[str]]], ident: str = "reference") -> DataFrame:
+    """Cells of several columns against (name, datatype, presence, values), counted per reference in one aggregation.
+
+    Datatypes are those of ``check_allowed_values`` and ``check_numeric``; null cells
+    count as bad.  An absent column is reported where it is required or suggested.
+    """
+    there, counts, missing = [], [], []
+    for name, datatype, presence, values in constraints:
+        if name not in table.columns:
+            if presence in ("R", "P", "W"):
+                missing.append((name, "warning" if presence == "W" else "error"))
+            continue
+        cell, listed = F.trim(F.col(name).cast("string")), F.array(*map(F.lit, values)).cast("array<string>")
+        if datatype in ("I", "R", "D"):
+            good = number_allowed(cell, listed, F.lit(datatype))
+        elif datatype == "L":
+            good = F.upper(cell).isin("T", "F", "TRUE", "FALSE")
+        else:
+            good = F.lit(True) if not values else cell.isin(values) if datatype == "X" else F.upper(cell).isin([v.upper() for v in values])
+        there.append(name)
+        counts.append(F.count_if(~F.coalesce(good, F.lit(False))).alias(f"_n{len(there)}"))
+    n = table.groupBy(F.col(ident).alias("ident")).agg(*(counts or [F.count("*").alias("_n0")]))
+    each = [F.struct(F.lit(name).alias("name"), F.lit("error").alias("severity"), F.concat(F.col(f"_n{k + 1}"), F.lit(" cells not allowed")).alias("message"), (F.col(f"_n{k + 1}") > 0).alias("bad")) for k, name in enumerate(there)]
+    each += [F.struct(F.lit(name).alias("name"), F.lit(severity).alias("severity"), F.lit("column is missing").alias("message"), F.lit(True).alias("bad")) for name, severity in missing]
+    if not each:
+        return n.select("ident", *(F.lit("").alias(c) for c in FINDING[1:])).where(F.lit(False))
+    return n.select("ident", F.explode(F.array(*each)).alias("f")).where("f.bad").select("ident", "f.name", "f.severity", "f.message")
+
+
 def check_expression(headers: DataFrame, name: str, expression: str, warn: bool = False) -> DataFrame:
     """Headers for which a condition fails; one that reads an undefined key is skipped."""
     defined = reduce(lambda c, k: c & (_value(F.lit(k)) != UNDEFINED), names_in(expression), F.lit(True))
@@ -138,6 +191,43 @@ def validate_rules(fields: DataFrame, valid: DataFrame) -> DataFrame:
     return checked.join(valid.select("par", "value").distinct(), ["par", "value"], "left_anti").select(F.concat_ws(":", "rmap", "rule_id").alias("ident"), F.col("par").alias("name"), F.lit("error").alias("severity"), F.concat(F.lit("illegal value: "), "value").alias("message"))
 
 
+#: How the key of a choice is written, by the class of the choice.
+SELECT_KEYS = {"UseAfter": "date", "ClosestTime": "date", "GeometricallyNearest": "number", "Bracket": "number", "VersionAfter": "version", "SelectVersion": "relation"}
+
+
+def validate_rule_keys(rules: DataFrame, headers: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Rules whose keys are not well formed, and rule sets that disagree with their parent.
+
+    ``rules(rmap, rule_id, match_key, select_class, select_key)``, ``headers(rmap,
+    parkey array, instrument, filekind)`` and ``edges(parent, key, child,
+    instrument)``: keys as long as the rule set's parameters, dates, numbers, versions
+    and version relations that can be read, and children of the parent's instrument and
+    of the type they are listed under.
+    """
+    heads = headers.select("rmap", F.size("parkey").alias("_n"))
+    both = rules.join(heads, "rmap", "left")
+    key = F.col("select_key")
+    kind = reduce(lambda c, kv: F.when(F.col("select_class") == kv[0], kv[1]).otherwise(c), SELECT_KEYS.items(), F.lit(None).cast("string"))
+    version = r"^\d+(\.\d+){0,2}[a-z0-9]*$"
+    good = (
+        F.when(kind == "date", parse_date(key).isNotNull())
+        .when(kind == "number", key.try_cast("double").isNotNull())
+        .when(kind == "version", key.rlike(version))
+        .when(kind == "relation", (key == "default") | F.regexp_replace(key, r"^[<=]\s*", "").rlike(version) & key.rlike("^[<=]"))
+        .otherwise(True)
+    )
+    size = F.when(F.col("_n").isNull(), "no header").when(F.size("match_key") != F.col("_n"), "key length differs")
+    form = F.when(~F.coalesce(good, F.lit(False)), F.concat(F.lit("bad "), kind, F.lit(": "), F.coalesce(key, F.lit("nothing"))))
+    each = both.select(F.concat_ws(":", "rmap", "rule_id").alias("ident"), F.explode(F.array(F.struct(F.lit("match_key").alias("name"), size.alias("message")), F.struct(F.lit("select_key").alias("name"), form.alias("message")))).alias("f"))
+    out = each.where("f.message is not null").select("ident", "f.name", F.lit("error").alias("severity"), "f.message")
+    if edges is None:
+        return out
+    child = headers.select(F.col("rmap").alias("child"), F.col("instrument").alias("_i"), F.col("filekind").alias("_k"))
+    differs = F.when(F.col("_i") != F.col("instrument"), "instrument differs from the parent's").when(F.col("_k") != F.col("key"), "type differs from its place")
+    nested = edges.join(child, "child").withColumn("message", differs).where("message is not null")
+    return out.unionByName(nested.select(F.col("child").alias("ident"), F.lit("parent").alias("name"), F.lit("error").alias("severity"), "message"))
+
+
 def valid_values(constraints: DataFrame) -> DataFrame:
     """Legal values per (instrument, name) over all types; integer ranges are expanded, ANY and N/A left out."""
     each = constraints.select("instrument", "name", F.explode_outer("values").alias("v"))

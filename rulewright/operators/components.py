@@ -47,15 +47,18 @@ def name_agreement(a: DataFrame, b: DataFrame, known_a: DataFrame | None = None,
 
 
 def graph_reachable(edges: DataFrame, start: int) -> DataFrame:
-    """Nodes that ``edges(innode, outnode)`` reach from ``start``: the frontier joins the edges, what was seen is left out."""
+    """Nodes that ``edges(innode, outnode)`` reach from ``start``: the frontier joins the edges, what was seen is left out.
+
+    Each level is stored once, as a part of what was seen.
+    """
     links = edges.select("innode", "outnode").distinct()
     seen = frontier = edges.sparkSession.createDataFrame([(start,)], "node long")
     while True:
         found = frontier.join(links, frontier["node"] == links["innode"]).select(F.col("outnode").cast("long").alias("node")).distinct()
-        frontier = stored(found.join(seen, "node", "left_anti"), "frontier")
+        frontier = stored(found.join(seen, "node", "left_anti"), "level")
         if frontier.isEmpty():
             return seen
-        seen = stored(seen.union(frontier), "seen")
+        seen = seen.union(frontier)
 
 
 def unreachable_rows(edges: DataFrame, start: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,10 +124,27 @@ def auto_cutoffs(old: DataFrame, new: DataFrame) -> DataFrame:
     return changed.groupBy("instrument").agg(F.min("useafter").alias("cutoff"))
 
 
-def history_pairs(history: DataFrame, start: int | None = None, stop: int | None = None) -> DataFrame:
-    """Consecutive (old, new) contexts between two indices; steps backward are skipped.  A history has a row per change."""
-    rows = history if start is None else history.where(F.col("idx") >= start)
-    rows = rows if stop is None else rows.where(F.col("idx") <= stop)
+def history_index(history: DataFrame, point: int | str) -> int | None:
+    """The index that an endpoint names: an index, a date (the first change from then on) or a part of a context's name."""
+    if isinstance(point, int):
+        return point
+    if re.match(r"^\d{4}-\d\d-\d\d", point):
+        found = history.where(F.col("start_date") >= F.lit(point).cast("timestamp"))
+    else:
+        found = history.where(F.col("context").contains(point))
+    return found.agg(F.min("idx")).first()[0]
+
+
+def history_pairs(history: DataFrame, start: int | str | None = None, stop: int | str | None = None) -> DataFrame:
+    """Consecutive (old, new) contexts between two endpoints; steps backward are skipped.  A history has a row per change.
+
+    Endpoints are indices, dates or parts of context names; one that names nothing gives no pairs.
+    """
+    rows = history
+    for point, later in ((start, True), (stop, False)):
+        if point is not None:
+            k = history_index(history, point)
+            rows = rows.where(F.lit(False)) if k is None else rows.where(F.col("idx") >= k if later else F.col("idx") <= k)
     pairs = rows.select(F.col("idx"), F.col("context").alias("old_context"), F.lead("context").over(W.orderBy("idx")).alias("new_context"))
     return pairs.where("new_context > old_context")
 

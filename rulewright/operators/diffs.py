@@ -82,17 +82,22 @@ def duplicate_keys(rules: DataFrame, key: list[str]) -> DataFrame:
 def ambiguous_rules(rules: DataFrame) -> DataFrame:
     """Pairs of rules of a rule set of which one's key covers the other's at equal weight: fields equal or one of both N/A.
 
-    The self join stays inside a rule set, which has hundreds to thousands of rules
-    whatever the number of datasets.
+    A rule set has few masks, that is sets of N/A fields.  For each pair of masks of one
+    weight, keys are stripped of the fields that either leaves open and joined by
+    equality, so only pairs that are ambiguous ever meet.
     """
-    n = F.size(F.filter("match_key", lambda k: k["pattern"] != "N/A"))
-    r = rules.select("rmap", "rule_id", "match_key", n.alias("weight"), F.col("match_key")[0]["pattern"].alias("first"))
-    a = r.select("rmap", F.col("rule_id").alias("rule_a"), F.col("match_key").alias("key_a"), F.col("weight").alias("wa"), F.col("first").alias("fa"))
-    b = r.select("rmap", F.col("rule_id").alias("rule_b"), F.col("match_key").alias("key_b"), F.col("weight").alias("wb"), F.col("first").alias("fb"))
-    agree = F.forall(F.zip_with("key_a", "key_b", lambda x, y: (x["pattern"] == y["pattern"]) | (x["pattern"] == "N/A") | (y["pattern"] == "N/A")), lambda ok: ok)
-    first = (F.col("fa") == F.col("fb")) | (F.col("fa") == "N/A") | (F.col("fb") == "N/A")
-    both = a.withColumnRenamed("wa", "weight").join(b.withColumnRenamed("wb", "weight"), ["rmap", "weight"]).where(first & (F.col("rule_a") < F.col("rule_b")))
-    return both.where(agree).select("rmap", "rule_a", "rule_b")
+    mask = F.array_join(F.transform("match_key", lambda k: F.when(k["pattern"] == "N/A", "0").otherwise("1")), "")
+    r = rules.select("rmap", "rule_id", F.transform("match_key", lambda k: k["pattern"]).alias("key"), mask.alias("mask"))
+    masks = r.select("rmap", "mask").distinct().withColumn("weight", F.length(F.replace("mask", F.lit("0"), F.lit(""))))
+    pairs = masks.withColumnRenamed("mask", "mask_a").join(masks.withColumnRenamed("mask", "mask_b"), ["rmap", "weight"]).select("rmap", "mask_a", "mask_b")
+
+    def side(name: str) -> DataFrame:
+        own = r.withColumnsRenamed({"mask": f"mask_{name}", "rule_id": f"rule_{name}"}).join(pairs, ["rmap", f"mask_{name}"])
+        both = F.transform(F.col("key"), lambda x, i: F.when((F.substring("mask_a", i + 1, F.lit(1)) == "1") & (F.substring("mask_b", i + 1, F.lit(1)) == "1"), x).otherwise("N/A"))
+        return own.select("rmap", "mask_a", "mask_b", f"rule_{name}", both.alias("common"))
+
+    found = side("a").join(side("b"), ["rmap", "mask_a", "mask_b", "common"]).where("rule_a < rule_b")
+    return found.select("rmap", "rule_a", "rule_b")
 
 
 def check_modifications(diffs: DataFrame, expected: list[str]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -137,3 +140,34 @@ def history_affected(effects: DataFrame, pairs: DataFrame, drop_errors: bool = F
     """Distinct ids affected by any of the context changes; runs with errors are kept unless dropped."""
     rows = effects.join(F.broadcast(pairs), ["old_context", "new_context"], "left_semi")  # one row per change of context
     return (rows.where("status = 'ok'") if drop_errors else rows).select("dataset_id").distinct()
+
+
+@dataclass(frozen=True)
+class ResultPlugins:
+    """What to do with the results of a piece of history; each is called with one DataFrame."""
+
+    use_affected: Callable[[DataFrame], None] | None = None
+    log_affected: Callable[[DataFrame], None] | None = None
+    use_all_ids: Callable[[DataFrame], None] | None = None
+    log_all_ids: Callable[[DataFrame], None] | None = None
+
+
+def process_history(effects: DataFrame, pairs: DataFrame, plugins: ResultPlugins, drop_errors: bool = False) -> DataFrame:
+    """Distinct ids affected by the changes ``pairs``, after the plug-ins have seen them.
+
+    ``use_affected`` gets the effects of the changes, ``log_affected`` their number per
+    change and status, ``use_all_ids`` the distinct ids and ``log_all_ids`` one row with
+    the number of changes that contributed and of ids.
+    """
+    rows = effects.join(F.broadcast(pairs), ["old_context", "new_context"], "left_semi")  # one row per change of context
+    if plugins.log_affected:
+        plugins.log_affected(rows.groupBy("old_context", "new_context", "status").agg(F.count("*").alias("n")))
+    rows = rows.where("status = 'ok'") if drop_errors else rows
+    ids = history_affected(effects, pairs, drop_errors)
+    if plugins.use_affected:
+        plugins.use_affected(rows)
+    if plugins.use_all_ids:
+        plugins.use_all_ids(ids)
+    if plugins.log_all_ids:
+        plugins.log_all_ids(rows.agg(F.countDistinct("old_context", "new_context").alias("changes"), F.countDistinct("dataset_id").alias("ids")))
+    return ids

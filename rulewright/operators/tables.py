@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -47,8 +47,23 @@ def mode_product(table: DataFrame, keys: list[str]) -> DataFrame:
     return reduce(lambda x, y: x.crossJoin(y), lists)
 
 
-def mode_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Per mode of the product of both tables' values: rows in a and in b, where one lacks it or has it twice or they differ in number."""
+def _chosen(table: DataFrame, only: dict[str, list] | None) -> DataFrame:
+    """Rows whose mode values are among the listed ones."""
+    return reduce(lambda df, kv: df.where(F.col(kv[0]).isin(kv[1])), (only or {}).items(), table)
+
+
+def changed_modes(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], only: dict[str, list] | None = None) -> DataFrame:
+    """Modes that both tables have once, with other values: old_ and new_ columns."""
+    once = [first_of_duplicates(_chosen(t, only), keys).where("n_rows = 1") for t in (a, b)]
+    return changed_rows(once[0], once[1], keys, values)
+
+
+def mode_diff(a: DataFrame, b: DataFrame, keys: list[str], only: dict[str, list] | None = None) -> DataFrame:
+    """Per mode of the product of both tables' values: rows in a and in b, where one lacks it or has it twice or they differ in number.
+
+    ``only`` limits the values of mode columns.
+    """
+    a, b = _chosen(a, only), _chosen(b, only)
     both = a.select(*keys).unionAll(b.select(*keys))
     na = a.groupBy(*keys).agg(F.count("*").alias("n_a"))
     nb = b.groupBy(*keys).agg(F.count("*").alias("n_b"))
@@ -80,8 +95,51 @@ def mode_select(table: DataFrame, constraints: dict[str, str]) -> DataFrame:
     return reduce(lambda df, kv: df.where(mode_matches(F.col(kv[0]), F.lit(kv[1]))), constraints.items(), table)
 
 
-#: Types and the header keys that select their rows; a type that is not here always needs reprocessing.
-MODE_FIELDS: dict[str, list[str]] = {"table": ["mode_a", "mode_b"]}
+#: References that are no tables; an update from or to one is always kept.
+SPECIAL = r"(?i)^(n/a|undefined|not found)"
+REGISTRY = "instrument string, filekind string, fields array<string>"
+
+
+def mode_registry(spark: SparkSession, fields: dict[tuple[str, str], list[str] | None]) -> DataFrame:
+    """Which header keys select the rows of a type's tables; None where a change always matters."""
+    return spark.createDataFrame([(i, k, f) for (i, k), f in fields.items()], REGISTRY)
+
+
+def effective_updates(updates: DataFrame, rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """Updates whose change of tables matters to the dataset.
+
+    ``updates(dataset_id, instrument, filekind, old_reference, new_reference, params)``
+    and ``rows(reference, cells map<string,string>)``, one per table row.  An update is
+    dropped if the rows that the dataset's mode values select are the same multiset in
+    both tables.  It is kept in any other case: a special reference on either side, a
+    type that the registry lacks or marks as always, a mode value missing in the
+    header, tables with other columns or without rows.  Each distinct (pair, mode
+    values) is decided once, by counts and sums of hashes that combine before the shuffle.
+    """
+    pair = ["old_reference", "new_reference"]
+    named = updates.join(F.broadcast(registry), ["instrument", "filekind"], "left")  # a row per type
+    value = F.transform("fields", lambda f: F.coalesce(F.try_element_at("params", f), F.lit("UNDEFINED")))
+    named = named.withColumn("values", value)
+    known = F.col("fields").isNotNull() & (F.size("fields") > 0) & ~F.array_contains("values", "UNDEFINED")
+    known = known & ~F.col("old_reference").rlike(SPECIAL) & ~F.col("new_reference").rlike(SPECIAL)
+    cases = named.where(known).select(*pair, "fields", "values").distinct()
+    names = rows.groupBy("reference").agg(F.min(F.array_sort(F.map_keys("cells"))).alias("low"), F.max(F.array_sort(F.map_keys("cells"))).alias("high"))
+    names = names.where("low = high").select("reference", F.col("low").alias("names"))
+    for side in ("old", "new"):
+        cases = cases.join(names.withColumnsRenamed({"reference": f"{side}_reference", "names": f"{side}_names"}), f"{side}_reference")
+    # Columns alike on both sides, and the mode fields among them.
+    cases = cases.where((F.col("old_names") == F.col("new_names")) & F.forall("fields", lambda f: F.array_contains("old_names", f))).drop("old_names", "new_names")
+    text = F.xxhash64(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("cells")))))
+
+    def selected(side: str) -> DataFrame:
+        t = rows.select(F.col("reference").alias(f"{side}_reference"), "cells", text.alias("h"))
+        fits = F.forall(F.arrays_zip("fields", "values"), lambda z: mode_matches(F.try_element_at("cells", z["fields"]), z["values"]))
+        both = cases.join(t, f"{side}_reference").where(fits)
+        return both.groupBy(*pair, "fields", "values").agg(F.count("*").alias(f"n_{side}"), F.sum(F.col("h").cast("decimal(38,0)")).alias(f"s_{side}"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias(f"q_{side}"))
+
+    key = [*pair, "fields", "values"]
+    same = selected("old").join(selected("new"), key).where("n_old = n_new and s_old = s_new and q_old = q_new").select(*key)
+    return named.join(same, key, "left_anti").select(*updates.columns)
 
 
 def reprocessing_required(updates: DataFrame, rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -60,19 +60,23 @@ def parse_id_list(lines: DataFrame) -> DataFrame:
     return words.where("word <> ''")
 
 
-def read_id_list(spark: SparkSession, path: str, depth: int = 5) -> DataFrame:
-    """An id list with nested ``@file`` words, one pass per level; their number per level is small and checked."""
-    words = parse_id_list(spark.read.text(path))
+def read_id_list(spark: SparkSession, path: str) -> DataFrame:
+    """An id list with nested ``@file`` words, one pass per level; a list is read once however often it is named.
+
+    The names of lists on one level come to the driver: more than 1,000 are an error.
+    """
+    words, known = parse_id_list(spark.read.text(path)), {path}
     out = words.where("word not like '@%'")
-    for _ in range(depth):
-        nested = [r.word[1:] for r in words.where("word like '@%'").distinct().limit(1001).collect()]
-        if not nested:
-            return out
-        if len(nested) > 1000:
+    while True:
+        names = {r.word[1:] for r in words.where("word like '@%'").distinct().limit(1001).collect()}
+        if len(names) > 1000:
             raise ValueError("more than 1000 nested lists on one level")
-        words = parse_id_list(spark.read.text(nested))
+        new = sorted(names - known)
+        if not new:
+            return out
+        known |= names
+        words = parse_id_list(spark.read.text(new))
         out = out.union(words.where("word not like '@%'"))
-    return out
 
 
 def catalog_query(catalog: DataFrame, sql: str) -> DataFrame:
