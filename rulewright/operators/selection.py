@@ -75,7 +75,8 @@ def weighted_match(headers: DataFrame, rules: DataFrame, parameters: list[str] |
     """
     names = parameters or rule_parameters(rules)
     keyed = parameter_tuples(headers, names)
-    fit = key_matches(keyed.select("rmap", "tuple").distinct(), rules.select("rmap", "match_key").distinct(), names)
+    tuples = stored(keyed.select("rmap", "tuple").distinct(), "tuples")
+    fit = key_matches(tuples, rules.select("rmap", "match_key").distinct(), names)
     return keyed.join(fit.join(rules, ["rmap", "match_key"]), ["rmap", "tuple"]).drop("tuple")
 
 
@@ -109,7 +110,7 @@ def reference_steps(tuples: DataFrame, rules: DataFrame, parameters: list[str])
     group whose dates are all later falls through to the next weight.  One more row
     per tuple, marked ``unknown``, holds what an unknown exposure time gets.
     """
-    found = tuple_candidates(tuples, rules, parameters)
+    found = stored(tuple_candidates(tuples, rules, parameters), "candidates")
     key = ["rmap", "tuple"]
     steps = running_best(found, key, "useafter", ["weight"]).select(*key, "low", "high", "reference", F.lit(False).alias("unknown"))
     dateless = F.max_by("reference", F.struct("weight", "reference")).alias("reference")
@@ -128,7 +129,8 @@ def best_reference(datasets: DataFrame, rules: DataFrame, parameters: list[str])
     exposure time is an error text unless no rule of the tuple has a date.
     """
     keyed = parameter_tuples(datasets, parameters)
-    steps = reference_steps(keyed.select("rmap", "tuple").distinct(), rules, parameters)
+    tuples = stored(keyed.select("rmap", "tuple").distinct(), "tuples")
+    steps = reference_steps(tuples, rules, parameters)
     both = span_join(keyed, steps, ["rmap", "tuple"], "exptime")
     return both.withColumn("reference", F.coalesce("reference", F.lit(NOT_FOUND))).drop("tuple")
 
