@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from .common import _powers, groups_of_rows, mix, text_bytes
 
 #: Bytes of fragments and ids that a task remembers before it forgets all of them, and the longest fragment remembered.
-REMEMBERED, LONGEST = 64 << 20, 64
+REMEMBERED, LONGEST = 40 << 20, 64
+#: Bytes of texts that are parted together; each takes some 120 bytes of memory meanwhile.
+BLOCK = 1 << 19
 #: A longer text is taken in parts of about this many bytes, where a part can begin on its own.
-PART = 4 << 20
+PART = 1 << 20
 _LETTER, _DIGIT, _OTHER, _SPACE, _UNKNOWN = range(5)
 #: What follows an apostrophe that begins a part of its own (fixed values of the byte-level rule).
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -44,7 +46,10 @@ def token_bytes(path: str) -> list[bytes]:
     """The bytes of every id of a byte-level tokenizer file."""
     from tokenizers import Tokenizer
 
-    vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+    return _token_bytes(Tokenizer.from_file(path).get_vocab(with_added_tokens=True))
+
+
+def _token_bytes(vocabulary: dict[str, int]) -> list[bytes]:
     byte = {c: b for b, c in enumerate(byte_symbols())}
     out = [b""] * (max(vocabulary.values()) + 1)
     for token, i in vocabulary.items():
@@ -80,12 +85,15 @@ class Fragmenter:
         if any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
             raise ValueError("added tokens that take their surroundings in are not known")
         self.added = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
-        self.rule = Tokenizer.from_file(path).pre_tokenizer
-        # Of the file only the merges are left: fragments come as byte symbols.
-        spec |= {"pre_tokenizer": None, "post_processor": None, "added_tokens": [], "truncation": None, "padding": None}
-        self.merges = Tokenizer.from_str(json.dumps(spec))
+        del spec
+        self.merges = Tokenizer.from_file(path)
+        self.rule = self.merges.pre_tokenizer
+        self.free = never_adjacent(_token_bytes(self.merges.get_vocab(with_added_tokens=True)))
+        # Only the merges are left to it: fragments come as byte symbols.
+        self.merges.pre_tokenizer = None
+        self.merges.no_truncation()
+        self.merges.no_padding()
         self.encode = getattr(self.merges, "encode_batch_fast", self.merges.encode_batch)
-        self.free = never_adjacent(token_bytes(path))
         self.symbols = np.array([ord(c) for c in byte_symbols()], np.uint16)
         self.kinds = np.full(0x110000, _UNKNOWN, np.uint8)
         self.known: dict[bytes, bytes] = {}  # fragment to its ids, four bytes each
@@ -252,7 +260,7 @@ def encoded(text: Column, path: str) -> Column:
         for column in columns:
             data, offsets = text_bytes(column)
             flat, lengths = [], []
-            for i, j in groups_of_rows(offsets):
+            for i, j in groups_of_rows(offsets, BLOCK):
                 part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 if j == i + 1 and len(part) > PART:
                     found = list(fragmenter.long_text(part))
@@ -285,13 +293,13 @@ def decoded(ids: Column, path: str) -> Column:
         for column in columns:
             rows = np.array(column.value_lengths().fill_null(0), np.int64)
             values = column.flatten()
-            given = np.array(values.fill_null(-1), np.int64)
+            given = np.array(values.fill_null(-1), np.int32)
             given[(given < 0) | (given >= len(tokens))] = len(tokens)
             bounds = np.concatenate([[0], np.cumsum(rows)])
             out: list[pa.Array] = []
             i = 0
-            while i < len(rows):  # about a million ids at a time
-                j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + (1 << 20), "right")) - 1)
+            while i < len(rows):  # a quarter of a million ids at a time, about
+                j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + (1 << 18), "right")) - 1)
                 part = given[bounds[i] : bounds[j]]
                 count = size[part]
                 ends = np.concatenate([[0], np.cumsum(count)])
