@@ -360,6 +360,13 @@ def check_lookup_filenames(supplier):
     return G.check_lookup_filenames(supplier.select(F.col("s_name").alias("compname"), F.lit("x").alias("filename")), PREFIXES)
 
 
+@query("parametrised_filenames", "part", """WITH c AS (SELECT p_partkey, 'lens' || p_partkey || CASE p_partkey % 5 WHEN 0 THEN '_MJD' WHEN 1 THEN '_aper' WHEN 2 THEN '_th' ELSE '' END AS compname FROM part)
+    SELECT compname, 'x' AS filename, 'cam$' || compname || CASE WHEN p_partkey % 5 = 2 THEN '' ELSE '_syn' END || '.fits' || CASE WHEN p_partkey % 5 = 0 THEN '[mjd#]' WHEN p_partkey % 5 = 1 THEN '[aper#]' WHEN p_partkey = 13 THEN '[cont#]' ELSE '' END AS expected FROM c""")
+def parametrised_filenames(part):
+    names = part.selectExpr("'lens' || p_partkey || case p_partkey % 5 when 0 then '_MJD' when 1 then '_aper' when 2 then '_th' else '' end as compname", "'x' as filename")
+    return G.check_lookup_filenames(names, {"lens": "cam"}, named={"lens13": "cont#"})
+
+
 @query("name_agreement", "supplier", "SELECT s_name AS name, 'a' AS side FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0 UNION SELECT s_name, 'b' FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 2 <> 0")
 def name_agreement(supplier):
     n = supplier.select(F.col("s_name").alias("name"), "s_suppkey")

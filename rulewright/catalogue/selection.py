@@ -364,6 +364,25 @@ def applicable_types(datasets):
     return S.applicable_types(datasets.select("dataset_id", F.col("priority").alias("exp_type")), patterns, steps, types).select("dataset_id", "filekind")
 
 
+@query("types_by_config", "datasets", """WITH d AS (SELECT dataset_id, priority, qty, flag, CASE WHEN qty < '3' THEN 'old' ELSE 'new' END AS config FROM datasets),
+    p AS (SELECT *, 1 AS level, CASE WHEN priority LIKE '1-%' THEN 'fast' ELSE 'plain' END AS pipe FROM d UNION ALL SELECT *, 2, 'deep' FROM d WHERE priority LIKE '%-HIGH'),
+    r AS (SELECT *, CASE WHEN config = 'new' AND flag NOT IN ('A', 'N') AND pipe = 'plain' THEN 'deep' WHEN config = 'old' AND flag = 'N' AND pipe = 'fast' THEN 'plain' ELSE pipe END AS pipeline FROM p),
+    s AS (SELECT dataset_id, priority, config, step FROM r JOIN (VALUES ('fast', 's1'), ('plain', 's1'), ('plain', 's2'), ('deep', 's3')) v(pl, step) ON pl = pipeline)
+    SELECT DISTINCT dataset_id, priority AS exp_type, config, CASE step WHEN 's1' THEN 'bias' WHEN 's2' THEN config || 'dark' WHEN 's3' THEN CASE WHEN priority LIKE '%LOW' THEN 'sky' ELSE 'flat' END END AS filekind FROM s""")
+def types_by_config(datasets):
+    """Two configs by calibration version, with exceptions of pipelines and steps."""
+    spark = datasets.sparkSession
+    rows = datasets.select("dataset_id", F.col("priority").alias("exp_type"), F.when(F.col("qty") < "3", "1.9.9").otherwise("2.10.0").alias("cal_ver"), F.create_map(F.lit("FLAG"), "flag").alias("params"))
+    versions = spark.createDataFrame([("1.10", "old"), ("2.9.1", "new")], "first_version string, config string")
+    both = lambda made: [(c, *r) for c in ("old", "new") for r in made(c)]
+    patterns = spark.createDataFrame(both(lambda c: [(1, 1, "1-*", "fast"), (1, 2, "*", "plain"), (2, 1, "*-HIGH", "deep")]), "config string, level int, ordinal int, pattern string, pipeline string")
+    exceptions = spark.createDataFrame([("new", "flag", None, ["A", "N"], None, {"plain": "deep"}), ("old", "flag", None, None, ["N.*"], {"fast": "plain"})], "config string, param string, default_missing string, dont_replace array<string>, do_replace array<string>, replacements map<string,string>")
+    steps = spark.createDataFrame(both(lambda c: [("fast", "s1"), ("plain", "s1"), ("plain", "s2"), ("deep", "s3")]), "config string, pipeline string, step string")
+    types = spark.createDataFrame(both(lambda c: [("s1", "bias"), ("s2", f"{c}dark"), ("s3", "never")]), "config string, step string, filekind string")
+    special = spark.createDataFrame(both(lambda c: [("s3", 1, "*LOW", ["sky"]), ("s3", 2, "*", ["flat"])]), "config string, step string, ordinal int, pattern string, filekinds array<string>")
+    return S.types_by_config(rows, versions, patterns, exceptions, steps, types, special)
+
+
 @query("selected_types", "datasets", "SELECT DISTINCT instrument, priority AS filekind FROM datasets WHERE (instrument, priority) IN (SELECT (instrument, priority) FROM datasets WHERE qty = '7.0') AND priority <> '5-LOW'")
 def selected_types(datasets):
     all_types = datasets.select("instrument", F.col("priority").alias("filekind")).distinct()

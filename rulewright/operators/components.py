@@ -29,13 +29,30 @@ def component_instrument(name: Column, prefixes: dict[str, str]) -> Column:
     return out
 
 
-def lookup_filename(name: Column, prefixes: dict[str, str], thermal: str = "_th", suffix: str = "_syn") -> Column:
-    """Expected file stem: instrument, component, and a suffix that thermal components have their own of."""
-    return F.concat(component_instrument(name, prefixes), F.lit("$"), name, F.when(name.endswith(thermal), "").otherwise(suffix), F.lit(".fits"))
+#: Ends of component names and the keyword that their tables are parametrised by (fixed values).
+PARAMETER_ENDS = {"_mjd": "mjd#", "_m": "mjd#", "_aper": "aper#"}
+
+
+def parameter_keyword(name: Column, named: dict[str, str] | None = None) -> Column:
+    """Keyword of a parametrised component: by the end of its name, else by the name itself; null where it has none."""
+    low = F.lower(name)
+    out = F.lit(None).cast("string")
+    for component, keyword in (named or {}).items():
+        out = F.when(low == component, keyword).otherwise(out)
+    for end, keyword in PARAMETER_ENDS.items():
+        out = F.when(low.endswith(end), keyword).otherwise(out)
+    return out
+
+
+def lookup_filename(name: Column, prefixes: dict[str, str], thermal: str = "_th", suffix: str = "_syn", named: dict[str, str] | None = None) -> Column:
+    """Expected entry: instrument, component, a suffix that thermal components have their own of, and the keyword in brackets if parametrised."""
+    keyword = parameter_keyword(name, named)
+    stem = F.concat(component_instrument(name, prefixes), F.lit("$"), name, F.when(name.endswith(thermal), "").otherwise(suffix), F.lit(".fits"))
+    return F.concat(stem, F.coalesce(F.concat(F.lit("["), keyword, F.lit("]")), F.lit("")))
 
 
-def check_lookup_filenames(lookup: DataFrame, prefixes: dict[str, str]) -> DataFrame:
-    return lookup.withColumn("expected", lookup_filename(F.col("compname"), prefixes)).where("filename <> expected").select("compname", "filename", "expected")
+def check_lookup_filenames(lookup: DataFrame, prefixes: dict[str, str], named: dict[str, str] | None = None) -> DataFrame:
+    return lookup.withColumn("expected", lookup_filename(F.col("compname"), prefixes, named=named)).where("filename <> expected").select("compname", "filename", "expected")
 
 
 def name_agreement(a: DataFrame, b: DataFrame, known_a: DataFrame | None = None, known_b: DataFrame | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hooks import apply_hooks, hooked
-from ..functions.normalize import UNDEFINED
+from ..functions.normalize import UNDEFINED, version_key
 from ..functions.patterns import match_status
 from ..sources.scratch import stored
 from .steps import last_not_after, neighbours, running_best, span_join
@@ -346,6 +346,72 @@ def applicable_types(datasets: DataFrame, patterns: DataFrame, steps: DataFrame,
     return datasets.join(_small(need), "exp_type")
 
 
+def with_config(datasets: DataFrame, versions: DataFrame) -> DataFrame:
+    """``datasets(cal_ver, ...)`` with the config of the latest ``versions(first_version, config)`` not above it, or the earliest one."""
+    rows = datasets.withColumn("_v", version_key(F.col("cal_ver")))
+    points = versions.select(version_key(F.col("first_version")).alias("_p"), "config").withColumn("_all", F.lit(1))
+    found = last_not_after(rows.withColumn("_all", F.lit(1)), points, ["_all"], "_c", F.col("_v"), F.col("_p"), F.struct("_p", "config"))
+    least = points.agg(F.min_by("config", "_p")).first()[0]
+    return found.select(*datasets.columns, F.coalesce(F.col("_c.config"), F.lit(least)).alias("config"))
+
+
+def replaced_pipeline(pipeline: Column, exceptions: list, value: Callable[[str, str], Column]) -> Column:
+    """A pipeline after a config's exceptions, in their order.
+
+    An exception names a parameter, patterns of values that keep the pipeline
+    (``dont_replace``) or change it (``do_replace``), and what takes whose place.
+    """
+    out = pipeline
+    for e in exceptions:
+        v = value(e.param, e.default_missing or UNDEFINED)
+
+        def fits(pattern: str, v: Column = v) -> Column:
+            return v.rlike(f"^(?:{pattern})$")
+
+        def put(c: Column, e=e) -> Column:
+            return reduce(lambda o, kv: F.when(c == kv[0], kv[1]).otherwise(o), (e.replacements or {}).items(), c)
+
+        changed = out
+        if e.dont_replace:
+            changed = F.when(~reduce(lambda x, y: x | y, map(fits, e.dont_replace)), put(changed)).otherwise(changed)
+        for pattern in e.do_replace or []:
+            changed = F.when(fits(pattern), put(changed)).otherwise(changed)
+        out = F.when(F.col("config") == e.config, changed).otherwise(out)
+    return out
+
+
+def types_by_config(datasets: DataFrame, versions: DataFrame, patterns: DataFrame, exceptions: DataFrame, steps: DataFrame, types: DataFrame, step_exceptions: DataFrame) -> DataFrame:
+    """Types that datasets(dataset_id, exp_type, cal_ver, params) need by the config of their calibration version.
+
+    Of ``patterns(config, level, ordinal, pattern, pipeline)`` the first that fits the
+    exposure type counts on each level; ``exceptions(config, param, default_missing,
+    dont_replace, do_replace, replacements)`` put other pipelines in place;
+    ``steps(config, pipeline, step)`` and ``types(config, step, filekind)`` lead to the
+    types, but for steps with ``step_exceptions(config, step, ordinal, pattern,
+    filekinds)``, of which the first that fits counts.  Config tables have a few hundred
+    rows; each distinct combination of what they read is worked out once.
+    """
+    listed = exceptions.orderBy("config", "param").limit(1001).collect()
+    if len(listed) > 1000:
+        raise ValueError("more than 1000 pipeline exceptions")
+    names = sorted({e.param for e in listed})
+    read = [F.try_element_at("params", F.lit(n.upper())).alias(f"_x_{n}") for n in names]
+    keyed = with_config(datasets, versions).select("dataset_id", "exp_type", "config", *read)
+    kinds = stored(keyed.drop("dataset_id").distinct(), "kinds")
+    marks = ["exp_type", "config", *(f"_x_{n}" for n in names)]
+    fits = match_status(F.col("exp_type"), F.col("pattern")) == 1
+    levels = kinds.join(patterns, "config").where(fits).groupBy(*marks, "level").agg(F.min_by("pipeline", "ordinal").alias("pipeline"))
+    value = lambda name, default: F.coalesce(F.col(f"_x_{name}"), F.lit(default))
+    levels = levels.withColumn("pipeline", replaced_pipeline(F.col("pipeline"), listed, value))
+    need = levels.join(steps, ["config", "pipeline"]).select(*marks, "step").distinct()
+    special = step_exceptions.select("config", "step").distinct()
+    plain = need.join(special, ["config", "step"], "left_anti").join(types, ["config", "step"]).select(*marks, "filekind")
+    first = need.join(step_exceptions, ["config", "step"]).where(fits).groupBy(*marks, "step").agg(F.min_by("filekinds", "ordinal").alias("f"))
+    out = stored(plain.union(first.select(*marks, F.explode("f").alias("filekind"))).distinct(), "need")
+    same = reduce(and_, (keyed[m].eqNullSafe(out[m]) for m in marks))
+    return keyed.join(_small(out), same).select(keyed["dataset_id"], keyed["exp_type"], keyed["config"], "filekind")
+
+
 def selected_types(applicable: DataFrame, changed: DataFrame | None = None, asked: list[str] | None = None, skipped: list[str] = ()) -> DataFrame:
     """Types to process: those changed between contexts, or those asked for, or all that apply; never the skipped ones."""
     out = applicable
