@@ -108,7 +108,7 @@ h AS (SELECT page_id, regexp_extract(url, '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([
              regexp_extract(url, '^[a-z][a-z0-9+.-]*://[^/?#]*(/[^/?#]+)', 1) AS part FROM p),
 k AS (SELECT host AS key, min(page_id) AS m FROM h WHERE host <> '' GROUP BY host
       UNION ALL SELECT regexp_replace(host, '^[^.]*[.]', '') AS key, min(page_id) AS m FROM h WHERE host LIKE '%.%.%' GROUP BY 1
-      UNION ALL SELECT concat(host, part) AS key, min(page_id) AS m FROM h WHERE host <> '' AND part <> '' AND page_id % 3 = 0 GROUP BY 1),
+      UNION ALL SELECT concat(host, part) AS key, min(page_id) AS m FROM h WHERE host <> '' AND part <> '' GROUP BY 1),
 e AS (SELECT key, min(m) AS m FROM k GROUP BY key),
 n AS (SELECT key, m, 0 AS i, CASE WHEN m % 2 = 0 THEN 'block' ELSE 'allow' END AS action, m % 50 AS day FROM e
       UNION ALL SELECT key, m, 1 AS i, 'off' AS action, m % 50 + 20 + m % 31 AS day FROM e
@@ -122,8 +122,7 @@ OP10_SQL = (
 v AS (SELECT key, action, day AS f, lead(day) OVER (PARTITION BY key ORDER BY day) AS t FROM n),
 c AS (SELECT page_id, url, (page_id * 37) % 576000 AS minute, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1) AS host,
              regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*(/[^/?#]+)', 1) AS part FROM pages),
-s AS (SELECT page_id, minute, array_to_string(string_split(host, '.')[i:], '.') AS key FROM c, range(1, 20) r(i)
-      WHERE host <> '' AND i <= greatest(1, len(string_split(host, '.')) - 1)
+s AS (SELECT page_id, minute, array_to_string(string_split(host, '.')[i:], '.') AS key FROM (SELECT *, unnest(range(1, greatest(1, len(string_split(host, '.')) - 1) + 1)) AS i FROM c WHERE host <> '')
       UNION ALL SELECT page_id, minute, host || part FROM c WHERE host <> '' AND part <> ''),
 b AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY length(v.key) DESC, v.key DESC) AS o, v.key, v.action, v.f, v.t
       FROM s JOIN v ON s.key = v.key AND v.action <> 'off' AND minute >= v.f * 1440 AND (v.t IS NULL OR minute < v.t * 1440))
