@@ -16,8 +16,11 @@ from .kd_shards import shard_documents
 from .mixing import mix_sources
 from .ngram_join import jaccard_classes
 from .quality_rules import quality_verdicts
+from .spelling import variant_groups
+from .token_counts import count_tokens
 from .url_lists import judge_captures, validity_intervals
 from .warc import read_archives, resolve_revisits, with_originals, write_archives
+from .whitening import whiten
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -163,3 +166,23 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     out = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@registered("op11_spelling")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents with their near words, usual form and root."""
+    return variant_groups(table(spark, sf_dir, "documents"))
+
+
+@registered("op12_token_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document by a cache that begins empty, so that a run never rests on an earlier one."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = count_tokens(documents, tokenizer_file(), f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}")
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+@registered("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen whitened components of every embedding."""
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
