@@ -101,12 +101,23 @@ def duplicate_keys(rules):
 
 
 FIELDS = ("p_flag", "p_priority", "p_qty")
-WEIGHT = " + ".join(f"CAST({{t}}.{c} <> 'N/A' AS INT)" for c in FIELDS)
+MEMBERS = "list_distinct(string_split({}, '|'))"
 
 
-@query("ambiguous_rules", "rules", "SELECT a.rmap, a.rule_id AS rule_a, b.rule_id AS rule_b FROM rules a JOIN rules b ON a.rmap = b.rmap AND a.rule_id < b.rule_id AND " + " AND ".join(f"(a.{c} = b.{c} OR a.{c} = 'N/A' OR b.{c} = 'N/A')" for c in FIELDS) + f" AND {WEIGHT.format(t='a')} = {WEIGHT.format(t='b')}")
+def covers_sql(a: str, b: str) -> str:
+    """Pattern ``a`` covers pattern ``b``."""
+    more = f"len({MEMBERS.format(a)}) > len({MEMBERS.format(b)}) AND list_has_all({MEMBERS.format(a)}, {MEMBERS.format(b)})"
+    return f"({a} = {b} OR {a} = '*' OR {b} = 'N/A' OR {a} = 'N/A' AND {b} = '*' OR {b} <> '*' AND {a} <> 'N/A' AND {more})"
+
+
+def _key_sql(t: str) -> str:
+    return " || '/' || ".join(f"{t}.{c}" for c in FIELDS)
+
+
+@query("ambiguous_rules", "rules", f"WITH k AS (SELECT DISTINCT rmap, {', '.join(FIELDS)} FROM rules) SELECT b.rmap, {_key_sql('b')} AS covered, {_key_sql('a')} AS covering FROM k a JOIN k b ON a.rmap = b.rmap AND {_key_sql('a')} <> {_key_sql('b')} AND " + " AND ".join(covers_sql(f"a.{c}", f"b.{c}") for c in FIELDS) + " AND " + " + ".join(f"CAST(b.{c} = 'N/A' AS INT) - CAST(a.{c} = 'N/A' AS INT)" for c in FIELDS) + " = 0")
 def ambiguous_rules(rules):
-    return D.ambiguous_rules(keyed(rules))
+    found = D.ambiguous_rules(keyed(rules))
+    return found.select("rmap", F.array_join("covered", "/").alias("covered"), F.array_join("covering", "/").alias("covering"))
 
 
 # --- tables ---------------------------------------------------------------------
@@ -155,8 +166,9 @@ ROWS = "t AS (SELECT 'o' AS reference, mode_a, CASE WHEN row_no % 40 = 0 THEN 'A
 
 
 @query("reprocessing_required", "lineitem part old_table new_table", f"""WITH {UPDATES}, {ROWS}, c AS (SELECT DISTINCT mode_a, mode_b FROM u WHERE mode_b <> 'UNDEFINED'),
-    s AS (SELECT c.mode_a, c.mode_b, list_sort(list((v1, v2)) FILTER (reference = 'o')) AS lo, list_sort(list((v1, v2)) FILTER (reference = 'n')) AS ln FROM c JOIN t ON t.mode_a = c.mode_a AND (t.mode_b = 'ANY' OR t.mode_b = c.mode_b) GROUP BY ALL)
-    SELECT u.* FROM u LEFT JOIN s ON u.mode_a = s.mode_a AND u.mode_b = s.mode_b WHERE NOT coalesce(lo = ln, false)""")
+    s AS (SELECT c.mode_a, c.mode_b, list_sort(list((t.mode_a, t.mode_b, v1, v2)) FILTER (reference = 'o')) AS lo, list_sort(list((t.mode_a, t.mode_b, v1, v2)) FILTER (reference = 'n')) AS ln
+      FROM c LEFT JOIN t ON contains(c.mode_a, t.mode_a) AND (t.mode_b = 'ANY' OR contains(c.mode_b, t.mode_b)) GROUP BY ALL)
+    SELECT u.* FROM u LEFT JOIN s ON u.mode_a = s.mode_a AND u.mode_b = s.mode_b WHERE s.mode_a IS NULL OR lo IS DISTINCT FROM ln""")
 def reprocessing_required(lineitem, part, old_table, new_table):
     u = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).selectExpr("l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey as dataset_id", "'o' as old_reference", "'n' as new_reference", "p_brand as mode_a", "case when l_partkey % 50 = 0 then 'UNDEFINED' else p_type end as mode_b")
     mode = "case when row_no % 40 = 0 then 'ANY' else mode_b end as mode_b"
@@ -165,27 +177,34 @@ def reprocessing_required(lineitem, part, old_table, new_table):
 
 
 EFFECTIVE = "CASE WHEN l_partkey % 5 = 1 THEN 'always' WHEN l_partkey % 5 = 2 THEN 'unknown' WHEN l_partkey % 5 = 3 THEN 'wide' ELSE 'modes' END"
+#: Header values: a brand that stands for two, undefined types, a number written in its own way.
+MODES = "CASE WHEN p_brand = 'Brand#13' THEN 'BOTH' ELSE p_brand END AS mode_a, CASE WHEN l_partkey % 50 = 0 THEN 'UNDEFINED' ELSE p_type END AS mode_b, CAST(l_linenumber % 5 AS STRING) || '.0' AS slot"
+CELLS = "mode_a, CASE WHEN row_no % 40 = 0 THEN 'ANY' ELSE mode_b END AS mode_b, CASE WHEN row_no % 9 = 0 THEN '-1' WHEN row_no % 50 = 7 THEN 'ANY' ELSE CAST(row_no % 4 AS STRING) END AS slot, v1, v2"
 
 
-@query("effective_updates", "lineitem part old_table new_table", f"""WITH {UPDATES}, {ROWS}, c AS (SELECT DISTINCT mode_a, mode_b FROM u WHERE mode_b <> 'UNDEFINED'),
-    s AS (SELECT c.mode_a, c.mode_b, list_sort(list((v1, v2)) FILTER (reference = 'o')) AS lo, list_sort(list((v1, v2)) FILTER (reference = 'n')) AS ln FROM c JOIN t ON contains(upper(c.mode_a), upper(t.mode_a)) AND (t.mode_b = 'ANY' OR contains(upper(c.mode_b), upper(t.mode_b))) GROUP BY ALL),
-    k AS (SELECT l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS dataset_id, {EFFECTIVE} AS filekind, CASE WHEN l_partkey % 11 = 0 THEN 'N/A' WHEN {EFFECTIVE} = 'wide' THEN 'w' ELSE 'n' END AS new_reference, p_brand AS mode_a, CASE WHEN l_partkey % 50 = 0 THEN 'UNDEFINED' ELSE p_type END AS mode_b FROM lineitem JOIN part ON l_partkey = p_partkey)
-    SELECT k.dataset_id, k.filekind, k.new_reference FROM k LEFT JOIN s ON k.mode_a = s.mode_a AND k.mode_b = s.mode_b WHERE k.filekind <> 'modes' OR k.new_reference <> 'n' OR NOT coalesce(lo = ln, false)""")
+@query("effective_updates", "lineitem part old_table new_table", f"""WITH t AS (SELECT 'o' AS reference, {CELLS} FROM old_table UNION ALL SELECT 'n', {CELLS} FROM new_table),
+    k AS (SELECT l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS dataset_id, {EFFECTIVE} AS filekind, CASE WHEN l_partkey % 11 = 0 THEN 'N/A' WHEN {EFFECTIVE} = 'wide' THEN 'w' ELSE 'n' END AS new_reference, {MODES} FROM lineitem JOIN part ON l_partkey = p_partkey),
+    c AS (SELECT DISTINCT mode_a, mode_b, slot FROM k WHERE mode_b <> 'UNDEFINED'),
+    s AS (SELECT c.mode_a, c.mode_b, c.slot, list_sort(list((t.mode_a, t.mode_b, t.slot, v1, v2)) FILTER (reference = 'o')) AS lo, list_sort(list((t.mode_a, t.mode_b, t.slot, v1, v2)) FILTER (reference = 'n')) AS ln
+      FROM c LEFT JOIN t ON CASE WHEN c.mode_a = 'BOTH' THEN t.mode_a IN ('Brand#11', 'Brand#12') ELSE contains(c.mode_a, t.mode_a) END AND (t.mode_b = 'ANY' OR contains(c.mode_b, t.mode_b)) AND (t.slot = '-1' OR t.slot || '.0' = c.slot) GROUP BY ALL)
+    SELECT k.dataset_id, k.filekind, k.new_reference FROM k LEFT JOIN s ON k.mode_a = s.mode_a AND k.mode_b = s.mode_b AND k.slot = s.slot WHERE k.filekind <> 'modes' OR k.new_reference <> 'n' OR s.mode_a IS NULL OR lo IS DISTINCT FROM ln""")
 def effective_updates(lineitem, part, old_table, new_table):
+    """Wildcards of a field's own, a header value that stands for two, numbers by value, selections of nothing."""
     u = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
     new = f"case when l_partkey % 11 = 0 then 'N/A' when {EFFECTIVE} = 'wide' then 'w' else 'n' end as new_reference"
-    params = "map('MODE_A', p_brand, 'MODE_B', case when l_partkey % 50 = 0 then 'UNDEFINED' else p_type end) as params"
-    u = u.selectExpr("l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey as dataset_id", "'cam' as instrument", f"{EFFECTIVE} as filekind", "'o' as old_reference", new, params)
-    cells = "map('MODE_A', mode_a, 'MODE_B', case when row_no % 40 = 0 then 'ANY' else mode_b end, 'V1', cast(v1 as string), 'V2', cast(v2 as string)) as cells"
-    wide = "map_concat(map('EXTRA', 'x'), map('MODE_A', mode_a, 'MODE_B', mode_b, 'V1', cast(v1 as string), 'V2', cast(v2 as string))) as cells"
-    rows = old_table.selectExpr("'o' as reference", cells).unionAll(new_table.selectExpr("'n' as reference", cells)).unionAll(old_table.selectExpr("'w' as reference", wide))
-    registry = T.mode_registry(part.sparkSession, {("cam", "modes"): ["MODE_A", "MODE_B"], ("cam", "wide"): ["MODE_A", "MODE_B"], ("cam", "always"): None})
+    u = u.selectExpr("l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey as dataset_id", "'cam' as instrument", f"{EFFECTIVE} as filekind", "'o' as old_reference", new, *(f"{c} AS {n}" for c, n in (x.rsplit(" AS ", 1) for x in MODES.split(", "))))
+    u = u.withColumn("params", F.create_map(F.lit("MODE_A"), "mode_a", F.lit("MODE_B"), "mode_b", F.lit("SLOT"), "slot")).drop("mode_a", "mode_b", "slot")
+    cells = F.create_map(*(x for c in ("mode_a", "mode_b", "slot", "v1", "v2") for x in (F.lit(c.upper()), F.col(c).cast("string"))))
+    side = lambda t, name, c=cells: t.selectExpr(*CELLS.split(", ")).select(F.lit(name).alias("reference"), c.alias("cells"))
+    rows = side(old_table, "o").unionAll(side(new_table, "n")).unionAll(side(old_table, "w", F.map_concat(F.create_map(F.lit("EXTRA"), F.lit("x")), cells)))
+    fields = [T.ModeField("MODE_A", metavalues={"BOTH": ["Brand#11", "Brand#12"]}), "MODE_B", T.ModeField("SLOT", ("-1",))]
+    registry = T.mode_registry(part.sparkSession, {("cam", "modes"): fields, ("cam", "wide"): fields[:2], ("cam", "always"): None})
     return T.effective_updates(u, rows, registry).select("dataset_id", "filekind", "new_reference")
 
 
-@query("mode_select", "part", "SELECT p_partkey FROM part WHERE contains('BRAND#1 BRAND#11 BRAND#12 BRAND#23', upper(p_brand)) AND (p_size = 7 OR p_size = -1)")
+@query("mode_select", "part", "SELECT p_partkey FROM part WHERE contains('Brand#1 Brand#11 Brand#12 Brand#23', p_brand) AND (p_size = 7 OR p_size = 9)")
 def mode_select(part):
-    return T.mode_select(part, {"p_brand": "Brand#1 Brand#11 Brand#12 Brand#23", "p_size": "7.0"}).select("p_partkey")
+    return T.mode_select(part, {"p_brand": "Brand#1 Brand#11 Brand#12 Brand#23", "p_size": "7.0"}, {"p_size": ["9.0"]}).select("p_partkey")
 
 
 # --- certification -----------------------------------------------------------------

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.normalize import condition_value, is_newer
+from ..sources.scratch import stored
+from .meeting import meet
 
 #: Header fields whose changes are of no interest.
 BORING = ["name", "derived_from", "sha1sum", "row_keys"]
@@ -79,25 +81,48 @@ def duplicate_keys(rules: DataFrame, key: list[str]) -> DataFrame:
     return rules.groupBy(*key).agg(F.count("*").alias("n_rules")).where("n_rules > 1")
 
 
+def covering_patterns(patterns: DataFrame) -> DataFrame:
+    """Which pattern of a field covers another: rows (kind, i, value, pattern, score) where ``pattern`` covers ``value``.
+
+    ``patterns(kind, i, pattern)`` are distinct.  ``*`` covers all, N/A is covered by all and covers
+    ``*``, and an or-list covers each smaller one whose members it has.  Or-lists
+    meet through an inverted index: a list looks only at those that hold its rarest
+    member, and counts how many of its own members they have.  ``score`` is 1 where only ``value`` is
+    N/A and -1 where only ``pattern`` is.
+    """
+    key = ["kind", "i"]
+    same = patterns.select(*key, F.col("pattern").alias("value"), "pattern")
+    star = patterns.where("pattern = '*'").join(patterns.select(*key, F.col("pattern").alias("value")), key).select(*key, "value", "pattern")
+    open_ = patterns.where("pattern = 'N/A'").select(*key, F.col("pattern").alias("value")).join(patterns, key)
+    reverse = patterns.where("pattern = 'N/A'").join(patterns.where("pattern = '*'").select(*key, F.col("pattern").alias("value")), key).select(*key, "value", "pattern")
+    lists = patterns.where("pattern not in ('*', 'N/A')").withColumn("members", F.array_distinct(F.transform(F.split("pattern", r"\|"), lambda x: F.trim(x))))
+    index = lists.select(*key, "pattern", "members", F.explode("members").alias("member"))
+    often = index.groupBy(*key, "member").agg(F.count("*").alias("n"))
+    rarest = index.join(often, [*key, "member"]).groupBy(*key, "pattern").agg(F.min_by("member", F.struct("n", "member")).alias("member"), F.first("members").alias("own"))
+    found = rarest.withColumnRenamed("pattern", "value").join(index, [*key, "member"])
+    held = found.where((F.size("members") > F.size("own")) & (F.size(F.array_intersect("members", "own")) == F.size("own"))).select(*key, "value", "pattern")
+    out = same.unionByName(star).unionByName(open_).unionByName(reverse).unionByName(held).distinct()
+    na = lambda c: (F.col(c) == "N/A").cast("int")
+    return out.withColumn("score", na("value") - na("pattern"))
+
+
 def ambiguous_rules(rules: DataFrame) -> DataFrame:
-    """Pairs of rules of a rule set of which one's key covers the other's at equal weight: fields equal or one of both N/A.
+    """Pairs of different keys of a rule set of which one covers the other at equal weight: (rmap, covered, covering).
 
-    A rule set has few masks, that is sets of N/A fields.  For each pair of masks of one
-    weight, keys are stripped of the fields that either leaves open and joined by
-    equality, so only pairs that are ambiguous ever meet.
+    ``rules(rmap, match_key)`` have one order of parameters.  A key covers another if each of its
+    patterns covers the other's; weights are equal if as many fields are N/A only
+    here as only there.  Keys walk down the trie of keys, so only pairs that agree
+    field by field meet.
     """
-    mask = F.array_join(F.transform("match_key", lambda k: F.when(k["pattern"] == "N/A", "0").otherwise("1")), "")
-    r = rules.select("rmap", "rule_id", F.transform("match_key", lambda k: k["pattern"]).alias("key"), mask.alias("mask"))
-    masks = r.select("rmap", "mask").distinct().withColumn("weight", F.length(F.replace("mask", F.lit("0"), F.lit(""))))
-    pairs = masks.withColumnRenamed("mask", "mask_a").join(masks.withColumnRenamed("mask", "mask_b"), ["rmap", "weight"]).select("rmap", "mask_a", "mask_b")
-
-    def side(name: str) -> DataFrame:
-        own = r.withColumnsRenamed({"mask": f"mask_{name}", "rule_id": f"rule_{name}"}).join(pairs, ["rmap", f"mask_{name}"])
-        both = F.transform(F.col("key"), lambda x, i: F.when((F.substring("mask_a", i + 1, F.lit(1)) == "1") & (F.substring("mask_b", i + 1, F.lit(1)) == "1"), x).otherwise("N/A"))
-        return own.select("rmap", "mask_a", "mask_b", f"rule_{name}", both.alias("common"))
-
-    found = side("a").join(side("b"), ["rmap", "mask_a", "mask_b", "common"]).where("rule_a < rule_b")
-    return found.select("rmap", "rule_a", "rule_b")
+    patterns = F.transform("match_key", lambda k: k["pattern"])
+    keys = stored(rules.select(F.col("rmap").alias("group"), patterns.alias("key")).distinct(), "keys")
+    size = keys.agg(F.max(F.size("key")).alias("n"), F.min(F.size("key")).alias("m")).first()
+    if size.n != size.m:
+        raise ValueError("keys of different lengths")
+    covers = stored(covering_patterns(keys.select(F.lit("").alias("kind"), F.posexplode("key").alias("i", "pattern")).distinct()), "covers")
+    tuples = keys.select(F.lit("").alias("kind"), "group", F.col("key").alias("tuple"))
+    found = meet(tuples, keys, covers, size.n or 0).where((F.col("score") == 0) & (F.col("tuple") != F.col("key")))
+    return found.select(F.col("group").alias("rmap"), F.col("tuple").alias("covered"), F.col("key").alias("covering"))
 
 
 def check_modifications(diffs: DataFrame, expected: list[str]) -> DataFrame:

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.normalize import compare_text
+from ..sources.scratch import dropped, stored
+from .meeting import meet, small
+
+#: Table values that fit every header value, unless a field has others.
+WILDCARDS = ("ANY",)
 
 
 def row_diff(a: DataFrame, b: DataFrame, fields: list[str] | None = None, ignore: list[str] = ()) -> DataFrame:
@@ -82,27 +89,152 @@ def check_table_modes(old: DataFrame, new: DataFrame, keys: list[str], values: l
     return both.select(*keys, finding.alias("finding")).where("finding is not null")
 
 
-def mode_matches(table_value: Column, header_value: Column) -> Column:
-    """A table's mode value fits a header's: wildcards fit all, numbers compare as numbers, text by containment."""
-    t, h = F.upper(F.trim(table_value.cast("string"))), F.upper(F.trim(header_value.cast("string")))
-    wild = t.isin("ANY", "*", "N/A", "-1", "-1.0")
-    number = t.try_cast("double").isNotNull()
-    return F.when(wild, True).when(number, compare_text(t) == compare_text(h)).otherwise(F.instr(h, t) > 0)
+def mode_matches(table_value: Column, header_value: Column, wildcards: list[str] = WILDCARDS) -> Column:
+    """A table's mode value fits a header's: a wildcard fits all, a number equals a number, text is part of the header's text."""
+    t, h = compare_text(table_value), compare_text(header_value)
+    wild = t.isin([*wildcards]) | t.isin([_plain(w) for w in wildcards])
+    return F.coalesce(F.when(wild, True).when(is_number(h), t == h).when(is_number(t), False).otherwise(F.instr(h, t) > 0), F.lit(False))
+
+
+def is_number(value: Column) -> Column:
+    return value.try_cast("double").isNotNull()
+
+
+def _plain(value: str) -> str:
+    """A number as ``compare_text`` writes it."""
+    try:
+        number = float(value)
+    except ValueError:
+        return value.strip()
+    return str(int(number)) if number.is_integer() else str(number)
+
+
+def mode_select(table: DataFrame, constraints: dict[str, str | list[str]], wildcards: dict[str, list[str]] | None = None) -> DataFrame:
+    """Rows of a table whose mode columns fit the given header values.
+
+    A list of values (of a value that stands for several) is met by any that is equal.
+    ``wildcards`` are those of a field; a field without an entry has ``ANY``.
+    """
+    def fits(name: str, value: str | list[str]) -> Column:
+        wild = (wildcards or {}).get(name, WILDCARDS)
+        if isinstance(value, str):
+            return mode_matches(F.col(name), F.lit(value), wild)
+        return compare_text(F.col(name)).isin([_plain(v) for v in (*value, *wild)])
 
+    return reduce(lambda df, kv: df.where(fits(*kv)), constraints.items(), table)
 
-def mode_select(table: DataFrame, constraints: dict[str, str]) -> DataFrame:
-    """Rows of a table whose mode columns fit the given header values."""
-    return reduce(lambda df, kv: df.where(mode_matches(F.col(kv[0]), F.lit(kv[1]))), constraints.items(), table)
+
+@dataclass(frozen=True)
+class ModeField:
+    """A header key that selects rows of a type's tables: its wildcards in the table, and header values that stand for several."""
+
+    name: str
+    wildcards: tuple[str, ...] = ("ANY",)
+    metavalues: dict[str, list[str]] | None = None
 
 
 #: References that are no tables; an update from or to one is always kept.
 SPECIAL = r"(?i)^(n/a|undefined|not found)"
-REGISTRY = "instrument string, filekind string, fields array<string>"
+FIELDS = "array<struct<name:string,wildcards:array<string>,metavalues:array<struct<value:string,several:array<string>>>>>"
+#: Fills up shorter tuples of mode values.
+PAD = "\x01"
+
+
+def mode_registry(spark: SparkSession, fields: dict[tuple[str, str], list[str | ModeField] | None]) -> DataFrame:
+    """(instrument, filekind, fields): which header keys select the rows of a type's tables, and how; None where a change always matters."""
+    def row(f: str | ModeField) -> tuple:
+        f = ModeField(f) if isinstance(f, str) else f
+        return f.name, [_plain(w) for w in f.wildcards], [(_plain(k), [_plain(v) for v in vs]) for k, vs in (f.metavalues or {}).items()]
+
+    rows = [(i, k, None if f is None else [row(x) for x in f]) for (i, k), f in fields.items()]
+    return spark.createDataFrame(rows, f"instrument string, filekind string, fields {FIELDS}")
+
+
+def _value_fits(values: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Which table values of a field a header value selects: (kind, i, value, pattern, score).
+
+    ``values(kind, i, value, field)`` and ``patterns(kind, i, pattern)`` are distinct.
+    Texts are cut into their parts of the lengths that table values have, so
+    containment is an equality too.
+    """
+    key = ["kind", "i"]
+    field = values.withColumn("several", F.get(F.filter("field.metavalues", lambda m: m["value"] == F.col("value")), F.lit(0))["several"])
+    wild = field.select(*key, "value", F.explode("field.wildcards").alias("pattern")).join(patterns, [*key, "pattern"], "left_semi")
+    plain = field.select(*key, "value", F.explode(F.coalesce("several", F.when(is_number(F.col("value")), F.array("value")))).alias("pattern")).join(patterns, [*key, "pattern"], "left_semi")
+    texts = patterns.where(~is_number(F.col("pattern")))
+    lengths = texts.select(*key, F.length("pattern").alias("l")).distinct()
+    cut = field.where(F.col("several").isNull() & ~is_number(F.col("value"))).join(lengths, key).where(F.length("value") >= F.col("l"))
+    starts = F.explode(F.when(F.col("l") == 0, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.length("value") - F.col("l") + 1)))
+    cut = cut.select(*key, "value", "l", starts.alias("at")).select(*key, "value", F.substring("value", F.col("at"), F.col("l")).alias("pattern"))
+    held = cut.distinct().join(texts, [*key, "pattern"], "left_semi")
+    return wild.unionByName(plain).unionByName(held).distinct().withColumn("score", F.lit(0))
+
+
+def same_selection(cases: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """Of cases(old_reference, new_reference, kind, fields, values) those whose mode values select the same multiset of rows from both tables.
+
+    ``rows(reference, cells map<string,string>)`` holds one row per table row.  A table's
+    rows are summed up by their mode values first: how many, and two sums of hashes.
+    The header's values then meet the distinct mode values field by field.  Nothing
+    selected on both sides is the same, too.
+    """
+    pair = ["old_reference", "new_reference"]
+    sides = [cases.select(F.col(p).alias("reference"), "kind", "fields", "values") for p in pair]
+    asked = sides[0].unionByName(sides[1]).distinct()
+    fill = lambda c: F.concat(c, F.array_repeat(F.lit(PAD), F.greatest(F.lit(0), F.lit(size) - F.size(c))))
+    group = F.struct("reference", "kind").alias("group")
+    tuples = asked.select("kind", group, fill(F.col("values")).alias("tuple"))
+    cells = rows.join(small(asked.select("reference", "kind", "fields").distinct()), "reference")
+    key = F.transform("fields", lambda f: compare_text(F.try_element_at("cells", f["name"])))
+    text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("cells"))))
+    keyed = cells.select(group, fill(key).alias("key"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit("second"), text).alias("g"))
+    sums = keyed.groupBy("group", "key").agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.sum(F.col("g").cast("decimal(38,0)")).alias("q"))
+    sums = stored(sums, "mode-sums")
+    pad = F.struct(F.lit(PAD).alias("name"), F.array().cast("array<string>").alias("wildcards"), F.array().cast("array<struct<value:string,several:array<string>>>").alias("metavalues"))
+    per = asked.select("kind", F.posexplode(F.arrays_zip(fill(F.col("values")).alias("value"), F.concat("fields", F.array_repeat(pad, size)).alias("field"))).alias("i", "z"))
+    values = per.where("z.value is not null").select("kind", "i", "z.value", "z.field").dropDuplicates(["kind", "i", "value"])
+    patterns = sums.select("group.kind", F.posexplode("key").alias("i", "pattern")).where("pattern is not null").distinct()
+    fits = stored(_value_fits(values, patterns), "mode-fits")
+    met = meet(tuples, sums.select("group", "key"), fits, size)
+    got = met.join(sums, ["group", "key"]).groupBy("group", "tuple").agg(*(F.sum(c).alias(c) for c in "nsq"))
+    got = stored(got, "selected")
+    out = cases.withColumn("tuple", fill(F.col("values")))
+    for side in ("old", "new"):
+        own = got.select(F.struct(F.col("group.reference").alias("r"), F.col("group.kind").alias("k"), F.col("tuple").alias("t")).alias("_g"), *(F.col(c).alias(f"{side}_{c}") for c in "nsq"))
+        out = out.join(own, F.struct(F.col(f"{side}_reference").alias("r"), F.col("kind").alias("k"), F.col("tuple").alias("t")) == F.col("_g"), "left").drop("_g")
+    same = reduce(and_, (F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")) for c in "nsq"))
+    out = stored(out.where(same).select(*pair, "kind", "values"), "same-selection")
+    dropped(sums, fits, got)
+    return out
+
 
+def mode_values(fields: Column, params: Column) -> Column:
+    """A header's values under the mode fields, as they are compared; null where one is missing or UNDEFINED."""
+    return F.transform(fields, lambda f: compare_text(F.nullif(F.try_element_at(params, f["name"]), F.lit("UNDEFINED"))))
 
-def mode_registry(spark: SparkSession, fields: dict[tuple[str, str], list[str] | None]) -> DataFrame:
-    """Which header keys select the rows of a type's tables; None where a change always matters."""
-    return spark.createDataFrame([(i, k, f) for (i, k), f in fields.items()], REGISTRY)
+
+def decided_cases(updates: DataFrame, rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """(instrument, filekind, old_reference, new_reference, values) of updates whose change of tables makes no difference.
+
+    ``updates`` has those columns but ``values`` and params.  Each distinct case is decided once.
+    """
+    types = small(registry.where(F.size("fields") > 0))
+    named = updates.join(types, ["instrument", "filekind"]).withColumn("values", mode_values(F.col("fields"), F.col("params")))
+    known = F.forall("values", lambda v: v.isNotNull()) & ~F.col("old_reference").rlike(SPECIAL) & ~F.col("new_reference").rlike(SPECIAL)
+    cases = named.where(known).select("old_reference", "new_reference", F.struct("instrument", "filekind").alias("kind"), "values").distinct()
+    cases = stored(cases, "cases")
+    fields = types.select(F.struct("instrument", "filekind").alias("kind"), "fields")
+    names = F.array_sort(F.map_keys("cells"))
+    columns = rows.groupBy("reference").agg(F.min(names).alias("low"), F.max(names).alias("high")).where("low = high").select("reference", F.col("low").alias("names"))
+    wide = cases.join(fields, "kind")
+    for side in ("old", "new"):
+        wide = wide.join(columns.withColumnsRenamed({"reference": f"{side}_reference", "names": f"{side}_names"}), f"{side}_reference")
+    # Columns alike on both sides, and the mode fields among them.
+    wide = wide.where((F.col("old_names") == F.col("new_names")) & F.forall("fields", lambda f: F.array_contains("old_names", f["name"]))).drop("old_names", "new_names")
+    size = registry.agg(F.max(F.size("fields")).alias("n")).first()["n"] or 1
+    same = same_selection(wide, rows, max(1, size))
+    dropped(cases)
+    return same.select("kind.instrument", "kind.filekind", "old_reference", "new_reference", "values")
 
 
 def effective_updates(updates: DataFrame, rows: DataFrame, registry: DataFrame) -> DataFrame:
@@ -111,59 +243,29 @@ def effective_updates(updates: DataFrame, rows: DataFrame, registry: DataFrame)
     ``updates(dataset_id, instrument, filekind, old_reference, new_reference, params)``
     and ``rows(reference, cells map<string,string>)``, one per table row.  An update is
     dropped if the rows that the dataset's mode values select are the same multiset in
-    both tables.  It is kept in any other case: a special reference on either side, a
+    both tables, none at all included.  It is kept in any other case: a special reference on either side, a
     type that the registry lacks or marks as always, a mode value missing in the
-    header, tables with other columns or without rows.  Each distinct (pair, mode
-    values) is decided once, by counts and sums of hashes that combine before the shuffle.
+    header, tables with other columns or without rows.  How a table's value is met is
+    the registry's: a field's wildcards, header values that stand for several, numbers
+    by value, and text that is part of the header's text.
     """
-    pair = ["old_reference", "new_reference"]
-    named = updates.join(F.broadcast(registry), ["instrument", "filekind"], "left")  # a row per type
-    value = F.transform("fields", lambda f: F.coalesce(F.try_element_at("params", f), F.lit("UNDEFINED")))
-    named = named.withColumn("values", value)
-    known = F.col("fields").isNotNull() & (F.size("fields") > 0) & ~F.array_contains("values", "UNDEFINED")
-    known = known & ~F.col("old_reference").rlike(SPECIAL) & ~F.col("new_reference").rlike(SPECIAL)
-    cases = named.where(known).select(*pair, "fields", "values").distinct()
-    names = rows.groupBy("reference").agg(F.min(F.array_sort(F.map_keys("cells"))).alias("low"), F.max(F.array_sort(F.map_keys("cells"))).alias("high"))
-    names = names.where("low = high").select("reference", F.col("low").alias("names"))
-    for side in ("old", "new"):
-        cases = cases.join(names.withColumnsRenamed({"reference": f"{side}_reference", "names": f"{side}_names"}), f"{side}_reference")
-    # Columns alike on both sides, and the mode fields among them.
-    cases = cases.where((F.col("old_names") == F.col("new_names")) & F.forall("fields", lambda f: F.array_contains("old_names", f))).drop("old_names", "new_names")
-    text = F.xxhash64(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("cells")))))
-
-    def selected(side: str) -> DataFrame:
-        t = rows.select(F.col("reference").alias(f"{side}_reference"), "cells", text.alias("h"))
-        fits = F.forall(F.arrays_zip("fields", "values"), lambda z: mode_matches(F.try_element_at("cells", z["fields"]), z["values"]))
-        both = cases.join(t, f"{side}_reference").where(fits)
-        return both.groupBy(*pair, "fields", "values").agg(F.count("*").alias(f"n_{side}"), F.sum(F.col("h").cast("decimal(38,0)")).alias(f"s_{side}"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias(f"q_{side}"))
-
-    key = [*pair, "fields", "values"]
-    same = selected("old").join(selected("new"), key).where("n_old = n_new and s_old = s_new and q_old = q_new").select(*key)
+    same = decided_cases(updates, rows, registry)
+    key = ["instrument", "filekind", "old_reference", "new_reference", "values"]
+    named = updates.join(small(registry), ["instrument", "filekind"], "left").withColumn("values", mode_values(F.col("fields"), F.col("params")))
     return named.join(same, key, "left_anti").select(*updates.columns)
 
 
 def reprocessing_required(updates: DataFrame, rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Updates that matter: (old_reference, new_reference, mode values) whose selected rows differ as multisets.
-
-    ``updates`` has dataset_id, both references and the header's mode values under
-    ``keys``; ``rows`` has reference, ``keys`` (``ANY`` is a wildcard) and ``values``.
-    Each distinct (pair, mode tuple) is decided once.  An update with an unknown
-    mode value, or whose pair selects nothing on both sides, is kept.
-    """
-    cases = updates.select("old_reference", "new_reference", *keys).distinct()
-    known = reduce(lambda c, k: c & F.col(k).isNotNull() & (F.col(k) != "UNDEFINED"), keys, F.lit(True))
-
-    def selected(side: str) -> DataFrame:
-        t = rows.select(F.col("reference").alias(f"{side}_reference"), *(F.col(k).alias(f"t_{k}") for k in keys), F.xxhash64(*values).alias("h"))
-        both = cases.where(known).join(t, f"{side}_reference")
-        both = reduce(lambda df, k: df.where((F.col(f"t_{k}") == "ANY") | (F.col(f"t_{k}") == F.col(k))), keys, both)
-        # A multiset's count and two sums of hashes: they combine before the shuffle.
-        return both.groupBy("old_reference", "new_reference", *keys).agg(F.count("*").alias(f"n_{side}"), F.sum(F.col("h").cast("decimal(38,0)")).alias(f"s_{side}"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias(f"q_{side}"))
-
-    key = ["old_reference", "new_reference", *keys]
-    decided = selected("old").join(selected("new"), key, "full_outer")
-    same = decided.where("n_old = n_new and s_old = s_new and q_old = q_new").select(*key)
-    return updates.join(same, key, "left_anti")
+    """``effective_updates`` for one type: ``updates`` has the header's mode values under ``keys``, ``rows`` has reference, ``keys`` and ``values``."""
+    spark = updates.sparkSession
+    registry = mode_registry(spark, {("", ""): list(keys)})
+    cells = F.create_map(*(x for c in (*keys, *values) for x in (F.lit(c), F.col(c).cast("string"))))
+    params = F.create_map(*(x for k in keys for x in (F.lit(k), F.col(k))))
+    named = updates.withColumn("instrument", F.lit("")).withColumn("filekind", F.lit("")).withColumn("params", params)
+    same = decided_cases(named, rows.select("reference", cells.alias("cells")), registry)
+    same = same.select("old_reference", "new_reference", F.col("values").alias("_values"))
+    asked = updates.withColumn("_values", F.array(*(compare_text(F.nullif(F.col(k), F.lit("UNDEFINED"))) for k in keys)))
+    return asked.join(same, ["old_reference", "new_reference", "_values"], "left_anti").select(*updates.columns)
 
 
 def with_row_numbers(table: DataFrame, order: list[str]) -> DataFrame:
