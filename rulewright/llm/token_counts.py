@@ -9,6 +9,8 @@ once, appends the new counts and reads the answer for every document from the ca
 from __future__ import annotations
 
 import hashlib
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -72,6 +74,19 @@ def _whole_texts(path: str) -> Callable[[list[str]], list[int]]:
     return lambda texts: [len(e.ids) for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+def _kept(path: str) -> Fragmenter | Callable[[list[str]], list[int]]:
+    """The tokenizer of a Python worker, read once and kept from task to task: reading it anew for each would fill the memory with holes."""
+    state = sys.modules.setdefault("_rulewright_worker", types.ModuleType("_rulewright_worker"))
+    if getattr(state, "path", None) != path:
+        state.path = state.counter = None
+        try:
+            state.counter = _whole_texts(path) if path.endswith(".model") else Fragmenter(path)
+        except ValueError:  # no plain byte-level file
+            state.counter = _whole_texts(path)
+        state.path = path
+    return state.counter
+
+
 def token_counts(text: Column, path: str) -> Column:
     """Number of tokens of a whole text as the file's library gives it, without special tokens added; null as the empty text."""
 
@@ -80,16 +95,12 @@ def token_counts(text: Column, path: str) -> Column:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        try:
-            parts = None if path.endswith(".model") else Fragmenter(path)
-        except ValueError:  # no plain byte-level file
-            parts = None
-        whole = _whole_texts(path) if parts is None else None
+        counter = _kept(path)
         for column in columns:
-            if parts is None:
+            if not hasattr(counter, "block"):
                 texts = column.fill_null("")
                 _, offsets = text_bytes(texts)
-                found = [whole(texts.slice(i, j - i).to_pylist()) for i, j in groups_of_rows(offsets, BLOCK)]
+                found = [counter(texts.slice(i, j - i).to_pylist()) for i, j in groups_of_rows(offsets, BLOCK)]
                 yield pa.array([n for group in found for n in group], pa.int64())
                 continue
             data, offsets = text_bytes(column)
@@ -97,9 +108,9 @@ def token_counts(text: Column, path: str) -> Column:
             for i, j in groups_of_rows(offsets, BLOCK):
                 part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 if j == i + 1 and len(part) > PART:
-                    counts.append(np.array([sum(map(len, parts.long_text(part)))], np.int64))
+                    counts.append(np.array([sum(map(len, counter.long_text(part)))], np.int64))
                 else:
-                    counts.append(np.diff(parts.block(part, own[:-1])[1]))
+                    counts.append(np.diff(counter.block(part, own[:-1])[1]))
             yield pa.array(np.concatenate(counts), pa.int64())
 
     return run(text)
