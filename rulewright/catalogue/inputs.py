@@ -19,6 +19,8 @@ INPUTS = {
                c_mktsegment AS instrument, l_returnflag AS flag, o_orderpriority AS priority, o_orderstatus AS ostatus,
                CAST(CAST(l_quantity AS INT) AS STRING) || '.0' AS qty, l_shipdate AS exptime
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey) x GROUP BY dataset_id""",
+    # Datasets of which some have no exposure time, so that lookups fail.
+    "exposures": "SELECT dataset_id, instrument, flag, priority, ostatus, qty, CASE WHEN CAST(substring(dataset_id, 1, instr(dataset_id, ':') - 1) AS BIGINT) % 50 <> 7 THEN exptime END AS exptime FROM {datasets}",
     "rules": """
         SELECT c_mktsegment AS rmap, k AS rule_id,
                CASE k % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'N|R' WHEN 2 THEN '*' WHEN 3 THEN 'N/A' WHEN 4 THEN 'not A' ELSE 'R' END AS p_flag,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import reprocess as R
 from ..operators import selection as S
+from ..operators import tables as T
 from .inputs import query
 
 PARAMETERS = ["FLAG", "PRIORITY", "QTY"]
@@ -212,9 +213,28 @@ def lookup_outcome(datasets, rules):
     return best.select("dataset_id", outcome.alias("outcome")).where("outcome is not null")
 
 
-def both_contexts(datasets, old_rules, new_rules):
+def result_sql(rules: str, name: str, rows: str = "exposures") -> str:
+    """CTE ``name``: best reference of each dataset, those without an exposure time included."""
+    return f"""{name} AS (SELECT d.dataset_id, d.instrument, CASE WHEN count(m.rule_id) = 0 THEN 'NOT FOUND No match found.' WHEN d.exptime IS NULL AND count(m.useafter) > 0 THEN 'NOT FOUND invalid date'
+      ELSE coalesce(max_by(m.reference, (m.weight, coalesce(m.useafter, TIMESTAMP '0001-01-01'), m.reference)) FILTER (m.useafter IS NULL OR m.useafter <= d.exptime), 'NOT FOUND No match found.') END AS reference
+      FROM {rows} d LEFT JOIN {rules} m ON d.instrument = m.instrument AND d.flag = m.flag AND d.priority = m.priority AND d.qty = m.qty GROUP BY d.dataset_id, d.instrument, d.exptime)"""
+
+
+CLEAN = "CASE WHEN {c} IN ('N/A', 'NOT FOUND n/a', 'NOT FOUND No match found.') THEN 'N/A' WHEN {c} LIKE 'NOT FOUND%' THEN upper({c}) ELSE lower({c}) END"
+FINDINGS = f"""cmp0 AS (SELECT bo.dataset_id, bo.instrument, {CLEAN.format(c='bo.reference')} AS old_reference, {CLEAN.format(c='bn.reference')} AS new_reference FROM bo JOIN bn ON bo.dataset_id = bn.dataset_id AND bo.instrument = bn.instrument),
+    cmp AS (SELECT *, 'table' AS filekind, CASE WHEN new_reference LIKE 'NOT FOUND%' THEN 'error' WHEN old_reference <> new_reference THEN 'update' ELSE 'same' END AS kind FROM cmp0)"""
+
+
+def both_matched_sql(old: str = "old_rules", new: str = "new_rules") -> str:
+    return f"{matched_sql(old, 'mo')}, {matched_sql(new, 'mn').split('),', 1)[1].strip()}"
+
+
+COMPARED = f"{both_matched_sql()}, {result_sql('mo', 'bo')}, {result_sql('mn', 'bn')}, {FINDINGS}, upd AS (SELECT dataset_id, instrument, filekind, old_reference, new_reference FROM cmp WHERE kind = 'update')"
+
+
+def both_contexts(exposures, old_rules, new_rules):
     """Results of both contexts, of type ``table``."""
-    rows = headers(datasets)
+    rows = headers(exposures)
     out = []
     for rules in (old_rules, new_rules):
         best = S.best_reference(rows, keyed(rules), PARAMETERS)
@@ -222,57 +242,93 @@ def both_contexts(datasets, old_rules, new_rules):
     return out
 
 
-CLEAN = "CASE WHEN {c} LIKE 'NOT FOUND%' OR {c} = 'N/A' THEN 'N/A' ELSE lower({c}) END"
-COMPARED = f"""{matched_sql('old_rules', 'mo')}, {matched_sql('new_rules', 'mn').split('),', 1)[1].strip()}, {best_sql('mo', 'bo')}, {best_sql('mn', 'bn')},
-    cmp AS (SELECT bo.dataset_id, bo.instrument, 'table' AS filekind, {CLEAN.format(c='bo.reference')} AS old_reference, {CLEAN.format(c='bn.reference')} AS new_reference FROM bo JOIN bn ON bo.dataset_id = bn.dataset_id),
-    upd AS (SELECT * FROM cmp WHERE old_reference <> new_reference)"""
+@query("compare_references", "exposures old_rules new_rules", f"WITH {COMPARED} SELECT dataset_id, instrument, filekind, old_reference, new_reference, kind FROM cmp")
+def compare_references(exposures, old_rules, new_rules):
+    old, new = both_contexts(exposures, old_rules, new_rules)
+    return R.compare_references(old, new)
 
 
-@query("compare_references", "datasets old_rules new_rules", f"WITH {COMPARED} SELECT dataset_id, instrument, filekind, old_reference, new_reference, CASE WHEN old_reference <> new_reference THEN 'update' ELSE 'same' END AS kind FROM cmp")
-def compare_references(datasets, old_rules, new_rules):
-    old, new = both_contexts(datasets, old_rules, new_rules)
-    return R.compare_references(old, new)
+def findings_of(exposures, old_rules, new_rules):
+    """Updates and errors: old and new references are compared per span of a tuple before any dataset is touched."""
+    rows = headers(exposures).withColumnRenamed("rmap", "instrument")
+    sides = [(r.select(F.col("rmap").alias("instrument"), F.lit("table").alias("filekind"), "rmap").distinct(), keyed(r)) for r in (old_rules, new_rules)]
+    return S.compared_references(rows, *sides, PARAMETERS)
+
+
+def updates_of(exposures, old_rules, new_rules):
+    return R.unkilled_updates(findings_of(exposures, old_rules, new_rules)).drop("kind")
+
+
+@query("affected_datasets", "exposures old_rules new_rules", f"WITH {COMPARED} SELECT * FROM upd")
+def affected_datasets(exposures, old_rules, new_rules):
+    return updates_of(exposures, old_rules, new_rules)
+
+
+@query("failed_datasets", "exposures old_rules new_rules", f"WITH {COMPARED} SELECT dataset_id, instrument, filekind, old_reference, new_reference FROM cmp WHERE kind = 'error'")
+def failed_datasets(exposures, old_rules, new_rules):
+    """Errors of the comparison: failed lookups in the new context."""
+    return findings_of(exposures, old_rules, new_rules).where("kind = 'error'").drop("kind")
 
 
-def updates_of(datasets, old_rules, new_rules):
-    """Old and new references are compared per span of a tuple before any dataset is touched."""
-    found = S.changed_references(headers(datasets), keyed(old_rules), keyed(new_rules), PARAMETERS, lambda c: R.resolve_result(c)[1])
-    return found.select("dataset_id", F.col("rmap").alias("instrument"), F.lit("table").alias("filekind"), "old_reference", "new_reference")
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+ALL_KINDS = f"""kinds AS (SELECT * FROM (VALUES ('bias', 0), ('dark', 1), ('flat', 2)) v(kind, n)),
+    kd AS (SELECT dataset_id, instrument || '_' || kind AS instrument, flag, priority, qty, exptime FROM exposures, kinds),
+    kro AS (SELECT rmap || '_' || kind AS rmap, rule_id, p_flag, p_priority, p_qty, useafter, reference FROM old_rules JOIN kinds ON rule_id % 3 = n),
+    krn AS (SELECT rmap || '_' || kind AS rmap, rule_id, p_flag, p_priority, p_qty, useafter, reference FROM new_rules JOIN kinds ON rule_id % 3 = n WHERE NOT (rmap = 'FURNITURE' AND kind = 'flat'))"""
+#: What a flag selects of the table of a rule's reference: a row of the flag's and one for all flags.
+CONTENT = "CASE flag WHEN 'A' THEN {k} % 2 WHEN 'N' THEN {k} % 3 ELSE 0 END * 10 + {k} % 5"
+RULE_OF = "CAST(regexp_extract({r}, 'r([0-9]+)_x', 1) AS BIGINT)"
+SAME_CONTENT = " = ".join(CONTENT.format(k=RULE_OF.format(r=r)) for r in ("old_reference", "new_reference"))
+AFFECTED = f"""{ALL_KINDS}, {both_matched_sql('kro', 'krn').replace('FROM datasets', 'FROM kd')}, {result_sql('mo', 'bo', 'kd')}, {result_sql('mn', 'bn', 'kd')}, {FINDINGS},
+    f AS (SELECT c.dataset_id, split_part(c.instrument, '_', 1) AS instrument, split_part(c.instrument, '_', 2) AS filekind, old_reference, new_reference, kind, flag FROM cmp c JOIN exposures e ON c.dataset_id = e.dataset_id WHERE kind <> 'same'),
+    g AS (SELECT *, filekind = 'dark' AND instrument <> 'MACHINERY' AND kind = 'update' AND old_reference <> 'N/A' AND new_reference <> 'N/A' AND old_reference NOT LIKE 'NOT FOUND%' AS looked FROM f)
+    SELECT dataset_id, instrument, filekind, old_reference, new_reference, CASE WHEN looked AND {SAME_CONTENT} THEN 'no effect' ELSE kind END AS kind, dataset_id IN (SELECT dataset_id FROM f WHERE kind = 'error') AS killed FROM g"""
 
 
-@query("affected_datasets", "datasets old_rules new_rules", f"WITH {COMPARED} SELECT * FROM upd")
-def affected_datasets(datasets, old_rules, new_rules):
-    return updates_of(datasets, old_rules, new_rules)
+@query("affected_by_context", "exposures old_rules new_rules", f"WITH {AFFECTED}")
+def affected_by_context(exposures, old_rules, new_rules):
+    """Updates, errors and killed datasets of three types, with the effects of tables; the new context lacks one type of an instrument."""
+    spark = exposures.sparkSession
+    old, serving_old = rules_by_kind(old_rules)
+    new, serving_new = rules_by_kind(new_rules)
+    serving_new = serving_new.where("not (instrument = 'FURNITURE' and filekind = 'flat')")
+    references = old_rules.select("rule_id", "reference").union(new_rules.select("rule_id", "reference")).distinct()
+    cells = F.explode(F.expr("array(named_struct('f', 'A', 'v', rule_id % 2), named_struct('f', 'N', 'v', rule_id % 3), named_struct('f', 'ANY', 'v', rule_id % 5))")).alias("c")
+    tables = references.select(F.lower("reference").alias("reference"), cells).select("reference", F.create_map(F.lit("FLAG"), "c.f", F.lit("V"), F.col("c.v").cast("string")).alias("cells"))
+    registry = T.mode_registry(spark, {(i, k): f for i in SEGMENTS for k, f in (("bias", None), ("dark", ["FLAG"])) if (i, k) != ("MACHINERY", "dark")})
+    rows = headers(exposures).withColumnRenamed("rmap", "instrument")
+    found = S.compared_references(rows, (serving_old, keyed(old)), (serving_new, keyed(new)), PARAMETERS, tables=(tables, registry))
+    return R.with_killed(found)
 
 
-@query("affected_products", "datasets old_rules new_rules", f"WITH {COMPARED} SELECT DISTINCT lower(split_part(dataset_id, ':', 1)) AS product_id FROM upd")
-def affected_products(datasets, old_rules, new_rules):
-    return R.affected_products(updates_of(datasets, old_rules, new_rules))
+@query("affected_products", "exposures old_rules new_rules", f"WITH {COMPARED} SELECT DISTINCT lower(split_part(dataset_id, ':', 1)) AS product_id FROM upd")
+def affected_products(exposures, old_rules, new_rules):
+    return R.affected_products(updates_of(exposures, old_rules, new_rules))
 
 
-@query("affected_details", "datasets old_rules new_rules", f"WITH {COMPARED} SELECT dataset_id, instrument, string_agg(DISTINCT filekind, ' ' ORDER BY filekind) AS filekinds, count(*) AS n_updates FROM upd GROUP BY ALL")
-def affected_details(datasets, old_rules, new_rules):
-    return R.affected_details(updates_of(datasets, old_rules, new_rules))
+@query("affected_details", "exposures old_rules new_rules", f"WITH {COMPARED} SELECT dataset_id, instrument, string_agg(DISTINCT filekind, ' ' ORDER BY filekind) AS filekinds, count(*) AS n_updates FROM upd GROUP BY ALL")
+def affected_details(exposures, old_rules, new_rules):
+    return R.affected_details(updates_of(exposures, old_rules, new_rules))
 
 
-@query("needed_references", "datasets old_rules new_rules", f"WITH {COMPARED} SELECT DISTINCT lower(new_reference) AS reference FROM upd WHERE new_reference <> 'N/A'")
-def needed_references(datasets, old_rules, new_rules):
-    return R.needed_references(updates_of(datasets, old_rules, new_rules))
+@query("needed_references", "exposures old_rules new_rules", f"WITH {COMPARED} SELECT DISTINCT lower(new_reference) AS reference FROM upd WHERE new_reference <> 'N/A'")
+def needed_references(exposures, old_rules, new_rules):
+    return R.needed_references(updates_of(exposures, old_rules, new_rules))
 
 
-@query("update_counts", "datasets old_rules new_rules", f"WITH {COMPARED} SELECT instrument, filekind, count(*) AS n_updates FROM upd GROUP BY ROLLUP (instrument, filekind)")
-def update_counts(datasets, old_rules, new_rules):
-    return R.update_counts(updates_of(datasets, old_rules, new_rules))
+@query("update_counts", "exposures old_rules new_rules", f"WITH {COMPARED} SELECT instrument, filekind, count(*) AS n_updates FROM upd GROUP BY ROLLUP (instrument, filekind)")
+def update_counts(exposures, old_rules, new_rules):
+    return R.update_counts(updates_of(exposures, old_rules, new_rules))
 
 
-@query("regression_differences", "datasets old_rules new_rules", f"WITH {COMPARED} SELECT *, 'update' AS kind FROM upd WHERE old_reference <> 'N/A' AND new_reference <> 'N/A'")
-def regression_differences(datasets, old_rules, new_rules):
-    return R.regression_differences(compare_references(datasets, old_rules, new_rules))
+@query("regression_differences", "exposures old_rules new_rules", f"WITH {COMPARED} SELECT *, 'update' AS kind FROM upd WHERE old_reference <> 'N/A' AND new_reference <> 'N/A'")
+def regression_differences(exposures, old_rules, new_rules):
+    return R.regression_differences(compare_references(exposures, old_rules, new_rules))
 
 
-@query("bad_references", "datasets old_rules new_rules", f"WITH {COMPARED} SELECT * FROM upd WHERE lower(new_reference) IN (SELECT lower(reference) FROM new_rules WHERE rule_id % 11 = 0)")
-def bad_references(datasets, old_rules, new_rules):
-    updates = compare_references(datasets, old_rules, new_rules).where("kind = 'update'").drop("kind")
+@query("bad_references", "exposures old_rules new_rules", f"WITH {COMPARED} SELECT * FROM upd WHERE lower(new_reference) IN (SELECT lower(reference) FROM new_rules WHERE rule_id % 11 = 0)")
+def bad_references(exposures, old_rules, new_rules):
+    updates = compare_references(exposures, old_rules, new_rules).where("kind = 'update'").drop("kind")
     return S.bad_references(updates, new_rules.where("rule_id % 11 = 0").select(F.col("reference").alias("name")))
 
 

@@ -19,19 +19,20 @@ def _relation(value: Column, op: Column, bound: Column) -> Column:
 
 
 RELATION = r"^\s*(<=|>=|<|>|=)\s*(\S+)\s*$"
+BETWEEN = r"(?i)^between\s+(\S+)\s+(\S+)$"
+LOGICAL = r"(?i)^#\s*(.*?)\s+(and|or)\s+(.*?)\s*#$"
 
 
 def _simple(value: Column, pattern: Column) -> Column:
     """Whether a value fits a pattern that is no logical combination."""
     op, bound = F.regexp_extract(pattern, RELATION, 1), F.regexp_extract(pattern, RELATION, 2)
-    between = r"(?i)^between\s+(\S+)\s+(\S+)$"
-    low, high = F.regexp_extract(pattern, between, 1), F.regexp_extract(pattern, between, 2)
+    low, high = F.regexp_extract(pattern, BETWEEN, 1), F.regexp_extract(pattern, BETWEEN, 2)
     inside = _relation(value, F.lit(">="), low) & _relation(value, F.lit("<"), high)
     return (
         F.when(pattern.rlike(r"^\{.*\}$"), value == F.substring(pattern, F.lit(2), F.length(pattern) - 2))
         .when(pattern.rlike(r"^\(.*\)$"), F.rlike(value, F.concat(F.lit("^(?:"), pattern, F.lit(")"))))
         .when(op != "", _relation(value, op, bound))
-        .when(pattern.rlike(between), inside)
+        .when(pattern.rlike(BETWEEN), inside)
         .when(pattern.rlike(r"[*?|\[]"), F.rlike(value, glob_regex(pattern)))
         .otherwise(value == pattern)
     )
@@ -46,8 +47,7 @@ def match_status(value: Column, pattern: Column) -> Column:
     """
     negated = pattern.rlike(r"(?i)^not\s")
     inner = F.when(negated, F.regexp_replace(pattern, r"(?i)^not\s+", "")).otherwise(pattern)
-    logical = r"(?i)^#\s*(.*?)\s+(and|or)\s+(.*?)\s*#$"
-    left, word, right = (F.regexp_extract(inner, logical, k) for k in (1, 2, 3))
+    left, word, right = (F.regexp_extract(inner, LOGICAL, k) for k in (1, 2, 3))
     # One or two terms, so that the long comparison stands in the plan once.
     fit = F.transform(F.when(word == "", F.array(inner)).otherwise(F.array(left, right)), lambda term: F.coalesce(_simple(value, term), F.lit(False)))
     fits = F.when(F.lower(word) == "and", F.forall(fit, lambda x: x)).otherwise(F.exists(fit, lambda x: x)) | ((word != "") & (F.upper(inner) == value))

@@ -9,27 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.normalize import UNDEFINED, normalize_dataset_id, product_id
-
-#: Results that mean that no reference applies.
-NOTHING = ["NOT FOUND NO MATCH FOUND.", "UNDEFINED", "NONE", "", "*"]
-
-
-def resolve_result(reference: Column, undefined_matters: bool = False) -> tuple[Column, Column]:
-    """(ok, reference) of a raw result: natural N/A, nothing found, other failures.
-
-    Nothing found is N/A, or a failure where undefined results matter.  A failure
-    keeps its text in capitals; a file is in small letters.
-    """
-    up = F.coalesce(F.upper(F.trim(reference)), F.lit(UNDEFINED))
-    natural = (up == "N/A") | up.startswith("NOT FOUND N/A")
-    nothing = up.isin(NOTHING)
-    failed = up.startswith("NOT FOUND") & ~natural & ~nothing
-    if undefined_matters:
-        failed = failed | nothing
-    out = F.when(natural, "N/A").when(failed, up).when(nothing, "N/A").otherwise(F.lower(F.trim(reference)))
-    return ~failed, out
-
+from ..functions.normalize import normalize_dataset_id, product_id
+from .meeting import small
+from .results import resolve_result
 
 def screen_references(new: DataFrame, undefined_matters: bool = False) -> tuple[DataFrame, DataFrame]:
     """Results of one context as (updates, errors)."""
@@ -66,6 +48,13 @@ def unkilled_updates(compared: DataFrame) -> DataFrame:
     return compared.where("kind = 'update'").join(killed, "dataset_id", "left_anti")
 
 
+def with_killed(compared: DataFrame) -> DataFrame:
+    """Findings with a column ``killed``: whether some type of the dataset failed, so that none of its updates is made."""
+    killed = compared.where("kind = 'error'").select(F.col("dataset_id").alias("_id")).distinct()
+    both = compared.join(killed, F.col("dataset_id") == F.col("_id"), "left")
+    return both.withColumn("killed", F.col("_id").isNotNull()).drop("_id")
+
+
 def affected_products(updates: DataFrame) -> DataFrame:
     return updates.select(product_id(F.col("dataset_id")).alias("product_id")).distinct()
 
@@ -106,7 +95,7 @@ def coverage_cases(results: DataFrame) -> DataFrame:
 
 def datasets_since(datasets: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Datasets exposed at or after their instrument's cut-off; an instrument without one keeps all."""
-    cuts = F.broadcast(cutoffs.select(F.col("instrument").alias("cut_instrument"), "cutoff"))  # one row per instrument
+    cuts = small(cutoffs.select(F.col("instrument").alias("cut_instrument"), "cutoff"))
     both = datasets.join(cuts, datasets["instrument"] == cuts["cut_instrument"], "left")
     return both.where(F.col("cutoff").isNull() | (F.col("exptime") >= F.col("cutoff"))).select(*datasets.columns)
 
@@ -138,7 +127,7 @@ def first_exposures(datasets: DataFrame) -> DataFrame:
 
 def history_affected(effects: DataFrame, pairs: DataFrame, drop_errors: bool = False) -> DataFrame:
     """Distinct ids affected by any of the context changes; runs with errors are kept unless dropped."""
-    rows = effects.join(F.broadcast(pairs), ["old_context", "new_context"], "left_semi")  # one row per change of context
+    rows = effects.join(small(pairs), ["old_context", "new_context"], "left_semi")
     return (rows.where("status = 'ok'") if drop_errors else rows).select("dataset_id").distinct()
 
 
@@ -159,7 +148,7 @@ def process_history(effects: DataFrame, pairs: DataFrame, plugins: ResultPlugins
     change and status, ``use_all_ids`` the distinct ids and ``log_all_ids`` one row with
     the number of changes that contributed and of ids.
     """
-    rows = effects.join(F.broadcast(pairs), ["old_context", "new_context"], "left_semi")  # one row per change of context
+    rows = effects.join(small(pairs), ["old_context", "new_context"], "left_semi")
     if plugins.log_affected:
         plugins.log_affected(rows.groupBy("old_context", "new_context", "status").agg(F.count("*").alias("n")))
     rows = rows.where("status = 'ok'") if drop_errors else rows

@@ -19,44 +19,45 @@ from pyspark.sql import functions as F
 from ..functions.hooks import apply_hooks, hooked
 from ..functions.normalize import UNDEFINED, version_key
 from ..functions.patterns import match_status
-from ..sources.scratch import stored
+from ..sources.scratch import dropped, stored
+from .classes import class_fits, value_classes
+from .meeting import meet, small
+from .results import resolve_result
 from .steps import last_not_after, neighbours, running_best, span_join
+from .tables import decided_cases, mode_values
 
 NOT_FOUND = "NOT FOUND No match found."
 IRRELEVANT = "NOT FOUND n/a"
 INVALID_DATE = "NOT FOUND invalid date"
-#: Rules that may be broadcast; above it the join on the rule set shuffles.
-BROADCAST_RULES = 200_000
-
-
-def _small(df: DataFrame, rows: int = BROADCAST_RULES) -> DataFrame:
-    """Broadcast a side after a check of its size."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def key_matches(tuples: DataFrame, keys: DataFrame, parameters: list[str]) -> DataFrame:
     """Distinct (rmap, tuple) and (rmap, match_key) that fit, with their weight.
 
-    Values and patterns of one parameter are few, so every pair of them is compared
-    once; the pairs of tuples and keys of a rule set then only look their statuses up.
+    Values of a parameter that no pattern tells apart form a class, and statuses are
+    worked out for one value of a class.  Class tuples then walk down the trie of the
+    keys of their rule set.
     """
 
     def pattern(name: str) -> Column:
         return F.coalesce(F.get(F.filter("match_key", lambda k: k["par"] == name), F.lit(0))["pattern"], F.lit("N/A"))
 
-    keys = keys.withColumn("patterns", F.array(*map(pattern, parameters)))
-    v = tuples.select("rmap", F.posexplode("tuple").alias("i", "value")).distinct()
-    p = keys.select("rmap", F.posexplode("patterns").alias("i", "pattern")).distinct()
-    pairs = v.join(p, ["rmap", "i"]).select("value", "pattern").distinct()
-    # Stored before it is filtered: the long expression is then built and run once.
-    status = stored(pairs.withColumn("status", match_status(F.col("value"), F.col("pattern"))), "status")
-    status = _small(status.where("status >= 0"))
-    both, weight = tuples.join(keys, "rmap"), F.lit(0)
+    keys = stored(keys.withColumn("patterns", F.array(*map(pattern, parameters))), "keys")
+    values = tuples.select(F.posexplode("tuple").alias("i", "value")).distinct()
+    patterns = stored(keys.select(F.posexplode("patterns").alias("i", "pattern")).distinct(), "patterns")
+    classes = stored(value_classes(values, patterns), "classes")
+    known = small(classes)
+    tupled = tuples.withColumn("class", F.array().cast("array<string>"))
     for i in range(len(parameters)):
-        own = status.select(F.col("value").alias(f"_v{i}"), F.col("pattern").alias(f"_p{i}"), F.col("status").alias(f"_s{i}"))
-        both = both.join(own, (F.get("tuple", F.lit(i)) == F.col(f"_v{i}")) & (F.get("patterns", F.lit(i)) == F.col(f"_p{i}"))).drop(f"_v{i}", f"_p{i}")
-        weight = weight + F.col(f"_s{i}")
-    return both.select("rmap", "tuple", "match_key", weight.alias("weight"))
+        own = known.where(F.col("i") == i).select(F.col("value").alias("_v"), F.col("class").alias("_c"))
+        tupled = tupled.join(own, F.get("tuple", F.lit(i)) == F.col("_v")).withColumn("class", F.concat("class", F.array("_c"))).drop("_v", "_c")
+    tupled = stored(tupled, "class-tuples")
+    fits = stored(class_fits(classes.select("i", F.col("class").alias("value")).distinct(), patterns), "fits")
+    asked = tupled.select(F.lit("").alias("kind"), F.col("rmap").alias("group"), F.col("class").alias("tuple"))
+    met = meet(asked, keys.select(F.col("rmap").alias("group"), F.col("patterns").alias("key")), fits, len(parameters))
+    met = met.select(F.col("group").alias("rmap"), F.col("tuple").alias("class"), F.col("key").alias("patterns"), F.col("score").alias("weight"))
+    out = tupled.join(met.join(keys, ["rmap", "patterns"]), ["rmap", "class"]).select("rmap", "tuple", "match_key", "weight")
+    out = stored(out, "key-matches")
+    dropped(keys, patterns, classes, tupled, fits)
+    return out
 
 
 def rule_parameters(rules: DataFrame) -> list[str]:
@@ -135,14 +136,12 @@ def best_reference(datasets: DataFrame, rules: DataFrame, parameters: list[str])
     return both.withColumn("reference", F.coalesce("reference", F.lit(NOT_FOUND))).drop("tuple")
 
 
-def changed_references(datasets: DataFrame, old: DataFrame, new: DataFrame, parameters: list[str], resolve: Callable[[Column], Column]) -> DataFrame:
-    """Datasets whose resolved reference differs between two rule sets, with old_reference and new_reference.
+def result_spans(tuples: DataFrame, old: DataFrame, new: DataFrame, parameters: list[str]) -> DataFrame:
+    """Both contexts' references per (rmap, tuple) as spans [low, high) of exposure time, with columns old and new.
 
-    Both step functions of a tuple are laid over each other, and old and new are
-    compared once per span; only spans that differ meet the datasets.
+    The step functions of the two contexts are laid over each other; a row marked
+    ``unknown`` holds what an unknown time gets.
     """
-    keyed = parameter_tuples(datasets, parameters)
-    tuples = stored(keyed.select("rmap", "tuple").distinct(), "tuples")
     key, marks = ["rmap", "tuple"], []
     for side, rules in (("old", old), ("new", new)):
         steps = reference_steps(tuples, rules, parameters)
@@ -153,8 +152,65 @@ def changed_references(datasets: DataFrame, old: DataFrame, new: DataFrame, para
     both = both.groupBy(*key, "unknown", "low").agg(*(F.max_by(c, (F.col(c) != NOT_FOUND).cast("int")).alias(c) for c in ("old", "new")))
     line = W.partitionBy(*key, "unknown").orderBy(F.col("low").asc_nulls_first())
     so_far = line.rowsBetween(W.unboundedPreceding, W.currentRow)
-    spans = both.select(*key, "unknown", "low", F.lead("low").over(line).alias("high"), *(resolve(F.last(c, True).over(so_far)).alias(f"{c}_reference") for c in ("old", "new")))
-    return span_join(keyed, spans.where("old_reference <> new_reference"), key, "exptime", "inner").drop("tuple")
+    return both.select(*key, "unknown", "low", F.lead("low").over(line).alias("high"), *(F.last(c, True).over(so_far).alias(c) for c in ("old", "new")))
+
+
+def compared_references(datasets: DataFrame, old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame], parameters: list[str], include: list[str] | None = None, undefined_matters: bool = False, tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """What a change of context does to datasets(dataset_id, instrument, params, exptime): all types at once.
+
+    ``old`` and ``new`` are contexts as (serving(instrument, filekind, rmap), rules); a
+    type that one of them lacks finds nothing there.  Rows are (dataset_id, instrument, filekind,
+    old_reference, new_reference, kind): updates and errors; what stays the same is left
+    out.  A failed lookup in the new context is an error whatever the old result.  ``tables`` is
+    (rows, registry) of ``effective_updates``: updates whose tables select the same
+    rows for the dataset have kind ``no effect``.
+
+    Old and new results are compared per span of a distinct tuple, and table effects decided
+    per (span, mode values), before a dataset is touched.  Spans of all types share the instrument's
+    tuples, so a dataset meets them in one join and becomes as many rows as it has findings.
+    """
+    fields = [] if tables is None else _mode_names(tables[1])
+    names = [*parameters, *(f for f in fields if f not in parameters)]
+    wide = parameter_tuples(datasets, names).withColumnRenamed("tuple", "_wide")
+    wides = stored(wide.select("instrument", "_wide").distinct(), "tuples")
+    short = F.slice("_wide", 1, len(parameters)).alias("tuple")
+    sides, slots = [], None
+    slot = F.concat_ws("\x01", "instrument", "filekind")
+    for serving, rules in (old, new):
+        own = serving if include is None else serving.where(F.col("filekind").isin(include))
+        own = own.select("instrument", "filekind", "rmap").distinct()
+        slots = own if slots is None else slots.union(own)
+        sides.append(rules.join(small(own), "rmap").withColumn("rmap", slot))
+    slots = stored(slots.select("instrument", "filekind", slot.alias("rmap")).distinct(), "slots")
+    tuples = stored(wides.select("instrument", short).distinct().join(small(slots), "instrument").select("rmap", "tuple"), "slot-tuples")
+    spans = result_spans(tuples, *sides, parameters)
+    _, before = resolve_result(F.col("old"), undefined_matters)
+    ok, after = resolve_result(F.col("new"), undefined_matters)
+    kind = F.when(~ok, "error").when(before != after, "update").otherwise("same")
+    spans = spans.select("rmap", "tuple", "unknown", "low", "high", before.alias("old_reference"), after.alias("new_reference"), kind.alias("kind")).where("kind <> 'same'")
+    spans = stored(spans.join(small(slots), "rmap").drop("rmap"), "findings")
+    # From tuples of matching parameters to those that hold the mode values, too.
+    spans = wides.withColumn("tuple", short).join(spans, ["instrument", "tuple"]).drop("tuple")
+    if tables is not None:
+        rows, registry = tables
+        params = F.map_from_arrays(F.array(*map(F.lit, names)), "_wide")
+        spans = stored(spans.withColumn("params", params), "mode-findings")
+        same = decided_cases(spans.where("kind = 'update'"), rows, registry)
+        types = small(registry)
+        marked = spans.join(types, ["instrument", "filekind"], "left").withColumn("values", mode_values(F.col("fields"), F.col("params"))).drop("fields", "params")
+        key = ["instrument", "filekind", "old_reference", "new_reference", "values"]
+        marked = marked.join(same.withColumn("_same", F.lit(True)), key, "left")
+        spans = marked.withColumn("kind", F.when(F.col("_same") & (F.col("kind") == "update"), "no effect").otherwise(F.col("kind"))).drop("_same", "values")
+    found = span_join(wide, spans, ["instrument", "_wide"], "exptime", "inner")
+    return found.select("dataset_id", "instrument", "filekind", "old_reference", "new_reference", "kind")
+
+
+def _mode_names(registry: DataFrame) -> list[str]:
+    """Mode fields of all types: a few dozen."""
+    names = [r.n for r in registry.select(F.explode("fields.name").alias("n")).distinct().limit(1001).collect()]
+    if len(names) > 1000:
+        raise ValueError("more than 1000 mode fields")
+    return sorted(names)
 
 
 def ambiguous_matches(matched: DataFrame, ident: str = "dataset_id") -> DataFrame:
@@ -314,7 +370,7 @@ def best_references(datasets: DataFrame, context_rmaps: DataFrame, rules: DataFr
     that lacks a parameter takes any value for it.
     """
     kinds = context_rmaps if include is None else context_rmaps.where(F.col("filekind").isin(include))
-    rows = datasets.join(_small(kinds), "instrument")
+    rows = datasets.join(small(kinds), "instrument")
     return best_reference(rows, rules, parameters).select("dataset_id", "instrument", "filekind", "reference")
 
 
@@ -341,9 +397,9 @@ def hooked_lookup(headers: DataFrame, rules: DataFrame, parameters: list[str], f
 def applicable_types(datasets: DataFrame, patterns: DataFrame, steps: DataFrame, types: DataFrame) -> DataFrame:
     """Types that a dataset's pipelines need: ``exp_type`` to pipeline by the first fitting glob, to steps, to types."""
     kinds = datasets.select("exp_type").distinct()
-    first = kinds.join(_small(patterns), match_status(F.col("exp_type"), F.col("pattern")) == 1).groupBy("exp_type").agg(F.min_by("pipeline", "ordinal").alias("pipeline"))
-    need = first.join(_small(steps), "pipeline").join(_small(types), "step").select("exp_type", "filekind").distinct()
-    return datasets.join(_small(need), "exp_type")
+    first = kinds.join(small(patterns), match_status(F.col("exp_type"), F.col("pattern")) == 1).groupBy("exp_type").agg(F.min_by("pipeline", "ordinal").alias("pipeline"))
+    need = first.join(small(steps), "pipeline").join(small(types), "step").select("exp_type", "filekind").distinct()
+    return datasets.join(small(need), "exp_type")
 
 
 def with_config(datasets: DataFrame, versions: DataFrame) -> DataFrame:
@@ -409,7 +465,7 @@ def types_by_config(datasets: DataFrame, versions: DataFrame, patterns: DataFram
     first = need.join(step_exceptions, ["config", "step"]).where(fits).groupBy(*marks, "step").agg(F.min_by("filekinds", "ordinal").alias("f"))
     out = stored(plain.union(first.select(*marks, F.explode("f").alias("filekind"))).distinct(), "need")
     same = reduce(and_, (keyed[m].eqNullSafe(out[m]) for m in marks))
-    return keyed.join(_small(out), same).select(keyed["dataset_id"], keyed["exp_type"], keyed["config"], "filekind")
+    return keyed.join(small(out), same).select(keyed["dataset_id"], keyed["exp_type"], keyed["config"], "filekind")
 
 
 def selected_types(applicable: DataFrame, changed: DataFrame | None = None, asked: list[str] | None = None, skipped: list[str] = ()) -> DataFrame:
@@ -424,7 +480,7 @@ def selected_types(applicable: DataFrame, changed: DataFrame | None = None, aske
 
 def old_references(datasets: DataFrame, kinds: DataFrame, natural_to_na: bool = True) -> DataFrame:
     """Recorded references: by the type's keyword, else by its name, else UNDEFINED."""
-    both = datasets.join(_small(kinds), "instrument")
+    both = datasets.join(small(kinds), "instrument")
     found = F.coalesce(F.try_element_at("params", F.col("keyword")), F.try_element_at("params", F.upper("filekind")), F.lit(UNDEFINED))
     if natural_to_na:
         found = F.when(F.upper(found) == "NOT FOUND N/A", "N/A").otherwise(found)
@@ -433,7 +489,7 @@ def old_references(datasets: DataFrame, kinds: DataFrame, natural_to_na: bool =
 
 def bad_references(updates: DataFrame, bad: DataFrame) -> DataFrame:
     """Updates whose new reference is known to be bad."""
-    listed = _small(bad.select(F.lower("name").alias("bad_name")).distinct())
+    listed = small(bad.select(F.lower("name").alias("bad_name")).distinct())
     return updates.withColumn("bad_name", F.lower("new_reference")).join(listed, "bad_name", "left_semi").drop("bad_name")
 
 

@@ -1,7 +1,7 @@
 """As-of joins: rule-side choices become disjoint spans per key, and each row finds the one span that holds its value.
 
 A row is never joined with all spans of its key.  Spans are dealt into cells of the
-value's range, about two of them in a cell, and rows meet only the spans of their
+value's range, about two of them in a cell wherever they crowd, and rows meet only the spans of their
 own cell by an equi-join, which Spark can broadcast, shuffle or split where it is
 skewed.  Rows stay as narrow as they came.
 """
@@ -19,8 +19,8 @@ from ..sources.scratch import stored
 
 #: Spans that may be broadcast: narrow rows, so some 20 MB at most.  Beyond it the join shuffles.
 BROADCAST_SPANS = 200_000
-#: Cells that a key's range may be cut into.
-MOST_CELLS = 1 << 20
+#: Cells that a key's range may be cut into, and the quantiles of the spans' bounds between which they are equally wide.
+MOST_CELLS, KNOTS = 1 << 20, 32
 
 
 def as_number(df: DataFrame, column: str) -> Column:
@@ -56,12 +56,25 @@ def span_join(rows: DataFrame, spans: DataFrame, key: list[str], at: str, how: s
     marked = "unknown" in spans.columns
     known = spans.where(~F.col("unknown")) if marked else spans
     low, high = as_number(spans, "low"), as_number(spans, "high")
-    size = known.agg(F.count("*").alias("n"), F.min(F.least(low, high)).alias("low"), F.max(F.greatest(low, high)).alias("high"), F.approx_count_distinct(F.struct(*key)).alias("keys")).first()
-    least, width = (size.low or 0.0), max((size.high or 0.0) - (size.low or 0.0), 1e-9)
-    cells = int(max(1, min(MOST_CELLS, size.n // (2 * max(1, size.keys)))))
+    shares = F.percentile_approx(F.coalesce(low, high), F.array(*(F.lit(k / KNOTS) for k in range(KNOTS + 1))), F.lit(10_000))
+    size = known.agg(F.count("*").alias("n"), shares.alias("knots"), F.max(high).alias("most"), F.approx_count_distinct(F.struct(*key)).alias("keys")).first()
+    knots = sorted({k for k in [*(size.knots or []), size.most] if k is not None})
+    wanted = max(1, min(MOST_CELLS, size.n // (2 * max(1, size.keys))))
+    knots = knots[:: max(1, (len(knots) - 1) // wanted)] if len(knots) > 1 else [*knots, *(k + 1 for k in knots)] or [0.0, 1.0]
+    each = max(1, wanted // (len(knots) - 1))
+    cells = each * (len(knots) - 1)
 
     def cell(value: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(F.lit(cells), F.floor((value - least) / width * cells))).cast("int")
+        """Cells of equal width between two knots, which have about equally many spans between them."""
+
+        def inside(a: int, b: int) -> Column:
+            if b - a > 1:
+                middle = (a + b) // 2
+                return F.when(value < knots[middle], inside(a, middle)).otherwise(inside(middle, b))
+            part = F.floor((value - knots[a]) / (knots[b] - knots[a]) * each)
+            return F.lit(a * each) + F.greatest(F.lit(0), F.least(F.lit(each), part))
+
+        return inside(0, len(knots) - 1).cast("int")
 
     first = F.when(F.col("low").isNull(), 0).otherwise(cell(low))
     last = F.when(F.col("high").isNull(), cells).otherwise(cell(high))

@@ -14,15 +14,20 @@ from rulewright.sources import scratch
 
 
 def test_job_equals_the_query(spark, sf, tmp_path):
-    headers(load(spark, sf, "datasets")).write.parquet(f"{tmp_path}/d")
+    headers(load(spark, sf, "exposures")).withColumnRenamed("rmap", "instrument").write.parquet(f"{tmp_path}/d")
     for name in ("old_rules", "new_rules"):
-        keyed(load(spark, sf, name)).write.parquet(f"{tmp_path}/{name}")
+        keyed(load(spark, sf, name)).withColumnRenamed("rmap", "instrument").withColumn("filekind", F.lit("table")).write.parquet(f"{tmp_path}/{name}")
     want = {tuple(r) for r in QUERIES["affected_datasets"](spark, sf).collect()}
+    failed = {r.dataset_id for r in QUERIES["failed_datasets"](spark, sf).collect()}
+    read = lambda name: spark.read.parquet(f"{tmp_path}/out/{name}")
     for since in (None, "all"):
         affected_datasets.run(spark, f"{tmp_path}/d", f"{tmp_path}/old_rules", f"{tmp_path}/new_rules", PARAMETERS, f"{tmp_path}/out", since=since)
-        assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/updates").collect()} == want
-    total = spark.read.parquet(f"{tmp_path}/out/counts").where("instrument is null").first().n_updates
-    assert total == len(want) and spark.read.parquet(f"{tmp_path}/out/needed").count() > 0
+        assert {tuple(r) for r in read("updates").collect()} == want
+        errors = {r.dataset_id for r in read("errors").collect()}
+        # Datasets that no changed rule reaches are not looked at unless all are asked for.
+        assert errors and errors <= failed and (since is None or errors == failed)
+    total = read("counts").where("instrument is null").first().n_updates
+    assert total == len(want) and read("needed").count() > 0 and read("needed").where("reference like 'not found%'").count() == 0
 
 
 def test_headers_there_and_back(spark, tmp_path):

@@ -8,8 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulewright.functions.hooks import apply_hooks, hook
+from rulewright.functions.patterns import match_status
 from rulewright.operators import reprocess as R
 from rulewright.operators import selection as S
+from rulewright.operators import tables as T
+from rulewright.operators.classes import value_classes
+from rulewright.operators.meeting import meet
+from rulewright.operators.steps import span_join
 
 DAY = dt.datetime(2030, 1, 1)
 RULE = "rmap string, match_key array<struct<par:string,pattern:string>>, useafter timestamp, reference string"
@@ -92,12 +97,84 @@ def test_best_reference_against_brute_force(spark, world):
     assert {r.dataset_id: r.reference for r in out} == {h[0]: best(rules, h) for h in heads} and len(out) == len(heads)
 
 
-def test_changed_references_against_brute_force(spark, world):
+def resolved(reference):
+    """(ok, reference) of a raw result."""
+    if reference in ("N/A", S.NOT_FOUND):
+        return True, "N/A"
+    return (False, reference.upper()) if reference.startswith("NOT FOUND") else (True, reference.lower())
+
+
+@pytest.mark.parametrize("with_tables", [False, True])
+def test_compared_references_against_brute_force(spark, world, with_tables):
+    """Two types, one of which the new context lacks for one instrument; null times, failed lookups, kills and table effects."""
     rules, heads = world
     new = [(r[0], r[1], r[2], r[3] + ("n" if k % 5 == 0 else "")) for k, r in enumerate(rules) if k % 7]
-    out = S.changed_references(spark.createDataFrame(heads, HEADER), spark.createDataFrame(rules, RULE), spark.createDataFrame(new, RULE), ["A", "B"], lambda c: c)
-    want = {h[0]: (best(rules, h), best(new, h)) for h in heads}
-    assert {r.dataset_id: (r.old_reference, r.new_reference) for r in out.collect()} == {k: v for k, v in want.items() if v[0] != v[1]}
+    serving_old = [("cam", "flat", "r"), ("cam", "dark", "s"), ("spec", "dark", "s")]
+    serving_new = [("cam", "dark", "s"), ("spec", "dark", "s"), ("spec", "flat", "r")]
+    rows = [(h[0], "cam" if k % 2 else "spec", h[2] | {"M": "mnp"[k % 3]}, h[3]) for k, h in enumerate(heads)]
+    serve = lambda x: spark.createDataFrame(x, "instrument string, filekind string, rmap string")
+    df = spark.createDataFrame(rows, "dataset_id string, instrument string, params map<string,string>, exptime timestamp")
+    # What mode m selects depends on the reference's last digit, n on nothing, p has no rows.
+    text = lambda ref, mode: {"m": ref.rstrip("n")[-1], "n": "same"}.get(mode)
+    refs = sorted({r[3].lower() for r in [*rules, *new]})
+    tables = spark.createDataFrame([(r, {"M": m, "V": text(r, m)}) for r in refs for m in "mn"], "reference string, cells map<string,string>")
+    effects = (tables, T.mode_registry(spark, {("cam", "dark"): ["M"], ("spec", "dark"): None})) if with_tables else None
+    out = S.compared_references(df, (serve(serving_old), spark.createDataFrame(rules, RULE)), (serve(serving_new), spark.createDataFrame(new, RULE)), ["A", "B"], tables=effects)
+    out = R.with_killed(out).collect()
+    want = {}
+    for d, i, p, t in rows:
+        for kind in ("flat", "dark"):
+            both = []
+            for serving, context in ((serving_old, rules), (serving_new, new)):
+                rmap = {(a, b): c for a, b, c in serving}.get((i, kind))
+                both.append(resolved(best(context, (d, rmap, p, t)) if rmap else S.NOT_FOUND))
+            (_, a), (ok, b) = both
+            what = "error" if not ok else "update" if a != b else None
+            files = not any(x == "N/A" or x.startswith("NOT FOUND") for x in (a, b))
+            if what == "update" and with_tables and files and (i, kind) == ("cam", "dark") and text(a, p["M"]) == text(b, p["M"]):
+                what = "no effect"
+            if what:
+                want[d, i, kind] = (a, b, what)
+    killed = {d for (d, _, _), v in want.items() if v[2] == "error"}
+    assert {(r.dataset_id, r.instrument, r.filekind): (r.old_reference, r.new_reference, r.kind) for r in out} == want and len(out) == len(want)
+    assert {r.dataset_id for r in out if r.killed} == killed
+    assert {v[2] for v in want.values()} == {"update", "error", *(["no effect"] if with_tables else [])}
+
+
+def test_continuous_parameter(spark):
+    """A hundred thousand numbers against bounds, texts and globs: as many classes as the bounds tell apart, and the right rules."""
+    rng = random.Random(5)
+    patterns = ["<10", ">=10", "between 3.5 70", "12.25", "1*|2*", "N/A", "*", "not >50", "# >20 and <60 #", "=30", "{77.0}", "(9.*)"]
+    rules = [("r", [("X", p), ("G", g)], None, f"{p}/{g}") for p in patterns for g in ("A", "B|C", "N/A")]
+    values = ["12.25", "10", "30", "30.0", "77.0", "N/A", "*", "soon", *(f"{rng.random() * 100:.9f}" for _ in range(100_000))]
+    rows = [(str(k), "r", {"X": v, "G": "ABCD"[k % 4]}) for k, v in enumerate(values)]
+    heads = spark.createDataFrame(rows, "dataset_id string, rmap string, params map<string,string>")
+    distinct = heads.select(F.lit(0).alias("i"), F.col("params")["X"].alias("value")).distinct()
+    classes = value_classes(distinct, spark.createDataFrame([(0, p) for p in patterns], "i int, pattern string"))
+    assert classes.count() == len(set(values)) and classes.select("class").distinct().count() < 60
+    got = S.weighted_match(heads, spark.createDataFrame(rules, RULE), ["X", "G"]).groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.concat_ws(" ", "weight", "reference"))).alias("found"))
+    want = heads.join(spark.createDataFrame(rules, RULE).select(F.col("match_key")[0]["pattern"].alias("x"), F.col("match_key")[1]["pattern"].alias("g"), "reference"), how="cross")
+    status = [match_status(F.col("params")[n], F.col(c)) for n, c in (("X", "x"), ("G", "g"))]
+    want = want.select("dataset_id", "reference", status[0].alias("a"), status[1].alias("b")).where("a >= 0 and b >= 0").groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.concat_ws(" ", (F.col("a") + F.col("b")).cast("int"), "reference"))).alias("found"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_walks_are_equi_joins(spark, world):
+    """No pair of tuples and keys is formed to be thrown away: no nested loop, no product."""
+    rules, heads = world
+    tuples = spark.createDataFrame([("r", ["x", "1"])], "rmap string, tuple array<string>")
+    fit = meet(tuples.select(F.lit("").alias("kind"), F.col("rmap").alias("group"), "tuple"), spark.createDataFrame([("r", ["x", "N/A"])], "group string, key array<string>"), spark.createDataFrame([("", 0, "x", "x", 1), ("", 1, "1", "N/A", 0)], "kind string, i int, value string, pattern string, score int"), 2)
+    plan = fit._jdf.queryExecution().toString()
+    assert [tuple(r) for r in fit.select("tuple", "key", "score").collect()] == [(["x", "1"], ["x", "N/A"], 1)]
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_cells_follow_the_spans(spark):
+    """One date far away leaves the cells of the others narrow."""
+    spans = [("k", day(n), day(n + 1), n) for n in range(2000)] + [("k", dt.datetime(1900, 1, 1), day(0), -1)]
+    rows = spark.createDataFrame([("k", day(n) + dt.timedelta(hours=5)) for n in range(-5, 2005)], "g string, t timestamp")
+    out = span_join(rows, spark.createDataFrame(spans, "g string, low timestamp, high timestamp, n int"), ["g"], "t")
+    assert {(r.t, r.n) for r in out.collect()} == {(day(n) + dt.timedelta(hours=5), -1 if n < 0 else n if n < 2000 else None) for n in range(-5, 2005)}
 
 
 def test_nearest_with_ties(spark):
