@@ -232,9 +232,14 @@ def is_newer(a: Column, b: Column) -> Column:
 
 
 def compare_text(value: Column) -> Column:
-    """One text for equal numbers, else the trimmed text."""
+    """One text for equal numbers, else the trimmed text.
+
+    Only what begins like a number is read as one: a failed reading is slow.
+    """
     t = F.trim(value.cast("string"))
-    return F.coalesce(t.try_cast("long").cast("string"), F.when(t.try_cast("double") == F.floor(t.try_cast("double")), t.try_cast("double").cast("long").cast("string")), t.try_cast("double").cast("string"), t)
+    number = t.try_cast("double")
+    whole = F.coalesce(t.try_cast("long").cast("string"), F.when(number == F.floor(number), number.cast("long").cast("string")), number.cast("string"), t)
+    return F.when(t.rlike(r"(?i)^[+-]?(\d|\.\d|inf|nan)"), whole).otherwise(t)
 
 
 def _with(params: Column, key: str, value: Column) -> Column:

@@ -24,39 +24,53 @@ from .classes import class_fits, value_classes
 from .meeting import meet, small
 from .results import resolve_result
 from .steps import last_not_after, neighbours, running_best, span_join
-from .tables import decided_cases, mode_values
+from .tables import decided_cases, raw_values
 
 NOT_FOUND = "NOT FOUND No match found."
 IRRELEVANT = "NOT FOUND n/a"
 INVALID_DATE = "NOT FOUND invalid date"
-def key_matches(tuples: DataFrame, keys: DataFrame, parameters: list[str]) -> DataFrame:
-    """Distinct (rmap, tuple) and (rmap, match_key) that fit, with their weight.
-
-    Values of a parameter that no pattern tells apart form a class, and statuses are
-    worked out for one value of a class.  Class tuples then walk down the trie of the
-    keys of their rule set.
-    """
+def _patterned(rules: DataFrame, parameters: list[str]) -> DataFrame:
+    """Distinct (rmap, match_key, patterns): a key's patterns in the order of the parameters, N/A where it has none."""
 
     def pattern(name: str) -> Column:
         return F.coalesce(F.get(F.filter("match_key", lambda k: k["par"] == name), F.lit(0))["pattern"], F.lit("N/A"))
 
-    keys = stored(keys.withColumn("patterns", F.array(*map(pattern, parameters))), "keys")
-    values = tuples.select(F.posexplode("tuple").alias("i", "value")).distinct()
-    patterns = stored(keys.select(F.posexplode("patterns").alias("i", "pattern")).distinct(), "patterns")
-    classes = stored(value_classes(values, patterns), "classes")
-    known = small(classes)
-    tupled = tuples.withColumn("class", F.array().cast("array<string>"))
+    return rules.select("rmap", "match_key").distinct().withColumn("patterns", F.array(*map(pattern, parameters)))
+
+
+def classed_tuples(tuples: DataFrame, rules: list[DataFrame], parameters: list[str]) -> DataFrame:
+    """tuples(rmap, tuple) with ``class``: for each value one that no rule of any of ``rules`` tells from it.
+
+    The result is stored; the caller drops it.
+    """
+    tuples = stored(tuples, "tuples")
+    each = [_patterned(r, parameters).select(F.posexplode("patterns").alias("i", "pattern")) for r in rules]
+    patterns = stored(reduce(DataFrame.union, each).distinct(), "patterns")
+    classes = value_classes(tuples.select(F.posexplode("tuple").alias("i", "value")).distinct(), patterns)
+    known, out = small(classes), tuples.withColumn("class", F.array().cast("array<string>"))
     for i in range(len(parameters)):
         own = known.where(F.col("i") == i).select(F.col("value").alias("_v"), F.col("class").alias("_c"))
-        tupled = tupled.join(own, F.get("tuple", F.lit(i)) == F.col("_v")).withColumn("class", F.concat("class", F.array("_c"))).drop("_v", "_c")
-    tupled = stored(tupled, "class-tuples")
-    fits = stored(class_fits(classes.select("i", F.col("class").alias("value")).distinct(), patterns), "fits")
-    asked = tupled.select(F.lit("").alias("kind"), F.col("rmap").alias("group"), F.col("class").alias("tuple"))
-    met = meet(asked, keys.select(F.col("rmap").alias("group"), F.col("patterns").alias("key")), fits, len(parameters))
+        out = out.join(own, F.get("tuple", F.lit(i)) == F.col("_v")).withColumn("class", F.concat("class", F.array("_c"))).drop("_v", "_c")
+    out = stored(out, "class-tuples")
+    dropped(tuples, patterns, classes)
+    return out
+
+
+def key_matches(classes: DataFrame, rules: DataFrame, parameters: list[str]) -> DataFrame:
+    """Distinct (rmap, class) and (rmap, match_key) that fit, with their weight.
+
+    Statuses are worked out once for a class value and a pattern; class tuples then
+    walk down the trie of the keys of their rule set.
+    """
+    keys = stored(_patterned(rules, parameters), "keys")
+    asked = classes.select("rmap", "class").distinct()
+    patterns = keys.select(F.posexplode("patterns").alias("i", "pattern")).distinct()
+    fits = stored(class_fits(asked.select(F.posexplode("class").alias("i", "value")).distinct(), patterns), "fits")
+    walk = asked.select(F.lit("").alias("kind"), F.col("rmap").alias("group"), F.col("class").alias("tuple"))
+    met = meet(walk, keys.select(F.col("rmap").alias("group"), F.col("patterns").alias("key")), fits, len(parameters))
     met = met.select(F.col("group").alias("rmap"), F.col("tuple").alias("class"), F.col("key").alias("patterns"), F.col("score").alias("weight"))
-    out = tupled.join(met.join(keys, ["rmap", "patterns"]), ["rmap", "class"]).select("rmap", "tuple", "match_key", "weight")
-    out = stored(out, "key-matches")
-    dropped(keys, patterns, classes, tupled, fits)
+    out = stored(met.join(keys, ["rmap", "patterns"]).select("rmap", "class", "match_key", "weight"), "key-matches")
+    dropped(keys, fits)
     return out
 
 
@@ -76,9 +90,10 @@ def weighted_match(headers: DataFrame, rules: DataFrame, parameters: list[str] |
     """
     names = parameters or rule_parameters(rules)
     keyed = parameter_tuples(headers, names)
-    tuples = stored(keyed.select("rmap", "tuple").distinct(), "tuples")
-    fit = key_matches(tuples, rules.select("rmap", "match_key").distinct(), names)
-    return keyed.join(fit.join(rules, ["rmap", "match_key"]), ["rmap", "tuple"]).drop("tuple")
+    classes = classed_tuples(keyed.select("rmap", "tuple").distinct(), [rules], names)
+    fit = key_matches(classes, rules, names)
+    rows = keyed.join(small(classes), ["rmap", "tuple"])
+    return rows.join(fit.join(rules, ["rmap", "match_key"]), ["rmap", "class"]).drop("tuple", "class")
 
 
 def rank_candidates(matched: DataFrame, ident: str = "dataset_id") -> DataFrame:
@@ -92,27 +107,31 @@ def parameter_tuples(datasets: DataFrame, parameters: list[str]) -> DataFrame:
     return datasets.withColumn("tuple", F.array(*values))
 
 
-def tuple_candidates(tuples: DataFrame, rules: DataFrame, parameters: list[str]) -> DataFrame:
-    """Per distinct (rmap, tuple): the (weight, useafter, reference) of the rules that fit.
+def class_candidates(classes: DataFrame, rules: DataFrame, parameters: list[str]) -> DataFrame:
+    """Per distinct (rmap, class): the (weight, useafter, reference) of the rules that fit.
 
-    Many rules of a set share a match key and differ in date, so tuples are compared
+    Many rules of a set share a match key and differ in date, so classes are compared
     with distinct keys; the dates come by an equi-join.
     """
-    fit = key_matches(tuples, rules.select("rmap", "match_key").distinct(), parameters)
+    fit = key_matches(classes, rules, parameters)
     dates = rules.groupBy("rmap", "match_key", "useafter").agg(F.max("reference").alias("reference"))
-    return fit.select("rmap", "tuple", "match_key", "weight").join(dates, ["rmap", "match_key"]).select("rmap", "tuple", "weight", "useafter", "reference")
+    # Of the rules of one weight and date the greatest name counts, so no more of them go on.
+    found = fit.join(dates, ["rmap", "match_key"]).groupBy("rmap", "class", "weight", "useafter").agg(F.max("reference").alias("reference"))
+    found = stored(found, "candidates")
+    dropped(fit)
+    return found
 
 
-def reference_steps(tuples: DataFrame, rules: DataFrame, parameters: list[str]) -> DataFrame:
-    """Per (rmap, tuple) the reference as a step function of exposure time: disjoint spans [low, high).
+def reference_steps(classes: DataFrame, rules: DataFrame, parameters: list[str]) -> DataFrame:
+    """Per (rmap, class) the reference as a step function of exposure time: disjoint spans [low, high).
 
     A rule counts from its use-after date on (one without a date always).  In the
     order of dates a rule begins a step if no earlier one has a greater weight; so a
     group whose dates are all later falls through to the next weight.  One more row
-    per tuple, marked ``unknown``, holds what an unknown exposure time gets.
+    per class, marked ``unknown``, holds what an unknown exposure time gets.
     """
-    found = stored(tuple_candidates(tuples, rules, parameters), "candidates")
-    key = ["rmap", "tuple"]
+    found = class_candidates(classes, rules, parameters)
+    key = ["rmap", "class"]
     steps = running_best(found, key, "useafter", ["weight"]).select(*key, "low", "high", "reference", F.lit(False).alias("unknown"))
     dateless = F.max_by("reference", F.struct("weight", "reference")).alias("reference")
     none = found.groupBy(*key).agg(F.max(F.col("useafter").isNotNull()).alias("dated"), dateless)
@@ -130,24 +149,24 @@ def best_reference(datasets: DataFrame, rules: DataFrame, parameters: list[str])
     exposure time is an error text unless no rule of the tuple has a date.
     """
     keyed = parameter_tuples(datasets, parameters)
-    tuples = stored(keyed.select("rmap", "tuple").distinct(), "tuples")
-    steps = reference_steps(tuples, rules, parameters)
-    both = span_join(keyed, steps, ["rmap", "tuple"], "exptime")
-    return both.withColumn("reference", F.coalesce("reference", F.lit(NOT_FOUND))).drop("tuple")
+    classes = classed_tuples(keyed.select("rmap", "tuple").distinct(), [rules], parameters)
+    steps = reference_steps(classes, rules, parameters)
+    both = span_join(keyed.join(small(classes), ["rmap", "tuple"]).drop("tuple"), steps, ["rmap", "class"], "exptime")
+    return both.withColumn("reference", F.coalesce("reference", F.lit(NOT_FOUND))).drop("class")
 
 
-def result_spans(tuples: DataFrame, old: DataFrame, new: DataFrame, parameters: list[str]) -> DataFrame:
-    """Both contexts' references per (rmap, tuple) as spans [low, high) of exposure time, with columns old and new.
+def result_spans(classes: DataFrame, old: DataFrame, new: DataFrame, parameters: list[str]) -> DataFrame:
+    """Both contexts' references per (rmap, class) as spans [low, high) of exposure time, with columns old and new.
 
     The step functions of the two contexts are laid over each other; a row marked
     ``unknown`` holds what an unknown time gets.
     """
-    key, marks = ["rmap", "tuple"], []
+    key, marks = ["rmap", "class"], []
     for side, rules in (("old", old), ("new", new)):
-        steps = reference_steps(tuples, rules, parameters)
+        steps = reference_steps(classes, rules, parameters)
         marks.append(steps.select(*key, "unknown", "low", F.col("reference").alias(side)))
-    # Before its first step, and without any, a tuple has no match on that side.
-    begin = tuples.select(*key, F.explode(F.array(F.lit(False), F.lit(True))).alias("unknown"), F.lit(NOT_FOUND).alias("old"), F.lit(NOT_FOUND).alias("new"))
+    # Before its first step, and without any, a class has no match on that side.
+    begin = classes.select(*key).distinct().select(*key, F.explode(F.array(F.lit(False), F.lit(True))).alias("unknown"), F.lit(NOT_FOUND).alias("old"), F.lit(NOT_FOUND).alias("new"))
     both = marks[0].unionByName(marks[1], allowMissingColumns=True).unionByName(begin, allowMissingColumns=True)
     both = both.groupBy(*key, "unknown", "low").agg(*(F.max_by(c, (F.col(c) != NOT_FOUND).cast("int")).alias(c) for c in ("old", "new")))
     line = W.partitionBy(*key, "unknown").orderBy(F.col("low").asc_nulls_first())
@@ -180,28 +199,38 @@ def compared_references(datasets: DataFrame, old: tuple[DataFrame, DataFrame], n
         own = serving if include is None else serving.where(F.col("filekind").isin(include))
         own = own.select("instrument", "filekind", "rmap").distinct()
         slots = own if slots is None else slots.union(own)
-        sides.append(rules.join(small(own), "rmap").withColumn("rmap", slot))
+        sides.append(rules.select("rmap", "match_key", "useafter", "reference").join(small(own), "rmap").withColumn("rmap", slot))
     slots = stored(slots.select("instrument", "filekind", slot.alias("rmap")).distinct(), "slots")
-    tuples = stored(wides.select("instrument", short).distinct().join(small(slots), "instrument").select("rmap", "tuple"), "slot-tuples")
-    spans = result_spans(tuples, *sides, parameters)
+    # Classes serve all types of an instrument and both contexts.
+    owned = [rules.withColumn("rmap", F.col("instrument")) for rules in sides]
+    classes = classed_tuples(wides.select(F.col("instrument").alias("rmap"), short).distinct(), owned, parameters)
+    per_slot = classes.select(F.col("rmap").alias("instrument"), "class").distinct().join(small(slots), "instrument").select("rmap", "class")
+    spans = result_spans(per_slot, *sides, parameters)
     _, before = resolve_result(F.col("old"), undefined_matters)
     ok, after = resolve_result(F.col("new"), undefined_matters)
     kind = F.when(~ok, "error").when(before != after, "update").otherwise("same")
-    spans = spans.select("rmap", "tuple", "unknown", "low", "high", before.alias("old_reference"), after.alias("new_reference"), kind.alias("kind")).where("kind <> 'same'")
+    spans = spans.select("rmap", "class", "unknown", "low", "high", before.alias("old_reference"), after.alias("new_reference"), kind.alias("kind")).where("kind <> 'same'")
     spans = stored(spans.join(small(slots), "rmap").drop("rmap"), "findings")
-    # From tuples of matching parameters to those that hold the mode values, too.
-    spans = wides.withColumn("tuple", short).join(spans, ["instrument", "tuple"]).drop("tuple")
+    # A dataset's tuple leads to its class and, for tables, to its mode values.
+    named = classes.withColumnRenamed("rmap", "instrument")
+    wides = stored(wides.withColumn("tuple", short).join(named, ["instrument", "tuple"]).drop("tuple"), "tuple-classes")
+    key = ["class"]
     if tables is not None:
         rows, registry = tables
-        params = F.map_from_arrays(F.array(*map(F.lit, names)), "_wide")
+        # Classes and mode values that occur together; other header values do not matter any more.
+        modes = F.array(*(F.get("_wide", F.lit(names.index(f))) for f in fields)).cast("array<string>")
+        wides = wides.withColumn("modes", modes)
+        params = F.map_from_arrays(F.array(*map(F.lit, fields)), "modes")
+        spans = wides.select("instrument", "class", "modes").distinct().join(spans, ["instrument", "class"])
         spans = stored(spans.withColumn("params", params), "mode-findings")
+        case = ["instrument", "filekind", "old_reference", "new_reference", "raw"]
         same = decided_cases(spans.where("kind = 'update'"), rows, registry)
-        types = small(registry)
-        marked = spans.join(types, ["instrument", "filekind"], "left").withColumn("values", mode_values(F.col("fields"), F.col("params"))).drop("fields", "params")
-        key = ["instrument", "filekind", "old_reference", "new_reference", "values"]
-        marked = marked.join(same.withColumn("_same", F.lit(True)), key, "left")
-        spans = marked.withColumn("kind", F.when(F.col("_same") & (F.col("kind") == "update"), "no effect").otherwise(F.col("kind"))).drop("_same", "values")
-    found = span_join(wide, spans, ["instrument", "_wide"], "exptime", "inner")
+        marked = spans.join(small(registry), ["instrument", "filekind"], "left").withColumn("raw", raw_values(F.col("fields"), F.col("params"))).drop("fields", "params")
+        marked = marked.join(same.withColumn("_same", F.lit(True)), case, "left")
+        spans = marked.withColumn("kind", F.when(F.col("_same") & (F.col("kind") == "update"), "no effect").otherwise(F.col("kind"))).drop("_same", "raw")
+        key = ["class", "modes"]
+    rows = wide.join(small(wides), ["instrument", "_wide"]).drop("_wide")
+    found = span_join(rows, spans, ["instrument", *key], "exptime", "inner")
     return found.select("dataset_id", "instrument", "filekind", "old_reference", "new_reference", "kind")
 
 

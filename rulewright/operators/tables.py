@@ -180,7 +180,7 @@ def same_selection(cases: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     """
     pair = ["old_reference", "new_reference"]
     sides = [cases.select(F.col(p).alias("reference"), "kind", "fields", "values") for p in pair]
-    asked = sides[0].unionByName(sides[1]).distinct()
+    asked = stored(sides[0].unionByName(sides[1]).distinct(), "asked")
     fill = lambda c: F.concat(c, F.array_repeat(F.lit(PAD), F.greatest(F.lit(0), F.lit(size) - F.size(c))))
     group = F.struct("reference", "kind").alias("group")
     tuples = asked.select("kind", group, fill(F.col("values")).alias("tuple"))
@@ -204,37 +204,42 @@ def same_selection(cases: DataFrame, rows: DataFrame, size: int) -> DataFrame:
         out = out.join(own, F.struct(F.col(f"{side}_reference").alias("r"), F.col("kind").alias("k"), F.col("tuple").alias("t")) == F.col("_g"), "left").drop("_g")
     same = reduce(and_, (F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")) for c in "nsq"))
     out = stored(out.where(same).select(*pair, "kind", "values"), "same-selection")
-    dropped(sums, fits, got)
+    dropped(asked, sums, fits, got)
     return out
 
 
-def mode_values(fields: Column, params: Column) -> Column:
-    """A header's values under the mode fields, as they are compared; null where one is missing or UNDEFINED."""
-    return F.transform(fields, lambda f: compare_text(F.nullif(F.try_element_at(params, f["name"]), F.lit("UNDEFINED"))))
+def raw_values(fields: Column, params: Column) -> Column:
+    """A header's values under the mode fields as they are; null where one is missing or UNDEFINED."""
+    return F.transform(fields, lambda f: F.nullif(F.try_element_at(params, f["name"]), F.lit("UNDEFINED")))
 
 
 def decided_cases(updates: DataFrame, rows: DataFrame, registry: DataFrame) -> DataFrame:
-    """(instrument, filekind, old_reference, new_reference, values) of updates whose change of tables makes no difference.
+    """(instrument, filekind, old_reference, new_reference, raw) of updates whose change of tables makes no difference.
 
-    ``updates`` has those columns but ``values`` and params.  Each distinct case is decided once.
+    ``updates`` has those columns but ``raw``, and params; ``raw`` are the header's mode values as
+    they are.  Each distinct case is decided once.
     """
     types = small(registry.where(F.size("fields") > 0))
-    named = updates.join(types, ["instrument", "filekind"]).withColumn("values", mode_values(F.col("fields"), F.col("params")))
-    known = F.forall("values", lambda v: v.isNotNull()) & ~F.col("old_reference").rlike(SPECIAL) & ~F.col("new_reference").rlike(SPECIAL)
-    cases = named.where(known).select("old_reference", "new_reference", F.struct("instrument", "filekind").alias("kind"), "values").distinct()
-    cases = stored(cases, "cases")
-    fields = types.select(F.struct("instrument", "filekind").alias("kind"), "fields")
+    pair, kind = ["old_reference", "new_reference"], F.struct("instrument", "filekind").alias("kind")
+    named = updates.join(types, ["instrument", "filekind"]).withColumn("raw", raw_values(F.col("fields"), F.col("params")))
+    known = F.forall("raw", lambda v: v.isNotNull()) & ~F.col("old_reference").rlike(SPECIAL) & ~F.col("new_reference").rlike(SPECIAL)
+    cases = named.where(known).select(*pair, kind, "raw").distinct()
+    cases = stored(cases.withColumn("values", F.transform("raw", compare_text)), "cases")
+    fields = types.select(kind, "fields")
     names = F.array_sort(F.map_keys("cells"))
     columns = rows.groupBy("reference").agg(F.min(names).alias("low"), F.max(names).alias("high")).where("low = high").select("reference", F.col("low").alias("names"))
-    wide = cases.join(fields, "kind")
+    wide = cases.select(*pair, "kind", "values").distinct().join(fields, "kind")
     for side in ("old", "new"):
         wide = wide.join(columns.withColumnsRenamed({"reference": f"{side}_reference", "names": f"{side}_names"}), f"{side}_reference")
     # Columns alike on both sides, and the mode fields among them.
     wide = wide.where((F.col("old_names") == F.col("new_names")) & F.forall("fields", lambda f: F.array_contains("old_names", f["name"]))).drop("old_names", "new_names")
+    wide = stored(wide, "wide-cases")
     size = registry.agg(F.max(F.size("fields")).alias("n")).first()["n"] or 1
     same = same_selection(wide, rows, max(1, size))
-    dropped(cases)
-    return same.select("kind.instrument", "kind.filekind", "old_reference", "new_reference", "values")
+    dropped(wide)
+    out = stored(cases.join(same, [*pair, "kind", "values"]).select("kind.instrument", "kind.filekind", *pair, "raw"), "same-cases")
+    dropped(cases, same)
+    return out
 
 
 def effective_updates(updates: DataFrame, rows: DataFrame, registry: DataFrame) -> DataFrame:
@@ -250,22 +255,17 @@ def effective_updates(updates: DataFrame, rows: DataFrame, registry: DataFrame)
     by value, and text that is part of the header's text.
     """
     same = decided_cases(updates, rows, registry)
-    key = ["instrument", "filekind", "old_reference", "new_reference", "values"]
-    named = updates.join(small(registry), ["instrument", "filekind"], "left").withColumn("values", mode_values(F.col("fields"), F.col("params")))
-    return named.join(same, key, "left_anti").select(*updates.columns)
+    named = updates.join(small(registry), ["instrument", "filekind"], "left").withColumn("raw", raw_values(F.col("fields"), F.col("params")))
+    return named.join(same, ["instrument", "filekind", "old_reference", "new_reference", "raw"], "left_anti").select(*updates.columns)
 
 
 def reprocessing_required(updates: DataFrame, rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """``effective_updates`` for one type: ``updates`` has the header's mode values under ``keys``, ``rows`` has reference, ``keys`` and ``values``."""
-    spark = updates.sparkSession
-    registry = mode_registry(spark, {("", ""): list(keys)})
+    registry = mode_registry(updates.sparkSession, {("", ""): list(keys)})
     cells = F.create_map(*(x for c in (*keys, *values) for x in (F.lit(c), F.col(c).cast("string"))))
     params = F.create_map(*(x for k in keys for x in (F.lit(k), F.col(k))))
-    named = updates.withColumn("instrument", F.lit("")).withColumn("filekind", F.lit("")).withColumn("params", params)
-    same = decided_cases(named, rows.select("reference", cells.alias("cells")), registry)
-    same = same.select("old_reference", "new_reference", F.col("values").alias("_values"))
-    asked = updates.withColumn("_values", F.array(*(compare_text(F.nullif(F.col(k), F.lit("UNDEFINED"))) for k in keys)))
-    return asked.join(same, ["old_reference", "new_reference", "_values"], "left_anti").select(*updates.columns)
+    named = updates.select(*updates.columns, F.lit("").alias("instrument"), F.lit("").alias("filekind"), params.alias("params"))
+    return effective_updates(named, rows.select("reference", cells.alias("cells")), registry).select(*updates.columns)
 
 
 def with_row_numbers(table: DataFrame, order: list[str]) -> DataFrame:

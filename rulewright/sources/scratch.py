@@ -8,14 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folder for sessions on one machine that set none.
+_LOCAL: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one where none is set, which is an error on a cluster."""
+    """The folder in ``spark.checkpoint.dir``; where none is set, one temporary folder of this process, which is an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="rulewright-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="rulewright-"))
+        root = _LOCAL[0]
     return root.rstrip("/")
 
 
