@@ -2,52 +2,109 @@
 
 Headers (digest, id) are shuffled by payload digest.  Of the captures with one
 payload the smallest id is the response, the others are written as revisits of it.
-Payloads stay where they are while the digests that occur twice are few enough to be
-broadcast, which is counted; with more of them the join shuffles the rows.  Archives
-are written by Spark's text writer, whose line separator is the blank lines that end a
-WARC record, so any store that Spark writes to will do and a lost task is written
-again.  A file is one gzip member; files of one member per record are read as well.
+A Bloom filter of the digests that occur twice tells every task which captures can
+have a copy; all others are responses and are written where they are.  Of the rest
+only headers move, and a payload goes once from a task to the capture that is its
+response.  Archives are written by Spark's text writer, whose line separator is the
+blank lines that end a WARC record, so any store that Spark writes to will do and a
+lost task is written again.  A file is one gzip member; files of one member per record
+are read as well.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, hot_keys, join_with_hot, stored
+from .token_counts import first_here
 
 #: Shorter payloads are always written whole.
 SHORTEST = 100
-#: Records in an archive at most, and bytes of payloads in one, about.
-RECORDS, BYTES = 20_000, 64 << 20
-#: Digests that may be broadcast: 40 bytes each, so some 10 MB.
-BROADCAST_DIGESTS = 200_000
+#: Bytes of payloads in an archive at most, unless a single record has more.
+BYTES = 64 << 20
+#: Payloads up to these bytes share files of their own, so that a number of records bounds the bytes.
+SIZES = (2 << 10, 64 << 10, 1 << 20, 16 << 20)
+#: Bits of the filter per digest and at most (64 MB): a fuller filter lets more headers move, nothing else.
+BITS, MOST_BITS, PROBES = 10, 1 << 29, 5
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = "record_id string, record_type string, target string, written_at string, digest string, refers_to string, payload_bytes long, payload_digest string, payload string"
 
 
+def _probes(digests: np.ndarray, bits: int) -> np.ndarray:
+    """Places of each 32-byte digest in a filter, one column per probe."""
+    words = digests.reshape(-1, 32)[:, :16].copy().view(np.uint64)
+    return (words[:, :1] + np.arange(PROBES, dtype=np.uint64) * (words[:, 1:] | np.uint64(1))) % np.uint64(bits)
+
+
+def bloom_filter(digests: DataFrame, column: str = "_d") -> np.ndarray:
+    """Bits of a filter that holds every 32-byte digest: tasks set bits in words of their own, which Spark joins by OR."""
+    bits = int(max(64, min(MOST_BITS, digests.count() * BITS))) // 64 * 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_probes(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8), bits))
+            words, first = np.unique(at >> np.uint64(6), return_index=True)
+            values = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(values.view(np.int64))], ["word", "bits"])
+
+    found = digests.select(column).mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+def _may_hold(spark: SparkSession, bits: np.ndarray, digest: Column) -> Column:
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = shared.value.view(np.uint64)
+        for column in columns:
+            at = _probes(np.frombuffer(b"".join(column.to_pylist()), np.uint8), 64 * len(words))
+            yield pa.array(((words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1))
+
+    return run(digest)
+
+
 def resolve_revisits(captures: DataFrame, ident: str, payload: str, shortest: int = SHORTEST) -> DataFrame:
     """``captures`` with payload_digest, payload_bytes, record_type and refers_to.
 
     A null payload is empty.  Payloads under ``shortest`` bytes are all responses.  If
-    all ids of a payload are null, its captures are responses.  Two rows with the same
-    smallest id are both responses.  Columns named like a result are replaced; an
-    empty table gives an empty result.
+    all ids of a payload are null, its captures are responses.  Rows with the same
+    smallest id are all responses.  A revisit's payload is null: it is that of the response.  Columns named
+    like a result are replaced; an empty table gives an empty result.
     """
+    spark = captures.sparkSession
     captures = captures.drop("payload_digest", "payload_bytes", "record_type", "refers_to")
     body = F.coalesce(F.col(payload), F.lit(""))
-    size = F.octet_length(body).cast("long")
-    headers = captures.select(F.unhex(F.sha2(body, 256)).alias("_d"), F.col(ident).alias("_first"), size.alias("_n"))
-    again = headers.where(F.col("_n") >= shortest).groupBy("_d").agg(F.count("*").alias("_n"), F.min("_first").alias("_first")).where("_n > 1 and _first is not null")
+    rows = captures.withColumn("payload_digest", F.sha2(body, 256)).withColumn("payload_bytes", F.octet_length(body).cast("long"))
+    rows = rows.withColumn("_d", F.unhex("payload_digest"))
+    headers = rows.where(F.col("payload_bytes") >= shortest).select("_d", F.col(ident).alias("_first"))
+    again = headers.groupBy("_d").agg(F.count("*").alias("_n"), F.min("_first").alias("_first")).where("_n > 1 and _first is not null")
     again = stored(again.select("_d", "_first"), "digests")
-    side = F.broadcast(again) if again.count() <= BROADCAST_DIGESTS else again
-    rows = captures.withColumn("payload_digest", F.sha2(body, 256)).withColumn("payload_bytes", size)
-    rows = rows.join(side, (F.unhex("payload_digest") == side["_d"]) & (F.col("payload_bytes") >= shortest), "left")
+    maybe = F.when(F.col("payload_bytes") >= shortest, _may_hold(spark, bloom_filter(again), F.col("_d"))).otherwise(False)
+    marked = rows.withColumn("_maybe", maybe)
+    out = [*rows.columns, "record_type", "refers_to"]
+    nothing = F.lit(None).cast(captures.schema[ident].dataType)
+    alone = marked.where("not _maybe").withColumn("record_type", F.lit("response")).withColumn("refers_to", nothing).select(*out)
+
+    moved = stored(marked.where("_maybe").drop("_maybe", payload), "headers")
+    hot = stored(hot_keys(moved, ["_d"], moved.count()), "hot")
     later = F.col("_first").isNotNull() & ~F.col(ident).eqNullSafe(F.col("_first"))
-    return rows.withColumn("record_type", F.when(later, "revisit").otherwise("response")).withColumn("refers_to", F.when(later, F.col("_first"))).drop("_d", "_first")
+    decided = join_with_hot(moved, again, ["_d"], hot, "left").withColumn("record_type", F.when(later, "revisit").otherwise("response")).withColumn("refers_to", F.when(later, F.col("_first"))).drop("_first")
+    decided = stored(decided, "decided")
+    revisits = decided.where("record_type = 'revisit'").withColumn(payload, F.lit(None).cast("string")).select(*out)
+    # Each payload once a task, whatever its copies.
+    bodies = marked.where("_maybe").select("_d", payload).where(first_here(F.col("_d"))).groupBy("_d").agg(F.first(payload).alias(payload))
+    responses = decided.where("record_type = 'response'").join(bodies, "_d").select(*out)
+    dropped(moved, hot)
+    return alone.unionByName(revisits).unionByName(responses).drop("_d")
 
 
 def _one_line(c: Column) -> Column:
@@ -58,10 +115,11 @@ def write_archives(records: DataFrame, path: str, ident: str, target: str, paylo
     """Write resolved captures as gzipped WARC 1.1 files with fresh headers.
 
     A response holds the HTTP head and the payload, a revisit the HTTP head alone.
-    Files hold as many records as come to ``BYTES`` on average.
+    Payloads of one range of sizes share files, as many as cannot come to more than ``BYTES``;
+    a larger payload has a file of its own.
     """
-    mean = records.agg(F.avg("payload_bytes")).first()[0] or 0
-    most = int(max(1, min(RECORDS, BYTES // (mean + 600))))
+    classes = reduce(lambda c, k: F.when(F.col("payload_bytes") <= SIZES[k], k).otherwise(c), reversed(range(len(SIZES))), F.lit(len(SIZES)))
+    present = sorted(r.c for r in records.select(classes.alias("c")).distinct().collect())
     body = F.coalesce(F.col(payload), F.lit(""))
     end = "\r\n"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{end}Content-Type: text/html; charset=utf-8{end}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(end * 2))
@@ -82,7 +140,10 @@ def write_archives(records: DataFrame, path: str, ident: str, target: str, paylo
         F.octet_length(block).cast("string"),
         F.lit(end * 2),
     )
-    records.select(F.concat(head, block).alias("value")).write.option("lineSep", end * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+    for k in present or [0]:
+        most = max(1, BYTES // (SIZES[k] + 600)) if k < len(SIZES) else 1
+        own = records.where(classes == k).select(F.concat(head, block).alias("value"))
+        own.write.mode("append").option("lineSep", end * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def _records(stream: Iterator[bytes]) -> Iterator[tuple[dict, bytes]]:

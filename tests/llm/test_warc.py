@@ -32,24 +32,45 @@ def test_one_member_per_record(spark, tmp_path):
             assert (r.payload_bytes, r.payload_digest, r.payload) == (len(p), hashlib.sha256(p).hexdigest(), p.decode("utf-8", "replace"))
 
 
-def test_both_ways_give_the_same(spark, monkeypatch):
+def resolved(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload_bytes int").repartition(5)
+    return warc.resolve_revisits(df, "page_id", "html").collect()
+
+
+def test_any_filter_gives_the_same(spark, monkeypatch):
+    """Half of the rows have one payload; a filter that is far too small lets everything through and changes nothing."""
     long = "y" * 150
     rows = [(k, f"u{k}", long + str(k % 5), k) for k in range(40)] + [(None, "n", long + "0", 1), (50, "v", None, 1), (51, "w", "z" * 2_000_000, 1), (52, "w", "z" * 2_000_000, 1), (7, "again", "short", 1), (8, "again", "short", 1)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload_bytes int")
-    few = sorted(warc.resolve_revisits(df, "page_id", "html").drop("html").collect(), key=str)
-    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 1)
-    many = sorted(warc.resolve_revisits(df, "page_id", "html").drop("html").collect(), key=str)
-    assert few == many and len(few) == len(rows)
-    by = {(r.page_id, r.url): r for r in few}
-    assert by[6, "u6"].refers_to == 1 and by[1, "u1"].record_type == "response" and by[52, "w"].refers_to == 51
-    assert by[None, "n"].refers_to == 0 and by[8, "again"].record_type == "response"
+    rows += [(100 + k, "hot", "h" * 300, 1) for k in range(120)] + [(200 + k, "alone", f"{k}" * 200, 1) for k in range(60)]
+    rows += [(5, "u5", long + "0", 5), (None, "q", "nobody" * 40, 1), (None, "q", "nobody" * 40, 1), (100, "hot", "h" * 300, 1)]
+    few = sorted(resolved(spark, rows), key=str)
+    monkeypatch.setattr(warc, "MOST_BITS", 64)
+    assert few == sorted(resolved(spark, rows), key=str) and len(few) == len(rows)
+    monkeypatch.undo()
+    smallest = {}
+    for i, _, h, _ in rows:
+        if i is not None:
+            smallest[h or ""] = min(i, smallest.get(h or "", i))
+    for r in few:
+        html = next(h for i, u, h, _ in rows if (i, u) == (r.page_id, r.url)) or ""
+        first = smallest.get(html)
+        revisit = len(html) >= 100 and first is not None and r.page_id != first
+        assert (r.record_type, r.refers_to, r.payload_bytes) == ("revisit" if revisit else "response", first if revisit else None, len(html))
+        assert r.payload_digest == hashlib.sha256(html.encode()).hexdigest() and (r.html or "") == ("" if revisit else html)
+
+
+def test_no_captures(spark):
+    assert resolved(spark, []) == []
 
 
 def test_files_are_bounded_by_bytes(spark, monkeypatch):
-    monkeypatch.setattr(warc, "BYTES", 50_000)
-    rows = [(k, "u", str(k) * 5_000) for k in range(30)]
+    """Small pages share files; a run of large ones is cut by their own size, not by the mean."""
+    monkeypatch.setattr(warc, "BYTES", 200_000)
+    rows = [(k, "u", str(k) * 50) for k in range(300)] + [(1000 + k, "u", str(k % 10) * (90_000 + k)) for k in range(12)] + [(2000, "u", "x" * 3_000_000)]
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
     warc.write_archives(warc.resolve_revisits(df, "page_id", "html"), path, "page_id", "url", "html")
-    files = spark.read.format("binaryFile").load(path).select("path").count()
-    assert files >= 5 and warc.read_archives(spark, path).count() == 30
+    files = [r.content for r in spark.read.format("binaryFile").load(path).select("content").collect()]
+    sizes = sorted(len(gzip.decompress(bytes(f))) for f in files)
+    assert sizes[-1] > 3_000_000 and sizes[-2] < 200_000 and len(files) < 40
+    assert warc.read_archives(spark, path).count() == len(rows)
