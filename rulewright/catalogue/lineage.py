@@ -11,18 +11,29 @@ from .inputs import query
 
 ROOTS = "(VALUES ('ctxa'), ('ctxb')) r(root)"
 CLOSURE = f"""l AS (SELECT DISTINCT parent, child FROM edges), c1 AS (SELECT root, child AS name FROM {ROOTS} JOIN l ON root = parent),
-    c2 AS (SELECT DISTINCT root, child AS name FROM c1 JOIN l ON name = parent), c3 AS (SELECT DISTINCT root, child AS name FROM c2 JOIN l ON name = parent)"""
+    c2 AS (SELECT DISTINCT root, child AS name FROM c1 JOIN l ON name = parent), x3 AS (SELECT DISTINCT root, child AS name FROM c2 JOIN l ON name = parent),
+    c3 AS (SELECT * FROM (SELECT * FROM c1 UNION SELECT * FROM c2 UNION SELECT * FROM x3) WHERE name NOT IN (SELECT parent FROM l))"""
 
 
 def roots(edges):
     return edges.sparkSession.createDataFrame([("ctxa",), ("ctxb",)], "root string")
 
 
-@query("context_mappings", "edges", f"WITH {CLOSURE} SELECT root, name, 1 AS depth FROM c1 UNION ALL SELECT root, name, 2 FROM c2 UNION ALL SELECT root, name, 3 FROM c3")
+@query("context_mappings", "edges", f"WITH {CLOSURE} SELECT root, name, 1 AS depth FROM c1 UNION ALL SELECT root, name, 2 FROM c2 UNION ALL SELECT root, name, 3 FROM x3")
 def context_mappings(edges):
     return C.context_closure(edges, roots(edges))
 
 
+ORPHANS = "SELECT c_name AS name FROM customer UNION ALL SELECT p_brand || p_partkey FROM part"
+
+
+@query("context_files", "edges customer part", f"WITH {CLOSURE}, f AS (SELECT root, name, 1 AS depth FROM c1 UNION ALL SELECT root, name, 2 FROM c2 UNION ALL SELECT root, name, 3 FROM x3), o AS ({ORPHANS}) SELECT * FROM f UNION ALL SELECT DISTINCT NULL, name, NULL FROM o WHERE name NOT IN (SELECT name FROM f)")
+def context_files(edges, customer, part):
+    """Files of both contexts, and those of the catalog that neither has."""
+    catalog = customer.select(F.col("c_name").alias("name")).unionAll(part.select(F.concat("p_brand", F.col("p_partkey").cast("string"))))
+    return C.context_closure(edges, roots(edges), catalog)
+
+
 @query("context_references", "edges", f"WITH {CLOSURE} SELECT root, name AS reference FROM c3")
 def context_references(edges):
     return C.context_references(edges, roots(edges))
@@ -94,16 +105,35 @@ def derivation_parents(part):
     return C.derivation_parents(part.selectExpr("'p' || p_partkey as name", "case p_partkey % 4 when 0 then 'generated' when 1 then 'p' || (p_partkey - 1) when 2 then 'q' || p_partkey end as derived_from"))
 
 
-TREES = """p1 AS (SELECT context, key AS path, child, sha, 1 AS depth FROM edges WHERE parent IN ('ctxa', 'ctxb')),
-    p2 AS (SELECT p.context, p.path || '/' || e.key AS path, e.child, e.sha, 2 AS depth FROM p1 p JOIN edges e ON p.child = e.parent AND p.context = e.context),
-    p3 AS (SELECT p.context, p.path || '/' || e.key AS path, e.child, e.sha, 3 AS depth FROM p2 p JOIN edges e ON p.child = e.parent AND p.context = e.context), p AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)"""
+def _level_sql(k: int, above: str, where: str) -> str:
+    """CTE ``d{k}``: differing children of the pairs of nodes ``above``."""
+    def side(c: str) -> str:
+        return f"(SELECT e.*, u.path AS above FROM {above} u JOIN edges e ON e.context = '{c}' AND e.parent = u.{c} {where})"
+
+    return f"""d{k} AS (SELECT CASE WHEN coalesce(x.above, y.above) = '' THEN '' ELSE coalesce(x.above, y.above) || '/' END || coalesce(x.key, y.key) AS path, x.child AS a, y.child AS b
+      FROM {side('a')} x FULL JOIN {side('b')} y ON x.above = y.above AND x.key = y.key WHERE x.sha IS DISTINCT FROM y.sha)"""
+
 
+def tree_sql(where: str = "") -> str:
+    levels = ["d0 AS (SELECT '' AS path, 'ctxa' AS a, 'ctxb' AS b)", *(_level_sql(k, f"d{k - 1}", where) for k in (1, 2, 3))]
+    action = "CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'deleted' ELSE 'replaced' END AS action"
+    return f"WITH {', '.join(levels)} " + " UNION ALL ".join(f"SELECT path, {action}, a AS old_child, b AS new_child FROM d{k}" for k in (1, 2, 3))
 
-@query("diff_contexts", "edges", f"""WITH {TREES} SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' ELSE 'replaced' END AS action, a.child AS old_child, b.child AS new_child
-    FROM (SELECT * FROM p WHERE context = 'a') a FULL JOIN (SELECT * FROM p WHERE context = 'b') b ON a.path = b.path WHERE a.sha IS DISTINCT FROM b.sha""")
+
+def _trees(edges):
+    return (edges.where(F.col("context") == c) for c in "ab")
+
+
+@query("diff_contexts", "edges", tree_sql("WHERE u.a IS NOT NULL AND u.b IS NOT NULL"))
 def diff_contexts(edges):
-    a, b = (C.tree_paths(edges.where(F.col("context") == c), f"ctx{c}") for c in "ab")
-    return C.diff_tree(a, b)
+    """From the top down, through replaced mappings only."""
+    return C.diff_contexts(*_trees(edges), "ctxa", "ctxb")
+
+
+@query("diff_contexts_expanded", "edges", tree_sql())
+def diff_contexts_expanded(edges):
+    """With all that lies below added and deleted mappings."""
+    return C.diff_contexts(*_trees(edges), "ctxa", "ctxb", expand=True)
 
 
 @query("with_children", "edges", "WITH o AS (SELECT parent, key, child, sha FROM edges WHERE context = 'a'), u AS (SELECT DISTINCT parent, key, 'new_' || child AS child, 'n' || sha AS sha FROM o WHERE key LIKE '%1') SELECT o.parent, o.key, coalesce(u.child, o.child) AS child, coalesce(u.sha, o.sha) AS sha FROM o LEFT JOIN u ON o.parent = u.parent AND o.key = u.key")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
+from .reach import reachable
 
 
 def upsert_lookup(lookup: DataFrame, delivered: DataFrame) -> DataFrame:
@@ -64,18 +64,10 @@ def name_agreement(a: DataFrame, b: DataFrame, known_a: DataFrame | None = None,
 
 
 def graph_reachable(edges: DataFrame, start: int) -> DataFrame:
-    """Nodes that ``edges(innode, outnode)`` reach from ``start``: the frontier joins the edges, what was seen is left out.
-
-    Each level is stored once, as a part of what was seen.
-    """
-    links = edges.select("innode", "outnode").distinct()
-    seen = frontier = edges.sparkSession.createDataFrame([(start,)], "node long")
-    while True:
-        found = frontier.join(links, frontier["node"] == links["innode"]).select(F.col("outnode").cast("long").alias("node")).distinct()
-        frontier = stored(found.join(seen, "node", "left_anti"), "level")
-        if frontier.isEmpty():
-            return seen
-        seen = seen.union(frontier)
+    """Nodes that ``edges(innode, outnode)`` reach from ``start``, itself included, however far."""
+    starts = edges.sparkSession.createDataFrame([(start, start)], "root long, node long")
+    links = edges.select(F.col("innode").cast("long").alias("a"), F.col("outnode").cast("long").alias("b"))
+    return reachable(links, starts).select("node")
 
 
 def unreachable_rows(edges: DataFrame, start: int) -> DataFrame:

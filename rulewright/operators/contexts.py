@@ -3,35 +3,38 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Levels of a context tree below its root.
-DEPTH = 3
-
+from ..sources.scratch import dropped, stored
+from .reach import reachable
 
 def _few(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """Broadcast a side after a check of its size; beyond it the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def context_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, depth, name) of everything below each root(root), by one equi-join per level of ``edges(parent, child)``."""
-    links = edges.select("parent", "child").distinct()
-    level = roots.select("root", F.col("root").alias("name"))
-    out = None
-    for depth in range(1, DEPTH + 1):
-        level = level.join(links, level["name"] == links["parent"]).select("root", F.col("child").alias("name")).distinct()
-        found = level.withColumn("depth", F.lit(depth))
-        out = found if out is None else out.unionByName(found)
-    return out
+def context_closure(edges: DataFrame, roots: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """(root, depth, name) of everything below each root(root), by ``edges(parent, child)``, however deep.
+
+    With ``catalog(name)``, files that no root reaches are added, with neither root nor depth.
+    """
+    starts = roots.select("root", F.col("root").alias("node"))
+    found = reachable(edges.select(F.col("parent").alias("a"), F.col("child").alias("b")), starts)
+    out = found.where("depth > 0").select("root", F.col("depth").cast("int").alias("depth"), F.col("node").alias("name"))
+    if catalog is None:
+        return out
+    orphans = catalog.select("name").distinct().join(found.select(F.col("node").alias("name")), "name", "left_anti")
+    return out.unionByName(orphans.select(F.lit(None).cast("string").alias("root"), F.lit(None).cast("int").alias("depth"), "name"))
 
 
 def context_references(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """References (the lowest level) of each root."""
-    return context_closure(edges, roots).where(F.col("depth") == DEPTH).select("root", F.col("name").alias("reference"))
+    """References of each root: what has nothing below it."""
+    inner = edges.select(F.col("parent").alias("name")).distinct()
+    return context_closure(edges, roots).join(inner, "name", "left_anti").select("root", F.col("name").alias("reference"))
 
 
 def added_references(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -46,15 +49,10 @@ def updated_files(history: DataFrame, files: DataFrame, first: str, last: str) -
 
 
 def uses(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """(name, user, depth): every mapping that uses a file, directly or through others."""
-    links = edges.select("parent", "child").distinct()
-    level = files.select("name", F.col("name").alias("at"))
-    out = None
-    for depth in range(1, DEPTH + 1):
-        level = _few(level, 100_000).join(links, F.col("at") == links["child"]).select("name", F.col("parent").alias("at")).distinct()
-        found = level.select("name", F.col("at").alias("user"), F.lit(depth).alias("depth"))
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("name", "user").agg(F.min("depth").alias("depth"))
+    """(name, user, depth): every mapping that uses a file, directly or through others, however many."""
+    starts = files.select(F.col("name").alias("root"), F.col("name").alias("node"))
+    found = reachable(edges.select(F.col("child").alias("a"), F.col("parent").alias("b")), starts)
+    return found.where("depth > 0").select(F.col("root").alias("name"), F.col("node").alias("user"), F.col("depth").cast("int").alias("depth"))
 
 
 def match_paths(rules: DataFrame, references: DataFrame) -> DataFrame:
@@ -96,24 +94,36 @@ def derivation_parents(headers: DataFrame, roots: list[str] = ("generated", "non
     return asked.join(known, "parent", "left").select("name", "parent", F.coalesce("found", F.lit(False)).alias("found"))
 
 
-def diff_tree(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Children (path, child, sha) of two trees: added, deleted and replaced; equal checksums are skipped."""
-    a = old.select("path", F.col("child").alias("old_child"), F.col("sha").alias("old_sha"))
-    b = new.select("path", F.col("child").alias("new_child"), F.col("sha").alias("new_sha"))
-    both = a.join(b, "path", "full_outer").where(~F.col("old_sha").eqNullSafe(F.col("new_sha")))
-    action = F.when(F.col("old_child").isNull(), "added").when(F.col("new_child").isNull(), "deleted").otherwise("replaced")
-    return both.select("path", action.alias("action"), "old_child", "new_child")
+def diff_contexts(old: DataFrame, new: DataFrame, old_root: str, new_root: str, expand: bool = False) -> DataFrame:
+    """Differences (path, action, old_child, new_child) of two trees of edges(parent, key, child, sha), from the top downward.
 
-
-def tree_paths(edges: DataFrame, root: str) -> DataFrame:
-    """(path, child, sha, depth) of a context: keys from the root joined by slashes."""
-    links = edges.select(F.col("parent").alias("p"), "key", F.col("child").alias("c"), "sha")
-    level = links.where(F.col("p") == root).select(F.col("key").alias("path"), F.col("c").alias("child"), "sha")
-    out = level.withColumn("depth", F.lit(1))
-    for depth in range(2, DEPTH + 1):
-        level = level.join(links.withColumnRenamed("sha", "s"), F.col("child") == F.col("p")).select(F.concat_ws("/", "path", "key").alias("path"), F.col("c").alias("child"), F.col("s").alias("sha"))
-        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
-    return out
+    Children of one parent are compared by key; what has the same checksum is the same all
+    the way down and is not opened, what was replaced is compared one level deeper.  Added and deleted
+    children are opened only with ``expand``; then everything below them is added or
+    deleted, too.  Every level is stored, so that no level is read twice.
+    """
+    at = old.sparkSession.createDataFrame([(old_root, new_root, "")], "_a string, _b string, path string")
+    out: list[DataFrame] = []
+
+    def children(edges: DataFrame, side: str, parents: DataFrame) -> DataFrame:
+        own = edges.select(F.col("parent").alias(f"_{side}"), "key", F.col("child").alias(f"{side}_child"), F.col("sha").alias(f"{side}_sha"))
+        return parents.join(own, f"_{side}").select(F.col("path").alias("above"), "key", f"{side}_child", f"{side}_sha")
+
+    while True:
+        both = children(old, "a", at).join(children(new, "b", at), ["above", "key"], "full_outer")
+        path = F.when(F.col("above") == "", F.col("key")).otherwise(F.concat_ws("/", "above", "key"))
+        action = F.when(F.col("a_child").isNull(), "added").when(F.col("b_child").isNull(), "deleted").otherwise("replaced")
+        level = both.where(~F.col("a_sha").eqNullSafe(F.col("b_sha"))).select(path.alias("path"), action.alias("action"), F.col("a_child").alias("old_child"), F.col("b_child").alias("new_child"))
+        level = stored(level, "tree-level")
+        if level.isEmpty() and out:
+            dropped(level)
+            break
+        out.append(level)
+        deeper = level if expand else level.where("action = 'replaced'")
+        at = deeper.select(F.col("old_child").alias("_a"), F.col("new_child").alias("_b"), "path")
+        if level.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, out)
 
 
 def auto_cutoffs(old: DataFrame, new: DataFrame) -> DataFrame:
