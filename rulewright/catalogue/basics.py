@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions.expressions import translate
 from ..functions.patterns import match_status
+from ..operators import certify as V
 from ..operators import diffs as D
 from ..operators.selection import do_not_reprocess as do_not_reprocess_of
 from ..sources import headers as H
-from .inputs import query
+from ..sources.tables import read_reference_table as read_table
+from .inputs import ORACLES, QUERIES, query
 from .selection import status_sql
 
 SAMPLE_VALUES = "CASE o_orderkey % 12 WHEN 0 THEN 'any' WHEN 1 THEN CAST(o_custkey AS STRING) WHEN 2 THEN ' ' || o_orderpriority WHEN 3 THEN 'n/a' WHEN 4 THEN 'true' WHEN 5 THEN 'F' WHEN 6 THEN '4294967295' WHEN 7 THEN '()x' WHEN 8 THEN '-' || o_custkey || '.' WHEN 9 THEN '.5' WHEN 10 THEN 'not applicable' ELSE 'Foo_bar' END"
@@ -192,10 +194,18 @@ def match_logical(datasets):
     return rows.select("qty", "pattern", match_status(F.col("qty"), F.col("pattern")).alias("status"))
 
 
-@query("constraint_helpers", "part", "SELECT p_partkey, p_partkey % 3 <> 1 AS full_frame, p_partkey % 3 = 1 AS subarray, p_size > 25 AS image, p_size <= 25 AND p_partkey % 2 = 0 AS wide_table, p_brand IN ('Brand#1', 'Brand#12') AS listed FROM part")
+@query("file_findings", "supplier", """WITH n AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'odd name' ELSE 'obs_ins' || s_nationkey || '_' || CASE WHEN s_suppkey % 7 = 0 THEN 'dusk' ELSE 'dark' END || '_' || lpad(CAST(s_suppkey AS STRING), 4, '0') || '.fits' END AS name FROM supplier)
+    SELECT name, CASE WHEN s_suppkey % 3 = 0 THEN 'no four-part name' WHEN s_suppkey % 25 >= 0 AND name LIKE '%ins2%' THEN 'unknown instrument' ELSE 'unknown type' END AS finding FROM n WHERE s_suppkey % 3 = 0 OR name LIKE '%ins2%' OR s_suppkey % 7 = 0""")
+def file_findings(supplier):
+    name = F.expr("case when s_suppkey % 3 = 0 then 'odd name' else 'obs_ins' || s_nationkey || '_' || if(s_suppkey % 7 = 0, 'dusk', 'dark') || '_' || lpad(cast(s_suppkey as string), 4, '0') || '.fits' end")
+    known = supplier.select(F.concat(F.lit("ins"), F.col("s_nationkey").cast("string")).alias("instrument"), F.lit("dark").alias("type")).where("instrument not like 'ins2%'").distinct()
+    return V.file_findings(supplier.select(name.alias("name")), known)
+
+
+@query("constraint_helpers", "part", "SELECT p_partkey, p_partkey % 3 <> 1 AS full_frame, p_partkey % 3 = 1 AS subarray, p_size > 25 AS image, p_size <= 25 AND p_partkey % 2 = 0 AS wide_table, p_brand IN ('Brand#1', 'Brand#12') AS listed, p_size % 4 IN (1, 2) AS imaging, p_size % 5 = 0 AS irs2 FROM part")
 def constraint_helpers(part):
-    p = F.expr("map('SUBARRAY', case p_partkey % 3 when 0 then 'FULL' when 1 then 'SUB64' else 'GENERIC' end, 'SCI.KIND', if(p_size > 25, 'IMAGE', 'TABLE'), 'SCI.SHAPE', '10,20', 'SCI.COLUMNS', if(p_partkey % 2 = 0, 'wave, flux,err', 'WAVE'), 'FLUX.TYPE', 'float', 'BRAND', p_brand)")
-    made = {"full_frame": "is_full_frame()", "subarray": "is_subarray()", "image": "is_image('SCI') and array_ndim('SCI', 2)", "wide_table": "is_table('SCI') and array_has_columns('SCI', 'FLUX', 'err') and has_column_type('FLUX', 'FLOAT')", "listed": "one_of('BRAND', 'Brand#1', 'Brand#12') and not is_defined('NONE')"}
+    p = F.expr("map('SUBARRAY', case p_partkey % 3 when 0 then 'FULL' when 1 then 'SUB64' else 'GENERIC' end, 'SCI.KIND', if(p_size > 25, 'IMAGE', 'TABLE'), 'SCI.SHAPE', '10,20', 'SCI.COLUMNS', if(p_partkey % 2 = 0, 'wave, flux,err', 'WAVE'), 'FLUX.TYPE', 'float', 'BRAND', p_brand, 'EXP_TYPE', element_at(array('NRS_IFU', 'MIR_IMAGE', 'FGS_ID-STACK', 'IMAGE'), cast(p_size % 4 + 1 as int)), 'READPATT', if(p_size % 5 = 0, 'NRSIRS2RAPID', 'NRSN32R8'))")
+    made = {"full_frame": "is_full_frame()", "subarray": "is_subarray()", "image": "is_image('SCI') and array_ndim('SCI', 2)", "wide_table": "is_table('SCI') and array_has_columns('SCI', 'FLUX', 'err') and has_column_type('FLUX', 'FLOAT')", "listed": "one_of('BRAND', 'Brand#1', 'Brand#12') and not is_defined('NONE')", "imaging": "is_imaging_mode()", "irs2": "is_irs2()"}
     return part.select("p_partkey", *(translate(text, p).alias(name) for name, text in made.items()))
 
 
@@ -266,9 +276,14 @@ def catalog_query(catalog):
     return H.catalog_query(catalog, "SELECT instrument, state, count(*) AS n, sum(size) AS bytes FROM {catalog} WHERE NOT rejected GROUP BY instrument, state")
 
 
-@query("read_reference_table", "nation", "SELECT n_nationkey AS \"N_NATIONKEY\", n_name AS \"N_NAME\", n_regionkey AS \"N_REGIONKEY\", 'nations' AS reference, 1 AS segment FROM nation")
-def read_reference_table(nation):
-    return H.read_reference_table(nation.select("n_nationkey", "n_name", "n_regionkey"), "nations")
+def read_reference_table(spark, sf_dir):
+    """The table of parts as a reader finds it: capitals, segment and row numbers in file order."""
+    table = read_table(spark, f"{sf_dir}/part.parquet", "parts")
+    return table.select("P_PARTKEY", "P_BRAND", "P_RETAILPRICE", "reference", "segment", "row_no")
+
+
+QUERIES["read_reference_table"] = read_reference_table
+ORACLES["read_reference_table"] = "SELECT p_partkey AS \"P_PARTKEY\", p_brand AS \"P_BRAND\", p_retailprice AS \"P_RETAILPRICE\", 'parts' AS reference, 1 AS segment, row_number() OVER () AS row_no FROM part"
 
 
 @query("updated_headers", "customer", "SELECT c_custkey AS dataset_id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 'N/A' ELSE lower(c_mktsegment) END AS dark FROM customer")

@@ -34,6 +34,13 @@ def context_files(edges, customer, part):
     return C.context_closure(edges, roots(edges), catalog)
 
 
+@query("bad_context_files", "edges nation supplier", f"WITH {CLOSURE}, f AS (SELECT * FROM c1 UNION SELECT * FROM c2 UNION SELECT * FROM x3) SELECT root, name FROM f WHERE lower(name) IN (SELECT lower(n_name) FROM nation WHERE n_nationkey % 4 = 1 UNION ALL SELECT lower(s_name) FROM supplier WHERE s_suppkey % 5 = 0)")
+def bad_context_files(edges, nation, supplier):
+    """Rule files and references of both contexts that are listed as bad."""
+    bad = nation.where("n_nationkey % 4 = 1").select(F.lower("n_name").alias("name")).unionAll(supplier.where("s_suppkey % 5 = 0").select("s_name"))
+    return S.bad_context_files(C.context_closure(edges, roots(edges)), bad)
+
+
 @query("context_references", "edges", f"WITH {CLOSURE} SELECT root, name AS reference FROM c3")
 def context_references(edges):
     return C.context_references(edges, roots(edges))

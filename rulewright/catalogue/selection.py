@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import nesting as N
 from ..operators import reprocess as R
 from ..operators import selection as S
 from ..operators import tables as T
@@ -171,6 +172,39 @@ def nested_select(datasets, part):
     return S.nested_select(asked, keys, ["g"]).select("g", "value", "exptime", "major", "reference")
 
 
+NESTED = f"""t AS (SELECT DISTINCT instrument, flag, priority, qty FROM datasets),
+    mu AS (SELECT t.instrument, t.flag, t.priority, t.qty, r.reference, r.useafter, CAST({status_sql('t.flag', 'r.p_flag')} = 1 AS INT) + CAST({status_sql('t.priority', 'r.p_priority')} = 1 AS INT) AS weight
+      FROM t JOIN rules r ON t.instrument = r.rmap AND r.useafter IS NOT NULL AND {status_sql('t.flag', 'r.p_flag')} >= 0 AND {status_sql('t.priority', 'r.p_priority')} >= 0),
+    mud AS (SELECT d.dataset_id, max_by(m.reference, (m.weight, m.useafter, m.reference)) AS reference FROM datasets d JOIN mu m ON d.instrument = m.instrument AND d.flag = m.flag AND d.priority = m.priority AND d.qty = m.qty AND m.useafter <= d.exptime GROUP BY d.dataset_id),
+    f AS (SELECT DISTINCT instrument, flag, CAST(qty AS DOUBLE) AS value FROM datasets),
+    mb AS (SELECT f.*, r.rule_id % 60 AS number, max(r.reference) AS reference, CAST({status_sql('f.flag', 'r.p_flag')} = 1 AS INT) AS weight FROM f JOIN rules r ON f.instrument = r.rmap AND {status_sql('f.flag', 'r.p_flag')} >= 0 GROUP BY ALL),
+    mbt AS (SELECT * FROM mb QUALIFY weight = max(weight) OVER (PARTITION BY instrument, flag, value)),
+    mbr AS (SELECT instrument, flag, value, max_by(reference, number) FILTER (number <= value) AS lo, min_by(reference, number) FILTER (number >= value) AS hi FROM mbt GROUP BY ALL),
+    k AS (SELECT p_size % 5 AS g, CAST(p_size % 10 AS FLOAT) AS number, TIMESTAMP '1996-01-01' + INTERVAL 30 DAY * (p_partkey % 40) AS time, CAST(p_partkey % 3 AS INT) AS major, p_name || p_partkey AS reference FROM part),
+    d AS (SELECT DISTINCT CAST(CAST(qty AS DOUBLE) AS INT) % 5 AS g, CAST(CAST(qty AS DOUBLE) AS INT) % 13 AS value, exptime, CAST(CAST(qty AS DOUBLE) AS INT) % 4 AS major FROM datasets),
+    n AS (SELECT d.*, (SELECT min((abs(number - value), number)) FROM k WHERE k.g = d.g)[2] AS nn FROM d),
+    c AS (SELECT n.*, (SELECT min((abs(epoch_us(time)::DOUBLE - epoch_us(exptime)::DOUBLE)::FLOAT, time)) FROM k WHERE k.g = n.g AND k.number = nn)[2] AS tt FROM n),
+    v AS (SELECT c.*, (SELECT max_by(reference, (k.major, reference)) FROM k WHERE k.g = c.g AND k.number = nn AND k.time = tt AND k.major <= c.major) AS reference FROM c)
+    SELECT d.dataset_id || '/mu' AS dataset_id, 'mu_' || d.instrument AS rmap, coalesce(reference, 'NOT FOUND No match found.') AS reference FROM datasets d LEFT JOIN mud ON d.dataset_id = mud.dataset_id
+    UNION ALL SELECT d.dataset_id || '/mb', 'mb_' || d.instrument, coalesce(coalesce(lo, hi) || ',' || coalesce(hi, lo), 'NOT FOUND No match found.') FROM datasets d LEFT JOIN mbr ON d.instrument = mbr.instrument AND d.flag = mbr.flag AND CAST(d.qty AS DOUBLE) = mbr.value
+    UNION ALL SELECT d.dataset_id || '/ncv', 'ncv_' || CAST(CAST(qty AS DOUBLE) AS INT) % 5, coalesce(v.reference, 'NOT FOUND No match found.') FROM datasets d JOIN v ON v.g = CAST(CAST(qty AS DOUBLE) AS INT) % 5 AND v.value = CAST(CAST(qty AS DOUBLE) AS INT) % 13 AND v.exptime = d.exptime AND v.major = CAST(CAST(qty AS DOUBLE) AS INT) % 4"""
+
+
+@query("nested_selectors", "datasets rules part", f"WITH {NESTED}")
+def nested_selectors(datasets, rules, part):
+    """Three nestings in one rule table: Match over UseAfter, Bracket inside Match, Nearest over Closest over Version."""
+    levels = lambda *pairs: F.array(*(F.struct(F.lit(c).alias("class"), F.lit(p).alias("par")) for c, p in pairs))
+    mu = rules.where("useafter is not null").select(F.concat(F.lit("mu_"), "rmap").alias("rmap"), levels(("Match", "FLAG,PRIORITY"), ("UseAfter", "")).alias("levels"), F.array(F.expr("'FLAG=' || p_flag || ',PRIORITY=' || p_priority"), F.date_format("useafter", "yyyy-MM-dd HH:mm:ss")).alias("keys"), "reference")
+    mb = rules.select(F.concat(F.lit("mb_"), "rmap").alias("rmap"), levels(("Match", "FLAG"), ("Bracket", "QTY")).alias("levels"), F.array(F.expr("'FLAG=' || p_flag"), F.expr("cast(rule_id % 60 as string)")).alias("keys"), "reference")
+    time = "date_format(timestamp'1996-01-01' + make_dt_interval(30 * (p_partkey % 40)), 'yyyy-MM-dd HH:mm:ss')"
+    ncv = part.select(F.expr("'ncv_' || p_size % 5").alias("rmap"), levels(("GeometricallyNearest", "NUM"), ("ClosestTime", ""), ("VersionAfter", "VER")).alias("levels"), F.array(F.expr("cast(p_size % 10 as string)"), F.expr(time), F.expr("cast(p_partkey % 3 as string)")).alias("keys"), F.expr("p_name || p_partkey").alias("reference"))
+    q = "cast(cast(qty as double) as int)"
+    params = F.expr(f"map('FLAG', flag, 'PRIORITY', priority, 'QTY', qty, 'NUM', cast({q} % 13 as string), 'VER', cast({q} % 4 as string)) as params")
+    sets = F.explode(F.expr(f"array(named_struct('s', '/mu', 'r', 'mu_' || instrument), named_struct('s', '/mb', 'r', 'mb_' || instrument), named_struct('s', '/ncv', 'r', 'ncv_' || {q} % 5))")).alias("x")
+    rows = datasets.select("dataset_id", params, "exptime", sets).select(F.concat("dataset_id", "x.s").alias("dataset_id"), F.col("x.r").alias("rmap"), "params", "exptime")
+    return N.nested_selectors(rows, mu.unionByName(mb).unionByName(ncv))
+
+
 KINDS = ["bias", "dark", "flat"]
 BY_KIND = """kinds AS (SELECT * FROM (VALUES ('bias', 0), ('dark', 1), ('flat', 2)) v(kind, n)),
     kd AS (SELECT dataset_id || '/' || kind AS dataset_id, instrument || '_' || kind AS instrument, flag, priority, qty, exptime FROM datasets, kinds WHERE kind <> 'bias'),

@@ -41,6 +41,15 @@ def _listed(params: Column, key: str, names: tuple[str, ...]) -> Column:
     return reduce(and_, (F.array_contains(have, n.upper()) for n in names), F.lit(True))
 
 
+#: Exposure types that take images, by instrument (fixed values).
+IMAGING = {
+    "NRC": ["IMAGE", "TACQ", "TACONF", "CORON", "TSIMAGE", "FOCUS", "DARK", "FLAT", "LED"],
+    "MIR": ["IMAGE", "TACQ", "LYOT", "4QPM", "DARK", "FLATIMAGE", "CORONCAL"],
+    "NRS": ["CONFIRM", "DARK", "FOCUS", "IMAGE", "MIMF", "TACONFIRM", "TACQ", "TASLIT", "VERIFY"],
+    "NIS": ["IMAGE", "TACQ", "TACONFIRM", "AMI", "FOCUS", "DARK", "LAMP"],
+    "FGS": ["IMAGE", "FOCUS", "SKYFLAT", "INTFLAT", "DARK", "ID-STACK"],
+}
+
 #: Helpers that expressions may call.  What is known of an array NAME stands under NAME.KIND, NAME.SHAPE, NAME.TYPE and NAME.COLUMNS.
 HELPERS: dict[str, Callable[..., Column]] = {
     "is_full_frame": lambda p: value_of(p, "SUBARRAY").isin(FULL_FRAME),
@@ -56,6 +65,8 @@ HELPERS: dict[str, Callable[..., Column]] = {
     "is_table": lambda p, array: value_of(p, f"{array}.KIND") == "TABLE",
     "is_image": lambda p, array: value_of(p, f"{array}.KIND") == "IMAGE",
     "has_type": lambda p, array, *kinds: F.upper(value_of(p, f"{array}.TYPE")).isin([k.upper() for k in kinds]),
+    "is_imaging_mode": lambda p: value_of(p, "EXP_TYPE").isin([f"{i}_{mode}" for i, modes in IMAGING.items() for mode in modes]),
+    "is_irs2": lambda p: value_of(p, "READPATT").contains("IRS2"),
     "contains": lambda p, name, part: value_of(p, name).contains(part),
     "one_of": lambda p, name, *values: value_of(p, name).isin(list(values)),
 }

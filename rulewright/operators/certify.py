@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import FULL_FRAME, BadExpression, names_in, presence_of, translate
-from ..functions.normalize import UNDEFINED, clean_ref_path, date_format_ok, parse_date
+from ..functions.normalize import UNDEFINED, clean_ref_path, date_format_ok, file_properties, parse_date
+from .meeting import small
 
 FINDING = ["ident", "name", "severity", "message"]
 
@@ -260,3 +261,13 @@ def verify_catalog(files: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def findings(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (c.select(*FINDING) for c in checks))
+
+
+def file_findings(files: DataFrame, legal: DataFrame) -> DataFrame:
+    """(name, finding) of files(name) whose name has another form than four parts, or an instrument or type that legal(instrument, type) lacks."""
+    known = small(legal.select("instrument").distinct().withColumn("_i", F.lit(True)))
+    pairs = small(legal.select("instrument", "type").distinct().withColumn("_t", F.lit(True)))
+    rows = files.select("name", file_properties(F.col("name")).alias("p")).select("name", "p.instrument", "p.type")
+    rows = rows.join(known, "instrument", "left").join(pairs, ["instrument", "type"], "left")
+    finding = F.when(F.col("instrument").isNull(), "no four-part name").when(F.col("_i").isNull(), "unknown instrument").when(F.col("_t").isNull(), "unknown type")
+    return rows.select("name", finding.alias("finding")).where("finding is not null")

@@ -522,6 +522,12 @@ def bad_references(updates: DataFrame, bad: DataFrame) -> DataFrame:
     return updates.withColumn("bad_name", F.lower("new_reference")).join(listed, "bad_name", "left_semi").drop("bad_name")
 
 
+def bad_context_files(closure: DataFrame, bad: DataFrame) -> DataFrame:
+    """(root, name) of closure(root, name) whose rule files or references are known to be bad, letters aside."""
+    listed = small(bad.select(F.lower("name").alias("_bad")).distinct())
+    return closure.join(listed, F.lower("name") == F.col("_bad"), "left_semi").select("root", "name")
+
+
 def active_context(history: DataFrame, at: str) -> str | None:
     """The context that was active at a time: the latest start not after it, None before the first."""
     row = history.where(F.col("start_date") <= F.lit(at).cast("timestamp")).agg(F.max_by("context", F.struct("start_date", "idx")).alias("c")).first()

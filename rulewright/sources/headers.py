@@ -84,13 +84,14 @@ def catalog_query(catalog: DataFrame, sql: str) -> DataFrame:
     return catalog.sparkSession.sql(sql, catalog=catalog)
 
 
-def list_columns(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema], "column string, type string")
+def list_tables(tables: dict[str, DataFrame]) -> DataFrame:
+    """Names of a catalog's tables with their number of columns, in order."""
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame([(n, len(tables[n].columns)) for n in sorted(tables)], "table string, columns int")
 
 
-def read_reference_table(df: DataFrame, reference: str, segment: int = 1) -> DataFrame:
-    """A table with upper-cased column names, its reference and segment."""
-    return df.select(*(F.col(c).alias(c.upper()) for c in df.columns)).withColumn("reference", F.lit(reference)).withColumn("segment", F.lit(segment))
+def list_columns(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema], "column string, type string")
 
 
 def updated_headers(headers: DataFrame, updates: DataFrame) -> DataFrame:
@@ -105,4 +106,10 @@ def error_ids(errors: DataFrame) -> DataFrame:
     return errors.select("dataset_id").distinct()
 
 
+def write_error_ids(errors: DataFrame, path: str, unique: DataFrame) -> None:
+    """Id lists as text, sorted: ``path/all`` of all errors, ``path/unique`` of the first dataset of each class of ``unique(first_id)``."""
+    for name, ids in (("all", error_ids(errors)), ("unique", unique.select(F.col("first_id").alias("dataset_id")).distinct())):
+        ids.orderBy("dataset_id").write.mode("overwrite").text(f"{path}/{name}")
+
+
 SCHEMA = T.StructType([T.StructField("dataset_id", T.StringType()), T.StructField("params", T.MapType(T.StringType(), T.StringType()))])

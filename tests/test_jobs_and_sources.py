@@ -9,8 +9,10 @@ from rulewright.catalogue.selection import PARAMETERS, headers, keyed
 from rulewright.functions.expressions import presence_of
 from rulewright.functions.patterns import match_status
 from rulewright.jobs import affected_datasets
+from rulewright.operators import reprocess as R
 from rulewright.sources import headers as H
 from rulewright.sources import scratch
+from rulewright.sources.tables import read_reference_table
 
 
 def test_job_equals_the_query(spark, sf, tmp_path):
@@ -69,3 +71,34 @@ def test_the_shared_folder(spark):
     scratch.dropped(df)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
         spark.read.parquet(df._stored_at).count()
+
+
+def test_error_lists_and_catalog(spark, tmp_path):
+    errors = spark.createDataFrame([("b", "cam", "dark", "NOT FOUND x"), ("a", "cam", "dark", "NOT FOUND x"), ("c", "cam", "flat", "NOT FOUND y"), ("a", "cam", "flat", "NOT FOUND y")], "dataset_id string, instrument string, filekind string, message string")
+    H.write_error_ids(errors, f"{tmp_path}/e", R.unique_errors(errors))
+    lists = {n: [r.value for r in spark.read.text(f"{tmp_path}/e/{n}").collect()] for n in ("all", "unique")}
+    assert lists == {"all": ["a", "b", "c"], "unique": ["a"]}
+    assert [tuple(r) for r in H.list_tables({"z": errors, "e": errors.select("message")}).collect()] == [("e", 1), ("z", 4)]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_reference_table_reader(spark, tmp_path, fmt):
+    """Segments with columns of their own, several files and parts of files, rows in file order."""
+    rows = spark.range(5000).selectExpr("id * 7 % 5000 as Value", "'mode' || id % 3 as Mode")
+    first, second = f"{tmp_path}/{fmt}/segment=1", f"{tmp_path}/{fmt}/segment=2"
+    writer = lambda df: df.write.option("header", True).format(fmt)
+    writer(rows.repartitionByRange(3, "Value")).save(first)
+    writer(spark.createDataFrame([(1, "x")], "other int, text string").coalesce(1)).save(second)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        out = read_reference_table(spark, f"{tmp_path}/{fmt}", "ref.fits", 1, fmt)
+        got = [tuple(r) for r in out.orderBy("row_no").select("VALUE", "MODE", "row_no").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert out.columns == ["VALUE", "MODE", "reference", "segment", "row_no"]
+    files = sorted(p for p in (tmp_path / fmt / "segment=1").iterdir() if p.suffix == f".{fmt}")
+    want = [tuple(r) for f in files for r in spark.read.option("header", True).option("inferSchema", True).format(fmt).load(str(f)).coalesce(1).collect()]
+    assert got == [(*r, k + 1) for k, r in enumerate(want)]
+    assert read_reference_table(spark, f"{tmp_path}/{fmt}", "r", 2, fmt).columns[:2] == ["OTHER", "TEXT"]
+    with pytest.raises(KeyError):
+        read_reference_table(spark, f"{tmp_path}/{fmt}", "r", 3, fmt)
