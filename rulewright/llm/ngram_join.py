@@ -43,6 +43,8 @@ BITMAP = [f"b{i}" for i in range(16)]
 #: Pairs that may be broadcast: 32 bytes each, so 32 MB at most.  Above it the join shuffles.
 BROADCAST_PAIRS = 1 << 20
 _DEALS = 8
+#: Where the numbers of texts without an id begin.
+NAMELESS = 1 << 62
 #: Rounds in which open keys are compared with one member of their largest component, before all their members are.
 ROUNDS = 3
 
@@ -219,14 +221,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, p: int, q: int) -> D
 def jaccard_classes(documents: DataFrame, size: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """Link texts whose shingle sets have ``q * intersection >= p * union``; one row per document.
 
-    ``documents`` needs ``doc_id`` (unique) and ``text``; other columns are ignored.
+    ``documents`` needs ``doc_id`` (unique, below 2 ** 62) and ``text``; other columns are ignored.
     Returns (doc_id, n_shingles, component_id): the set's size and the smallest
     doc_id reachable by links, itself included.  A text of fewer than ``size``
     words is one shingle; a null text or one without words has none and links
-    with nothing, so it is its own component.  Repeated texts link.  An empty
-    table gives an empty result.
+    with nothing, so it is its own component.  Repeated texts link.  A document
+    without an id links as others do; its component is null if no document in it has an
+    id.  An empty table gives an empty result.
     """
-    docs = documents.select("doc_id", "text")
+    # Texts without an id go by a number after all ids.
+    nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("text"), F.lit(NAMELESS >> 1))
+    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), nameless).alias("doc_id"), "text")
     prof = stored(profiles(docs, size), "profiles")
     classes = stored(prof.where("n > 0").groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.min(b).alias(b) for b in BITMAP)), "classes")
 
@@ -312,4 +317,5 @@ def jaccard_classes(documents: DataFrame, size: int = 5, p: int = 80, q: int = 1
     out = join_with_hot(prof.where("n > 0").select("doc_id", "n", "fa", "fb"), named.drop("copies"), ["fa", "fb", "n"], hot, "left")
     empty = prof.where("n = 0").select("n", "doc_id", F.col("doc_id").alias("class"))
     out = out.select("n", "doc_id", "class").union(empty)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"))
+    named = lambda c: F.when(c < NAMELESS, c)
+    return out.select(named(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), named(F.coalesce("class", "doc_id")).alias("component_id"))

@@ -116,3 +116,15 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 101), (101, 102), (50, 50), (102, 100)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(31)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_documents_without_an_id(spark):
+    """They hold a chain together, and a component of such documents alone has no id."""
+    words = [f"w{k}" for k in range(70)]
+    text = lambda n: " ".join(words[:n])
+    alone = " ".join(f"v{k}" for k in range(40))
+    rows = [(None, text(60)), (1, text(61)), (2, text(62)), (None, alone), (None, alone), (None, None), (None, ""), (5, "other words entirely and some more of them")]
+    out = jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), size=4, p=85, q=100)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=str)
+    want = [(None, 57, 1), (1, 58, 1), (2, 59, 1), (None, 37, None), (None, 37, None), (None, 0, None), (None, 0, None), (5, 5, 5)]
+    assert got == sorted(want, key=str)
