@@ -225,7 +225,7 @@ def constraints(spark, rows):
     UNION ALL SELECT p_partkey, 'NOTE', 'warning', 'is missing' FROM part UNION ALL SELECT p_partkey, 'WIDE', 'error', 'is missing' FROM part WHERE p_partkey % 3 <> 1 UNION ALL SELECT p_partkey, 'PIECE', 'error', 'is missing' FROM part WHERE p_partkey % 3 = 1""")
 def check_presence(part):
     c = constraints(part.sparkSession, [("BRAND", "C", "R", []), ("SIZE", "I", "E", []), ("NOTE", "C", "W", []), ("MAYBE", "C", "O", []), ("WIDE", "C", "F", []), ("PIECE", "C", "S", [])])
-    return V.check_presence(V.with_constraints(part_headers(part), c))
+    return V.check_presence(part_headers(part), c)
 
 
 @query("check_conditional_presence", "part", """SELECT p_partkey AS ident, 'BRAND' AS name, 'error' AS severity, 'is missing' AS message FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT p_partkey, 'NOTE', 'error', 'is missing' FROM part WHERE p_partkey % 3 = 1 AND p_size >= 20
@@ -234,7 +234,7 @@ def check_conditional_presence(part):
     """Conditions in parentheses, and an optional parameter that rules match by."""
     c = constraints(part.sparkSession, [("BRAND", "C", "O", []), ("NOTE", "C", "(is_subarray() and SIZE >= 20)", []), ("HINT", "C", "(warning(is_full_frame()))", []), ("LOUD", "C", "(warn_only(FLAG == 'T'))", []), ("MAYBE", "C", "O", []), ("BROKEN", "C", "(no such thing)", [])])
     matching = part.sparkSession.createDataFrame([("part", "k", "BRAND")], "instrument string, filekind string, name string")
-    return V.check_presence(V.with_constraints(part_headers(part), c), matching)
+    return V.check_presence(part_headers(part), c, matching)
 
 
 @query("check_columns", "lineitem", """WITH n AS (SELECT l_linestatus AS ident, count(*) FILTER (l_returnflag NOT IN ('A', 'N')) AS a, count(*) FILTER (NOT (l_linenumber BETWEEN 1 AND 4 OR l_linenumber = 6)) AS b, count(*) FILTER (l_tax > 0.05 + 1e-8) AS c FROM lineitem GROUP BY 1)
@@ -339,7 +339,7 @@ def verify_catalog(store, catalog):
 @query("findings", "part lineitem", "SELECT 'BRAND' AS name, 'error' AS severity, count(*) AS n FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT 'l_returnflag', 'error', count(DISTINCT l_linestatus) FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')")
 def findings(part, lineitem):
     c = constraints(part.sparkSession, [("BRAND", "C", "R", [])])
-    a = V.check_presence(V.with_constraints(part_headers(part), c)).withColumn("ident", F.col("ident").cast("string"))
+    a = V.check_presence(part_headers(part), c).withColumn("ident", F.col("ident").cast("string"))
     return V.findings(a, V.check_column_values(lineitem, "l_returnflag", ["A", "N"], "l_linestatus")).groupBy("name", "severity").agg(F.count("*").alias("n"))
 
 

@@ -135,7 +135,7 @@ def select_version(old_table, new_table):
 
 
 @query("closest_time", "datasets rules", """WITH r AS (SELECT rmap, useafter AS t, max(reference) AS reference FROM rules WHERE useafter IS NOT NULL GROUP BY ALL), d AS (SELECT DISTINCT instrument, exptime FROM datasets)
-    SELECT instrument, exptime, (SELECT min_by(reference, (abs(epoch_us(exptime)::DOUBLE - epoch_us(t)::DOUBLE)::FLOAT, t)) FROM r WHERE rmap = instrument) AS reference FROM d""")
+    SELECT instrument, exptime, (SELECT min_by(reference, ((abs(epoch_us(exptime)::DOUBLE - epoch_us(t)::DOUBLE) / 1e6)::FLOAT, t)) FROM r WHERE rmap = instrument) AS reference FROM d""")
 def closest_time(datasets, rules):
     keys = rules.where("useafter is not null").groupBy(F.col("rmap").alias("instrument"), F.col("useafter").alias("time")).agg(F.max("reference").alias("reference"))
     return S.closest_time(datasets.select("instrument", "exptime").distinct(), keys, ["instrument"]).select("instrument", "exptime", "reference")
@@ -161,7 +161,7 @@ def bracket(part, supplier):
 @query("nested_select", "datasets part", """WITH k AS (SELECT p_size % 5 AS g, CAST(p_size % 10 AS FLOAT) AS number, TIMESTAMP '1996-01-01' + INTERVAL 30 DAY * (p_partkey % 40) AS time, CAST(p_partkey % 3 AS INT) AS major, p_name || p_partkey AS reference FROM part),
     d AS (SELECT DISTINCT CAST(CAST(qty AS DOUBLE) AS INT) % 5 AS g, CAST(CAST(qty AS DOUBLE) AS INT) % 13 AS value, exptime, CAST(CAST(qty AS DOUBLE) AS INT) % 4 AS major FROM datasets),
     n AS (SELECT d.*, (SELECT min((abs(number - value), number)) FROM k WHERE k.g = d.g)[2] AS nn FROM d),
-    c AS (SELECT n.*, (SELECT min((abs(epoch_us(time)::DOUBLE - epoch_us(exptime)::DOUBLE)::FLOAT, time)) FROM k WHERE k.g = n.g AND k.number = nn)[2] AS tt FROM n)
+    c AS (SELECT n.*, (SELECT min(((abs(epoch_us(time)::DOUBLE - epoch_us(exptime)::DOUBLE) / 1e6)::FLOAT, time)) FROM k WHERE k.g = n.g AND k.number = nn)[2] AS tt FROM n)
     SELECT g, value, exptime, major, coalesce((SELECT max_by(reference, (k.major, reference)) FROM k WHERE k.g = c.g AND k.number = nn AND k.time = tt AND k.major <= c.major), 'NOT FOUND No match found.') AS reference FROM c""")
 def nested_select(datasets, part):
     keys = part.selectExpr("p_size % 5 as g", "cast(p_size % 10 as float) as number", "timestamp'1996-01-01' + make_dt_interval(30 * (p_partkey % 40)) as time", "cast(p_partkey % 3 as int) as major", "p_name || p_partkey as reference")
@@ -183,7 +183,7 @@ NESTED = f"""t AS (SELECT DISTINCT instrument, flag, priority, qty FROM datasets
     k AS (SELECT p_size % 5 AS g, CAST(p_size % 10 AS FLOAT) AS number, TIMESTAMP '1996-01-01' + INTERVAL 30 DAY * (p_partkey % 40) AS time, CAST(p_partkey % 3 AS INT) AS major, p_name || p_partkey AS reference FROM part),
     d AS (SELECT DISTINCT CAST(CAST(qty AS DOUBLE) AS INT) % 5 AS g, CAST(CAST(qty AS DOUBLE) AS INT) % 13 AS value, exptime, CAST(CAST(qty AS DOUBLE) AS INT) % 4 AS major FROM datasets),
     n AS (SELECT d.*, (SELECT min((abs(number - value), number)) FROM k WHERE k.g = d.g)[2] AS nn FROM d),
-    c AS (SELECT n.*, (SELECT min((abs(epoch_us(time)::DOUBLE - epoch_us(exptime)::DOUBLE)::FLOAT, time)) FROM k WHERE k.g = n.g AND k.number = nn)[2] AS tt FROM n),
+    c AS (SELECT n.*, (SELECT min(((abs(epoch_us(time)::DOUBLE - epoch_us(exptime)::DOUBLE) / 1e6)::FLOAT, time)) FROM k WHERE k.g = n.g AND k.number = nn)[2] AS tt FROM n),
     v AS (SELECT c.*, (SELECT max_by(reference, (k.major, reference)) FROM k WHERE k.g = c.g AND k.number = nn AND k.time = tt AND k.major <= c.major) AS reference FROM c)
     SELECT d.dataset_id || '/mu' AS dataset_id, 'mu_' || d.instrument AS rmap, coalesce(reference, 'NOT FOUND No match found.') AS reference FROM datasets d LEFT JOIN mud ON d.dataset_id = mud.dataset_id
     UNION ALL SELECT d.dataset_id || '/mb', 'mb_' || d.instrument, coalesce(coalesce(lo, hi) || ',' || coalesce(hi, lo), 'NOT FOUND No match found.') FROM datasets d LEFT JOIN mbr ON d.instrument = mbr.instrument AND d.flag = mbr.flag AND CAST(d.qty AS DOUBLE) = mbr.value

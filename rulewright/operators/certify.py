@@ -23,14 +23,14 @@ def _value(name: Column) -> Column:
 
 
 def with_constraints(headers: DataFrame, constraints: DataFrame) -> DataFrame:
-    """headers(ident, instrument, filekind, params) with each constraint of their type; constraints are a few thousand rows."""
-    return headers.join(F.broadcast(constraints), ["instrument", "filekind"]).withColumn("value", _value(F.col("name")))
+    """headers(ident, instrument, filekind, params) with each constraint of their type."""
+    return headers.join(small(constraints), ["instrument", "filekind"]).withColumn("value", _value(F.col("name")))
 
 
-def _applies(rows: DataFrame) -> Column:
+def _applies(constraints: DataFrame) -> Column:
     """Presence with conditions ``(expression)`` decided per header; O where one cannot be read."""
     p = F.col("presence")
-    texts = [r.presence for r in rows.where(p.startswith("(")).select("presence").distinct().limit(1001).collect()]
+    texts = [r.presence for r in constraints.where(p.startswith("(")).select("presence").distinct().limit(1001).collect()]
     if len(texts) > 1000:
         raise ValueError("more than 1000 presence conditions")
     out = p
@@ -43,15 +43,15 @@ def _applies(rows: DataFrame) -> Column:
     return F.when(out == "P", "R").otherwise(out)
 
 
-def check_presence(rows: DataFrame, matching: DataFrame | None = None) -> DataFrame:
+def check_presence(headers: DataFrame, constraints: DataFrame, matching: DataFrame | None = None) -> DataFrame:
     """R and P required, W warn, E excluded, O optional, F full frame only, S subarray only, A with a subarray only, or a condition in parentheses.
 
     ``matching(instrument, filekind, name)`` are the parameters that rules match by:
     where they are optional they are required all the same.
     """
-    rows = rows.withColumn("presence", _applies(rows))
+    rows = with_constraints(headers, constraints).withColumn("presence", _applies(constraints))
     if matching is not None:
-        named = F.broadcast(matching.select("instrument", "filekind", "name", F.lit(True).alias("_matching")).distinct())  # a few dozen per type
+        named = small(matching.select("instrument", "filekind", "name", F.lit(True).alias("_matching")).distinct())
         rows = rows.join(named, ["instrument", "filekind", "name"], "left").withColumn("presence", F.when(F.col("_matching") & (F.col("presence") == "O"), "R").otherwise(F.col("presence")))
     here = F.col("value") != UNDEFINED
     sub = _value(F.lit("SUBARRAY"))

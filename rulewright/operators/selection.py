@@ -297,7 +297,7 @@ def _nearest(datasets: DataFrame, rules: DataFrame, key: list[str], at: str, poi
 
 
 def _seconds(a: Column, b: Column) -> Column:
-    return F.abs(F.unix_micros(a.cast("timestamp")).cast("double") - F.unix_micros(b.cast("timestamp")).cast("double")).cast("float")
+    return (F.abs(F.unix_micros(a.cast("timestamp")).cast("double") - F.unix_micros(b.cast("timestamp")).cast("double")) / 1e6).cast("float")
 
 
 def _size(a: Column, b: Column) -> Column:
@@ -305,7 +305,7 @@ def _size(a: Column, b: Column) -> Column:
 
 
 def closest_time(datasets: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
-    """Smallest time difference in 32-bit microseconds; of equal ones the earliest key."""
+    """Smallest time difference in 32-bit seconds; of equal ones the earliest key."""
     found = _nearest(datasets, rules, key, "exptime", "time", _seconds, ["reference"])
     return found.withColumn("reference", F.coalesce("reference", F.lit(NOT_FOUND)))
 
