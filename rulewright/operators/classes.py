@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import BETWEEN, LOGICAL, RELATION, match_status
 from ..sources.scratch import dropped, stored
-from .meeting import small
 from .steps import span_join
 
 ATOM = "array<struct<kind:string,text:string>>"
@@ -68,10 +67,10 @@ def value_classes(values: DataFrame, patterns: DataFrame) -> DataFrame:
     spans = bounds.select("i", "low", F.lead("low").over(line).alias("high"), F.col("low").alias("bound"))
     rows = span_join(values.withColumn("number", number), spans, ["i"], "number")
     texts = atoms.where("kind = 'text'").select(F.col("i").alias("_i"), F.col("text").alias("_t")).union(patterns.select("i").distinct().select("i", F.explode(F.array(F.lit("N/A"), F.lit("*"))))).distinct()
-    rows = rows.join(small(texts.withColumn("_own", F.lit(True))), (F.col("i") == F.col("_i")) & (F.col("value") == F.col("_t")), "left").drop("_i", "_t")
+    rows = rows.join(texts.withColumn("_own", F.lit(True)), (F.col("i") == F.col("_i")) & (F.col("value") == F.col("_t")), "left").drop("_i", "_t")
     tests = atoms.where("kind = 'test'").select("i", F.col("text").alias("test"), _prefix(F.col("text")).alias("prefix")).withColumn("l", F.length("prefix"))
-    begun = values.join(small(tests.select("i", "l").distinct()), "i").where(F.length("value") >= F.col("l")).withColumn("prefix", F.substring("value", F.lit(1), F.col("l")))
-    passed = begun.join(small(tests), ["i", "l", "prefix"]).where(match_status(F.col("value"), F.col("test")) == 1)
+    begun = values.join(tests.select("i", "l").distinct(), "i").where(F.length("value") >= F.col("l")).withColumn("prefix", F.substring("value", F.lit(1), F.col("l")))
+    passed = begun.join(tests, ["i", "l", "prefix"]).where(match_status(F.col("value"), F.col("test")) == 1)
     passed = passed.groupBy("i", "value").agg(F.array_sort(F.collect_set("test")).alias("tests"))
     marks = ["bound", "at", "own", "tests"]
     rows = rows.join(passed, ["i", "value"], "left")
@@ -95,6 +94,6 @@ def class_fits(classes: DataFrame, patterns: DataFrame) -> DataFrame:
     lists = patterns.where(plain)
     members = lists.select("i", "pattern", F.explode(F.transform(F.split("pattern", r"\|"), lambda x: F.trim(x))).alias("value"))
     by_text = members.join(classes.where(~special), ["i", "value"]).select("i", "value", "pattern").distinct().withColumn("score", F.lit(1))
-    rest = classes.join(small(patterns.where(~plain)), "i").unionByName(classes.where(special).join(lists, "i"))
+    rest = classes.join(patterns.where(~plain), "i").unionByName(classes.where(special).join(lists, "i"))
     status = stored(rest.select("i", "value", "pattern", match_status(F.col("value"), F.col("pattern")).alias("score")), "status")
     return by_text.unionByName(status.where("score >= 0")).select(F.lit("").alias("kind"), "i", "value", "pattern", "score")

@@ -9,6 +9,7 @@ skewed.  Rows stay as narrow as they came.
 from __future__ import annotations
 
 from functools import reduce
+from math import isfinite
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
@@ -58,35 +59,36 @@ def span_join(rows: DataFrame, spans: DataFrame, key: list[str], at: str, how: s
     low, high = as_number(spans, "low"), as_number(spans, "high")
     shares = F.percentile_approx(F.coalesce(low, high), F.array(*(F.lit(k / KNOTS) for k in range(KNOTS + 1))), F.lit(10_000))
     size = known.agg(F.count("*").alias("n"), shares.alias("knots"), F.max(high).alias("most"), F.approx_count_distinct(F.struct(*key)).alias("keys")).first()
-    knots = sorted({k for k in [*(size.knots or []), size.most] if k is not None})
+    knots = sorted({k for k in [*(size.knots or []), size.most] if k is not None and isfinite(k)})
     wanted = max(1, min(MOST_CELLS, size.n // (2 * max(1, size.keys))))
     knots = knots[:: max(1, (len(knots) - 1) // wanted)] if len(knots) > 1 else [*knots, *(k + 1 for k in knots)] or [0.0, 1.0]
     each = max(1, wanted // (len(knots) - 1))
     cells = each * (len(knots) - 1)
 
-    def cell(value: Column) -> Column:
-        """Cells of equal width between two knots, which have about equally many spans between them."""
+    def cell(value: str) -> str:
+        """Cells of equal width between two knots, which have about equally many spans between them; written in SQL, one call."""
 
-        def inside(a: int, b: int) -> Column:
+        def inside(a: int, b: int) -> str:
             if b - a > 1:
                 middle = (a + b) // 2
-                return F.when(value < knots[middle], inside(a, middle)).otherwise(inside(middle, b))
-            part = F.floor((value - knots[a]) / (knots[b] - knots[a]) * each)
-            return F.lit(a * each) + F.greatest(F.lit(0), F.least(F.lit(each), part))
+                return f"if({value} < {knots[middle]!r}D, {inside(a, middle)}, {inside(middle, b)})"
+            part = f"floor(({value} - {knots[a]!r}D) / {knots[b] - knots[a]!r}D * {each})"
+            return f"{a * each} + greatest(0, least({each}, {part}))"
 
-        return inside(0, len(knots) - 1).cast("int")
+        return f"cast({inside(0, len(knots) - 1)} as int)"
 
-    first = F.when(F.col("low").isNull(), 0).otherwise(cell(low))
-    last = F.when(F.col("high").isNull(), cells).otherwise(cell(high))
+    spans = spans.withColumns({"_low": low, "_high": high})
+    first = F.when(F.col("low").isNull(), 0).otherwise(F.expr(cell("_low")))
+    last = F.when(F.col("high").isNull(), cells).otherwise(F.expr(cell("_high")))
     covered = F.sequence(first, last)
     if marked:
         covered = F.when(F.col("unknown"), F.array(F.lit(-1))).otherwise(covered)
-    others = [c for c in spans.columns if c not in (*key, "low", "high", "unknown")]
+    others = [c for c in spans.columns if c not in (*key, "low", "high", "unknown", "_low", "_high")]
     dealt = spans.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), "low", "high", *others, F.explode(covered).alias("_cell"))
     if size.n + size.keys * (cells + 2) <= BROADCAST_SPANS:
         dealt = F.broadcast(dealt)
-    value = F.when(F.col(at).isNotNull(), cell(as_number(rows, at)))
-    asked = rows.withColumn("_at", F.coalesce(value, F.lit(-1)) if marked else value)
+    value = F.when(F.col("_number").isNotNull(), F.expr(cell("_number")))
+    asked = rows.withColumn("_number", as_number(rows, at)).withColumn("_at", F.coalesce(value, F.lit(-1)) if marked else value)
     same = reduce(and_, (F.col(k) == F.col(f"_k{i}") for i, k in enumerate(key)))
     inside = F.coalesce(F.col(at) >= F.col("low"), F.lit(True)) & F.coalesce(F.col(at) < F.col("high"), F.lit(True))
     return asked.join(dealt, same & (F.col("_at") == F.col("_cell")) & inside, how).select(*rows.columns, *others)
