@@ -95,5 +95,6 @@ def class_fits(classes: DataFrame, patterns: DataFrame) -> DataFrame:
     members = lists.select("i", "pattern", F.explode(F.transform(F.split("pattern", r"\|"), lambda x: F.trim(x))).alias("value"))
     by_text = members.join(classes.where(~special), ["i", "value"]).select("i", "value", "pattern").distinct().withColumn("score", F.lit(1))
     rest = classes.join(patterns.where(~plain), "i").unionByName(classes.where(special).join(lists, "i"))
-    status = stored(rest.select("i", "value", "pattern", match_status(F.col("value"), F.col("pattern")).alias("score")), "status")
+    # Out of a generator, so that the long expression stands in the plan once and not in the filter, too.
+    status = rest.select("i", "value", "pattern", F.explode(F.array(match_status(F.col("value"), F.col("pattern")))).alias("score"))
     return by_text.unionByName(status.where("score >= 0")).select(F.lit("").alias("kind"), "i", "value", "pattern", "score")
