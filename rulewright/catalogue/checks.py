@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import alignment as A
 from ..operators import certify as V
 from ..operators import components as G
 from ..operators import contexts as C
@@ -130,6 +131,35 @@ def row_diff(old_table, new_table):
     return T.row_diff(old_table, new_table)
 
 
+#: Steps of the ordered difference where no two rows of a table have the same content: blocks ``x`` of rows that stay, changes ``c``.
+ALIGNED = """a AS (SELECT *, row_number() OVER (ORDER BY row_no) - 1 AS i FROM old_table), b AS (SELECT *, row_number() OVER (ORDER BY row_no) - 1 AS j FROM new_table),
+    m AS (SELECT i, j FROM a JOIN b USING (row_no, mode_a, mode_b, v1, v2)),
+    g AS (SELECT i, j, sum(fresh) OVER (ORDER BY i) AS k FROM (SELECT i, j, CASE WHEN lag(i) OVER (ORDER BY i) = i - 1 AND lag(j) OVER (ORDER BY i) = j - 1 THEN 0 ELSE 1 END AS fresh FROM m)),
+    x AS (SELECT min(i) AS i1, max(i) + 1 AS i2, min(j) AS j1, max(j) + 1 AS j2 FROM g GROUP BY k UNION ALL SELECT n, n, o, o FROM (SELECT count(*) AS n FROM a), (SELECT count(*) AS o FROM b)),
+    y AS (SELECT coalesce(lag(i2) OVER w, 0) AS a1, i1 AS a2, coalesce(lag(j2) OVER w, 0) AS b1, j1 AS b2, coalesce(lag(i2 - i1) OVER w, 0) AS before, i2 - i1 AS after FROM x WINDOW w AS (ORDER BY i1, i2)),
+    c AS (SELECT * FROM y WHERE a2 > a1 OR b2 > b1)"""
+
+
+def ordered(old_table, new_table):
+    return A.OrderedDiff(old_table, new_table, "row_no")
+
+
+@query("row_opcodes", "old_table new_table", f"WITH {ALIGNED} SELECT 'equal' AS tag, i1, i2, j1, j2 FROM x WHERE i2 > i1 UNION ALL SELECT CASE WHEN a2 = a1 THEN 'insert' WHEN b2 = b1 THEN 'delete' ELSE 'replace' END, a1, a2, b1, b2 FROM c")
+def row_opcodes(old_table, new_table):
+    return ordered(old_table, new_table).opcodes()
+
+
+@query("row_hunks", "old_table new_table", f"""WITH {ALIGNED}, h AS (SELECT *, sum(CASE WHEN before > 6 THEN 1 ELSE 0 END) OVER (ORDER BY a1, b1) AS hunk FROM c)
+    SELECT min(a1 - least(before, 3)) AS i1, max(a2 + least(after, 3)) AS i2, min(b1 - least(before, 3)) AS j1, max(b2 + least(after, 3)) AS j2, CAST(sum(a2 - a1) AS BIGINT) AS removed, CAST(sum(b2 - b1) AS BIGINT) AS added FROM h GROUP BY hunk""")
+def row_hunks(old_table, new_table):
+    return ordered(old_table, new_table).hunks()
+
+
+@query("row_similarity", "old_table new_table", f"WITH {ALIGNED} SELECT (SELECT count(*) FROM a) AS rows_a, (SELECT count(*) FROM b) AS rows_b, (SELECT count(*) FROM m) AS matched, 2.0 * (SELECT count(*) FROM m) / ((SELECT count(*) FROM a) + (SELECT count(*) FROM b)) AS ratio")
+def row_similarity(old_table, new_table):
+    return ordered(old_table, new_table).similarity()
+
+
 @query("changed_rows", "old_table new_table", "SELECT row_no, o.v1 AS old_v1, o.v2 AS old_v2, n.v1 AS new_v1, n.v2 AS new_v2 FROM old_table o JOIN new_table n USING (row_no) WHERE o.v1 <> n.v1 OR o.v2 <> n.v2")
 def changed_rows(old_table, new_table):
     return T.changed_rows(old_table, new_table, ["row_no"], ["v1", "v2"])
