@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.hooks import apply_hook, hook
 from ..operators import selection as S
 from ..operators.certify import validate_rules
+from ..operators.diffs import insert_headers as insert_by_headers
 from ..sources.scratch import stored
 from ..streaming.incremental import incremental_history, stream_best_references
 from .inputs import query
@@ -85,6 +86,25 @@ def fallback_lookup(datasets, rules):
     return found.select("dataset_id", F.col("reference").alias("outcome"))
 
 
+@hook("update", "Brand#11", "table")
+def _also_any_type(rows):
+    """A reference serves the type of its header and all types that have no own one."""
+    return rows.unionByName(rows.withColumn("kind", F.lit("N/A")))
+
+
+@query("insert_headers", "part", """WITH r AS (SELECT DISTINCT upper(p_brand) AS rmap, upper(p_type) AS kind FROM part WHERE p_partkey % 4 <> 0),
+    h AS (SELECT upper(p_brand) AS rmap, upper(p_type) AS kind, p_name || p_partkey AS reference, p_partkey FROM part WHERE p_partkey % 3 = 0),
+    v AS (SELECT * FROM h UNION ALL SELECT rmap, 'N/A', reference, p_partkey FROM h WHERE rmap = 'BRAND#11'),
+    i AS (SELECT rmap, kind, max_by(reference, p_partkey) AS reference, count(*) AS n FROM v GROUP BY rmap, kind)
+    SELECT rmap, kind, 'N/A' AS shelf, coalesce(i.reference, 'old') AS reference, CASE WHEN i.n IS NULL THEN 'keep' WHEN o.known IS NULL THEN 'add' ELSE 'replace' END AS action, coalesce(i.n, 0) AS n_inserts
+    FROM (SELECT *, 1 AS known FROM r) o FULL JOIN i USING (rmap, kind)""")
+def insert_headers(part):
+    """References are inserted as the update hooks of their instruments rewrite their headers."""
+    rules = part.where("p_partkey % 4 <> 0").selectExpr("p_brand as rmap", "p_type as kind", "'N/A' as shelf", "'old' as reference").distinct()
+    new = part.where("p_partkey % 3 = 0").selectExpr("p_brand as rmap", "p_type as kind", "cast(p_size as string) as shelf", "p_name || p_partkey as reference", "p_partkey as n")
+    return insert_by_headers(rules, new, "table", ["rmap", "kind", "shelf"], "n", ["shelf"])
+
+
 @query("validate_expansions", "rules", "SELECT rmap || ':' || rule_id AS ident, 'PRIORITY' AS name, 'error' AS severity, 'illegal value: ' || p_priority AS message FROM rules WHERE p_priority IN ('4-NOT SPECIFIED', '5-LOW')")
 def validate_expansions(rules):
     valid = rules.sparkSession.createDataFrame([("PRIORITY", p) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM")], "par string, value string")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.hooks import apply_hooks
 from ..functions.normalize import condition_value, is_newer
 from ..sources.scratch import stored
 from .meeting import meet
@@ -67,6 +68,17 @@ def insert_references(rules: DataFrame, inserts: DataFrame, key: list[str], orde
     return both.select(*key, F.coalesce("new_reference", "old_reference").alias("reference"), action.alias("action"), F.coalesce("n_inserts", F.lit(0)).cast("long").alias("n_inserts"))
 
 
+def insert_headers(rules: DataFrame, headers: DataFrame, filekind: str, key: list[str], order: str, extra: list[str] = ()) -> DataFrame:
+    """``insert_references`` by the headers of new references, after the type's update hooks have rewritten them.
+
+    ``headers`` has ``rmap`` (the instrument), the columns of ``key``, ``reference`` and ``order``.  A hook may return several
+    rows for a header, as lookups may rewrite theirs in several ways; each becomes a rule.  Parameters in ``extra``,
+    which only help to work out others, are N/A in rules whatever the header says.
+    """
+    rewritten = apply_hooks("update", filekind, headers)
+    return insert_references(rules, rewritten.withColumns({e: F.lit("N/A") for e in extra}), key, order)
+
+
 def delete_references(rules: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rules without the references, references that no rule has)."""
     gone = references.select("reference").distinct()
