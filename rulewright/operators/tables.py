@@ -80,10 +80,21 @@ def mode_diff(a: DataFrame, b: DataFrame, keys: list[str], only: dict[str, list]
 
 
 def check_table_modes(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Findings per mode: missing, new, changed, duplicate.  Keys are those that both tables have."""
-    keys = [k for k in keys if k in old.columns and k in new.columns]
-    a = first_of_duplicates(old, keys).select(*keys, F.struct(*values).alias("old"))
-    b = first_of_duplicates(new, keys).select(*keys, F.struct(*values).alias("new"), "n_rows")
+    """Findings per mode: missing, new, changed, duplicate.  Keys and values are those that both tables have.
+
+    Where the columns of the tables differ in name or order, their rows cannot be compared: one row without mode says ``row format``
+    (none if a table is empty).
+    """
+    common = [c for c in old.columns if c in new.columns]
+    keys, values = [k for k in keys if k in common], [v for v in values if v in common]
+    if not keys:
+        raise ValueError("the tables have none of the mode columns in common")
+    if old.columns != new.columns:
+        found = old.sparkSession.range(0 if old.isEmpty() or new.isEmpty() else 1)
+        return found.select(*(F.lit(None).cast(old.schema[k].dataType).alias(k) for k in keys), F.lit("row format").alias("finding"))
+    old, new = (t.withColumn("_row", F.struct(*values, F.lit(0).alias("_"))) for t in (old, new))
+    a = first_of_duplicates(old, keys).select(*keys, F.col("_row").alias("old"))
+    b = first_of_duplicates(new, keys).select(*keys, F.col("_row").alias("new"), "n_rows")
     both = a.join(b, keys, "full_outer")
     finding = F.when(F.col("new").isNull(), "missing").when(F.col("n_rows") > 1, "duplicate").when(F.col("old").isNull(), "new").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
     return both.select(*keys, finding.alias("finding")).where("finding is not null")

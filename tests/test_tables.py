@@ -100,3 +100,15 @@ def test_mode_select(spark):
     assert rows({"cen": "2"}) == {("G140L", "2.0"), ("X", "2")}
     assert rows({"cen": "2"}, {"cen": ["-1"]}) == {("ANY", "-1"), ("G140L", "2.0"), ("X", "2")}
     assert rows({"opt": ["X", "G1"], "cen": "1.0"}) == {("G1", "1")}
+
+
+def test_change_of_row_format(spark):
+    old = spark.createDataFrame([(1, "A", 1.0, "x"), (2, "B", 2.0, "y")], "row_no long, mode string, v double, w string")
+    new = spark.createDataFrame([(1, "A", 1.0, 5), (2, "B", 3.0, 6), (3, "C", 1.0, 7)], "row_no long, mode string, v double, more int")
+    assert [tuple(r) for r in T.check_table_modes(old, new, ["mode", "absent"], ["v", "w"]).collect()] == [(None, "row format")]
+    assert T.check_table_modes(old.limit(0), new, ["mode"], ["v"]).isEmpty()
+    found = {tuple(r) for r in T.check_table_modes(old, new.withColumnRenamed("more", "w"), ["mode"], ["v"]).collect()}
+    assert found == {("B", "changed"), ("C", "new")}
+    assert T.check_table_modes(old, old, ["mode"], ["v", "w"]).isEmpty()
+    with pytest.raises(ValueError):
+        T.check_table_modes(old, new, ["absent"], ["v"])
