@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import version_key
@@ -76,6 +76,31 @@ def _level(rows: DataFrame, rules: DataFrame, key: list[str], level: int, kind:
     raise ValueError(f"no selector {kind}")
 
 
+def _literal(shape: list) -> Column:
+    return F.array(*(F.struct(F.lit(x["class"]).alias("class"), F.lit(x["par"]).alias("par")) for x in shape)).cast(LEVELS)
+
+
+def _reads(shape: list) -> tuple[list[str], bool]:
+    """The parameters that the levels of a nesting read, and whether they look at the time."""
+    return sorted({p for x in shape for p in x["par"].split(",") if p}), any(x["class"] in ("UseAfter", "ClosestTime") for x in shape)
+
+
+def _questions(datasets: DataFrame, rules: DataFrame, shapes: list) -> tuple[DataFrame, DataFrame]:
+    """Datasets with what their nesting reads (_values, _time), and the distinct questions with a number."""
+    number, values, time = F.lit(None).cast("int"), F.lit(None).cast("array<string>"), F.lit(None)
+    for n, shape in enumerate(shapes):
+        names, timed = _reads(shape)
+        mine = F.col("_shape") == n
+        number = F.when(F.col("levels") == _literal(shape), n).otherwise(number)
+        values = F.when(mine, F.array(*(F.try_element_at("params", F.lit(p)) for p in names)).cast("array<string>")).otherwise(values)
+        time = F.when(mine, F.col("exptime") if timed else F.lit(None)).otherwise(time)
+    sets = rules.select("rmap", number.alias("_shape")).distinct()
+    asked = datasets.join(small(sets), "rmap", "left")
+    asked = asked.select("dataset_id", "rmap", "_shape", values.alias("_values"), time.cast(datasets.schema["exptime"].dataType).alias("_time"))
+    questions = asked.where("_shape is not null").select("rmap", "_shape", "_values", "_time").distinct()
+    return asked, stored(questions.withColumn("_question", F.monotonically_increasing_id()), "questions")
+
+
 def nested_selectors(datasets: DataFrame, rules: DataFrame) -> DataFrame:
     """(dataset_id, rmap, reference) of datasets(dataset_id, rmap, params, exptime) by nested rules.
 
@@ -89,17 +114,24 @@ def nested_selectors(datasets: DataFrame, rules: DataFrame) -> DataFrame:
     rules with equal keys the greatest name counts; a dataset that nothing fits gets the
     no-match text.  Every distinct nesting is one chain of joins; there may be a
     hundred of them.
+
+    What the levels of a nesting do not read does not matter: distinct questions (rule set, values
+    read, time if a level looks at it) go down the chain, and datasets meet the
+    answers in one join.  ``datasets`` is read twice.
     """
     shapes = [r.levels for r in rules.select("levels").distinct().limit(101).collect()]
     if len(shapes) > 100:
         raise ValueError("more than 100 nestings")
+    rules = rules.groupBy("rmap", "levels", "keys").agg(F.max("reference").alias("reference"))
+    asked, questions = _questions(datasets, rules, shapes)
     ident = ["dataset_id", "rmap"]
-    asked = datasets.select(*ident, "params", "exptime")
     out = []
-    for shape in shapes:
-        own = rules.where(F.col("levels") == F.array(*(F.struct(F.lit(x["class"]).alias("class"), F.lit(x["par"]).alias("par")) for x in shape)).cast(LEVELS))
+    for n, shape in enumerate(shapes):
+        own = rules.where(F.col("levels") == _literal(shape))
         own = own.select("rmap", *(F.get("keys", F.lit(j)).alias(f"_t{j}") for j in range(len(shape))), "reference")
-        rows, key, marks, ends = asked.join(small(own.select("rmap").distinct()), "rmap", "left_semi"), ["rmap"], [], []
+        params = F.map_from_arrays(F.array(*map(F.lit, _reads(shape)[0])).cast("array<string>"), "_values")
+        rows = questions.where(F.col("_shape") == n).select(F.col("_question").alias("dataset_id"), "rmap", params.alias("params"), F.col("_time").alias("exptime"))
+        key, marks, ends = ["rmap"], [], []
         for j, x in enumerate(shape):
             rows, own = _level(rows, own, key, j, x["class"], x["par"])
             rows, own = stored(rows, f"level-{j}"), stored(own, f"rules-{j}")
@@ -113,5 +145,10 @@ def nested_selectors(datasets: DataFrame, rules: DataFrame) -> DataFrame:
         whole = found.where(F.size("r") == 2 ** len(ends)).select(*ident, *marks, F.array_join(F.transform("r", lambda e: e["reference"]), ",").alias("reference"))
         order = F.struct(*marks) if marks else F.lit(0)
         out.append(whole.groupBy(*ident).agg(F.max_by("reference", order).alias("reference")))
-    found = reduce(DataFrame.unionByName, out) if out else asked.select(*ident, F.lit(None).cast("string").alias("reference")).limit(0)
-    return asked.select(*ident).join(found, ident, "left").withColumn("reference", F.coalesce("reference", F.lit(NOT_FOUND)))
+    if not out:
+        return datasets.select(*ident, F.lit(NOT_FOUND).alias("reference"))
+    answers = reduce(DataFrame.unionByName, out).select(F.col("dataset_id").alias("_question"), "reference")
+    answers = questions.join(answers, "_question").select(F.col("rmap").alias("_r"), F.col("_values").alias("_v"), F.col("_time").alias("_t"), "reference")
+    same = (F.col("rmap") == F.col("_r")) & (F.col("_values") == F.col("_v")) & F.col("_time").eqNullSafe(F.col("_t"))
+    found = asked.join(small(stored(answers, "answers")), same, "left")
+    return found.select(*ident, F.coalesce("reference", F.lit(NOT_FOUND)).alias("reference"))
