@@ -112,6 +112,11 @@ def derivation_parents(part):
     return C.derivation_parents(part.selectExpr("'p' || p_partkey as name", "case p_partkey % 4 when 0 then 'generated' when 1 then 'p' || (p_partkey - 1) when 2 then 'q' || p_partkey end as derived_from"))
 
 
+TREES = """p1 AS (SELECT context, key AS path, child, sha, 1 AS depth FROM edges WHERE parent IN ('ctxa', 'ctxb')),
+    p2 AS (SELECT p.context, p.path || '/' || e.key AS path, e.child, e.sha, 2 AS depth FROM p1 p JOIN edges e ON p.child = e.parent AND p.context = e.context),
+    p3 AS (SELECT p.context, p.path || '/' || e.key AS path, e.child, e.sha, 3 AS depth FROM p2 p JOIN edges e ON p.child = e.parent AND p.context = e.context), p AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)"""
+
+
 def _level_sql(k: int, above: str, where: str) -> str:
     """CTE ``d{k}``: differing children of the pairs of nodes ``above``."""
     def side(c: str) -> str:
@@ -131,10 +136,11 @@ def _trees(edges):
     return (edges.where(F.col("context") == c) for c in "ab")
 
 
-@query("diff_contexts", "edges", tree_sql("WHERE u.a IS NOT NULL AND u.b IS NOT NULL"))
+@query("diff_contexts", "edges", f"""WITH {TREES} SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' ELSE 'replaced' END AS action, a.child AS old_child, b.child AS new_child
+    FROM (SELECT * FROM p WHERE context = 'a') a FULL JOIN (SELECT * FROM p WHERE context = 'b') b ON a.path = b.path WHERE a.sha IS DISTINCT FROM b.sha""")
 def diff_contexts(edges):
-    """From the top down, through replaced mappings only."""
-    return C.diff_contexts(*_trees(edges), "ctxa", "ctxb")
+    """Both trees whole: every path is compared."""
+    return C.diff_whole_contexts(*_trees(edges), "ctxa", "ctxb")
 
 
 @query("diff_contexts_expanded", "edges", tree_sql())

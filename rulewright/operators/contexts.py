@@ -126,6 +126,28 @@ def diff_contexts(old: DataFrame, new: DataFrame, old_root: str, new_root: str,
     return reduce(DataFrame.unionByName, out)
 
 
+def tree_paths(edges: DataFrame, root: str) -> DataFrame:
+    """(path, child, sha) of everything below ``root`` by edges(parent, key, child, sha), however deep; every level is stored."""
+    level = edges.where(F.col("parent") == root).select(F.col("key").alias("path"), "child", "sha")
+    out: list[DataFrame] = []
+    while True:
+        level = stored(level, "tree-paths")
+        out.append(level)
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        own = edges.select(F.col("parent").alias("_p"), "key", F.col("child").alias("_c"), F.col("sha").alias("_s"))
+        level = level.join(own, F.col("child") == F.col("_p")).select(F.concat("path", F.lit("/"), "key").alias("path"), F.col("_c").alias("child"), F.col("_s").alias("sha"))
+
+
+def diff_whole_contexts(old: DataFrame, new: DataFrame, old_root: str, new_root: str) -> DataFrame:
+    """``diff_contexts`` for trees whose checksums say nothing about what lies below: all paths of both are compared."""
+    a = tree_paths(old, old_root).select("path", F.col("child").alias("old_child"), F.col("sha").alias("_a"))
+    b = tree_paths(new, new_root).select("path", F.col("child").alias("new_child"), F.col("sha").alias("_b"))
+    both = a.withColumn("_old", F.lit(True)).join(b.withColumn("_new", F.lit(True)), "path", "full_outer")
+    action = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "deleted").otherwise("replaced")
+    return both.where(~F.col("_a").eqNullSafe(F.col("_b"))).select("path", action.alias("action"), "old_child", "new_child")
+
+
 def auto_cutoffs(old: DataFrame, new: DataFrame) -> DataFrame:
     """Per instrument the earliest use-after date of any reference that was added or deleted."""
     key = ["instrument", "reference"]

@@ -30,6 +30,18 @@ def test_datasets_by_order_are_those_of_the_sql(spark):
     line = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_returnflag string, l_quantity double, l_shipdate timestamp"
     day = [datetime(2000, 1, d) for d in (1, 2, 3)]
     lines = [(1, 1, 7, 3, "R", 10.0, day[0]), (1, 1, 7, 3, "A", 7.5, day[1]), (1, 2, 7, 3, None, None, None), (2, 1, 8, 3, "N", 3.0, day[2]), (9, 1, 1, 1, "N", 3.0, day[2])]
+def test_whole_contexts_open_what_has_the_same_checksum(spark):
+    from rulewright.operators import contexts as C
+
+    shape = "parent string, key string, child string, sha string"
+    old = spark.createDataFrame([("r1", "k", "m", "s"), ("m", "x", "x1", "1"), ("m", "g", "g1", "1"), ("g1", "h", "h1", "1")], shape)
+    new = spark.createDataFrame([("r2", "k", "m2", "s"), ("m2", "x", "x2", "2"), ("m2", "y", "y2", "2")], shape)
+    want = {("k/x", "replaced", "x1", "x2"), ("k/g", "deleted", "g1", None), ("k/g/h", "deleted", "h1", None), ("k/y", "added", None, "y2")}
+    out = C.diff_whole_contexts(old, new, "r1", "r2").collect()
+    assert set(map(tuple, out)) == want and len(out) == 4
+    assert C.diff_whole_contexts(old, old, "r1", "r1").isEmpty()
+
+
     orders = [(1, 5, "2-HIGH", "F"), (1, 6, "1-URGENT", "O"), (2, 5, None, "P"), (3, 5, "x", "P"), (4, 77, "x", "P")]
     customers = [(5, "HOUSEHOLD"), (6, "BUILDING"), (6, None)]
 
