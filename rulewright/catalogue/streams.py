@@ -13,7 +13,7 @@ from ..operators.diffs import insert_headers as insert_by_headers
 from ..sources.scratch import stored
 from ..streaming.incremental import incremental_history, stream_best_references
 from .inputs import query
-from .selection import PARAMETERS, best_sql, headers, keyed, matched_sql, status_sql
+from .selection import PARAMETERS, best_sql, headers, kept, keyed, matched_sql, status_sql
 
 
 def _work(spark) -> str:
@@ -82,7 +82,7 @@ SECOND_SQL = f"""sd AS (SELECT d.* REPLACE ('*' AS flag) FROM hd d JOIN b ON d.d
 @query("fallback_lookup", "datasets rules", f"WITH {FALLBACK_SQL}, {SECOND_SQL} SELECT b.dataset_id, CASE WHEN b.reference LIKE 'NOT FOUND%' AND c.reference NOT LIKE 'NOT FOUND%' THEN c.reference ELSE b.reference END AS outcome FROM b LEFT JOIN c ON b.dataset_id = c.dataset_id")
 def fallback_lookup(datasets, rules):
     """Headers are rewritten by the registered hooks before the match, and again after a miss."""
-    found = S.hooked_lookup(headers(datasets), keyed(rules), PARAMETERS, "table")
+    found = S.hooked_lookup(headers(kept(datasets)), keyed(rules), PARAMETERS, "table")
     return found.select("dataset_id", F.col("reference").alias("outcome"))
 
 
