@@ -114,3 +114,9 @@ def test_few_versions_are_broadcast(spark):
     assert out.groupBy("cal_ver", "config").count().count() == 2
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_cases_of_single_results_need_no_grouping_by_dataset(spark):
+    rows = spark.createDataFrame([("a", "i", "t", "f1"), ("b", "i", "t", "f1"), ("c", "j", "t", "f1")], "dataset_id string, instrument string, filekind string, reference string")
+    mine = R.cases_of_sets(rows.selectExpr("dataset_id", "instrument", "'t=' || reference as results"))
+    assert sorted(map(str, mine.collect())) == sorted(map(str, R.coverage_cases(rows).collect()))
