@@ -45,6 +45,8 @@ BROADCAST_PAIRS = 1 << 20
 _DEALS = 8
 #: Where the numbers of texts without an id begin.
 NAMELESS = 1 << 62
+#: Tiles are dealt out in so many passes; what one has shuffled is deleted before the next.
+PASSES = 2
 #: Rounds in which open keys are compared with one member of their largest component, before all their members are.
 ROUNDS = 3
 
@@ -91,13 +93,14 @@ def tile_parts(low: int, most: int) -> tuple[int, int]:
         spare = more
 
 
-def part_keys(found: np.ndarray, starts: list[int], p: int, q: int) -> np.ndarray:
-    """The join keys of a sorted set of hashes, in number at most in proportion to its size."""
+def part_keys(found: np.ndarray, starts: list[int], p: int, q: int, only: int | None = None) -> np.ndarray:
+    """The join keys of a sorted set of hashes, in number at most in proportion to its size; ``only`` those of one pass."""
     band = bisect_right(starts, len(found)) - 1
-    if band < 0:
+    tiles = [] if band < 0 else [t for t in (band, band + 1) if only is None or t % PASSES == only]
+    if not tiles:
         return np.empty(0, np.uint64)
     keys = []
-    for tile in (band, band + 1):
+    for tile in tiles:
         most = (q - p) * 2 * (starts[tile + 1] - 1) // (p + q)
         parts, spare = tile_parts(starts[max(tile - 1, 0)], most)
         for deal in range(_DEALS):
@@ -143,8 +146,8 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, fa long, fb long, " + ", ".join(f"{b} long" for b in BITMAP))
 
 
-def key_rows(docs: DataFrame, size: int, p: int, q: int) -> DataFrame:
-    """The join keys of every set beside the set's hash; a task hands on equal sets once as far as it remembers."""
+def key_rows(docs: DataFrame, size: int, p: int, q: int, only: int | None = None) -> DataFrame:
+    """The join keys of every set, or those of one pass, beside the set's hash; a task hands on equal sets once as far as it remembers."""
     starts = bands(p, q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +165,7 @@ def key_rows(docs: DataFrame, size: int, p: int, q: int) -> DataFrame:
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(fa)
-                    keys.append(part_keys(found, starts, p, q).view(np.int64))
+                    keys.append(part_keys(found, starts, p, q, only).view(np.int64))
                     sets.append(np.full(len(keys[-1]), fa, np.int64))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sets))], ["key", "fa"])
@@ -235,9 +238,13 @@ def jaccard_classes(documents: DataFrame, size: int = 5, p: int = 80, q: int = 1
     prof = stored(profiles(docs, size), "profiles")
     classes = stored(prof.where("n > 0").groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.min(b).alias(b) for b in BITMAP)), "classes")
 
-    rows = key_rows(docs, size, p, q)
+    # Most keys are one set's own.  A set has a tile of either parity, so a pass shuffles about half of the keys.
     spread = "PARTITION BY key"
-    shared = stored(rows.selectExpr("key", "fa", f"min(fa) OVER ({spread}) AS low", f"max(fa) OVER ({spread}) AS high").where("low <> high").select("key", "low", "fa").distinct(), "shared")
+    passes = []
+    for only in range(PASSES):
+        rows = key_rows(docs, size, p, q, only)
+        passes.append(stored(rows.selectExpr("key", "fa", f"min(fa) OVER ({spread}) AS low", f"max(fa) OVER ({spread}) AS high").where("low <> high").select("key", "low", "fa").distinct(), "shared"))
+    shared = reduce(DataFrame.union, passes)
     known = stored(classes.join(shared.select("fa").distinct(), "fa"), "known")
 
     def side(name: str) -> DataFrame:
@@ -308,7 +315,7 @@ def jaccard_classes(documents: DataFrame, size: int = 5, p: int = 80, q: int = 1
     cross = left.join(right, (left["key"] == right["key"]) & near).select(*ordered).distinct()
     cross = stored(cross.join(done, ["a", "b"], "left_anti"), "cross")
     found = merged(_verified(cross, docs, size, p, q))
-    dropped(stars, open_rows, cross, shared, known, *turns)
+    dropped(stars, open_rows, cross, known, *passes, *turns)
 
     named = classes.select("fa", "fb", "n", "rep", "copies").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("fa", "fb", "n", "copies", F.coalesce("component", "rep").alias("class"))

@@ -112,6 +112,30 @@ def test_sets_no_deal_fits_share_a_key(monkeypatch):
             assert np.intersect1d(part_keys(a, starts, p, 100), part_keys(b, starts, p, 100)).size
 
 
+def test_passes_part_the_keys():
+    """Every key of a set belongs to one pass, and no pass has much more than its share: disk holds the keys of one pass."""
+    rng = np.random.default_rng(6)
+    starts = bands(80, 100)
+    total = np.zeros(ngram_join.PASSES)
+    for n in (1, 4, 7, 60, 400, 401, 3_000, 50_000):
+        found = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        each = [part_keys(found, starts, 80, 100, only) for only in range(ngram_join.PASSES)]
+        assert sorted(np.concatenate(each)) == sorted(part_keys(found, starts, 80, 100))
+        total = total + [len(x) for x in each]
+    assert ngram_join.PASSES > 1 and max(total) < 0.6 * sum(total)
+
+
+def test_each_pass_stores_its_own_shared_keys(spark, monkeypatch):
+    """The keys are never shuffled all at once, and the classes are those of one pass over all of them."""
+    rng = random.Random(11)
+    rows = [(k, " ".join(rng.choices([f"w{j}" for j in range(40)], k=rng.choice([6, 30, 90]))), "") for k in range(30)]
+    rows += [(100 + k, t + " tail", "") for k, t, _ in rows]
+    names, real = [], ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name: names.append(name) or real(df, name))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(spark.createDataFrame(rows, SCHEMA), 4, 80, 100).collect()}
+    assert got == brute(rows, 4, 80, 100) and names.count("shared") == ngram_join.PASSES
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 101), (101, 102), (50, 50), (102, 100)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -1,5 +1,8 @@
 """The job on stored tables, and reading and writing of headers and lists."""
 
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +76,31 @@ def test_the_shared_folder(spark):
         spark.read.parquet(df._stored_at).count()
 
 
+def shuffle_files(spark):
+    """Names of the shuffle files that the session holds."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {name for d in dirs for _, _, names in os.walk(d) for name in names if name.startswith("shuffle_")}
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    """What a step has shuffled goes as the step ends; the session's own setting is as it was, after a failure too."""
+    setting = spark.conf.get(scratch.CLEANUP, None)
+    rows = spark.range(400_000).select("id", F.xxhash64("id").alias("x"))
+    before = shuffle_files(spark)
+    tables = [scratch.stored(rows.repartition(4, F.col("x") + k), "moved") for k in range(3)]
+    for _ in range(50):
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.2)
+    assert shuffle_files(spark) <= before
+    assert [t.distinct().count() for t in tables] == [400_000] * 3
+    assert spark.conf.get(scratch.CLEANUP, None) == setting
+    with pytest.raises(Exception, match="no such number"):
+        scratch.stored(rows.select(F.raise_error(F.lit("no such number"))), "failing")
+    assert spark.conf.get(scratch.CLEANUP, None) == setting
+    scratch.dropped(*tables)
+
+
 def test_error_lists_and_catalog(spark, tmp_path):
     errors = spark.createDataFrame([("b", "cam", "dark", "NOT FOUND x"), ("a", "cam", "dark", "NOT FOUND x"), ("c", "cam", "flat", "NOT FOUND y"), ("a", "cam", "flat", "NOT FOUND y")], "dataset_id string, instrument string, filekind string, message string")
     H.write_error_ids(errors, f"{tmp_path}/e", R.unique_errors(errors))
